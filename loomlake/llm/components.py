@@ -1,0 +1,31 @@
+"""Connected components by repeated contraction of the smallest neighbour."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomlake.scratch import Scratch
+
+
+def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of every node that ``edges`` (a long, b long) name; nodes of one component share a root.
+
+    Each round sends a node to the smallest of its neighbours and itself, and rewrites the edges; a star, the
+    common case, is one round, a path halves. Tables are written between rounds; nothing is collected.
+    """
+    left = scratch.write(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    roots = None
+    while not left.isEmpty():
+        both = left.union(left.select("b", "a"))
+        step = scratch.write(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")).withColumnRenamed("a", "node"), "step")
+        if roots is None:
+            roots = step.select("node", F.col("to").alias("root"))
+        else:
+            hop = step.select(F.col("node").alias("root"), "to")
+            roots = scratch.write(roots.join(hop, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+        a = step.select(F.col("node").alias("a"), F.col("to").alias("ta"))
+        b = step.select(F.col("node").alias("b"), F.col("to").alias("tb"))
+        moved = left.join(a, "a").join(b, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
+        left = scratch.write(moved, "edges")
+    return left.selectExpr("a as node", "b as root") if roots is None else roots
