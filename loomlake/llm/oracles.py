@@ -94,9 +94,9 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesc
 ), lw AS (SELECT doc_id, line, regexp_extract_all(line, '[^ \t-\r]+') AS ws FROM l
 ), judged AS (
   SELECT doc_id, line, len(ws) AS n, len(ws) > 0 AND (
-    len(list_filter(ws, x -> x LIKE '%!!')) * 2 >= len(ws)
+    len(list_filter(ws, lambda x: x LIKE '%!!')) * 2 >= len(ws)
     OR (NOT regexp_matches(line, '[.,;:!?…。¿¡]') AND len(ws) >= 8)
-    OR len(list_filter(ws, x -> x IN ('|', '»', '›', '·', '•'))) >= 3
+    OR len(list_filter(ws, lambda x: x IN ('|', '»', '›', '·', '•'))) >= 3
     OR regexp_matches(lower(line), '{phrases}')
     OR (length(line) - length(translate(line, '#*$%&|<>', ''))) * 2 >= len(ws)
     OR (len(ws) >= 16 AND len(list_distinct(ws)) * 4 < len(ws))) AS fails FROM lw
