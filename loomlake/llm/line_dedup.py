@@ -25,11 +25,11 @@ from loomlake.scratch import Scratch
 def _shortest(min_words: int, forward: bool) -> Column:
     """Lines from this one on (or back) until ``min_words`` words are reached; null where a unique line or the end comes first."""
     by = Window.partitionBy("k", "th", "block").orderBy("pos")
-    total, out = F.col("words"), F.when(F.col("words") >= min_words, 1)
+    total, tries = F.col("words"), [F.when(F.col("words") >= min_words, 1)]
     for m in range(2, min_words + 1):
         total = total + (F.lead("words", m - 1) if forward else F.lag("words", m - 1)).over(by)
-        out = F.when(out.isNotNull(), out).when(total >= min_words, m)
-    return out
+        tries.append(F.when(total >= min_words, m))
+    return F.coalesce(*tries)
 
 
 def _double(level: DataFrame, step: int, scratch: Scratch) -> DataFrame:
