@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.frames import WHITE, WORD, keyed, shown
+from loomlake.llm.frames import WHITE, WORD
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -68,33 +68,40 @@ def _covered(at: Column) -> Column:
     return F.aggregate(at, zero, lambda acc, p: F.struct((p + 5).alias("end"), (acc["total"] + p + 5 - F.greatest(acc["end"], p)).alias("total")), lambda acc: acc["total"])
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss: int = LOSS) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss: int = LOSS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Measures and verdict for each document, with the text that is left of it.
 
     Returns ``id_col``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words, clean_text,
     base_failed (under 10 words, or over 20 % of them in repeated windows of five), kept (not base_failed, and at
     most ``loss`` per cent of the words in failing lines). clean_text has the lines that did not fail.
 
+    Columns named in ``carry`` come along behind these.
+
     Null text has no words and is rejected, like an empty one. Rows that repeat an id are judged one by one; a
     null id stays null. Extra columns are ignored; an empty table gives an empty result.
     """
-    base = keyed(docs, id_col, text_col).select("k", F.coalesce("text", F.lit("")).alias("text"))
+    carried = [docs[c].alias(f"__{i}") for i, c in enumerate(carry)]
+    base = docs.select(docs[id_col].cast("bigint").alias("k"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *carried)
     parts = base.withColumn("words", _words(F.col("text"))).withColumn("lines", F.split("text", "\n"))
     parts = parts.withColumn("hashes", _repeat_words(F.col("words")))
     parts = parts.withColumn("placed", _placed(F.col("hashes"))).withColumn("twice", _twice(F.col("placed")))
     parts = parts.withColumn("good", F.filter("lines", lambda line: ~line_fails(line)))
     full = F.filter("lines", lambda line: line.rlike(WORD))
+    left = F.aggregate("good", F.lit(0), lambda acc, line: acc + F.regexp_count(line, F.lit(WORD)))
     measured = parts.select(
-        "k",
+        "k", *(f"__{i}" for i in range(len(carry))),
         F.size("words").cast("bigint").alias("n_words"),
         F.length(F.regexp_replace("text", WHITE, "")).cast("bigint").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size(full) - F.size(F.array_distinct(full))).cast("bigint").alias("n_dup_lines"),
         _covered(F.col("twice")).cast("bigint").alias("n_repeat_words"),
         F.when(F.size("good") == F.size("lines"), F.col("text")).otherwise(F.array_join("good", "\n")).alias("clean_text"),
+        F.when(F.size("good") == F.size("lines"), 0).otherwise(F.size("words") - left).cast("bigint").alias("n_removed_words"),
+        # a column that is not deterministic keeps filters on the verdict from being copied below the measures
+        F.monotonically_increasing_id().alias("row"),
     )
-    removed = F.col("n_words") - F.regexp_count("clean_text", F.lit(WORD))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = measured.withColumn("n_removed_words", removed.cast("bigint")).withColumn("base_failed", failed)
-    out = out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_removed_words") <= loss * F.col("n_words")))
-    return out.select(shown().alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "clean_text", "base_failed", "kept")
+    out = measured.withColumn("base_failed", failed)
+    out = out.withColumn("kept", (F.col("row") >= 0) & ~F.col("base_failed") & (100 * F.col("n_removed_words") <= loss * F.col("n_words")))
+    behind = [F.col(f"__{i}").alias(c) for i, c in enumerate(carry)]
+    return out.select(F.col("k").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "clean_text", "base_failed", "kept", *behind)

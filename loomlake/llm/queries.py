@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import chat, decontaminate, line_dedup, minhash_dedup, mixing, quality, secret_scan, substring_dedup
+from loomlake.llm import chat, decontaminate, line_dedup, lm_score, minhash_dedup, mixing, pii, quality, secret_scan, substring_dedup
 from loomlake.llm.oracles import ORACLES
 from loomlake.session import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -36,6 +41,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "statuses")
@@ -56,7 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op3_substring_dedup, op4_chat_format, op5_decontamination, op7_secret_scan, op8_line_dedup, op9_minhash_dedup, op10_quality)
+    f.__name__: f for f in (op1_pii, op2_mixing, op3_substring_dedup, op4_chat_format, op5_decontamination, op6_lm_score, op7_secret_scan, op8_line_dedup, op9_minhash_dedup, op10_quality)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
