@@ -16,9 +16,9 @@ the same signature.
 
 Spark then does two exchanges of packed arrays: signatures meet in buckets, and those seen twice
 return to their documents; around them, windows of the documents' words meet in buckets under
-128-bit names, where the smallest (id, start) stays. Each Arrow batch sends a signature or window once
+96-bit names, where the smallest (id, start) stays. Each Arrow batch sends a signature or window once
 and settles further copies of its own itself, so a passage that a third of all documents hold costs
-a bucket one entry a batch.
+a bucket one entry a batch. Answers travel home packed by shard of the id, one row a bucket and shard.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ from loomlake.scratch import Scratch
 U = np.uint64
 #: Words before the first shared border of a window, at most.
 EDGE = 8
-_PACK = "bucket int, k long, a binary, b binary, c binary, d binary"
+_PACK = "bucket int, a binary, b binary, c binary, d binary"
+_HOME = "shard int, ks binary, ths binary, sizes binary, items binary"
 _STAGED = "kind int, bucket int, k long, th long, n long, text string, a binary, b binary, c binary, d binary"
 
 
@@ -79,9 +80,42 @@ def _signatures(words: tk.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at, (tk.grams(words.names, size)[at] if len(at) else np.empty(0, U))
 
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-    return pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], ["bucket", "k", "a", "b", "c", "d"])
+def _packed(rows: list[tuple], names: str) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], [n.split()[0] for n in names.split(", ")])
+
+
+def _homeward(k: np.ndarray, th: np.ndarray, items: np.ndarray, shards: int) -> list[tuple]:
+    """(shard, ids, hashes, sizes, items): the items of documents, packed by the shard of their ids."""
+    shard = (tk.mix(k.view(U)) % U(shards)).astype(np.int64)
+    order = np.lexsort((items, th, k, shard))
+    k, th, items, shard = k[order], th[order], items[order], shard[order]
+    docs = np.append(np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (th[1:] != th[:-1]))), len(k))
+    ends, which = _runs(shard)
+    rows = []
+    for home, x, y in zip(which, ends[:-1], ends[1:], strict=True):
+        at = docs[(docs >= x) & (docs < y)]
+        rows.append((int(home), k[at].tobytes(), th[at].tobytes(), np.diff(np.append(at, y)).astype(np.uint32).tobytes(), items[x:y].tobytes()))
+    return rows
+
+
+def _at_home(kind: type, name: str = "items"):
+    """One row for each document of a partition's shards, with all items sent to it."""
+
+    def run(batches):
+        parts = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("ks", "ths", "sizes", "items")), strict=True)]
+        if not parts:
+            return
+        sizes = [np.frombuffer(p[2], np.uint32) for p in parts]
+        k, th = (np.concatenate([np.repeat(np.frombuffer(p[i], np.int64), n) for p, n in zip(parts, sizes, strict=True)]) for i in (0, 1))
+        items = np.concatenate([np.frombuffer(p[3], kind) for p in parts])
+        order = np.lexsort((items, th, k))
+        k, th, items = k[order], th[order], items[order]
+        cut = np.append(np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (th[1:] != th[:-1]))), len(k))
+        for x in range(0, len(cut) - 1, 2000):
+            own = cut[x : x + 2001]
+            yield pa.record_batch([pa.array(k[own[:-1]]), pa.array(th[own[:-1]]), pa.array([items[i:j].tobytes() for i, j in zip(own[:-1], own[1:], strict=True)], pa.binary())], ["k", "th", name])
+
+    return run
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +143,10 @@ def _emit_signatures(window: int, buckets: int):
             ends, values = _runs(sig[order])
             many = np.diff(ends) > 1
             lone = order[ends[:-1]]
-            # the documents of signatures that come twice here
-            own = np.sort(order[np.repeat(many, np.diff(ends))])
-            cut, who = _runs(doc[own])
-            rows = [(-1, int(ids[w]), np.unique(sig[own[x:y]]).tobytes(), None, None, None) for w, x, y in zip(who, cut[:-1], cut[1:], strict=True)]
+            # the documents of signatures that come twice here need no meeting
+            own = order[np.repeat(many, np.diff(ends))]
+            own = own[np.unique(np.stack([doc[own], sig[own].astype(np.uint32)]), axis=1, return_index=True)[1]] if len(own) else own
+            rows = [(-1 - home, *blobs) for home, *blobs in _homeward(ids[doc[own]].astype(np.int64), np.zeros(len(own), np.int64), sig[own].astype(np.uint32), buckets)] if len(own) else []
             first = np.sort(lone)
             multi = np.zeros(len(sig), bool)
             multi[lone[many]] = True
@@ -121,34 +155,39 @@ def _emit_signatures(window: int, buckets: int):
                 mine = first[by[bounds[b] : bounds[b + 1]]]
                 if len(mine):
                     cut, who = _runs(doc[mine])
-                    rows.append((b, None, (sig[mine]).astype(np.uint32).tobytes(), multi[mine].tobytes(), ids[who].astype(np.int64).tobytes(), np.diff(cut).astype(np.uint32).tobytes()))
-            yield _packed(rows)
+                    rows.append((b, (sig[mine]).astype(np.uint32).tobytes(), multi[mine].tobytes(), ids[who].astype(np.int64).tobytes(), np.diff(cut).astype(np.uint32).tobytes()))
+            yield _packed(rows, _PACK)
             del doc, sig, order, rows
 
     return run
 
 
-def _meet_signatures(batches):
-    """Signatures of a bucket that two batches have return to their documents: (k, low halves)."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for b, k, *blobs in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if b >= 0:
-                held.setdefault(b, []).append(blobs)
-            else:
-                yield pa.record_batch([pa.array([k], pa.int64()), pa.array([np.unique(np.frombuffer(blobs[0], U).astype(np.uint32)).tobytes()], pa.binary())], ["k", "sigs"])
-    for parts in held.values():
-        sig = np.concatenate([np.frombuffer(p[0], np.uint32) for p in parts])
-        multi = np.concatenate([np.frombuffer(p[1], bool) for p in parts])
-        ids = np.concatenate([np.repeat(np.frombuffer(p[2], np.int64), np.frombuffer(p[3], np.uint32)) for p in parts])
-        values, inverse, count = np.unique(sig, return_inverse=True, return_counts=True)
-        heavy = np.zeros(len(values), bool)
-        heavy[inverse[multi]] = True
-        hit = np.flatnonzero(((count > 1) | heavy)[inverse])
-        if len(hit):
-            hit = hit[np.argsort(ids[hit], kind="stable")]
-            cut, who = _runs(ids[hit])
-            yield pa.record_batch([pa.array(who, pa.int64()), pa.array([sig[hit[x:y]].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["k", "sigs"])
+def _meet_signatures(shards: int):
+    """Signatures of a bucket that two batches have go home to their documents; what went home before passes through."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            through = []
+            for b, *blobs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if b >= 0:
+                    held.setdefault(b, []).append(blobs)
+                else:
+                    through.append((-1 - b, *blobs))
+            if through:
+                yield _packed(through, _HOME)
+        for parts in held.values():
+            sig = np.concatenate([np.frombuffer(p[0], np.uint32) for p in parts])
+            multi = np.concatenate([np.frombuffer(p[1], bool) for p in parts])
+            ids = np.concatenate([np.repeat(np.frombuffer(p[2], np.int64), np.frombuffer(p[3], np.uint32)) for p in parts])
+            values, inverse, count = np.unique(sig, return_inverse=True, return_counts=True)
+            heavy = np.zeros(len(values), bool)
+            heavy[inverse[multi]] = True
+            hit = np.flatnonzero(((count > 1) | heavy)[inverse])
+            if len(hit):
+                yield _packed(_homeward(ids[hit], np.zeros(len(hit), np.int64), sig[hit], shards), _HOME)
+
+    return run
 
 
 def _kept(words: tk.Words, doc: int, data: np.ndarray, drop: np.ndarray | None) -> bytes:
@@ -185,7 +224,7 @@ def _emit_windows(window: int, buckets: int):
                     hit = np.empty(0, np.int64)
                     if sigs[i]:
                         x, y = bounds[i - row], bounds[i - row + 1]
-                        want = np.frombuffer(b"".join(sigs[i]), np.uint32)
+                        want = np.frombuffer(sigs[i], np.uint32)
                         hit = at[x:y][np.isin(low[x:y], want)] - words.first[i - row]
                     if len(hit) and n >= window:
                         mark = np.zeros(n + 1, np.int32)
@@ -212,8 +251,8 @@ def _emit_windows(window: int, buckets: int):
                 new = np.append(True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1]))
                 head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
                 later = np.sort(order[(k[order] != k[head]) | (at[order] != at[head])])
-                cut, who = _runs(doc[later])
-                rows += [(2, None, int(ids[w]), int(ths[w]), None, None, at[later[x:y]].tobytes(), None, None, None) for w, x, y in zip(who, cut[:-1], cut[1:], strict=True)]
+                if len(later):
+                    rows += [(2, home, None, None, None, None, *blobs) for home, *blobs in _homeward(k[later].astype(np.int64), ths[doc[later]].astype(np.int64), at[later], buckets)]
                 first = np.sort(order[new])
                 by, bounds = tk.by_bucket(h[first], buckets)
                 for b in range(buckets):
@@ -221,7 +260,7 @@ def _emit_windows(window: int, buckets: int):
                     if len(mine):
                         cut, who = _runs(doc[mine])
                         own = np.stack([ids[who].astype(np.int64), ths[who].astype(np.int64), np.diff(cut)])
-                        rows.append((1, b, None, None, None, None, h[mine].tobytes(), g[mine].tobytes(), at[mine].tobytes(), own.tobytes()))
+                        rows.append((1, b, None, None, None, None, h[mine].tobytes(), g[mine].astype(np.uint32).tobytes(), at[mine].tobytes(), own.tobytes()))
             names = ["kind", "bucket", "k", "th", "n", "text", "a", "b", "c", "d"]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * 4]
             for x in range(0, len(rows), 2000):
@@ -230,27 +269,27 @@ def _emit_windows(window: int, buckets: int):
     return run
 
 
-def _meet_windows(batches):
-    """Of each window in a bucket all but the smallest (id, start) come back: (k, th, starts)."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for b, *blobs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            held.setdefault(b, []).append(blobs)
-    for parts in held.values():
-        h, g = (np.concatenate([np.frombuffer(p[i], U) for p in parts]) for i in (0, 1))
-        at = np.concatenate([np.frombuffer(p[2], np.int32) for p in parts])
-        own = [np.frombuffer(p[3], np.int64).reshape(3, -1) for p in parts]
-        k, th = (np.concatenate([np.repeat(o[i], o[2]) for o in own]) for i in (0, 1))
-        order = np.lexsort((at, k, g, h))
-        new = np.append(True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1]))
-        head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        later = order[(k[order] != k[head]) | (at[order] != at[head])]
-        if not len(later):
-            continue
-        later = later[np.lexsort((at[later], th[later], k[later]))]
-        cut = np.append(np.flatnonzero(np.append(True, (k[later][1:] != k[later][:-1]) | (th[later][1:] != th[later][:-1]))), len(later))
-        who = later[cut[:-1]]
-        yield pa.record_batch([pa.array(k[who]), pa.array(th[who]), pa.array([at[later[x:y]].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["k", "th", "starts"])
+def _meet_windows(shards: int):
+    """Of each window in a bucket all but the smallest (id, start) go home to their documents."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for b, *blobs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                held.setdefault(b, []).append(blobs)
+        for parts in held.values():
+            h, g = (np.concatenate([np.frombuffer(p[i], t) for p in parts]) for i, t in ((0, U), (1, np.uint32)))
+            at = np.concatenate([np.frombuffer(p[2], np.int32) for p in parts])
+            own = [np.frombuffer(p[3], np.int64).reshape(3, -1) for p in parts]
+            k, th = (np.concatenate([np.repeat(o[i], o[2]) for o in own]) for i in (0, 1))
+            order = np.lexsort((at, k, g, h))
+            new = np.append(True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1]))
+            head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+            later = order[(k[order] != k[head]) | (at[order] != at[head])]
+            if len(later):
+                yield _packed(_homeward(k[later], th[later], at[later], shards), _HOME)
+
+    return run
 
 
 def _finish(window: int):
@@ -264,7 +303,7 @@ def _finish(window: int):
                     n = int(words.first[i - row + 1] - words.first[i - row])
                     drop = None
                     if starts[i]:
-                        drop = tk.spans_union(np.frombuffer(b"".join(starts[i]), np.int32).astype(np.int64), window, n)
+                        drop = tk.spans_union(np.frombuffer(starts[i], np.int32).astype(np.int64), window, n)
                     removed.append(0 if drop is None else int(drop.sum()))
                     kept.append(_kept(words, i - row, data, drop).decode())
             yield pa.record_batch([batch.column("k"), batch.column("n"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["k", "n_words", "n_removed", "kept_text"])
@@ -288,15 +327,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark, n = docs.sparkSession, partitions(docs)
     scratch = Scratch(spark, "substring")
     base = keyed(docs, id_col, text_col)
-    met = base.mapInArrow(_emit_signatures(window, n), _PACK)
-    met = met.withColumn("to", F.coalesce(F.when(F.col("bucket") >= 0, F.col("bucket")), F.pmod(F.hash("k"), F.lit(n)))).repartition(n, "to").drop("to")
-    flags = met.mapInArrow(_meet_signatures, "k long, sigs binary").groupBy("k").agg(F.collect_list("sigs").alias("sigs"))
-    joined = base.join(flags, "k", "left").select("k", F.xxhash64("text").alias("th"), "text", "sigs")
+    met = base.mapInArrow(_emit_signatures(window, n), _PACK).withColumn("to", F.greatest("bucket", -1 - F.col("bucket"))).repartition(n, "to").drop("to")
+    flags = met.mapInArrow(_meet_signatures(n), _HOME).repartition(n, "shard").mapInArrow(_at_home(np.uint32), "k long, th long, items binary")
+    joined = base.join(flags.select("k", F.col("items").alias("sigs")), "k", "left").select("k", F.xxhash64("text").alias("th"), "text", "sigs")
     staged = scratch.write(joined.mapInArrow(_emit_windows(window, n), _STAGED), "windows")
-    verdicts = staged.where("kind = 1").select("bucket", "a", "b", "c", "d").repartition(n, "bucket").mapInArrow(_meet_windows, "k long, th long, starts binary")
-    own = staged.where("kind = 2").select("k", "th", F.col("a").alias("starts"))
-    starts = verdicts.unionByName(own).groupBy("k", "th").agg(F.collect_list("starts").alias("starts"))
+    verdicts = staged.where("kind = 1").select("bucket", "a", "b", "c", "d").repartition(n, "bucket").mapInArrow(_meet_windows(n), _HOME)
+    own = staged.where("kind = 2").select(F.col("bucket").alias("shard"), F.col("a").alias("ks"), F.col("b").alias("ths"), F.col("c").alias("sizes"), F.col("d").alias("items"))
+    starts = verdicts.unionByName(own).repartition(n, "shard").mapInArrow(_at_home(np.int32, "starts"), "k long, th long, starts binary")
     hold = staged.where("kind = 3").select("k", "th", "n", "text").join(starts, ["k", "th"], "left").select("k", "n", "text", "starts")
-    done = staged.where("kind = 0").select("k", "n", "text", F.lit(None).cast("array<binary>").alias("starts"))
+    done = staged.where("kind = 0").select("k", "n", "text", F.lit(None).cast("binary").alias("starts"))
     out = hold.unionByName(done).mapInArrow(_finish(window), "k long, n_words long, n_removed long, kept_text string")
     return out.select(shown().alias(id_col), "n_words", "n_removed", "kept_text")
