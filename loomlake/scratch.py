@@ -40,7 +40,7 @@ class Scratch:
         """Write ``df`` and return it as read from the written files."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{label}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._loomlake_path = path  # type: ignore[attr-defined]
         return out
