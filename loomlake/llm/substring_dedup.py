@@ -118,6 +118,16 @@ def _at_home(kind: type, name: str = "items"):
     return run
 
 
+def _halves(at: np.ndarray) -> bytes:
+    """Positions as their low, then their high 16 bits; the high ones are nearly all zero and compress to nothing."""
+    return (at & 0xFFFF).astype(np.uint16).tobytes() + (at >> 16).astype(np.uint16).tobytes()
+
+
+def _whole(blob: bytes) -> np.ndarray:
+    low, high = np.frombuffer(blob, np.uint16).reshape(2, -1).astype(np.int32)
+    return low | (high << 16)
+
+
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds and values of runs of equal keys."""
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
@@ -260,7 +270,7 @@ def _emit_windows(window: int, buckets: int):
                     if len(mine):
                         cut, who = _runs(doc[mine])
                         own = np.stack([ids[who].astype(np.int64), ths[who].astype(np.int64), np.diff(cut)])
-                        rows.append((1, b, None, None, None, None, h[mine].tobytes(), g[mine].astype(np.uint32).tobytes(), at[mine].tobytes(), own.tobytes()))
+                        rows.append((1, b, None, None, None, None, h[mine].tobytes(), g[mine].astype(np.uint32).tobytes(), _halves(at[mine]), own.tobytes()))
             names = ["kind", "bucket", "k", "th", "n", "text", "a", "b", "c", "d"]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * 4]
             for x in range(0, len(rows), 2000):
@@ -279,7 +289,7 @@ def _meet_windows(shards: int):
                 held.setdefault(b, []).append(blobs)
         for parts in held.values():
             h, g = (np.concatenate([np.frombuffer(p[i], t) for p in parts]) for i, t in ((0, U), (1, np.uint32)))
-            at = np.concatenate([np.frombuffer(p[2], np.int32) for p in parts])
+            at = np.concatenate([_whole(p[2]) for p in parts])
             own = [np.frombuffer(p[3], np.int64).reshape(3, -1) for p in parts]
             k, th = (np.concatenate([np.repeat(o[i], o[2]) for o in own]) for i in (0, 1))
             order = np.lexsort((at, k, g, h))
