@@ -117,7 +117,8 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     """
     spark, base = docs.sparkSession, keyed(docs, id_col, text_col)
     good = targets.select(targets[id_col].cast("bigint").alias("k")).where("k is not null").distinct().withColumn("good", F.lit(True))
-    counted = base.join(good, "k", "left").select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_count, "part int, model int, slots binary, counts binary")
+    # always by shuffle: one plan for every size of the label table
+    counted = base.join(good.hint("merge"), "k", "left").select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_count, "part int, model int, slots binary, counts binary")
     summed = counted.repartition(partitions(docs), "part").mapInArrow(_sum, "part int, model int, counts binary")
     models = spark.sparkContext.broadcast(Models([tuple(r) for r in summed.collect()], prior))
     out = base.mapInArrow(_score(models), "k long, n_tokens long, target_loss double, background_loss double, score double")
