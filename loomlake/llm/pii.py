@@ -1,7 +1,7 @@
 """Personal data by exact rules and a character-level BiLSTM with CRF transitions.
 
 The rules give the base spans. The tagger is trained on the driver from labelled spans: a bounded sample of the documents'
-own passages (``sample_rows`` documents of the smallest id hashes, labelled by the rules) and seeded passages in which generated addresses
+own passages (``SAMPLE_CHARS`` of up to ``sample_rows`` documents chosen by hash, labelled by the rules) and seeded passages in which generated addresses
 and numbers of many spellings, and numbers that are none of these, stand between words of those documents. It then reads every
 window of every document that can hold a span: every kind has a digit or an at sign, so windows without either
 are passed over, and nothing else is. Overlapping windows are averaged and decoded as one. A decoded span is added
@@ -23,6 +23,8 @@ from loomlake.llm.tagger import Tagger, classes, stitched
 
 KINDS = ("email", "ip", "card", "phone")
 SIZE, STRIDE = 64, 32
+#: Characters of a sampled document that the training sees, around its first digit or at sign.
+SAMPLE_CHARS = 2000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -201,13 +203,16 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     Returns ``id_col``, n_email, n_ip, n_card, n_phone (base spans), base and spans (base spans and all spans, as
     kind:start:end by start, then kind; code points, end exclusive).
 
-    The tagger is fitted on at most ``sample_rows`` documents that have a digit or an at sign, those of the smallest hashes of id and
-    text; all documents are scanned. Null text is empty. A null id stays null. Rows that repeat an id are scanned one by one. Extra columns
+    The tagger is fitted on at most ``sample_rows`` documents that have a digit or an at sign, the smallest hash of id and text for each
+    residue; all documents are scanned. Null text is empty. A null id stays null. Rows that repeat an id are scanned one by one. Extra columns
     are ignored; an empty table gives an empty result, from a tagger that saw generated passages only.
     """
     spark, base = docs.sparkSession, keyed(docs, id_col, text_col)
-    sample = base.where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("k", "text"), "k").limit(sample_rows)
-    samples = [r[0][a : a + 4000] for r in sample.select("text").collect() for a in range(0, len(r[0]), 4000) if _ANCHOR.search(r[0][a : a + 4000])]
+    # one document for each residue of the hash: the sample is chosen in the shuffle, and the driver gets it alone
+    hashed = base.where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("k", "text"))
+    around = F.substring("text", F.greatest(F.regexp_instr("text", F.lit("[0-9@]")) - SAMPLE_CHARS // 2, F.lit(1)), F.lit(SAMPLE_CHARS))
+    sample = hashed.select(F.pmod("h", F.lit(sample_rows)).alias("slot"), "h", around.alias("part")).groupBy("slot").agg(F.min_by("part", F.struct("h", "part")).alias("part"))
+    samples = [r["part"] for r in sample.orderBy("slot").collect()]
     model = spark.sparkContext.broadcast(trained(samples, steps))
     out = base.mapInArrow(_scan(model), "k long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
     return out.select(shown().alias(id_col), *(f"n_{k}" for k in KINDS), "base", "spans")
