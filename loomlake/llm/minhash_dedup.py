@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.llm import textkit as tk
-from loomlake.llm.components import connected
+from loomlake.operators.graph import connected
 from loomlake.llm.frames import keyed, shown
 from loomlake.scratch import Scratch
 
