@@ -14,28 +14,28 @@ from loomlake.functions.sequences import f_score
 
 
 def curve(df: DataFrame, by: Sequence[str] = (), y: str = "y", score: str = "score", weight: str | None = None) -> DataFrame:
-    """One row a distinct score: positives p, negatives n, and tp, fp at or above it, with totals P, N."""
+    """One row a distinct score: positives p, negatives n, and tp, fp at or above it, with totals all_p, all_n."""
     w = F.col(weight) if weight else F.lit(1)
     steps = df.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0)).alias("p"), F.sum(F.when(F.col(y) == 0, w).otherwise(0)).alias("n"))
     down = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
-    return steps.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "P": F.sum("p").over(whole), "N": F.sum("n").over(whole)})
+    return steps.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "all_p": F.sum("p").over(whole), "all_n": F.sum("n").over(whole)})
 
 
 def ranking(df: DataFrame, by: Sequence[str] = (), y: str = "y", score: str = "score", weight: str | None = None) -> DataFrame:
     """auc (mid-ranks) and ap (step sum) by group; null where a class is missing."""
     c = curve(df, by, y, score, weight)
     # a positive beats the negatives below its score and ties with those at it
-    wins = F.sum(F.col("p") * (2 * (F.col("N") - F.col("fp")) + F.col("n")))
+    wins = F.sum(F.col("p") * (2 * (F.col("all_n") - F.col("fp")) + F.col("n")))
     ap = F.sum(F.col("p") * F.col("tp").cast("double") / (F.col("tp") + F.col("fp")))
-    one = c.groupBy(*by).agg(wins.alias("w"), ap.alias("a"), F.max("P").alias("P"), F.max("N").alias("N"))
-    return one.select(*by, F.try_divide(F.col("w").cast("double"), 2 * F.col("P") * F.col("N")).alias("auc"), F.when(F.col("N") > 0, F.try_divide("a", F.col("P"))).alias("ap"), F.col("P").alias("n_pos"), F.col("N").alias("n_neg"))
+    one = c.groupBy(*by).agg(wins.alias("w"), ap.alias("a"), F.max("all_p").alias("all_p"), F.max("all_n").alias("all_n"))
+    return one.select(*by, F.try_divide(F.col("w").cast("double"), 2 * F.col("all_p") * F.col("all_n")).alias("auc"), F.when(F.col("all_n") > 0, F.try_divide("a", F.col("all_p"))).alias("ap"), F.col("all_p").alias("n_pos"), F.col("all_n").alias("n_neg"))
 
 
 def precision_recall(df: DataFrame, by: Sequence[str] = (), y: str = "y", score: str = "score") -> DataFrame:
     """threshold, precision, recall, f1 at every distinct score."""
     c = curve(df, by, y, score)
-    p, r = F.col("tp").cast("double") / (F.col("tp") + F.col("fp")), F.try_divide(F.col("tp").cast("double"), F.col("P"))
+    p, r = F.col("tp").cast("double") / (F.col("tp") + F.col("fp")), F.try_divide(F.col("tp").cast("double"), F.col("all_p"))
     return c.select(*by, F.col(score).alias("threshold"), p.alias("precision"), r.alias("recall"), f_score(p, r).alias("f1"))
 
 
