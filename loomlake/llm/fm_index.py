@@ -29,7 +29,8 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of a text of symbols from 1; 0 separates its parts, and no pattern spans it.
+    """Index of a text of symbols from 1; 0 separates its parts, and no pattern spans it; one is
+    added where the last part has none.
 
     The suffix array is sorted by prefix doubling, with separators in text order. Text positions are kept for every
     eighth place and for the first of each part; others are found by walking back with the last-to-first
@@ -39,6 +40,8 @@ class FMIndex:
     SAMPLE = 8
 
     def __init__(self, text: np.ndarray, size: int):
+        if len(text) and text[-1]:
+            text = np.append(text, 0).astype(text.dtype)
         n = len(text)
         cut = text == 0
         rank = text.astype(np.int64) + int(cut.sum())
