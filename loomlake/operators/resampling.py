@@ -23,11 +23,11 @@ def group_draws(groups: DataFrame, group: str, draws: int, seed: str, strata: st
     """
     part = [strata] if strata else []
     window = Window.partitionBy(*part).orderBy(group)
-    numbered = groups.select(group, *part).distinct().withColumn("i", F.row_number().over(window) - 1).withColumn("g", F.count("*").over(Window.partitionBy(*part)))
-    places = numbered.select(*part, F.col("i").alias("place"), "g").crossJoin(groups.sparkSession.range(draws).withColumnRenamed("id", "draw"))
+    numbered = groups.select(group, *part).distinct().withColumn("__i", F.row_number().over(window) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*part)))
+    places = numbered.select(*part, F.col("__i").alias("__place"), "__n").crossJoin(groups.sparkSession.range(draws).withColumnRenamed("id", "draw"))
     salt = [F.col(strata)] if strata else []
-    drawn = places.withColumn("i", hash_number(F.lit(seed), *salt, F.col("draw"), F.col("place")) % F.col("g"))
-    return drawn.groupBy("draw", *part, "i").agg(F.count("*").alias("times")).join(numbered.select(group, *part, "i"), [*part, "i"]).select("draw", group, "times")
+    drawn = places.withColumn("__i", hash_number(F.lit(seed), *salt, F.col("draw"), F.col("__place")) % F.col("__n"))
+    return drawn.groupBy("draw", *part, "__i").agg(F.count("*").alias("times")).join(numbered.select(group, *part, "__i"), [*part, "__i"]).select("draw", group, "times")
 
 
 def bootstrap(df: DataFrame, group: str, draws: int, seed: str = "boot", y: str = "y", score: str = "score", strata: str | None = None) -> DataFrame:
