@@ -587,3 +587,15 @@ def incremental_scores(spark, d):
     from loomlake.streaming.incremental import totals_by_stream
 
     return totals_by_stream(spark, f"{d}/events.parquet")
+
+
+@query("WITH h AS (SELECT lang AS y, CASE WHEN contains(text, ' the ') THEN 'en' WHEN contains(text, ' der ') THEN 'de' WHEN contains(text, ' la ') THEN 'fr' ELSE 'es' END AS pred FROM documents), c AS (SELECT DISTINCT y AS cls FROM h) SELECT cls, count(*) FILTER (y = cls AND pred = cls) AS tp, count(*) FILTER (y = cls) AS support, coalesce(count(*) FILTER (y = cls AND pred = cls)::DOUBLE / nullif(count(*) FILTER (pred = cls), 0), 0) AS precision, coalesce(count(*) FILTER (y = cls AND pred = cls)::DOUBLE / nullif(count(*) FILTER (y = cls), 0), 0) AS recall FROM h, c GROUP BY cls")
+def per_class_report(spark, d):
+    text = F.col("text")
+    pred = F.when(F.contains(text, F.lit(" the ")), "en").when(F.contains(text, F.lit(" der ")), "de").when(F.contains(text, F.lit(" la ")), "fr").otherwise("es")
+    cells = table(spark, d, "documents").groupBy(F.col("lang").alias("y"), pred.alias("pred")).agg(F.count("*").alias("n"))
+    hit = F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)
+    actual = cells.groupBy(F.col("y").alias("cls")).agg(F.sum(hit).alias("tp"), F.sum("n").alias("support"))
+    said = cells.groupBy(F.col("pred").alias("cls")).agg(F.sum("n").alias("said"))
+    share = lambda of: F.coalesce(F.try_divide(F.col("tp").cast("double"), of), F.lit(0.0))
+    return actual.join(said, "cls", "left").select("cls", "tp", "support", share(F.col("said")).alias("precision"), share(F.col("support")).alias("recall"))
