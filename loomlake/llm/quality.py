@@ -5,11 +5,11 @@ Everything is a projection of a document's own columns, so the plan is one scan
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.frames import WHITE, WORD
-
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 #: A line that holds one of these, in any case, is boilerplate.
@@ -23,25 +23,36 @@ MENU = 3
 LOSS = 50
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+#: White space other than the blank and the line break.
+_GAPS = r"[\x09\x0B-\x0D]"
+
+
+def _words_by_line(text: Column) -> Column:
+    """The words of each line: cut at single characters, which needs no pattern matching."""
+    return F.transform(F.split(F.regexp_replace(text, _GAPS, " "), "\n"), lambda line: F.array_remove(F.split(line, " "), ""))
+
+
+def _symbols(text: Column) -> Column:
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line is no prose.
+def line_fails(line: Column, words: Column) -> Column:
+    """Whether a line, given with its words, is no prose.
 
     Punctuation: it is shouted (every other word ends in two marks), or has neither a closing mark nor any inside.
     Navigation: it has ``MENU`` or more menu separators between its words. Boilerplate: it holds a phrase of the list,
     or as many symbols as half its words, or has under a quarter of its words distinct. A line without words never fails.
     """
-    n = F.regexp_count(line, F.lit(WORD))
-    shouted = F.regexp_count(line, F.lit(r"!!(?=[\x20\x09-\x0D]|$)")) * 2 >= n
-    bare = ~line.rlike(r"[.,;:!?…。¿¡]") & (n >= 8)
-    menu = F.regexp_count(line, F.lit(r"(^|[\x20\x09-\x0D])[|»›·•](?=[\x20\x09-\x0D]|$)")) >= MENU
-    phrase = F.lower(line).rlike("|".join(BOILERPLATE))
-    symbols = (F.length(line) - F.length(F.translate(line, SYMBOLS, ""))) * 2 >= n
-    repeated = (n >= 16) & (F.size(F.array_distinct(_words(line))) * 4 < n)
-    return (n > 0) & (shouted | bare | menu | phrase | symbols | repeated)
+    n = F.size(words)
+    # a plain search goes first where it spares most lines the count
+    shouted = F.contains(line, F.lit("!!")) & (F.regexp_count(line, F.lit(r"!!(?=[\x20\x09-\x0D]|$)")) * 2 >= n)
+    bare = (n >= 8) & ~line.rlike(r"[.,;:!?…。¿¡]")
+    menu = line.rlike("[|»›·•]") & (F.regexp_count(line, F.lit(r"(^|[\x20\x09-\x0D])[|»›·•](?=[\x20\x09-\x0D]|$)")) >= MENU)
+    low = F.lower(line)
+    phrase = reduce(Column.__or__, (F.contains(low, F.lit(p)) for p in BOILERPLATE))
+    symbols = line.rlike(f"[{SYMBOLS}]") & (_symbols(line) * 2 >= n)
+    repeated = (n >= 16) & (F.size(F.array_distinct(words)) * 4 < n)
+    return (n > 0) & (shouted | bare | menu | symbols | repeated | phrase)
 
 
 def _repeat_words(words: Column) -> Column:
@@ -82,21 +93,23 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss:
     """
     carried = [docs[c].alias(f"__{i}") for i, c in enumerate(carry)]
     base = docs.select(docs[id_col].cast("bigint").alias("k"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *carried)
-    parts = base.withColumn("words", _words(F.col("text"))).withColumn("lines", F.split("text", "\n"))
-    parts = parts.withColumn("hashes", _repeat_words(F.col("words")))
+    parts = base.withColumn("lines", F.split("text", "\n")).withColumn("by_line", _words_by_line(F.col("text")))
+    parts = parts.withColumn("words", F.flatten("by_line")).withColumn("hashes", _repeat_words(F.col("words")))
     parts = parts.withColumn("placed", _placed(F.col("hashes"))).withColumn("twice", _twice(F.col("placed")))
-    parts = parts.withColumn("good", F.filter("lines", lambda line: ~line_fails(line)))
-    full = F.filter("lines", lambda line: line.rlike(WORD))
-    left = F.aggregate("good", F.lit(0), lambda acc, line: acc + F.regexp_count(line, F.lit(WORD)))
+    at = lambda i: F.get("by_line", i)
+    parts = parts.withColumn("failing", F.filter(F.transform("lines", lambda line, i: F.when(line_fails(line, at(i)), i).otherwise(-1)), lambda i: i >= 0))
+    good = F.filter("lines", lambda line, i: ~F.array_contains("failing", i))
+    full = F.filter("lines", lambda line, i: F.size(at(i)) > 0)
+    lost = F.aggregate("failing", F.lit(0), lambda acc, i: acc + F.size(at(i)))
     measured = parts.select(
         "k", *(f"__{i}" for i in range(len(carry))),
         F.size("words").cast("bigint").alias("n_words"),
-        F.length(F.regexp_replace("text", WHITE, "")).cast("bigint").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
+        _symbols(F.col("text")).cast("bigint").alias("n_symbols"),
         (F.size(full) - F.size(F.array_distinct(full))).cast("bigint").alias("n_dup_lines"),
         _covered(F.col("twice")).cast("bigint").alias("n_repeat_words"),
-        F.when(F.size("good") == F.size("lines"), F.col("text")).otherwise(F.array_join("good", "\n")).alias("clean_text"),
-        F.when(F.size("good") == F.size("lines"), 0).otherwise(F.size("words") - left).cast("bigint").alias("n_removed_words"),
+        F.when(F.size("failing") == 0, F.col("text")).otherwise(F.array_join(good, "\n")).alias("clean_text"),
+        lost.cast("bigint").alias("n_removed_words"),
         # a column that is not deterministic keeps filters on the verdict from being copied below the measures
         F.monotonically_increasing_id().alias("row"),
     )
