@@ -12,7 +12,7 @@ from loomlake.functions import sequences as sq
 from loomlake.functions.alignment import align
 from loomlake.operators import dedup, metrics, resampling, splits
 from loomlake.operators.graph import connected
-from loomlake.plans import catalog
+from loomlake.plans import catalog, controls  # noqa: F401  (controls registers its queries with the catalog)
 from loomlake.scratch import Scratch
 from loomlake.sources import sequence_files as files
 from loomlake.streaming.incremental import append_new
