@@ -186,3 +186,16 @@ def shift_alignment(spark, d):
     matches = lambda k: F.size(F.filter(F.sequence(F.lit(0), F.lit(29)), lambda i: F.coalesce(letter(F.col("a"), i) == letter(F.col("b"), i + k), F.lit(False))))
     best = F.array_max(F.transform(F.sequence(F.lit(-29), F.lit(59)), lambda k: F.struct(matches(k).cast("bigint").alias("n"), (-k).cast("bigint").alias("k"))))
     return docs.select("doc_id", "a").crossJoin(F.broadcast(first)).select("doc_id", best.alias("m")).select("doc_id", (-F.col("m.k")).alias("shift"), F.col("m.n").alias("matches"))
+
+
+@query(f"WITH {_MOTIF}, n AS (SELECT draw, lang, s, peak, row_number() OVER (PARTITION BY draw, lang ORDER BY doc_id) AS i, row_number() OVER (PARTITION BY draw, lang ORDER BY {_HEX.format("'pairing|' || draw || '|' || doc_id")}, doc_id) AS j FROM p, range(0, 5) AS d(draw)), x AS (SELECT a.draw, a.lang, a.s, b.peak FROM n a JOIN n b ON a.draw = b.draw AND a.lang = b.lang AND a.i = b.j) SELECT draw, lang, count(*) AS n, count(*) FILTER ({_LETTER.format(*SITES[1])}) AS hits FROM x GROUP BY draw, lang")
+def shuffled_pairing(spark, d):
+    """Hits at a site when each sequence gets the peak of another one of its stratum, by random permutations."""
+    off, letters = SITES[1]
+    rows = _peaks(spark, d).select("doc_id", "lang", "seq", "peak", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("draw"))
+    part = Window.partitionBy("draw", "lang")
+    order = resampling.hash_number(F.lit("pairing"), F.col("draw"), F.col("doc_id"))
+    own = rows.select("draw", "lang", "seq", F.row_number().over(part.orderBy("doc_id")).alias("i"))
+    other = rows.select("draw", "lang", "peak", F.row_number().over(part.orderBy(order, "doc_id")).alias("i"))
+    hit = F.coalesce(sq.letter_at(F.col("seq"), F.col("peak") + off).isin(*letters), F.lit(False))
+    return own.join(other, ["draw", "lang", "i"]).groupBy("draw", "lang").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
