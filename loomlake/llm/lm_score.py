@@ -1,9 +1,13 @@
 """Cross-entropy difference of matched target and background n-gram models.
 
 Both models are bigram models over one vocabulary, with one order and one smoothing, so that only their counts differ: the target's
-from documents named as good, the background's from all documents. Words and word pairs are hashed into tables of fixed size
-(``WORDS``, ``PAIRS`` entries), which bounds what is broadcast whatever the corpus; every token of every document is counted.
-Each task counts its documents and sends distinct entries only; sums meet in ranges of the tables.
+from documents named as good, the background's from all documents. The vocabulary is every word of the corpus and the counts are of
+every word and word pair under 64-bit names, so what is gathered grows with the corpus; nothing of it is broadcast.
+
+Documents are packed in blocks of about ``BLOCK`` bytes, written once. Each block sends its distinct words and pairs with both
+counts to shards of the names, one packed row a shard, so that the commonest word costs a shard one entry a block. A shard sums and
+answers each block in the order of its question; the answers meet the block's texts again, where the losses are taken.
+A shard's task holds the entries of 1 in ``spark.sql.shuffle.partitions`` names.
 """
 
 from __future__ import annotations
@@ -15,92 +19,115 @@ from pyspark.sql import functions as F
 
 from loomlake.llm import textkit as tk
 from loomlake.llm.frames import keyed, partitions, shown
+from loomlake.scratch import Scratch
 
 U = np.uint64
-#: Entries of the tables of word and of pair counts.
-WORDS, PAIRS = 1 << 18, 1 << 22
-#: Ranges that the pair table, followed by the word table, is summed in.
-RANGE = 1 << 16
-_START = U(0x2545F4914F6CDD1D)
-
-
-def entries(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, pair, context) table entries of each token; the context of a first word is the start symbol."""
-    before = np.empty_like(words.names)
-    before[1:] = words.names[:-1]
-    first = words.first[:-1]
-    before[first[np.diff(words.first) > 0]] = _START
-    word = (words.names % U(WORDS)).astype(np.int64)
-    pair = (tk.mix(before * U(0x9E3779B97F4A7C15) + words.names) % U(PAIRS)).astype(np.int64)
-    return word, pair, (before % U(WORDS)).astype(np.int64)
-
-
-def _count(batches):
-    """(part, model, slots, counts): distinct entries of a batch by range; model 0 background, 1 target."""
-    for batch in batches:
-        good = np.array(batch.column("good").to_pylist(), bool)
-        slots: dict[int, list] = {0: [], 1: []}
-        for row, end, data, offsets in tk.chunks(batch.column("text")):
-            words = tk.words_of(data, offsets, lower=True)
-            word, pair, _ = entries(words)
-            nonempty = np.diff(words.first) > 0
-            start = np.full(int(nonempty.sum()), int(_START % U(WORDS)))
-            mine = good[row:end]
-            token = np.repeat(mine, np.diff(words.first))
-            slots[0] += [pair, word + PAIRS, start + PAIRS]
-            slots[1] += [pair[token], word[token] + PAIRS, start[mine[nonempty]] + PAIRS]
-        rows = []
-        for model, parts in slots.items():
-            slot, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int64),) * 2
-            bounds = np.searchsorted(slot, np.arange(0, PAIRS + WORDS + RANGE, RANGE))
-            rows += [(p, model, (slot[a:b] - p * RANGE).astype(np.uint16).tobytes(), count[a:b].astype(np.int32).tobytes()) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
-        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "model", "slots", "counts"])
-
-
-def _sum(batches):
-    held: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        for part, model, slots, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            held.setdefault((part, model), np.zeros(RANGE, np.int64))[np.frombuffer(slots, np.uint16)] += np.frombuffer(counts, np.int32)
-    for (part, model), counts in held.items():
-        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([model], pa.int32()), pa.array([counts.astype(np.float32).tobytes()], pa.binary())], names=["part", "model", "counts"])
+#: Text of a block, in bytes; a longer document is a block of its own.
+BLOCK = 4_000_000
+#: Names of words are even, those of pairs odd. The start symbol is the context of a first word and counts as a word.
+_EVEN, _ODD = U(2**64 - 2), U(1)
+_START = U(0x2545F4914F6CDD1D) & _EVEN
 
 
-class Models:
-    """Counts of both models, and the loss of tokens under either."""
+def _block(batches):
+    """(ks, sizes, texts): ids, byte lengths and compressed texts of a block of documents."""
+    kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+    for batch in batches:
+        ids = batch.column("k").to_pylist()
+        for row, end, data, offsets in tk.chunks(batch.column("text"), BLOCK):
+            one = (ids[row:end], np.diff(offsets).tolist(), pa.compress(data.tobytes(), codec="zstd", asbytes=True))
+            yield pa.record_batch([pa.array([x], t) for x, t in zip(one, kinds, strict=True)], names=["ks", "sizes", "texts"])
+
+
+class Items:
+    """The words and pairs of a block's texts: distinct names, and the place of each token's own among them."""
+
+    def __init__(self, sizes: list[int], texts: bytes):
+        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
+        data = np.frombuffer(pa.decompress(texts, int(offsets[-1]), codec="zstd", asbytes=True), np.uint8) if offsets[-1] else np.empty(0, np.uint8)
+        words = tk.words_of(data, offsets, lower=True)
+        self.size = np.diff(words.first)
+        self.begins = words.first[:-1][self.size > 0]
+        names, n = words.names & _EVEN, len(words.names)
+        before = np.empty_like(names)
+        before[1:] = names[:-1]
+        before[self.begins] = _START
+        pairs = tk.mix(before * U(0x9E3779B97F4A7C15) + names) | _ODD
+        self.names, at = np.unique(np.concatenate([pairs, names, [_START]]), return_inverse=True)
+        self.pair, self.word, self.start = at[:n], at[n : 2 * n], at[-1]
+
+    def counts(self, of: np.ndarray) -> np.ndarray:
+        """How often each name occurs in the documents marked by ``of``."""
+        token = np.repeat(of, self.size)
+        out = np.bincount(self.pair[token], minlength=len(self.names)) + np.bincount(self.word[token], minlength=len(self.names))
+        out[self.start] += int((of & (self.size > 0)).sum())
+        return out
+
+    def context(self) -> np.ndarray:
+        out = np.empty_like(self.word)
+        out[1:] = self.word[:-1]
+        out[self.begins] = self.start
+        return out
+
+
+def _ask(shards: int):
+    """(shard, block, names, n0, n1): a block's distinct names in a shard with background and target counts."""
 
-    def __init__(self, rows: list[tuple[int, int, bytes]], prior: float):
-        table = np.zeros((2, PAIRS + WORDS), np.float32)
-        for part, model, counts in rows:
-            table[model, part * RANGE : (part + 1) * RANGE] = np.frombuffer(counts, np.float32)
-        self.pairs, self.words, self.prior = table[:, :PAIRS], table[:, PAIRS:], prior
-        self.total = self.words.sum(1, dtype=np.float64)
+    def run(batches):
+        for batch in batches:
+            for block, sizes, texts, good in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "texts", "good")), strict=True):
+                items = Items(sizes, texts)
+                mine = np.zeros(len(sizes), bool)
+                mine[good or []] = True
+                counts = [items.counts(of).astype(np.uint32) for of in (np.ones(len(sizes), bool), mine)]
+                order, bounds = tk.by_bucket(items.names, shards)
+                rows = []
+                for s in np.flatnonzero(np.diff(bounds)):
+                    part = order[bounds[s] : bounds[s + 1]]
+                    rows.append((int(s), block, items.names[part].tobytes(), counts[0][part].tobytes(), counts[1][part].tobytes()))
+                yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), *[pa.binary()] * 3))], names=["shard", "block", "names", "n0", "n1"])
+
+    return run
 
-    def losses(self, model: int, word: np.ndarray, pair: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """-ln p(word | context): pair counts, smoothed by ``prior`` pseudo-counts of the word's own probability."""
-        single = (self.words[model][word] + 1.0) / (self.total[model] + WORDS)
-        return -np.log((self.pairs[model][pair] + self.prior * single) / (self.words[model][context] + self.prior))
 
+def _answer(batches):
+    """(block, shard, n0, n1): corpus counts in the order asked; block -1 has the shard's number of words and both totals of tokens."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for shard, *rest in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            held.setdefault(shard, []).append(rest)
+    for shard in list(held):
+        asked = held.pop(shard)
+        names, at = np.unique(np.concatenate([np.frombuffer(r[1], U) for r in asked]), return_inverse=True)
+        total = [np.bincount(at, np.concatenate([np.frombuffer(r[i], np.uint32) for r in asked]), len(names)) for i in (2, 3)]
+        single = (names & _ODD) == 0
+        rows = [(-1, shard, int(single.sum()), *(int(t[single].sum()) for t in total), None, None)]
+        for (block, own, *_), x in zip(asked, np.split(at, np.cumsum([len(r[1]) // 8 for r in asked])[:-1]), strict=True):
+            rows.append((block, shard, None, None, None, *(t[x].astype(np.float32).tobytes() for t in total)))
+        kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 2)
+        for i in range(0, len(rows), 1000):
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows[i : i + 1000], strict=True), kinds, strict=True)], names=["block", "shard", "words", "t0", "t1", "n0", "n1"])
+
+
+def _score(shards: int, vocabulary: int, tokens: tuple[int, int], prior: float):
+    """The losses of each document of a block: pair counts, smoothed by ``prior`` pseudo-counts of the word's own probability."""
 
-def _score(sent):
     def run(batches):
-        models = sent.value
         for batch in batches:
-            n = len(batch.column("k"))
-            count, loss = np.zeros(n, np.int64), np.full((2, n), np.nan)
-            for row, end, data, offsets in tk.chunks(batch.column("text")):
-                words = tk.words_of(data, offsets, lower=True)
-                size = np.diff(words.first)
-                count[row:end] = size
-                some = np.flatnonzero(size)
-                if len(some):
-                    word, pair, context = entries(words)
-                    for m in (0, 1):
-                        sums = np.add.reduceat(models.losses(m, word, pair, context), words.first[:-1][some])
-                        loss[m, row + some] = sums / size[some]
-            nothing = count == 0
-            columns = [pa.array(x, pa.float64(), mask=nothing) for x in (loss[1], loss[0], loss[1] - loss[0])]
-            yield pa.record_batch([batch.column("k"), pa.array(count), *columns], names=["k", "n_tokens", "target_loss", "background_loss", "score"])
+            for ks, sizes, texts, answers in zip(*(batch.column(c).to_pylist() for c in ("ks", "sizes", "texts", "answers")), strict=True):
+                items = Items(sizes, texts)
+                order, bounds = tk.by_bucket(items.names, shards)
+                loss, some, context = np.full((2, len(ks)), np.nan), np.flatnonzero(items.size), items.context()
+                for m, name in enumerate(("n0", "n1")):
+                    count = np.zeros(len(items.names))
+                    for a in answers:
+                        count[order[bounds[a["shard"]] : bounds[a["shard"] + 1]]] = np.frombuffer(a[name], np.float32)
+                    if len(some):
+                        single = (count[items.word] + 1.0) / (tokens[m] + vocabulary)
+                        each = -np.log((count[items.pair] + prior * single) / (count[context] + prior))
+                        loss[m, some] = np.add.reduceat(each, items.begins) / items.size[some]
+                columns = [pa.array(x, pa.float64(), mask=items.size == 0) for x in (loss[1], loss[0], loss[1] - loss[0])]
+                yield pa.record_batch([pa.array(ks, pa.int64()), pa.array(items.size, pa.int64()), *columns], names=["k", "n_tokens", "target_loss", "background_loss", "score"])
 
     return run
 
@@ -115,11 +142,18 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     an id are scored, and counted, one by one; repeated or unknown target ids change nothing. Extra columns are ignored; an empty table
     gives an empty result, and without targets the target model is uniform.
     """
-    spark, base = docs.sparkSession, keyed(docs, id_col, text_col)
-    good = targets.select(targets[id_col].cast("bigint").alias("k")).where("k is not null").distinct().withColumn("good", F.lit(True))
+    n, scratch = partitions(docs), Scratch(docs.sparkSession, "lm")
+    packed = keyed(docs, id_col, text_col).mapInArrow(_block, "ks array<long>, sizes array<long>, texts binary")
+    blocks = scratch.write(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    good = targets.select(targets[id_col].cast("bigint").alias("k")).where("k is not null").distinct()
     # always by shuffle: one plan for every size of the label table
-    counted = base.join(good.hint("merge"), "k", "left").select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_count, "part int, model int, slots binary, counts binary")
-    summed = counted.repartition(partitions(docs), "part").mapInArrow(_sum, "part int, model int, counts binary")
-    models = spark.sparkContext.broadcast(Models([tuple(r) for r in summed.collect()], prior))
-    out = base.mapInArrow(_score(models), "k long, n_tokens long, target_loss double, background_loss double, score double")
+    held = blocks.select("block", F.posexplode("ks").alias("pos", "k")).join(good.hint("merge"), "k", "left_semi")
+    marks = held.groupBy("block").agg(F.collect_list("pos").alias("good"))
+    marked = blocks.select("block", "sizes", "texts").join(marks.hint("shuffle_hash"), "block", "left")
+    asked = marked.mapInArrow(_ask(n), "shard int, block long, names binary, n0 binary, n1 binary").repartition(n, "shard")
+    answered = scratch.write(asked.mapInArrow(_answer, "block long, shard int, words long, t0 long, t1 long, n0 binary, n1 binary"), "answers")
+    total = answered.where("block = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "t0", "t1"))).first()
+    answers = answered.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "n0", "n1")).alias("answers"))
+    joined = blocks.join(answers.hint("merge"), "block").select("ks", "sizes", "texts", "answers")
+    out = joined.mapInArrow(_score(n, total[0], (total[1], total[2]), prior), "k long, n_tokens long, target_loss double, background_loss double, score double")
     return out.select(shown().alias(id_col), "n_tokens", "target_loss", "background_loss", "score")

@@ -250,7 +250,7 @@ def test_lm_score(spark):
         loss = []
         for m in (1, 0):
             total = sum(words[m].values())
-            single = lambda x: (words[m].get(x, 0) + 1) / (total + lm_score.WORDS)  # noqa: B023, E731
+            single = lambda x: (words[m].get(x, 0) + 1) / (total + len(words[0]))  # noqa: B023, E731
             loss.append([-np.log((counts[m].get((a, b), 0) + 50 * single(b)) / (words[m].get(a, 0) + 50)) for a, b in zip(["\0", *w], w)])
         if w:
             assert abs(got[d].target_loss - np.mean(loss[0])) < 1e-5 and abs(got[d].background_loss - np.mean(loss[1])) < 1e-5
