@@ -2,10 +2,11 @@
 
 Both models are bigram models over one vocabulary, with one order and one smoothing, so that only their counts differ: the target's
 from documents named as good, the background's from all documents. The vocabulary is every word of the corpus and the counts are of
-every word and word pair under 64-bit names, so what is gathered grows with the corpus; nothing of it is broadcast.
+every word and word pair under hashed names (48 bits within a shard), so what is gathered grows with the corpus; nothing of it is broadcast.
 
 Documents are packed in blocks of about ``BLOCK`` bytes, written once. Each block sends its distinct words and pairs with both
-counts to shards of the names, one packed row a shard, so that the commonest word costs a shard one entry a block. A shard sums and
+counts to shards of the names, one packed row a shard (sorted names as differences, in byte planes, compressed), so that the
+commonest word costs a shard one entry a block. A shard sums and
 answers each block in the order of its question; the answers meet the block's texts again, where the losses are taken.
 A shard's task holds the entries of 1 in ``spark.sql.shuffle.partitions`` names.
 """
@@ -23,10 +24,24 @@ from loomlake.scratch import Scratch
 
 U = np.uint64
 #: Text of a block, in bytes; a longer document is a block of its own.
-BLOCK = 4_000_000
+BLOCK = 8_000_000
 #: Names of words are even, those of pairs odd. The start symbol is the context of a first word and counts as a word.
 _EVEN, _ODD = U(2**64 - 2), U(1)
 _START = U(0x2545F4914F6CDD1D) & _EVEN
+#: A name's low bits are sent; its high bits choose the shard, of which there are at most so many.
+_LOW, _SHARDS = U(2**48 - 1), 2**16
+
+
+def _shut(values: np.ndarray, width: int) -> bytes:
+    """Values by their ``width`` low bytes: all first bytes, all second bytes, and so on, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1)[:, :width].T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _open(blob: bytes, n: int, width: int, kind: type) -> np.ndarray:
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(blob, n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view(kind).ravel()
 
 
 def _block(batches):
@@ -40,20 +55,28 @@ def _block(batches):
 
 
 class Items:
-    """The words and pairs of a block's texts: distinct names, and the place of each token's own among them."""
-
-    def __init__(self, sizes: list[int], texts: bytes):
-        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
-        data = np.frombuffer(pa.decompress(texts, int(offsets[-1]), codec="zstd", asbytes=True), np.uint8) if offsets[-1] else np.empty(0, np.uint8)
-        words = tk.words_of(data, offsets, lower=True)
-        self.size = np.diff(words.first)
-        self.begins = words.first[:-1][self.size > 0]
-        names, n = words.names & _EVEN, len(words.names)
+    """The words and pairs of a block's texts: distinct names by shard, and the place of each token's own among them."""
+
+    def __init__(self, sizes: list[int], texts: bytes, shards: int):
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        data = np.frombuffer(pa.decompress(texts, int(offsets[-1]), codec="zstd", asbytes=True) if offsets[-1] else b"", np.uint8)
+        parts, row = [], 0
+        while row < len(sizes):
+            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + tk.CHUNK, "right")) - 1)
+            parts.append(tk.words_of(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], lower=True))
+            row = end
+        self.size = np.concatenate([np.diff(w.first) for w in parts])
+        self.begins = (np.cumsum(self.size) - self.size)[self.size > 0]
+        names = np.concatenate([w.names for w in parts]) & _EVEN
+        n = len(names)
         before = np.empty_like(names)
         before[1:] = names[:-1]
         before[self.begins] = _START
         pairs = tk.mix(before * U(0x9E3779B97F4A7C15) + names) | _ODD
-        self.names, at = np.unique(np.concatenate([pairs, names, [_START]]), return_inverse=True)
+        full = np.concatenate([pairs, names, [_START]])
+        full = (full >> U(48)) % U(shards) << U(48) | full & _LOW
+        self.names, at = np.unique(full, return_inverse=True)
+        self.bounds = np.searchsorted(self.names >> U(48), np.arange(shards + 1, dtype=U))
         self.pair, self.word, self.start = at[:n], at[n : 2 * n], at[-1]
 
     def counts(self, of: np.ndarray) -> np.ndarray:
@@ -71,21 +94,21 @@ class Items:
 
 
 def _ask(shards: int):
-    """(shard, block, names, n0, n1): a block's distinct names in a shard with background and target counts."""
+    """(shard, block, n, names, n0, n1): a block's n distinct names in a shard with background and target counts."""
 
     def run(batches):
         for batch in batches:
             for block, sizes, texts, good in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "texts", "good")), strict=True):
-                items = Items(sizes, texts)
+                items = Items(sizes, texts, shards)
                 mine = np.zeros(len(sizes), bool)
                 mine[good or []] = True
                 counts = [items.counts(of).astype(np.uint32) for of in (np.ones(len(sizes), bool), mine)]
-                order, bounds = tk.by_bucket(items.names, shards)
                 rows = []
-                for s in np.flatnonzero(np.diff(bounds)):
-                    part = order[bounds[s] : bounds[s + 1]]
-                    rows.append((int(s), block, items.names[part].tobytes(), counts[0][part].tobytes(), counts[1][part].tobytes()))
-                yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), *[pa.binary()] * 3))], names=["shard", "block", "names", "n0", "n1"])
+                for s in np.flatnonzero(np.diff(items.bounds)):
+                    part = slice(items.bounds[s], items.bounds[s + 1])
+                    steps = np.diff(items.names[part] & _LOW, prepend=U(0))
+                    rows.append((int(s), block, len(steps), _shut(steps, 6), _shut(counts[0][part], 4), _shut(counts[1][part], 4)))
+                yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 3))], names=["shard", "block", "n", "names", "n0", "n1"])
 
     return run
 
@@ -94,16 +117,16 @@ def _answer(batches):
     """(block, shard, n0, n1): corpus counts in the order asked; block -1 has the shard's number of words and both totals of tokens."""
     held: dict[int, list] = {}
     for batch in batches:
-        for shard, *rest in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for shard, *rest in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
             held.setdefault(shard, []).append(rest)
     for shard in list(held):
         asked = held.pop(shard)
-        names, at = np.unique(np.concatenate([np.frombuffer(r[1], U) for r in asked]), return_inverse=True)
-        total = [np.bincount(at, np.concatenate([np.frombuffer(r[i], np.uint32) for r in asked]), len(names)) for i in (2, 3)]
+        names, at = np.unique(np.concatenate([np.cumsum(_open(r[2], r[1], 6, U), dtype=U) for r in asked]), return_inverse=True)
+        total = [np.bincount(at, np.concatenate([_open(r[i], r[1], 4, np.uint32) for r in asked]), len(names)) for i in (3, 4)]
         single = (names & _ODD) == 0
         rows = [(-1, shard, int(single.sum()), *(int(t[single].sum()) for t in total), None, None)]
-        for (block, own, *_), x in zip(asked, np.split(at, np.cumsum([len(r[1]) // 8 for r in asked])[:-1]), strict=True):
-            rows.append((block, shard, None, None, None, *(t[x].astype(np.float32).tobytes() for t in total)))
+        for (block, own, *_), x in zip(asked, np.split(at, np.cumsum([r[1] for r in asked])[:-1]), strict=True):
+            rows.append((block, shard, None, None, None, *(_shut(t[x].astype(np.float32), 4) for t in total)))
         kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 2)
         for i in range(0, len(rows), 1000):
             yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows[i : i + 1000], strict=True), kinds, strict=True)], names=["block", "shard", "words", "t0", "t1", "n0", "n1"])
@@ -115,13 +138,13 @@ def _score(shards: int, vocabulary: int, tokens: tuple[int, int], prior: float):
     def run(batches):
         for batch in batches:
             for ks, sizes, texts, answers in zip(*(batch.column(c).to_pylist() for c in ("ks", "sizes", "texts", "answers")), strict=True):
-                items = Items(sizes, texts)
-                order, bounds = tk.by_bucket(items.names, shards)
+                items = Items(sizes, texts, shards)
                 loss, some, context = np.full((2, len(ks)), np.nan), np.flatnonzero(items.size), items.context()
                 for m, name in enumerate(("n0", "n1")):
                     count = np.zeros(len(items.names))
                     for a in answers:
-                        count[order[bounds[a["shard"]] : bounds[a["shard"] + 1]]] = np.frombuffer(a[name], np.float32)
+                        begin, end = items.bounds[a["shard"]], items.bounds[a["shard"] + 1]
+                        count[begin:end] = _open(a[name], end - begin, 4, np.float32)
                     if len(some):
                         single = (count[items.word] + 1.0) / (tokens[m] + vocabulary)
                         each = -np.log((count[items.pair] + prior * single) / (count[context] + prior))
@@ -142,7 +165,7 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     an id are scored, and counted, one by one; repeated or unknown target ids change nothing. Extra columns are ignored; an empty table
     gives an empty result, and without targets the target model is uniform.
     """
-    n, scratch = partitions(docs), Scratch(docs.sparkSession, "lm")
+    n, scratch = min(partitions(docs), _SHARDS), Scratch(docs.sparkSession, "lm")
     packed = keyed(docs, id_col, text_col).mapInArrow(_block, "ks array<long>, sizes array<long>, texts binary")
     blocks = scratch.write(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
     good = targets.select(targets[id_col].cast("bigint").alias("k")).where("k is not null").distinct()
@@ -150,7 +173,7 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     held = blocks.select("block", F.posexplode("ks").alias("pos", "k")).join(good.hint("merge"), "k", "left_semi")
     marks = held.groupBy("block").agg(F.collect_list("pos").alias("good"))
     marked = blocks.select("block", "sizes", "texts").join(marks.hint("shuffle_hash"), "block", "left")
-    asked = marked.mapInArrow(_ask(n), "shard int, block long, names binary, n0 binary, n1 binary").repartition(n, "shard")
+    asked = marked.mapInArrow(_ask(n), "shard int, block long, n int, names binary, n0 binary, n1 binary").repartition(n, "shard")
     answered = scratch.write(asked.mapInArrow(_answer, "block long, shard int, words long, t0 long, t1 long, n0 binary, n1 binary"), "answers")
     total = answered.where("block = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "t0", "t1"))).first()
     answers = answered.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "n0", "n1")).alias("answers"))
