@@ -33,3 +33,8 @@ def sparse_code(a: Column, weights: Sequence[Sequence[float]], bias: Sequence[fl
     """ReLU(W(x - b)) for a weight matrix small enough for a plan; larger ones go through a broadcast and an Arrow function."""
     centred = F.zip_with(a, F.array(*map(F.lit, bias)), lambda x, b: x - b)
     return F.array(*[F.greatest(dot(centred, F.array(*map(F.lit, w))), F.lit(0.0)) for w in weights])
+
+
+def sparse_decode(code: Column, weights: Sequence[Sequence[float]], bias: Sequence[float]) -> Column:
+    """W'z + b, the reconstruction of a vector from its code."""
+    return F.array(*[dot(code, F.array(*map(F.lit, column))) + b for column, b in zip(zip(*weights, strict=True), bias, strict=True)])

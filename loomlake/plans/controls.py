@@ -11,7 +11,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomlake.functions import sequences as sq
-from loomlake.operators import metrics, resampling, sampling
+from loomlake.functions import vectors
+from loomlake.operators import metrics, resampling, sampling, structures
 from loomlake.plans import catalog as c
 from loomlake.plans.catalog import query
 from loomlake.scratch import Scratch
@@ -199,3 +200,46 @@ def shuffled_pairing(spark, d):
     other = rows.select("draw", "lang", "peak", F.row_number().over(part.orderBy(order, "doc_id")).alias("i"))
     hit = F.coalesce(sq.letter_at(F.col("seq"), F.col("peak") + off).isin(*letters), F.lit(False))
     return own.join(other, ["draw", "lang", "i"]).groupBy("draw", "lang").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
+
+
+@query("WITH u AS (SELECT l_orderkey, l_returnflag, l_linenumber, min(l_partkey) FILTER (l_linestatus = 'F') AS num FROM lineitem GROUP BY 1, 2, 3), c AS (SELECT l_orderkey, l_returnflag, count(num) AS n_matched, count(*) AS length, min(l_linenumber) AS first, coalesce(string_agg(l_linenumber || ':' || num, ',' ORDER BY l_linenumber) FILTER (num IS NOT NULL), '') AS numbers FROM u GROUP BY 1, 2) SELECT l_orderkey, l_returnflag, n_matched, n_matched::DOUBLE / length AS coverage, numbers FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY n_matched DESC, first, l_returnflag) = 1")
+def best_chain(spark, d):
+    """Orders as sequences, return flags as chains, lines as residues."""
+    best = structures.best_chain(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", F.col("l_linestatus") == "F")
+    as_text = F.transform(F.map_entries("numbers"), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    return best.withColumn("numbers", F.array_join(as_text, ","))
+
+
+#: Fixed weights of 8 features over 64 numbers for the query below: 1, -1 or 0 by place.
+_WEIGHTS = [[float((i * 7 + j * 3) % 5 % 3 - 1) for j in range(64)] for i in range(8)]
+_BIAS = [0.125 * (j % 3) for j in range(64)]
+_LIST = "[{}]".format(", ".join("[{}]".format(", ".join(f"{w}::DOUBLE" for w in row)) for row in _WEIGHTS))
+_OFFSET = "[{}]".format(", ".join(f"{b}::DOUBLE" for b in _BIAS))
+
+
+@query(f"WITH w AS (SELECT {_LIST} AS w, {_OFFSET} AS b), z AS (SELECT vec_id, embedding::DOUBLE[] AS x, w, b, list_transform(w, lambda r: greatest(list_sum(list_transform(range(1, 65), lambda j: (embedding[j]::DOUBLE - b[j]) * r[j])), 0)) AS z FROM embeddings, w), y AS (SELECT vec_id, x, z, list_transform(range(1, 65), lambda j: list_sum(list_transform(range(1, 9), lambda i: z[i] * w[i][j])) + b[j]) AS y FROM z) SELECT vec_id, len(list_filter(z, lambda v: v > 0)) AS n_active, round(list_sum(z), 6) AS total, round(list_sum(list_transform(range(1, 65), lambda j: x[j] * y[j])) / (sqrt(list_sum(list_transform(x, lambda v: v * v))) * sqrt(list_sum(list_transform(y, lambda v: v * v)))), 6) AS fidelity FROM y")
+def sparse_round_trip(spark, d):
+    """Features in use and the cosine of each vector to its reconstruction."""
+    coded = table(spark, d, "embeddings").withColumn("z", vectors.sparse_code(F.col("embedding"), _WEIGHTS, _BIAS))
+    whole = coded.withColumn("y", vectors.sparse_decode(F.col("z"), _WEIGHTS, _BIAS))
+    total = F.aggregate("z", F.lit(0.0), lambda s, v: s + v)
+    return whole.select("vec_id", vectors.active(F.col("z")).cast("bigint").alias("n_active"), F.round(total, 6).alias("total"), F.round(vectors.cosine(F.col("embedding"), F.col("y")), 6).alias("fidelity"))
+
+
+@query()
+def probe_key_sweep(spark, d):
+    """Held-out log-loss for each feature key (halves of the vector, all of it) and strength; the best of each key and of all are marked."""
+    from loomlake.operators.probe import fit_scores
+
+    keys = {"all": F.col("embedding"), "first": F.slice("embedding", 1, 32), "second": F.slice("embedding", 33, 32)}
+    rows = table(spark, d, "embeddings").select("vec_id", (F.col("label") < 3).cast("int").alias("y"), *(v.alias(k) for k, v in keys.items()))
+    p = F.least(F.greatest("score", F.lit(1e-15)), F.lit(1 - 1e-15))
+    loss = F.avg(-F.when(F.col("y") == 1, F.ln(p)).otherwise(F.ln(1 - p)))
+
+    def held(key, C):
+        scored = fit_scores(rows, "vec_id", key, "y", C).where(F.pmod(F.xxhash64("vec_id"), F.lit(10)) >= 7)
+        return scored.agg(F.lit(key).alias("feature"), F.lit(C).alias("C"), loss.alias("log_loss"))
+
+    grid = reduce(lambda a, b: a.union(b), (held(k, C) for k in keys for C in (1e-3, 1e-1)))
+    least = lambda *by: F.min("log_loss").over(Window.partitionBy(*by))
+    return grid.select("*", (F.col("log_loss") == least("feature")).alias("best_of_feature"), (F.col("log_loss") == least()).alias("best"))

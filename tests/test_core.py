@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomlake.functions import sequences as sq
 from loomlake.functions.alignment import align
-from loomlake.operators import dedup, metrics, resampling, splits
+from loomlake.operators import dedup, metrics, resampling, splits, structures
 from loomlake.operators.graph import connected
 from loomlake.plans import catalog, controls  # noqa: F401  (controls registers its queries with the catalog)
 from loomlake.scratch import Scratch
@@ -103,3 +103,15 @@ def test_query_equals_duckdb(spark, name):
     at = [[c[0] for c in result.description].index(c) for c in columns]
     expected = sorted(tuple(str(_plain(r[i])) for i in at) for r in result.fetchall())
     assert sorted(tuple(str(_plain(r[c])) for c in columns) for r in df.collect()) == expected
+
+
+def test_best_chain(spark):
+    rows = [("a", "B", 3, 30, True), ("a", "A", 4, 40, True), ("a", "B", 5, 50, False), ("b", "X", 1, 1, None), ("b", "Y", 0, 2, False), ("c", "P", 1, 7, False), ("c", "Q", 2, 8, True), ("c", "Q", 3, 9, True)]
+    df = spark.createDataFrame(rows, "id string, chain string, at int, number int, same boolean")
+    got = {r.id: (r.chain, r.coverage, r.numbers) for r in structures.best_chain(df, "id", "chain", "at", "number", F.col("same")).collect()}
+    assert got == {"a": ("B", 0.5, {3: 30}), "b": ("Y", 0.0, {}), "c": ("Q", 1.0, {2: 8, 3: 9})}
+
+
+def test_probe_sweep_marks_the_best(spark):
+    rows = catalog.QUERIES["probe_key_sweep"](spark, SF).collect()
+    assert len(rows) == 6 and [r.log_loss for r in rows if r.best] == [min(r.log_loss for r in rows)]
