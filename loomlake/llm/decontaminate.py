@@ -151,18 +151,36 @@ def _characters(raw: bytes, at: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(lead)))[at]
 
 
-def cleaned(raw: bytes, spans: np.ndarray, windows: Windows) -> str:
-    """The text without the spans, and without any occurrence that joining the rest would make."""
-    while True:
-        parts, at = [], 0
-        for a, b in spans:
-            parts.append(raw[at:a].strip())
-            at = b
-        raw = b"\n".join(p for p in [*parts, raw[at:].strip()] if p)
-        _, found = scan(pa.array([raw.decode()], pa.string()), windows)
-        if not found:
-            return raw.decode()
-        spans = found[0]["spans"]
+def hits(texts: pa.Array, blocks: list[Windows]) -> dict[int, np.ndarray]:
+    """Byte spans that the windows of any block hit, merged, for each text with some; all blocks are judged on the same text."""
+    before: list[tuple[bytes | None, list]] = [(None, [])] * len(texts)
+    found: list[dict] = []
+    for windows in blocks:
+        _, found = scan(texts, windows, before)
+        for f in found:
+            before[f["row"]] = (f["words"].astype(np.int64).tobytes(), [])
+    return {f["row"]: f["spans"] for f in found}
+
+
+def without(raw: bytes, spans: np.ndarray) -> str:
+    """The text without the spans, the rest joined by line breaks."""
+    parts, at = [], 0
+    for a, b in spans:
+        parts.append(raw[at:a].strip())
+        at = b
+    return b"\n".join(p for p in [*parts, raw[at:].strip()] if p).decode()
+
+
+def cleaned(texts: pa.Array, blocks: list[Windows]) -> dict[int, str]:
+    """Texts that change: without any occurrence, nor one that joining the rest would make, of a window of any block."""
+    fresh: dict[int, str] = {}
+    rows = np.arange(len(texts))
+    while len(rows):
+        found = hits(texts, blocks)
+        texts = pa.array([without(texts[i].as_py().encode(), spans) for i, spans in found.items()], pa.string())
+        rows = rows[list(found)]
+        fresh.update(zip(rows.tolist(), texts.to_pylist(), strict=True))
+    return fresh
 
 
 def _search(windows):
@@ -186,16 +204,16 @@ def _search(windows):
     return run
 
 
-def _cut(windows, text_col: str):
+def _cut(blocks: list, text_col: str):
     def run(batches):
+        sent = [b.value for b in blocks]
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             texts = batch.column(at)
-            fresh: list = [None] * len(texts)
-            for f in scan(texts, windows.value)[1]:
-                fresh[f["row"]] = cleaned(texts[f["row"]].as_py().encode(), f["spans"], windows.value)
-            new = pc.if_else(pa.array([f is None for f in fresh], pa.bool_()), texts, pa.array(fresh, texts.type))
-            yield pa.record_batch([new if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
+            new = cleaned(texts, sent)
+            fresh = [new.get(i) for i in range(len(texts))]
+            whole = pc.if_else(pa.array([f is None for f in fresh], pa.bool_()), texts, pa.array(fresh, texts.type))
+            yield pa.record_batch([whole if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
 
     return run
 
@@ -230,12 +248,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with every occurrence of a benchmark window cut out of the texts; the rest is joined by line breaks.
 
-    A text that has none stays as it is, to the byte. Windows that joining the rest would form are cut as well, within
-    each block of the benchmark. Columns and rows stay; a null text stays null.
+    A text that has none stays as it is, to the byte. Windows that joining the rest would form are cut as well. The hits of all
+    blocks of the benchmark are gathered on the same text before it is cut, so the result does not depend on ``block_bytes``.
+    Columns and rows stay; a null text stays null.
     """
-    for windows in _sent(benchmark, item_col, item_text, window, block_bytes):
-        docs = docs.mapInArrow(_cut(windows, text_col), docs.schema)
-    return docs
+    return docs.mapInArrow(_cut(_sent(benchmark, item_col, item_text, window, block_bytes), text_col), docs.schema)
 
 
 def _sent(benchmark: DataFrame, item_col: str, item_text: str, window: int, limit: int) -> list:

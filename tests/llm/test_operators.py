@@ -118,6 +118,26 @@ def test_decontamination(spark, block):
         assert len(clean) == len(rows) and not any(n for _, _, n, _ in brute.leaks([tuple(r) for r in clean], items))
 
 
+def test_removal_does_not_depend_on_blocks(spark):
+    rng = random.Random(7)
+    items = [(i, " ".join(f"w{rng.randrange(6)}" for _ in range(rng.choice([3, 3, 10, 12, 40])))) for i in range(30)]
+    rows = [(None, None), (2, "")]
+    for d in range(3, 150):
+        w = [f"q{rng.randrange(9)}"]
+        for _ in range(rng.randint(1, 4)):
+            w += [rng.choice(items)[1], *(f"w{rng.randrange(6)}" for _ in range(rng.randint(0, 9))), f"q{rng.randrange(9)}"]
+        rows.append((d, " ".join(w)))
+    # a short item inside a longer one of, in all likelihood, another block
+    long = [(100 + i, " ".join(f"l{i}x{j}" for j in range(12))) for i in range(12)]
+    short = [(200 + i, " ".join(f"l{i}x{j}" for j in range(5, 8))) for i in range(12)]
+    items, rows = items + long + short, rows + [(300 + i, f"before {t} after") for i, (_, t) in enumerate(long)]
+    items_df = spark.createDataFrame(items, "item_id long, text string")
+    one, many = ([tuple(r) for r in decontaminate.remove_contamination(frame(spark, rows), items_df, block_bytes=b).select("doc_id", "text").collect()] for b in (16_000_000, 200))
+    assert brute.order(many) == brute.order(one)
+    assert len(many) == len(rows) and not any(n for _, _, n, _ in brute.leaks(many, items))
+    assert sum(r == (300 + i, "before\nafter") for i in range(12) for r in many) == 12
+
+
 def test_fm_index():
     rng = np.random.default_rng(2)
     text = rng.integers(0, 4, 600).astype(np.int32)
