@@ -3,7 +3,7 @@
 Candidates are found in every whole text: assignments to secret-like names, access keys and long hexadecimal runs (the base),
 and tokens by known prefixes, signed web tokens, credentials in addresses and runs of mixed characters with high entropy.
 A candidate's value is hashed; over the corpus, its hash is counted by distinct owners and distinct repositories. A value that
-many owners hold is a copied example; one of few owners that looks random is live. Base spans always
+many owners or many repositories hold is a copied example; one of few that looks random is live. Base spans always
 stay, with their status; further candidates become spans where they are live.
 
 The scan runs once over the documents and writes its narrow result. Counting combines within each task first and shuffles hashes
@@ -98,12 +98,13 @@ def _scan(batches):
         yield pa.record_batch([batch.column(c) for c in ("k", "owner", "repo")] + [pa.array(columns[i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), kind))], names=["k", "owner", "repo", "n_assign", "n_access", "n_hex", "base", "found"])
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 2) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 2, max_repos: int = 3) -> DataFrame:
     """Secret spans of each document, and which of them are live.
 
     Returns ``id_col``, n_assign, n_access, n_hex, base (base spans as kind:start:end), spans (all spans, alike), statuses
-    (kind:start:status of each candidate: live, copied, plain), where copied means that more than
-    ``max_owners`` owners hold the value, live that fewer do and it looks random, plain neither.
+    (kind:start:status of each candidate: live, copied, plain), where copied means that more than ``max_owners`` owners or
+    more than ``max_repos`` repositories hold the value, live that fewer do and it looks random, plain neither; and holders
+    (kind:start:owners:repositories of each candidate).
 
     Null text is empty; a null owner or repository counts as one of its own. A null id stays null. Rows that repeat an id are
     scanned one by one, each with its own spans. Extra columns are ignored; an empty table gives an empty result.
@@ -119,11 +120,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = held.where(F.col("n") > HOT).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     columns = ["row", "kind", "start", "stop", "live", "owners", "repos"]
     joined = placed.join(hot, ["hash", "part"]).select(columns).unionByName(placed.join(held.where(F.col("n") <= HOT), "hash").select(columns))
-    status = F.when(F.col("owners") > max_owners, "copied").when(F.col("live"), "live").otherwise("plain")
+    status = F.when((F.col("owners") > max_owners) | (F.col("repos") > max_repos), "copied").when(F.col("live"), "live").otherwise("plain")
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    judged = joined.withColumn("status", status).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", place.alias("place"), "stop", "kind", "status"))).alias("all"))
+    judged = joined.withColumn("status", status).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", place.alias("place"), "stop", "kind", "status", "owners", "repos"))).alias("all"))
     shown_spans = F.filter("all", lambda s: (s["place"] <= len(BASE)) | (s["status"] == "live"))
     as_text = lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])
-    judged = judged.select("row", F.array_join(F.transform(shown_spans, as_text), ",").alias("spans"), F.array_join(F.transform("all", lambda s: F.concat_ws(":", s["kind"], s["start"], s["status"])), ",").alias("statuses"))
+    judged = judged.select("row", F.array_join(F.transform(shown_spans, as_text), ",").alias("spans"), F.array_join(F.transform("all", lambda s: F.concat_ws(":", s["kind"], s["start"], s["status"])), ",").alias("statuses"), F.array_join(F.transform("all", lambda s: F.concat_ws(":", s["kind"], s["start"], s["owners"], s["repos"])), ",").alias("holders"))
     out = scanned.drop("found").join(judged, "row", "left")
-    return out.select(shown().alias(id_col), "n_assign", "n_access", "n_hex", "base", F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("statuses", F.lit("")).alias("statuses"))
+    return out.select(shown().alias(id_col), "n_assign", "n_access", "n_hex", "base", F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("statuses", F.lit("")).alias("statuses"), F.coalesce("holders", F.lit("")).alias("holders"))

@@ -251,6 +251,15 @@ def test_secrets(spark):
     assert [s[:3] for s in secret_scan.base_spans(text) if s[0] == "assign"] == expected
 
 
+def test_secrets_in_many_repositories_of_one_owner(spark):
+    spread, own = "ghp_Q7w2E9r4T1y6U3i8O5p0", "ghp_Z1x8C3v6B5n4M7a2S9d0"
+    rows = [("x", i, f"key {spread} here", f"l{i}", "s", 1, "t", 2, "w", "h") for i in range(6)]
+    rows += [("x", 10 + i, f"key {own} here", f"l{i % 2}", "s", 1, "t", 2, "w", "h") for i in range(6)]
+    got = {r.doc_id: (r.spans, r.statuses, r.holders) for r in secret_scan.find_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {got[i] for i in range(6)} == {("", "token:4:copied", "token:4:1:6")}
+    assert {got[10 + i] for i in range(6)} == {("token:4:28", "token:4:live", "token:4:1:2")}
+
+
 def test_lm_score(spark):
     rows = [(d, ("good words run on here " if d % 2 else "bad noise all around us ") * (d % 5)) for d in range(40)] + [(None, None), (50, ""), (51, "one")]
     targets = spark.createDataFrame([(d,) for d in range(1, 40, 2)] * 2, "doc_id long")
