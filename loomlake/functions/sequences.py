@@ -60,9 +60,13 @@ def decide(rules: Sequence[tuple[Column, str, str]], default: tuple[str, str]) -
 
 
 def motif_positions(seq: Column, motif: str, size: int, shift: int = 0) -> Column:
-    """0-based starts (plus shift) of all occurrences, overlapping ones included."""
+    """0-based starts (plus shift) of all occurrences, overlapping ones included.
+
+    The letters are cut apart once, so the work grows with the length and not with its square.
+    """
     at = F.sequence(F.lit(1), F.length(seq) - size + 1)
-    hits = F.filter(at, lambda i: F.substr(seq, i, F.lit(size)).rlike(f"^(?:{motif})$"))
+    within = lambda letters: F.filter(at, lambda i: F.array_join(F.slice(letters, i, size), "").rlike(f"^(?:{motif})$"))
+    hits = F.transform(F.array(F.split(seq, "")), within)[0]
     return F.when(F.length(seq) >= size, F.transform(hits, lambda i: i - 1 + shift)).otherwise(F.array().cast("array<int>"))
 
 

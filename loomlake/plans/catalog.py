@@ -129,6 +129,13 @@ def motif_positions(spark, d):
     return docs_(spark, d).where(F.length("seq").between(5, 1000)).select("doc_id", F.array_join(at.cast("array<string>"), ",").alias("positions"))
 
 
+@query()
+def motif_positions_whole(spark, d):
+    """As motif_positions, whose SQL is bound to 5 to 1,000 letters, for sequences of every length; a short one has an empty list."""
+    at = sq.motif_positions(F.col("seq"), MOTIF, 5, 2)
+    return docs_(spark, d).select("doc_id", F.array_join(at.cast("array<string>"), ",").alias("positions"))
+
+
 _LETTERS = "ACDEFGHIKLMNPQRSTVWY"
 
 

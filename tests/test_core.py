@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -115,3 +116,14 @@ def test_best_chain(spark):
 def test_probe_sweep_marks_the_best(spark):
     rows = catalog.QUERIES["probe_key_sweep"](spark, SF).collect()
     assert len(rows) == 6 and [r.log_loss for r in rows if r.best] == [min(r.log_loss for r in rows)]
+
+
+def _sequences(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text").collect()
+    return [(r.doc_id, r.lang, re.sub("[^A-Za-z]", "", r.text or "").upper()) for r in rows]
+
+
+def test_motif_positions_of_whole_sequences(spark):
+    expected = {i: ",".join(str(m.start() + 2) for m in re.finditer("(?=E.[ST].E)", s)) for i, _, s in _sequences(spark)}
+    assert any(len(s) > 1000 and expected[i] for i, _, s in _sequences(spark))
+    assert {r.doc_id: r.positions for r in catalog.QUERIES["motif_positions_whole"](spark, SF).collect()} == expected
