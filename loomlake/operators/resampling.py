@@ -5,6 +5,12 @@ A draw is decided by md5 of (seed, draw, place), not by a generator's state, so
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +48,45 @@ def interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:
 
 
 def permutation_floor(n_pos: int, n_neg: int, draws: DataFrame, seed: str = "null") -> DataFrame:
-    """Average precision of random rankings, one row a draw. draws: (draw)."""
-    rows = draws.crossJoin(draws.sparkSession.range(n_pos + n_neg).withColumnRenamed("id", "i"))
-    rows = rows.select("draw", (F.col("i") < n_pos).cast("int").alias("y"), hash_number(F.lit(seed), F.col("draw"), F.col("i")).alias("score"))
-    return ranking(rows, ["draw"])
+    """(draw, ap): average precision of random rankings, one row a draw. draws: (draw). Without positives or negatives no row.
+
+    A ranking is decided by md5 of (seed, draw) alone, and a task holds one at a time.
+    """
+
+    def run(batches):
+        for batch in batches:
+            ap = []
+            for draw in batch["draw"]:
+                places = np.sort(generator(seed, draw).choice(n_pos + n_neg, n_pos, replace=False)) + 1
+                ap.append(float(np.mean(np.arange(1, n_pos + 1) / places)))
+            yield pd.DataFrame({"draw": batch["draw"], "ap": ap})
+
+    some = draws.select(F.col("draw").cast("bigint").alias("draw"))
+    return (some if n_pos and n_neg else some.where("false")).mapInPandas(run, "draw long, ap double")
+
+
+def generator(*parts: object) -> np.random.Generator:
+    """A generator that the md5 of parts joined by a bar decides."""
+    return np.random.Generator(np.random.Philox(key=int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest(), 16)))
+
+
+def shuffled_hits(df: DataFrame, id_col: str, seq: str, motif: str, draws: int, carry: Sequence[str] = (), seed: str = "shuffle") -> DataFrame:
+    """(carry, observed, hits, draws): whether each whole sequence has the motif, and in how many shuffles of its letters.
+
+    Sequences are ASCII; each shuffle is decided by md5 of (seed, id, draw), and a task holds one at a time.
+    """
+    rule = re.compile(motif.encode())
+
+    def run(batches):
+        for batch in batches:
+            hits, observed = [], []
+            for key, text in zip(batch[id_col], batch[seq], strict=True):
+                raw = text.encode()
+                letters = np.frombuffer(raw, np.uint8)
+                observed.append(rule.search(raw) is not None)
+                hits.append(sum(rule.search(generator(seed, key, draw).permutation(letters).tobytes()) is not None for draw in range(draws)))
+            yield batch[list(carry)].assign(observed=observed, hits=hits, draws=draws)
+
+    rows = df.select(F.col(id_col), *carry, F.col(seq))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*carry).schema)
+    return rows.mapInPandas(run, f"{kinds}, observed boolean, hits long, draws long")

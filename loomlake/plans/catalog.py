@@ -471,11 +471,11 @@ def permutation_floor(spark, d):
 
 @query()
 def shuffled_null(spark, d):
-    draws = F.explode(F.sequence(F.lit(1), F.lit(5))).alias("draw")
-    letters = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: F.struct(F.xxhash64("doc_id", "draw", i).alias("h"), F.substr("seq", i, F.lit(1)).alias("c")))
-    rows = docs_(spark, d).where(F.length("seq").between(5, 500)).select("doc_id", "lang", "seq", draws).withColumn("mixed", F.array_join(F.transform(F.sort_array(letters), lambda x: x["c"]), ""))
-    rate = lambda c: F.avg(F.col(c).rlike("E[STN]H").cast("double"))
-    return rows.groupBy("lang").agg(rate("seq").alias("observed"), rate("mixed").alias("null_rate")).withColumn("enrichment", F.try_divide("observed", "null_rate"))
+    """The motif's rate over all non-empty sequences, whole, and over 20 shuffles of each."""
+    rows = docs_(spark, d).where(F.length("seq") > 0).select("doc_id", "lang", "seq").repartition(spark.sparkContext.defaultParallelism * 4)
+    hits = resampling.shuffled_hits(rows, "doc_id", "seq", "E[STN]H", 20, ["lang"])
+    rates = hits.groupBy("lang").agg(F.avg(F.col("observed").cast("double")).alias("observed"), (F.sum("hits").cast("double") / F.sum("draws")).alias("null_rate"))
+    return rates.withColumn("enrichment", F.try_divide("observed", "null_rate"))
 
 
 @query(f"WITH {HUB}, s AS (SELECT grp, count(*) AS n FROM hub WHERE y = 1 GROUP BY grp) SELECT sum(n)::BIGINT AS n, count(*) AS groups, sum(n)::DOUBLE * sum(n) / sum(n * n) AS kish FROM s")

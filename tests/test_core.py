@@ -127,3 +127,20 @@ def test_motif_positions_of_whole_sequences(spark):
     expected = {i: ",".join(str(m.start() + 2) for m in re.finditer("(?=E.[ST].E)", s)) for i, _, s in _sequences(spark)}
     assert any(len(s) > 1000 and expected[i] for i, _, s in _sequences(spark))
     assert {r.doc_id: r.positions for r in catalog.QUERIES["motif_positions_whole"](spark, SF).collect()} == expected
+
+
+def test_shuffled_null_takes_every_sequence_whole(spark):
+    rows = [(lang, bool(re.search("E[STN]H", s))) for _, lang, s in _sequences(spark) if s]
+    assert sum(len(s) > 500 for _, _, s in _sequences(spark)) > len(rows) // 2
+    for r in catalog.QUERIES["shuffled_null"](spark, SF).collect():
+        own = [hit for lang, hit in rows if lang == r.lang]
+        assert math.isclose(r.observed, sum(own) / len(own)) and 0 < r.null_rate <= 1 and math.isclose(r.enrichment, r.observed / r.null_rate)
+
+
+def test_shuffles_keep_letters_and_draws(spark):
+    df = spark.createDataFrame([(1, "a", "ESH"), (2, "a", "SSSS"), (3, "b", "EH" + "S" * 300)], "i long, g string, s string")
+    got = {r.g: r for r in resampling.shuffled_hits(df.where("i <> 2"), "i", "s", "E[STN]H", 600, ["g"]).collect()}
+    # of three letters one order in six has the motif; of 302 one ordered pair of places in about 303
+    assert got["a"].observed and got["a"].draws == 600 and 70 <= got["a"].hits <= 130
+    assert not got["b"].observed and got["b"].hits <= 12
+    assert resampling.shuffled_hits(df.where("i = 2"), "i", "s", "E[STN]H", 20, ["g"]).first().hits == 0
