@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomlake.functions import sequences as sq
 from loomlake.functions import vectors
+from loomlake.functions.alignment import shift
 from loomlake.operators import metrics, resampling, sampling, structures
 from loomlake.plans import catalog as c
 from loomlake.plans.catalog import query
@@ -189,6 +190,15 @@ def shift_alignment(spark, d):
     return docs.select("doc_id", "a").crossJoin(F.broadcast(first)).select("doc_id", best.alias("m")).select("doc_id", (-F.col("m.k")).alias("shift"), F.col("m.n").alias("matches"))
 
 
+@query()
+def shift_alignment_whole(spark, d):
+    """As shift_alignment, whose SQL is bound to the first 30 and 60 letters, for whole sequences and all their shifts."""
+    docs = c.docs_(spark, d).select("doc_id", F.col("seq").alias("a"))
+    first = docs.orderBy("doc_id").limit(1).select(F.col("a").alias("b"))
+    both = docs.repartition(spark.sparkContext.defaultParallelism * 4).crossJoin(F.broadcast(first))
+    return both.select("doc_id", shift(F.col("a"), F.col("b")).alias("m")).select("doc_id", "m.shift", "m.matches")
+
+
 @query(f"WITH {_MOTIF}, n AS (SELECT draw, lang, s, peak, row_number() OVER (PARTITION BY draw, lang ORDER BY doc_id) AS i, row_number() OVER (PARTITION BY draw, lang ORDER BY {_HEX.format("'pairing|' || draw || '|' || doc_id")}, doc_id) AS j FROM p, range(0, 5) AS d(draw)), x AS (SELECT a.draw, a.lang, a.s, b.peak FROM n a JOIN n b ON a.draw = b.draw AND a.lang = b.lang AND a.i = b.j) SELECT draw, lang, count(*) AS n, count(*) FILTER ({_LETTER.format(*SITES[1])}) AS hits FROM x GROUP BY draw, lang")
 def shuffled_pairing(spark, d):
     """Hits at a site when each sequence gets the peak of another one of its stratum, by random permutations."""

@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import random
 import re
 
 import duckdb
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlake.functions import sequences as sq
-from loomlake.functions.alignment import align
+from loomlake.functions.alignment import align, best_shift
 from loomlake.operators import dedup, metrics, resampling, splits, structures
 from loomlake.operators.graph import connected
 from loomlake.plans import catalog, controls  # noqa: F401  (controls registers its queries with the catalog)
@@ -144,3 +145,29 @@ def test_shuffles_keep_letters_and_draws(spark):
     assert got["a"].observed and got["a"].draws == 600 and 70 <= got["a"].hits <= 130
     assert not got["b"].observed and got["b"].hits <= 12
     assert resampling.shuffled_hits(df.where("i = 2"), "i", "s", "E[STN]H", 20, ["g"]).first().hits == 0
+
+
+def _first_best_shift(a, b):
+    best = (0, -1)
+    for k in range(-len(a), len(b)):
+        n = sum(x == y for x, y in zip(a[max(0, -k) :], b[max(0, k) :]))
+        if n > best[1]:
+            best = (k, n)
+    return best
+
+
+def test_best_shift():
+    rng = random.Random(2)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("ABC"[: rng.randint(1, 3)]) for _ in range(rng.choice([0, 1, 2, 7, 40]))) for _ in range(2))
+        assert best_shift(a, b) == _first_best_shift(a, b)
+    long = "".join(rng.choice("ACDE") for _ in range(90000))
+    assert best_shift(long[70000:], long) == (70000, 20000) and best_shift(long, long[70000:]) == (-70000, 20000)
+
+
+def test_shift_alignment_of_whole_sequences(spark):
+    seqs = [(i, s) for i, _, s in sorted(_sequences(spark))]
+    got = {r.doc_id: (r.shift, r.matches) for r in catalog.QUERIES["shift_alignment_whole"](spark, SF).collect()}
+    assert len(got) == len(seqs)
+    for i, s in [seqs[0], *[x for x in seqs if len(x[1]) < 700][:15]]:
+        assert got[i] == ((0, len(s)) if i == seqs[0][0] else _first_best_shift(s, seqs[0][1]))
