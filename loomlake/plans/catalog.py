@@ -317,9 +317,9 @@ def pair_candidates(spark, d):
 
 @query()
 def pair_identity(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", sq.truncate(sq.normalise(F.col("text")), 120).alias("s"))
-    near = _pairs(spark, d).where("jaccard between 0.3 and 0.95")
-    both = near.join(docs.toDF("a", "x"), "a").join(docs.toDF("b", "y"), "b").repartition("a")
+    """Whole sequences of all candidate pairs, equal copies included."""
+    docs = docs_(spark, d).select("doc_id", "seq")
+    both = _pairs(spark, d).join(docs.toDF("a", "x"), "a").join(docs.toDF("b", "y"), "b").repartition(spark.sparkContext.defaultParallelism * 4)
     return both.select("a", "b", identity(F.col("x"), F.col("y")).alias("i")).select("a", "b", "i.ident_min", "i.ident_aln")
 
 

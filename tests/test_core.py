@@ -10,6 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from loomlake.functions import alignment
 from loomlake.functions import sequences as sq
 from loomlake.functions.alignment import align, best_shift
 from loomlake.operators import dedup, metrics, resampling, splits, structures
@@ -171,3 +172,45 @@ def test_shift_alignment_of_whole_sequences(spark):
     assert len(got) == len(seqs)
     for i, s in [seqs[0], *[x for x in seqs if len(x[1]) < 700][:15]]:
         assert got[i] == ((0, len(s)) if i == seqs[0][0] else _first_best_shift(s, seqs[0][1]))
+
+
+def _table_score(a, b, score, gap_open, gap_extend):
+    """The best score from the whole table."""
+    low = -1e9
+    M, X, Y = ([[0.0 if k == 0 and not (i and j) else low for j in range(len(b) + 1)] for i in range(len(a) + 1)] for k in range(3))
+    best = low
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            M[i][j] = max(t[i - 1][j - 1] for t in (M, X, Y)) + score(a[i - 1], b[j - 1])
+            X[i][j] = max(M[i - 1][j] + gap_open, X[i - 1][j] + gap_extend)
+            Y[i][j] = max(M[i][j - 1] + gap_open, Y[i][j - 1] + gap_extend)
+            if i == len(a) or j == len(b):
+                best = max(best, M[i][j], X[i][j], Y[i][j])
+    return best
+
+
+@pytest.mark.parametrize("band", [0, 2, 64])
+def test_banded_alignment_is_exact(monkeypatch, band):
+    monkeypatch.setattr(alignment, "_BAND", band)
+    rng, score = random.Random(band), lambda x, y: 4 if x == y else -2
+    found, banded = [], alignment._banded
+    monkeypatch.setattr(alignment, "_banded", lambda *a: found.append(banded(*a)) or found[-1])
+    for _ in range(150):
+        a, b = ("".join(rng.choice("ABC") for _ in range(rng.randint(1, 25))) for _ in range(2))
+        b = b if rng.random() < 0.5 else a[rng.randrange(len(a)) :] + b[:3]
+        same, columns = align(a, b, score, -3.0, -1.0)
+        assert same <= columns <= len(a) + len(b)
+        if a != b:
+            assert found[-1][0] == _table_score(a, b, score, -3.0, -1.0)
+
+
+def test_pair_identity_of_whole_sequences(spark, tmp_path):
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    head, tail, other = words(40), words(40), words(40)
+    texts = [head + tail, head + other, head + tail, tail + words(5), words(30)]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.a, r.b): r.ident_min for r in catalog.QUERIES["pair_identity"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(0, 1), (0, 2), (1, 2), (0, 3), (2, 3)}
+    # the first 120 letters of 0 and 1 are equal, half of the whole sequences is
+    assert got[0, 2] == 1 and 0.5 <= got[0, 1] < 0.8 and got[0, 1] == got[1, 2] and got[0, 3] > 0.85
