@@ -449,10 +449,23 @@ def group_bootstrap_ci(spark, d):
     return ci.select("n", "low", "middle", "high")
 
 
+@query()
+def group_bootstrap_whole(spark, d):
+    """As group_bootstrap, whose SQL is bound to 20 draws, in 2,000."""
+    return resampling.bootstrap(hub(spark, d), "grp", 2000).select("draw", "auc")
+
+
+@query()
+def group_bootstrap_ci_whole(spark, d):
+    """As group_bootstrap_ci, whose SQL is bound to 20 draws, in 2,000."""
+    ci = resampling.interval(resampling.bootstrap(hub(spark, d), "grp", 2000), "auc")
+    return ci.select("n", "low", "middle", "high")
+
+
 @query()
 def paired_bootstrap(spark, d):
     h = hub(spark, d).withColumn("other", F.pmod(F.col("doc_id") * 7, F.lit(100)))
-    a, b = resampling.bootstrap(h, "grp", 50, "pair"), resampling.bootstrap(h.withColumn("score", F.col("other")), "grp", 50, "pair")
+    a, b = resampling.bootstrap(h, "grp", 4000, "pair"), resampling.bootstrap(h.withColumn("score", F.col("other")), "grp", 4000, "pair")
     both = a.select("draw", F.col("auc").alias("x")).join(b.select("draw", F.col("auc").alias("y")), "draw").withColumn("delta", F.col("x") - F.col("y"))
     return both.agg(F.count("*").alias("n"), F.avg("delta").alias("mean"), F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"), F.avg((F.col("delta") > 0).cast("double")).alias("p_better"), F.corr("x", "y").alias("corr"))
 
@@ -460,13 +473,18 @@ def paired_bootstrap(spark, d):
 @query()
 def stratified_bootstrap(spark, d):
     h = hub(spark, d).withColumn("key", F.concat_ws("-", "y", "grp"))
-    return resampling.interval(resampling.bootstrap(h, "key", 50, "two", strata="y"), "auc")
+    return resampling.interval(resampling.bootstrap(h, "key", 2000, "two", strata="y"), "auc")
 
 
 @query()
 def permutation_floor(spark, d):
-    null = resampling.permutation_floor(30, 70, spark.range(400).withColumnRenamed("id", "draw"))
-    return null.agg(F.avg("ap").alias("mean"), F.percentile("ap", 0.99).alias("p99"), F.avg((F.col("ap") >= 0.5).cast("double")).alias("p_value"))
+    """The average precision of 4,000 random rankings of as many positives and negatives as the data have, against the observed one."""
+    seen = metrics.ranking(hub(spark, d)).first()
+    n_pos, n_neg = (int(seen[c] or 0) for c in ("n_pos", "n_neg"))
+    null = resampling.permutation_floor(n_pos, n_neg, spark.range(4000).withColumnRenamed("id", "draw"))
+    over = F.avg((F.col("ap") >= F.lit(seen["ap"]).cast("double")).cast("double"))
+    counts = [F.lit(n_pos).cast("bigint").alias("n_pos"), F.lit(n_neg).cast("bigint").alias("n_neg"), F.lit(seen["ap"]).cast("double").alias("observed")]
+    return null.agg(F.avg("ap").alias("mean"), F.percentile("ap", 0.99).alias("p99"), over.alias("p_value")).select(*counts, "mean", "p99", "p_value")
 
 
 @query()

@@ -26,19 +26,43 @@ _RANKED = "m AS (SELECT g, y, 2 * rank() OVER (PARTITION BY g ORDER BY score) +
 
 @query(f"WITH {c._LONG}, r AS (SELECT {{'draw': draw, 'latent': latent}} AS g, pos::INT AS y, v AS score FROM l, range(0, 10) AS d(draw) WHERE {_HEX.format("'half|' || draw || '|' || vec_id")} % 2 = 0), {_RANKED}, top AS (SELECT g.latent AS latent, 2 * auc - 1 AS delta, row_number() OVER (PARTITION BY g.draw ORDER BY auc DESC, g.latent) AS place FROM auc) SELECT latent, count(*) FILTER (place <= 10) AS n_top, min(delta) AS least, count(*) FILTER (place <= 10) >= 0.75 * 10 AS stable FROM top GROUP BY latent")
 def stability_selection(spark, d):
-    draws = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("draw")
+    return _stable(spark, d, 10)
+
+
+@query()
+def stability_selection_whole(spark, d):
+    """As stability_selection, whose SQL is bound to 10 halves, in 200, and stable only where the effect over all rows is 0.9 or more."""
+    whole = table(spark, d, "embeddings").select((F.col("label") == 0).cast("int").alias("y"), F.posexplode("embedding").alias("latent", "score"))
+    delta = metrics.ranking(whole, ["latent"]).select("latent", (2 * F.col("auc") - 1).alias("delta"))
+    strong = F.coalesce(F.col("delta") >= 0.9, F.lit(False))
+    return _stable(spark, d, 200).join(delta, "latent", "left").select("latent", "n_top", "least", "delta", (F.col("stable") & strong).alias("stable"))
+
+
+def _stable(spark, d, n_draws):
+    """How often each latent is among the ten best of a half."""
+    draws = F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw")
     half = resampling.hash_number(F.lit("half"), F.col("draw"), F.col("vec_id")) % 2 == 0
     chosen = table(spark, d, "embeddings").select("vec_id", "label", "embedding", draws).where(half)
     rows = chosen.select("draw", (F.col("label") == 0).cast("int").alias("y"), F.posexplode("embedding").alias("latent", "score"))
     auc = metrics.ranking(rows, ["draw", "latent"]).where("auc is not null")
     placed = auc.withColumn("place", F.row_number().over(Window.partitionBy("draw").orderBy(F.desc("auc"), "latent")))
     n_top = F.count_if(F.col("place") <= 10)
-    return placed.groupBy("latent").agg(n_top.alias("n_top"), F.min(2 * F.col("auc") - 1).alias("least"), (n_top >= 7.5).alias("stable"))
+    return placed.groupBy("latent").agg(n_top.alias("n_top"), F.min(2 * F.col("auc") - 1).alias("least"), (n_top >= 0.75 * n_draws).alias("stable"))
 
 
 @query(f"WITH {c.HUB}, chosen AS (SELECT draw, doc_id FROM hub, range(0, 20) AS d(draw) WHERE y = 1 QUALIFY row_number() OVER (PARTITION BY draw ORDER BY {_HEX.format("'size|' || draw || '|' || doc_id")}, doc_id) <= 20), r AS (SELECT draw AS g, 1 AS y, score FROM chosen JOIN hub USING (doc_id) UNION ALL SELECT draw, 0, score FROM hub, range(0, 20) AS d(draw) WHERE y = 0), {_RANKED} SELECT count(*) AS n, quantile_cont(auc, 0.05) AS low, quantile_cont(auc, 0.5) AS middle, quantile_cont(auc, 0.95) AS high FROM auc")
 def size_matched_control(spark, d):
-    h = c.hub(spark, d).select("doc_id", "y", "score", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("draw"))
+    return _size_matched(spark, d, 20)
+
+
+@query()
+def size_matched_control_whole(spark, d):
+    """As size_matched_control, whose SQL is bound to 20 draws, in 500."""
+    return _size_matched(spark, d, 500)
+
+
+def _size_matched(spark, d, n_draws):
+    h = c.hub(spark, d).select("doc_id", "y", "score", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"))
     order = resampling.hash_number(F.lit("size"), F.col("draw"), F.col("doc_id"))
     some = sampling.top_per_group(h.where("y = 1"), "draw", [order, "doc_id"], 20).drop("place")
     auc = metrics.ranking(some.union(h.where("y = 0").select(*some.columns)), ["draw"])
@@ -47,7 +71,17 @@ def size_matched_control(spark, d):
 
 @query(f"WITH {c.HUB}, {c._DRAWS} SELECT count(*) AS n, round(avg(auc), 9) AS mean, round(stddev_samp(auc) / sqrt(count(*)), 9) AS se FROM boot")
 def mean_and_error(spark, d):
-    draws = resampling.bootstrap(c.hub(spark, d), "grp", 20)
+    return _mean_and_error(spark, d, 20)
+
+
+@query()
+def mean_and_error_whole(spark, d):
+    """As mean_and_error, whose SQL is bound to 20 draws, in 2,000."""
+    return _mean_and_error(spark, d, 2000)
+
+
+def _mean_and_error(spark, d, n_draws):
+    draws = resampling.bootstrap(c.hub(spark, d), "grp", n_draws)
     return draws.agg(F.count("*").alias("n"), F.round(F.avg("auc"), 9).alias("mean"), F.round(F.stddev_samp("auc") / F.sqrt(F.count("*")), 9).alias("se"))
 
 
@@ -201,9 +235,19 @@ def shift_alignment_whole(spark, d):
 
 @query(f"WITH {_MOTIF}, n AS (SELECT draw, lang, s, peak, row_number() OVER (PARTITION BY draw, lang ORDER BY doc_id) AS i, row_number() OVER (PARTITION BY draw, lang ORDER BY {_HEX.format("'pairing|' || draw || '|' || doc_id")}, doc_id) AS j FROM p, range(0, 5) AS d(draw)), x AS (SELECT a.draw, a.lang, a.s, b.peak FROM n a JOIN n b ON a.draw = b.draw AND a.lang = b.lang AND a.i = b.j) SELECT draw, lang, count(*) AS n, count(*) FILTER ({_LETTER.format(*SITES[1])}) AS hits FROM x GROUP BY draw, lang")
 def shuffled_pairing(spark, d):
+    return _shuffled_pairing(spark, d, 5)
+
+
+@query()
+def shuffled_pairing_whole(spark, d):
+    """As shuffled_pairing, whose SQL is bound to 5 permutations, in 200."""
+    return _shuffled_pairing(spark, d, 200)
+
+
+def _shuffled_pairing(spark, d, n_draws):
     """Hits at a site when each sequence gets the peak of another one of its stratum, by random permutations."""
     off, letters = SITES[1]
-    rows = _peaks(spark, d).select("doc_id", "lang", "seq", "peak", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("draw"))
+    rows = _peaks(spark, d).select("doc_id", "lang", "seq", "peak", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"))
     part = Window.partitionBy("draw", "lang")
     order = resampling.hash_number(F.lit("pairing"), F.col("draw"), F.col("doc_id"))
     own = rows.select("draw", "lang", "seq", F.row_number().over(part.orderBy("doc_id")).alias("i"))

@@ -214,3 +214,29 @@ def test_pair_identity_of_whole_sequences(spark, tmp_path):
     assert set(got) == {(0, 1), (0, 2), (1, 2), (0, 3), (2, 3)}
     # the first 120 letters of 0 and 1 are equal, half of the whole sequences is
     assert got[0, 2] == 1 and 0.5 <= got[0, 1] < 0.8 and got[0, 1] == got[1, 2] and got[0, 3] > 0.85
+
+
+def test_permutation_floor_follows_the_data(spark):
+    r, seen = catalog.QUERIES["permutation_floor"](spark, SF).first(), metrics.ranking(catalog.hub(spark, SF)).first()
+    assert (r.n_pos, r.n_neg, r.observed) == (seen.n_pos, seen.n_neg, seen.ap)
+    share = seen.n_pos / (seen.n_pos + seen.n_neg)
+    assert share < r.mean < share + 0.05 and r.mean < r.p99 <= 1 and 0 <= r.p_value <= 1
+    draws = resampling.permutation_floor(1, 2, spark.range(900).withColumnRenamed("id", "draw"))
+    assert {round(x["ap"], 6) for x in draws.collect()} == {1.0, 0.5, 0.333333} and math.isclose(draws.agg(F.avg("ap")).first()[0], 11 / 18, abs_tol=0.04)
+    assert resampling.permutation_floor(0, 5, spark.range(9).withColumnRenamed("id", "draw")).count() == 0
+
+
+def test_whole_resampling_takes_the_draws_of_the_reference(spark):
+    n = lambda name: catalog.QUERIES[name](spark, SF).first()["n"]
+    assert n("paired_bootstrap") > 3900 and n("size_matched_control_whole") == 500
+    assert {n(q) > 1900 for q in ("stratified_bootstrap", "group_bootstrap_ci_whole", "mean_and_error_whole")} == {True}
+    assert catalog.QUERIES["shuffled_pairing_whole"](spark, SF).select("draw").distinct().count() == 200
+
+
+def test_stable_needs_a_strong_effect(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, i % 2, [float(i % 2 == 0) + rng.random() / 9] + [rng.random() + 0.3 * (i % 2 == 0) for _ in range(4)]) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.latent: r for r in catalog.QUERIES["stability_selection_whole"](spark, str(tmp_path)).collect()}
+    assert len(got) == 5 and all(r.n_top == 200 for r in got.values())
+    assert [k for k in sorted(got) if got[k].stable] == [0] and got[0].delta == 1
