@@ -252,8 +252,8 @@ def _emit_windows(window: int, buckets: int):
                         rows.append((0, None, int(ids[i]), int(ths[i]), n, texts[i], None, None, None, None))
                 if start:
                     start = np.concatenate(start)
-                    h_l.append(tk.grams(words.names, window, 0)[start])
-                    g_l.append(tk.grams(words.names, window, 1)[start])
+                    h_l.append(tk.grams(words.names, window)[start])
+                    g_l.append(tk.grams(tk.mix(words.names), window)[start])
             if doc_l:
                 doc, at, h, g = (np.concatenate(x) for x in (doc_l, at_l, h_l, g_l))
                 k = ids[doc]
