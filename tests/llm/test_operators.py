@@ -113,9 +113,8 @@ def test_decontamination(spark, block):
     text = dict(rows)
     for r in found.where("n_hit > 0").limit(20).collect():
         assert sum(len(brute.ALNUM.findall(text[r.doc_id][s.start : s.end].translate(brute.LOWER))) for s in r.spans) == r.n_hit
-    if block > 1000:
-        clean = decontaminate.remove_contamination(frame(spark, rows), items_df).select("doc_id", "text").collect()
-        assert len(clean) == len(rows) and not any(n for _, _, n, _ in brute.leaks([tuple(r) for r in clean], items))
+    clean = decontaminate.remove_contamination(frame(spark, rows), items_df, block_bytes=block).select("doc_id", "text").collect()
+    assert len(clean) == len(rows) and not any(n for _, _, n, _ in brute.leaks([tuple(r) for r in clean], items))
 
 
 def test_removal_does_not_depend_on_blocks(spark):
@@ -132,8 +131,8 @@ def test_removal_does_not_depend_on_blocks(spark):
     short = [(200 + i, " ".join(f"l{i}x{j}" for j in range(5, 8))) for i in range(12)]
     items, rows = items + long + short, rows + [(300 + i, f"before {t} after") for i, (_, t) in enumerate(long)]
     items_df = spark.createDataFrame(items, "item_id long, text string")
-    one, many = ([tuple(r) for r in decontaminate.remove_contamination(frame(spark, rows), items_df, block_bytes=b).select("doc_id", "text").collect()] for b in (16_000_000, 200))
-    assert brute.order(many) == brute.order(one)
+    one, many, more = ([tuple(r) for r in decontaminate.remove_contamination(frame(spark, rows), items_df, block_bytes=b).select("doc_id", "text").collect()] for b in (16_000_000, 400, 3000))
+    assert brute.order(many) == brute.order(one) == brute.order(more)
     assert len(many) == len(rows) and not any(n for _, _, n, _ in brute.leaks(many, items))
     assert sum(r == (300 + i, "before\nafter") for i in range(12) for r in many) == 12
 
