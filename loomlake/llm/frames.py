@@ -23,6 +23,17 @@ def shown(k: Column | str = "k") -> Column:
     return F.when(k != NULL_ID, k)
 
 
+def spread(rows: DataFrame, found: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined to ``found``, which has one row a ``key``, without bringing all rows of a key to one task.
+
+    Rows are dealt by the key and a part of the hash of ``by``. Only the distinct pairs of key and part meet ``found``, so a key that a third
+    of all rows have is as many rows there as there are parts.
+    """
+    parted = rows.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(partitions(rows))).cast("int"))
+    pairs = parted.select(key, "__part").distinct().join(found, key)
+    return parted.join(pairs, [key, "__part"]).drop("__part")
+
+
 def partitions(df: DataFrame) -> int:
     """Partitions that shuffles get in this session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

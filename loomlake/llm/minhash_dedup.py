@@ -9,9 +9,9 @@ size ratio of a change in the number of replicas are sketched with both numbers.
 Four neighbouring registers are a band, 64 bits. Sets that share a band are candidates: at similarity 0.85 a
 band agrees with probability 0.52, and no band of 32 does with probability 6e-11. A pair whose
 collision-corrected estimate is over 0.2 (six standard deviations) below the threshold is dropped; the
-others are compared by their full sets.
+others are compared by their full sets, word by word: hashes find candidates and never make a link.
 
-Large groups do not list their pairs. Equal sets count once. A group of up to ``SMALL`` sets is compared
+Large groups do not list their pairs. Documents of equal words count once, under a cryptographic digest of these. A group of up to ``SMALL`` sets is compared
 pairwise; in a larger one each set is compared with the group's first, which joins a family of copies in
 one pass. Sets that stay outside the main component of a large group are then compared with the group's
 members in a grid of blocks of bounded size, by matrix products over their shingles that give exact
@@ -20,14 +20,17 @@ intersections; a block reports one link for each set and component.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.llm import textkit as tk
 from loomlake.operators.graph import connected
-from loomlake.llm.frames import keyed, shown
+from loomlake.llm.frames import NULL_ID, WORD, keyed, shown, spread
 from loomlake.scratch import Scratch
 
 U = np.uint64
@@ -42,9 +45,8 @@ _SALTS = tk.mix(np.arange(1, FILL + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _EDGES = np.arange(REGISTERS, dtype=U) << U(57)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.ndarray]:
+def shingle_sets(words: tk.Words, k: int = 5) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document; of one with fewer than k words, its whole sequence."""
-    words = tk.words_of(data, offsets, lower=True)
     all_k, out = tk.grams(words.names, k), []
     for lo, hi in zip(words.first[:-1], words.first[1:], strict=True):
         n = hi - lo
@@ -55,6 +57,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.n
     return out
 
 
+def exact_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle): the distinct shingles of each text, in order, under numbers that two share only if their words are equal.
+
+    A text of fewer than k words has none: its one shingle can be no other text's unless their words are equal.
+    """
+    data, offsets = tk.text_buffers(texts)
+    data, offsets = tk.lowered(data[offsets[0] : offsets[-1]]), offsets - offsets[0]
+    words = tk.words_of(data, offsets)
+    ids, _ = tk.interned(words, data)
+    at = np.flatnonzero(words.left >= k)
+    shingles, firsts = tk.interned_grams(ids, k, at)
+    of = np.unique(words.doc[at] * max(1, len(firsts)) + shingles)
+    return of // max(1, len(firsts)), of % max(1, len(firsts))
+
+
 def replica_class(n: int) -> int:
     """log2 of the number of replicas of a set of n shingles."""
     return max(0, int(np.ceil(np.log2(FILL / n)))) if n < FILL else 0
@@ -84,21 +101,22 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 def _sketch(pct: int, k: int):
     def run(batches):
         for batch in batches:
-            ids, rows = batch.column("k").to_numpy(zero_copy_only=False), []
+            keys, rows = [batch.column(c).to_pylist() for c in ("k", "th")], []
             for row, _, data, offsets in tk.chunks(batch.column("text")):
-                for i, own in enumerate(shingle_sets(data, offsets, k)):
-                    n = len(own)
+                data = tk.lowered(data)
+                for i, own in enumerate(shingle_sets(tk.words_of(data, offsets), k)):
+                    key, n = (keys[0][row + i], keys[1][row + i]), len(own)
                     if not n:
-                        rows.append((int(ids[row + i]), 0, None, None, None, None, None))
+                        rows.append((*key, 0, None, None, None, None, None))
                         continue
-                    print_ = np.array([tk.mix(own ^ s).sum(dtype=U) for s in (U(1), U(2))] + [U(n)]).tobytes()
+                    print_ = hashlib.blake2b(b" ".join(data[offsets[i] : offsets[i + 1]].tobytes().split()), digest_size=16).digest()
                     c, d = replica_class(n), replica_class(n * 100 // pct + 1)
-                    rows.append((int(ids[row + i]), n, print_, c, registers(own, c).tobytes(), *((d, registers(own, d).tobytes()) if c != d else (None, None))))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+                    rows.append((*key, n, print_, c, registers(own, c).tobytes(), *((d, registers(own, d).tobytes()) if c != d else (None, None))))
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
             for x in range(0, len(rows), 5000):
-                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows[x : x + 5000], strict=True), kinds, strict=True)], ["k", "n", "print", "c0", "r0", "c1", "r1"])
+                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows[x : x + 5000], strict=True), kinds, strict=True)], ["k", "th", "n", "print", "c0", "r0", "c1", "r1"])
 
-    return run
+    return tk.releasing(run)
 
 
 def _bands(batches):
@@ -141,91 +159,81 @@ def _likely(pct: int):
     return run
 
 
-def _sets(k: int):
-    """(nid, own): the full sets of documents that are wanted, for the sets that their ids stand for."""
-
-    def run(batches):
-        for batch in batches:
-            nid, prints = batch.column("nid").to_pylist(), batch.column("print").to_pylist()
-            ids, blobs = [], []
-            for row, _, data, offsets in tk.chunks(batch.column("text")):
-                for i, own in enumerate(shingle_sets(data, offsets, k)):
-                    if len(own) and np.array([tk.mix(own ^ s).sum(dtype=U) for s in (U(1), U(2))] + [U(len(own))]).tobytes() == prints[row + i]:
-                        ids.append(nid[row + i])
-                        blobs.append(own.tobytes())
-            for x in range(0, len(ids), 500):
-                yield pa.record_batch([pa.array(ids[x : x + 500], pa.int64()), pa.array(blobs[x : x + 500], pa.binary())], ["nid", "own"])
+def _slices(x: pa.Array, y: pa.Array) -> list[tuple[int, int]]:
+    """Runs of rows with about ``tk.CHUNK`` bytes in both columns."""
+    size = np.cumsum(pc.add(pc.binary_length(x), pc.binary_length(y)).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(size // tk.CHUNK)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(x)], strict=True)) if len(x) else []
 
-    return run
 
+def _linked(pct: int, k: int):
+    """The pairs whose sets of shingles are similar enough."""
 
-def _linked(pct: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= pct * (len(both) - common))
-            keep = pa.array(keep, pa.bool_())
+            x, y, keep = batch.column("x"), batch.column("y"), []
+            for row, end in _slices(x, y):
+                n = end - row
+                of, shingle = exact_sets(pa.concat_arrays([x.slice(row, n), y.slice(row, n)]), k)
+                size = np.bincount(of, minlength=2 * n)
+                both = np.sort(of % n * (shingle.max(initial=0) + 1) + shingle)
+                common = np.bincount(both[1:][both[1:] == both[:-1]] // (shingle.max(initial=0) + 1), minlength=n)
+                keep.append((common > 0) & (100 * common >= pct * (size[:n] + size[n:] - common)))
+            keep = pa.array(np.concatenate(keep) if keep else [], pa.bool_())
             yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    return run
+    return tk.releasing(run)
 
 
-def _block(pct: int):
+def _block(pct: int, k: int):
     """Links of a grid block: for each outside set one in every other component that it has a link to."""
 
     def run(table: pa.Table) -> pa.Table:
         isx = table.column("isx").to_numpy()
         nid, root = table.column("nid").to_numpy(), table.column("root").to_numpy()
-        own = [np.frombuffer(o, U) for o in table.column("own").to_pylist()]
         xs, ys = np.flatnonzero(isx), np.flatnonzero(~isx)
         a, b = [], []
         if len(xs) and len(ys):
-            vocabulary = np.unique(np.concatenate([own[i] for i in xs]))
+            of, shingle = exact_sets(table.column("text").combine_chunks(), k)
+            bounds, size = np.searchsorted(of, np.arange(len(nid) + 1)), np.bincount(of, minlength=len(nid))
+            own = lambda i: shingle[bounds[i] : bounds[i + 1]]
+            place = np.full(shingle.max(initial=0) + 1, -1)
+            vocabulary = np.unique(np.concatenate([own(i) for i in xs]))
+            place[vocabulary] = np.arange(len(vocabulary))
             left = np.zeros((len(xs), len(vocabulary)), np.float32)
             for row, i in enumerate(xs):
-                left[row, np.searchsorted(vocabulary, own[i])] = 1
-            size = np.array([len(o) for o in own])
-            step = max(1, 4_000_000 // len(vocabulary))
+                left[row, place[own(i)]] = 1
+            step = max(1, 4_000_000 // max(1, len(vocabulary)))
             for s in range(0, len(ys), step):
                 part = ys[s : s + step]
                 right = np.zeros((len(part), len(vocabulary)), np.float32)
                 for row, i in enumerate(part):
-                    at = np.minimum(np.searchsorted(vocabulary, own[i]), len(vocabulary) - 1)
-                    right[row, at[vocabulary[at] == own[i]]] = 1
+                    at = place[own(i)]
+                    right[row, at[at >= 0]] = 1
                 common = (left @ right.T).astype(np.int64)
-                link = 100 * common >= pct * (size[xs][:, None] + size[part][None, :] - common)
+                link = (common > 0) & (100 * common >= pct * (size[xs][:, None] + size[part][None, :] - common))
                 i, j = np.nonzero(link & (root[xs][:, None] != root[part][None, :]))
-                a.append(nid[xs[i]])
-                b.append(nid[part[j]])
                 _, first = np.unique(np.stack([nid[xs[i]], root[part[j]]]), axis=1, return_index=True)
-                a[-1], b[-1] = a[-1][first], b[-1][first]
+                a.append(nid[xs[i]][first])
+                b.append(nid[part[j]][first])
         a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+        tk.release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = 85, k: int = 5) -> DataFrame:
-    """Components of documents whose shingle sets have a Jaccard similarity of ``pct`` percent or more.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k, text, th): a row is named by its id and a digest of its text, as ids may be null or repeat."""
+    return keyed(docs, id_col, text_col).withColumn("th", F.unhex(F.md5("text")))
 
-    Returns one row a document: ``id_col``, n_shingles (distinct), component_id (the smallest id that links
-    reach, its own included), kept (the id is the component's).
 
-    Words are lower-cased (A-Z). Null or empty texts have no shingles, link with nothing and stay. A null id counts
-    as the largest. Rows that repeat a text are linked by their equal sets, and rows that repeat an id too are all
-    kept or all dropped. Two texts under one id are separate sets whose components show that id. Extra
-    columns are ignored; an empty table gives an empty result.
-    """
-    scratch = Scratch(docs.sparkSession, "minhash")
-    base = keyed(docs, id_col, text_col)
-    rows = scratch.write(base.mapInArrow(_sketch(pct, k), "k long, n long, print binary, c0 int, r0 binary, c1 int, r1 binary"), "sketches")
+def _components(base: DataFrame, pct: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, named): every row's (k, th, n, print), and for each print its component's least (k, th), as ``least``."""
+    scratch = Scratch(base.sparkSession, "minhash")
+    rows = scratch.write(base.select("k", "th", "text").mapInArrow(_sketch(pct, k), "k long, th binary, n long, print binary, c0 int, r0 binary, c1 int, r1 binary"), "sketches")
     firsts = [F.first(c).alias(c) for c in ("n", "c0", "r0", "c1", "r1")]
-    nodes = scratch.write(rows.where("n > 0").groupBy("print").agg(F.min("k").alias("label"), *firsts).withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    nodes = scratch.write(rows.where("n > 0").groupBy("print").agg(F.min(F.struct("k", "th")).alias("label"), *firsts).withColumn("nid", F.monotonically_increasing_id()), "nodes")
     bands = nodes.select("nid", "c0", "r0", "c1", "r1").mapInArrow(_bands, "key long, nid long, c int")
     sizes = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("nid").alias("hub")).where("m > 1")
     groups = scratch.write(bands.join(sizes, "key"), "groups")
@@ -238,36 +246,73 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def side(c: str) -> DataFrame:
         return nodes.select(F.col("nid").alias(c), F.col("n").alias(f"n{c}"), *(F.col(x).alias(f"{c}{x}") for x in ("c0", "r0", "c1", "r1")))
 
-    def sets_of(need: DataFrame) -> DataFrame:
-        want = need.join(nodes.select("nid", F.col("label").alias("k"), "print"), "nid")
-        return base.join(want, "k").select("nid", "print", "text").mapInArrow(_sets(k), "nid long, own binary").dropDuplicates(["nid"])
+    def texts_of(need: DataFrame) -> DataFrame:
+        """(nid, text): a text for each of the nodes."""
+        want = need.join(nodes.select("nid", "label.k", "label.th"), "nid")
+        return base.join(want, ["k", "th"]).groupBy("nid").agg(F.first("text").alias("text"))
 
     likely = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(pct), "a long, b long"), "likely")
-    sets = scratch.write(sets_of(likely.select(F.col("a").alias("nid")).union(likely.select("b")).distinct()), "sets")
-    x, y = sets.select(F.col("nid").alias("a"), F.col("own").alias("x")), sets.select(F.col("nid").alias("b"), F.col("own").alias("y"))
-    links = scratch.write(likely.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_linked(pct), "a long, b long"), "links")
+    texts = scratch.write(texts_of(likely.select(F.col("a").alias("nid")).union(likely.select("b")).distinct()), "texts")
+    x, y = texts.select(F.col("nid").alias("a"), F.col("text").alias("x")), texts.select(F.col("nid").alias("b"), F.col("text").alias("y"))
+    links = scratch.write(likely.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_linked(pct, k), "a long, b long"), "links")
+    scratch.drop(likely)
     roots = connected(links, scratch)
 
     large = groups.where(F.col("m") > SMALL).select("key", "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     shares = large.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("m", -F.col("root"))).alias("main"))
-    torn = scratch.write(large.join(shares.where("parts > 1").select("key", "main"), "key").groupBy("main", "nid", "root").agg(F.lit(1).alias("one")).drop("one"), "torn")
+    held = spread(large, shares.where("parts > 1").select("key", "main"), "key", "nid").select("main", "nid", "root").distinct()
+    torn = scratch.write(held, "torn")
     if not torn.isEmpty():
-        more = scratch.write(sets_of(torn.select("nid").distinct().join(sets.select("nid"), "nid", "left_anti")), "sets")
-        held = torn.join(sets.unionByName(more), "nid")
-        held = held.withColumn("outside", F.col("root") != F.col("main"))
-        load = F.length("own") / 8
-        plan = held.groupBy("main").agg(
-            F.greatest(F.ceil(F.sum(F.when(F.col("outside"), load)) / BLOCK), F.ceil(F.count_if("outside") / 128)).alias("bx"),
-            F.greatest(F.ceil(F.sum(load) / (4 * BLOCK)), F.ceil(F.count("*") / 2048)).alias("by"),
+        more = scratch.write(texts_of(torn.select("nid").distinct().join(texts.select("nid"), "nid", "left_anti")), "texts")
+        placed = torn.join(nodes.select("nid", F.col("n").cast("double").alias("load")), "nid").withColumn("outside", F.col("root") != F.col("main"))
+        plan = placed.groupBy("main").agg(
+            F.greatest(F.ceil(F.sum(F.when(F.col("outside"), F.col("load"))) / BLOCK), F.ceil(F.count_if("outside") / 128)).alias("bx"),
+            F.greatest(F.ceil(F.sum("load") / (4 * BLOCK)), F.ceil(F.count("*") / 2048)).alias("by"),
         )
-        held = held.join(plan, "main")
-        outside = held.where("outside").select("main", F.pmod(F.xxhash64("nid"), "bx").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("by") - 1)).alias("yb"), F.lit(True).alias("isx"), "nid", "root", "own")
-        inside = held.select("main", F.explode(F.sequence(F.lit(0), F.col("bx") - 1)).alias("xb"), F.pmod(F.xxhash64("nid"), "by").alias("yb"), F.lit(False).alias("isx"), "nid", "root", "own")
-        found = outside.unionByName(inside).groupBy("main", "xb", "yb").applyInArrow(_block(pct), "a long, b long")
+        placed = spread(placed, plan, "main", "nid")
+        outside = placed.where("outside").select("main", F.pmod(F.xxhash64("nid"), "bx").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("by") - 1)).alias("yb"), F.lit(True).alias("isx"), "nid", "root")
+        inside = placed.select("main", F.explode(F.sequence(F.lit(0), F.col("bx") - 1)).alias("xb"), F.pmod(F.xxhash64("nid"), "by").alias("yb"), F.lit(False).alias("isx"), "nid", "root")
+        found = outside.unionByName(inside).join(texts.unionByName(more), "nid").groupBy("main", "xb", "yb").applyInArrow(_block(pct, k), "a long, b long")
         roots = connected(links.unionByName(scratch.write(found, "links")), scratch)
+        scratch.drop(more)
 
     whole = nodes.select("nid", "print", "label").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     least = whole.groupBy("root").agg(F.min("label").alias("least"))
-    named = whole.join(least, "root").select("print", "least")
-    out = rows.select("k", "n", "print").join(named, "print", "left").select("k", "n", F.coalesce("least", "k").alias("least"))
+    named = scratch.write(spread(whole, least, "root", "nid").select("print", "least"), "named")
+    scratch.drop(groups, texts, torn)
+    return rows.select("k", "th", "n", "print"), named
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = 85, k: int = 5) -> DataFrame:
+    """Components of documents whose shingle sets have a Jaccard similarity of ``pct`` percent or more.
+
+    Returns one row a document: ``id_col``, n_shingles (distinct), component_id (the smallest id that links
+    reach, its own included), kept (the id is the component's).
+
+    Words are lower-cased (A-Z). Null or empty texts have no shingles, link with nothing and stay. A null id counts
+    as the largest. Rows that repeat a text are linked by their equal sets, and rows that repeat an id too are all
+    kept or all dropped; ``one_of_each`` keeps one of them. Two texts under one id are separate sets whose components show that id. Extra
+    columns are ignored; an empty table gives an empty result.
+    """
+    rows, named = _components(_keyed(docs, id_col, text_col), pct, k)
+    full = spread(rows.where("n > 0"), named, "print", "k").select("k", "n", F.col("least.k").alias("least"))
+    out = full.unionByName(rows.where("n = 0").select("k", "n", F.col("k").alias("least")))
     return out.select(shown().alias(id_col), F.col("n").alias("n_shingles"), shown("least").alias("component_id"), (F.col("k") == F.col("least")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = 85, k: int = 5) -> DataFrame:
+    """One row of each component of near-duplicates, with all its columns: the row with the smallest id, of equal ids the one of the least digest of its text.
+
+    Of rows that share id and text the least in the other columns stays (columns without an order are not compared). A null id counts as the largest. Rows without
+    words are linked with nothing and all stay. Columns may have any names; an empty table stays empty.
+    """
+    _, named = _components(_keyed(docs, id_col, text_col), pct, k)
+    chosen = named.select("least.k", "least.th").distinct()
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*columns)
+    at_id, at_text = (F.col(columns[docs.columns.index(c)]) for c in (id_col, text_col))
+    has = F.coalesce(at_text.cast("string").rlike(WORD), F.lit(False))
+    ordered = [f.name for f in own.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant", "interval"))]
+    wordy = own.where(has).select(F.coalesce(at_id.cast("bigint"), F.lit(NULL_ID)).alias("k"), F.unhex(F.md5(at_text.cast("string"))).alias("th"), F.struct(*columns).alias("all"), F.struct(*ordered).alias("by"))
+    one = wordy.join(chosen, ["k", "th"], "left_semi").groupBy("k", "th").agg(F.min_by("all", "by").alias("all"))
+    return one.select("all.*").unionByName(own.where(~has)).toDF(*docs.columns)
