@@ -43,12 +43,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """How many words of each document a mixture takes.
 
     Returns one row a document: ``id_col``, ``source_col``, size (words), source_size, target (the source's budget in
-    words), taken (words of this document in the mixture, repeats counted). A source's taken words sum to its target
+    words), taken (words of this document in the mixture, repeats counted), text_digest (of its text). A source's taken words sum to its target
     rounded down; the document at the cut is taken in part. Every run gives the same rows.
 
     Null text has size 0; a null source is a source of its own, last in order. A null id is kept and hashed as an
-    empty string. Rows that repeat an id are ordered by size; where size is equal too, which of them is cut is not
-    told apart. A source without words takes none. Extra columns are ignored; an empty table gives an empty result.
+    empty string. Rows that repeat an id are ordered by size, then by the digest of their text; where that is equal too,
+    which of them is cut is not told apart. A source without words takes none. Extra columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     k = F.coalesce(docs[id_col].cast("bigint"), F.lit(NULL_ID))
@@ -59,6 +59,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
             docs[source_col].cast("string").alias("source"),
             F.coalesce(F.regexp_count(docs[text_col].cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
             F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").alias("key"),
+            F.unhex(F.md5(docs[text_col].cast("string"))).alias("th"),
         ),
         "sizes",
     )
@@ -69,7 +70,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     placed = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("range", F.floor(F.col("key") * (F.col("ranges") / _KEYS)))
     totals = placed.groupBy("sid", "range").agg(F.sum("size").alias("words"))
     offsets = totals.select("sid", "range", F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("sid", "range").orderBy("key", "k", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "range").orderBy("key", "k", "size", "th").rowsBetween(Window.unboundedPreceding, -1)
     ordered = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["sid", "range"])
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("offset") - F.col("inside")))
-    return ordered.select(F.when(F.col("k") != NULL_ID, F.col("k")).alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("bigint").alias("taken"))
+    return ordered.select(F.when(F.col("k") != NULL_ID, F.col("k")).alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("bigint").alias("taken"), F.col("th").alias("text_digest"))
