@@ -15,7 +15,7 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     common case, is one round, a path halves. Tables are written between rounds; nothing is collected.
     """
     left = scratch.write(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    roots = None
+    roots, last = None, None
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
         step = scratch.write(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")).withColumnRenamed("a", "node"), "step")
@@ -27,5 +27,8 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
         a = step.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         b = step.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         moved = left.join(a, "a").join(b, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
-        left = scratch.write(moved, "edges")
+        done, left = left, scratch.write(moved, "edges")
+        # the first step is read as the roots until the second round has written them
+        scratch.drop(done, *([] if last is None else [step]))
+        last = step
     return left.selectExpr("a as node", "b as root") if roots is None else roots
