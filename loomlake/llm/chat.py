@@ -1,9 +1,12 @@
 """Chat formatting into windows of a token budget.
 
 Turns are sorted by range over the cluster and numbered in that order; prefix sums of their tokens, within a partition and over
-the few partition totals of a conversation, place every turn without bringing a conversation to one task. A turn belongs to the
-window ``tokens before it // budget``, so windows hold whole turns. Each later window begins with the conversation's system turn
-and with the turns just before it, up to ``history`` tokens; those are context, and their targets are not trained on again.
+the few partition totals of a conversation, place every turn without bringing a conversation to one task. The sums are cut into cells as
+wide as a window has room for own turns. Turns inside a cell are a window; a turn that crosses into the next cell joins its
+cell's window if it fits, else the window of the cell that it ends in, else it is one by itself. So every window
+keeps to the budget, but for a single turn that exceeds it, and no window waits for the one before it. Each later window begins
+with the conversation's system turn and with the turns just before it, up to ``history`` tokens and the room that is left; those are context, and
+their targets are not trained on again.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlake.llm.frames import NULL_ID, WORD, shown
+from loomlake.llm.frames import NULL_ID, WORD, shown, spread
 from loomlake.scratch import Scratch
 
 #: A turn is written as ``### role: text</turn>`` and a line break; texts and roles hold none of these strings unescaped.
@@ -43,15 +46,16 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def format_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = 512, history: int = 128, target: str = "assistant") -> DataFrame:
     """Windows of conversations as text, with the spans to train on.
 
-    Returns ``conv_col``, window, n_turns (the window's own), n_context (turns repeated at its start), formatted,
+    Returns ``conv_col``, window (0, then rising, with gaps), n_turns (the window's own), n_context (turns repeated at its start), formatted,
     loss (spans of ``formatted``, in code points, that hold the escaped text of the window's own ``target`` turns).
-    A turn has as many tokens as words and four for its marks; the system turn, a first turn of role system, counts none.
-    A turn over the budget is a window of its own with what precedes it. ``history`` must not exceed ``budget``.
+    A turn has as many tokens as words and four for its marks. The system turn is a first turn of role system. A window's turns, context and system turn
+    included, have ``budget`` tokens at most, unless it has one own turn that with the system turn exceeds them; that one gets no other context.
+    ``history`` must not exceed ``budget``.
 
     Null texts and roles are empty. A null turn comes last, a null conversation is one conversation of its own. Turns with equal
     numbers go by role, then text; repeated rows are turns of their own. Extra columns are ignored; an empty table gives no windows.
     """
-    if history > budget:
+    if not 0 <= history <= budget:
         raise ValueError("history must not exceed budget")
     scratch = Scratch(turns.sparkSession, "chat")
     rows = turns.select(
@@ -60,24 +64,48 @@ def format_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     )
     order = ["k", "turn", "role", "text"]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("g", F.monotonically_increasing_id())
-    ordered = scratch.write(ranged.withColumn("part", F.shiftright("g", 33)), "turns")
+    size = (F.regexp_count("text", F.lit(WORD)) + 4).cast("bigint")
+    ordered = scratch.write(ranged.withColumn("part", F.shiftright("g", 33)).withColumn("tokens", size), "turns")
     first = ordered.groupBy("k").agg(F.min("g").alias("g"))
-    system = scratch.write(ordered.join(first, ["k", "g"], "left_semi").where("role = 'system'").select("k", "g", "role", "text"), "system")
-    tokens = F.when(F.col("s").isNull(), F.regexp_count("text", F.lit(WORD)) + 4).otherwise(0)
-    counted = ordered.join(system.select("g", F.lit(True).alias("s")), "g", "left")
-    counted = counted.withColumn("tokens", tokens.cast("bigint"))
-    totals = counted.groupBy("k", "part").agg(F.sum("tokens").alias("sum"))
-    offsets = totals.select("k", "part", F.coalesce(F.sum("sum").over(Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    system = scratch.write(ordered.join(first, ["k", "g"], "left_semi").where("role = 'system'").select("k", "g", "role", "text", "tokens"), "system")
+    # the system turn is in every window, so it takes room from each and no place in the sums
+    counted = ordered.join(system.select("g", F.lit(True).alias("s")), "g", "left").withColumn("system", F.col("s").isNotNull())
+    counted = counted.withColumn("tokens", F.when(F.col("system"), 0).otherwise(F.col("tokens")))
+    totals = counted.groupBy("k", "part").agg(F.sum("tokens").alias("sum")).join(system.select("k", F.col("tokens").alias("lead")), "k", "left")
+    room = F.lit(budget) - F.coalesce("lead", F.lit(0))
+    cell = F.greatest(room - history, F.floor(room / 2), F.lit(1)).cast("bigint")
+    before = F.coalesce(F.sum("sum").over(Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select("k", "part", before.alias("offset"), room.alias("room"), cell.alias("cell"), F.col("lead").isNotNull().alias("led"))
     inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("k", "part").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counted.withColumn("inside", inside).join(offsets, ["k", "part"])
-    placed = placed.select("k", "g", "role", "text", F.col("s").isNotNull().alias("system"), (F.col("inside") + F.col("offset")).alias("before"))
-    placed = scratch.write(placed.withColumn("w", F.floor(F.col("before") / budget)), "placed")
-    begins = placed.groupBy("k", "w").agg(F.min("before").alias("begin"))
-    own = placed.select("k", "w", F.lit(False).alias("ctx"), "g", "role", "text")
-    after = begins.select("k", (F.col("w") - 1).alias("w"), "begin")
-    past = placed.where("not system").join(after, ["k", "w"]).where(F.col("before") >= F.col("begin") - history).select("k", (F.col("w") + 1).alias("w"), F.lit(True).alias("ctx"), "g", "role", "text")
-    lead = begins.where("w > 0").join(system, "k").select("k", "w", F.lit(True).alias("ctx"), "g", "role", "text")
-    windows = own.unionByName(past).unionByName(lead).groupBy("k", "w").agg(F.sort_array(F.collect_list(F.struct("g", "ctx", "role", "text"))).alias("turns"))
+    placed = counted.withColumn("inside", inside).join(offsets, ["k", "part"]).withColumn("before", F.col("inside") + F.col("offset"))
+    placed = placed.withColumn("at", F.expr("before div cell")).withColumn("to", F.expr("(before + tokens) div cell"))
+    crossing = F.col("before") + F.col("tokens") > (F.col("at") + 1) * F.col("cell")
+    placed = scratch.write(placed.select("k", "g", "role", "text", "system", "tokens", "before", "at", "to", crossing.alias("crossing"), "cell", "room", "led"), "placed")
+
+    # of each cell: tokens of the turns inside, and the one turn, if any, that crosses out of it
+    crosses = F.max(F.when(F.col("crossing"), F.col("tokens")))
+    cells = placed.groupBy("k", "at").agg(F.coalesce(F.sum(F.when(~F.col("crossing"), F.col("tokens"))), F.lit(0)).alias("own"), crosses.alias("out"), F.first("cell").alias("cell"))
+    cells = cells.withColumn("takes", F.coalesce((F.col("own") > 0) & (F.col("own") + F.col("out") <= F.col("cell")), F.lit(False)))
+    cells = scratch.write(cells.withColumn("full", F.col("own") + F.when(F.col("takes"), F.col("out")).otherwise(0)), "cells")
+    stays = cells.select("k", "at", "takes")
+    ahead = cells.where("own > 0").select("k", F.col("at").alias("to"), "full")
+    joined = placed.where("crossing").select("k", "g", "at", "to", "tokens", "cell").join(stays, ["k", "at"]).join(ahead, ["k", "to"], "left")
+    with_next = F.coalesce(F.col("full") + F.col("tokens") <= F.col("cell"), F.lit(False))
+    joined = joined.select("g", F.when(F.col("takes"), 2 * F.col("at") + 1).when(with_next, 2 * F.col("to") + 1).otherwise(2 * F.col("at") + 2).alias("w"))
+    # the turns of cell 0 come first, and a turn that crosses out of it from its beginning, if no system turn is before it
+    head = (F.col("w") == 1) | ((F.col("w") == 2) & (F.col("before") == 0) & ~F.col("led"))
+    placed = scratch.write(placed.join(joined, "g", "left").withColumn("w", F.coalesce("w", 2 * F.col("at") + 1)).drop("at", "to", "crossing", "cell").withColumn("head", head), "windows")
+
+    begins = placed.where("not head").groupBy("k", "w").agg(F.min("before").alias("begin"), F.sum("tokens").alias("own"), F.first("room").alias("room"))
+    past_room = F.greatest(F.lit(0), F.least(F.lit(history), F.col("room") - F.col("own")))
+    own = placed.select("k", "w", F.lit(False).alias("ctx"), "head", "g", "role", "text")
+    span = max(1, history)
+    reach = begins.withColumn("since", F.greatest(F.lit(0), F.col("begin") - past_room)).where("since < begin")
+    reach = reach.select("k", "w", "begin", "since", F.explode(F.sequence(F.expr(f"since div {span}"), F.expr(f"(begin - 1) div {span}"))).alias("bucket"))
+    turns_before = placed.where("not system").select("k", F.expr(f"before div {span}").alias("bucket"), "before", "g", "role", "text")
+    past = turns_before.join(reach, ["k", "bucket"]).where("before >= since and before < begin").select("k", "w", F.lit(True).alias("ctx"), F.lit(False).alias("head"), "g", "role", "text")
+    lead = spread(begins.select("k", "w"), system, "k", "w").select("k", "w", F.lit(True).alias("ctx"), F.lit(False).alias("head"), "g", "role", "text")
+    windows = own.unionByName(past).unionByName(lead).groupBy("k", "w").agg(F.max("head").alias("head"), F.sort_array(F.collect_list(F.struct("g", "ctx", "role", "text"))).alias("turns"))
     pieces = F.transform("turns", lambda t: F.struct(t["ctx"].alias("ctx"), (t["role"] == target).alias("train"), F.concat(F.lit(OPEN), escape(t["role"], True), F.lit(MID)).alias("head"), escape(t["text"]).alias("body")))
     windows = windows.withColumn("pieces", pieces)
 
@@ -90,7 +118,7 @@ def format_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("loss"))
     return windows.select(
         shown().alias(conv_col),
-        F.col("w").alias("window"),
+        F.when(F.col("head"), 0).otherwise(F.col("w") - 1).alias("window"),
         F.size(F.filter("pieces", lambda p: ~p["ctx"])).alias("n_turns"),
         F.size(F.filter("pieces", lambda p: p["ctx"])).alias("n_context"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "").alias("formatted"),

@@ -179,7 +179,9 @@ def test_chat(spark):
     rows = [(c, t, rng.choice(["system"] if t == 0 and c % 3 == 0 else ["user", "assistant", "a:b"]), "".join(rng.choice(bits) for _ in range(rng.randint(0, 60)))) for c in range(12) for t in range(rng.randint(1, 30))]
     rows += [(50, t, "assistant" if t % 2 else "user", f"turn {t} " + "w " * 40) for t in range(400)]
     rows += [(None, 0, "user", None), (60, None, None, "x"), (61, 1, "user", "same"), (61, 1, "user", "same"), (62, 0, "assistant", "long " * 5000)]
-    windows = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), budget=128, history=64)
+    rows += [(70, t, "system" if t == 0 else "user", "s " * n) for t, n in enumerate((40, 496, 496, 1, 476, 60, 3, 0, 124, 125, 30))]
+    clashing = [(*r, "x", 1, 2, True, 3) for r in rows]
+    windows = chat.format_windows(spark.createDataFrame(clashing, "conv_id long, turn long, role string, text string, k string, w int, g int, system boolean, tokens int").repartition(5), budget=128, history=64)
     got = {r.conv_id: r for r in chat.read_back(windows).collect()}
     conv = {}
     for c, t, r, x in sorted(rows, key=lambda r: (brute.key(r[0]), brute.key(r[1]), r[2] or "", r[3] or "")):
@@ -189,6 +191,19 @@ def test_chat(spark):
         loss = "".join(x for r, x in turns if r == "assistant")
         whole = "".join(f"{r}\n{x}\n" for r, x in turns)
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    cost = lambda text: len(brute.WORD.findall(text)) + 4
+    largest, alone = 0, 0
+    for r in windows.collect():
+        parts = chat.parse(r.formatted)
+        total = sum(cost(text) for _, text in parts)
+        one = r.n_turns == 1 and r.n_context <= (parts[0][0] == "system")
+        assert total <= 128 or one or (r.n_turns == 2 and parts[0][0] == "system" and not r.n_context)
+        largest, alone = max(largest, total if total <= 128 else 0), alone + one
+    assert largest > 120 and alone
+    by_conv = {}
+    for r in windows.collect():
+        by_conv.setdefault(r.conv_id, []).append(r)
+    assert all(min(r.window for r in w) == 0 and len({r.window for r in w}) == len(w) and sum(r.n_turns for r in w) == got[c].n_turns for c, w in by_conv.items())
     repeated = windows.where("conv_id = 50").collect()
     assert all(r.n_context > 0 for r in repeated if r.window > 0)
     for r in windows.where("conv_id = 0 and window > 0").collect():
