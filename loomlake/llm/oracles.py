@@ -1,6 +1,6 @@
 """The same results in DuckDB SQL, where SQL can say them; written for small tables."""
 
-from loomlake.llm.quality import BOILERPLATE
+from loomlake.llm.quality import BOILERPLATE, MARKS, UNMARKED
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')"
 _MIX = """
@@ -95,7 +95,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesc
 ), judged AS (
   SELECT doc_id, line, len(ws) AS n, len(ws) > 0 AND (
     len(list_filter(ws, lambda x: x LIKE '%!!')) * 2 >= len(ws)
-    OR (NOT regexp_matches(line, '[.,;:!?…。¿¡]') AND len(ws) >= 8)
+    OR (NOT regexp_matches(line, '[{marks}]') AND len(ws) >= 8)
     OR len(list_filter(ws, lambda x: x IN ('|', '»', '›', '·', '•'))) >= 3
     OR regexp_matches(lower(line), '{phrases}')
     OR (length(line) - length(translate(line, '#*$%&|<>', ''))) * 2 >= len(ws)
@@ -110,7 +110,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesc
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= 50 * n_words AS kept FROM m
-""".replace("{phrases}", "|".join(BOILERPLATE))
+""".replace("{phrases}", "|".join(BOILERPLATE)).replace("{marks}", MARKS + UNMARKED)
 
 ORACLES: dict[str, str] = {
     "op2_mixing": _MIX,

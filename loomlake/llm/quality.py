@@ -19,6 +19,10 @@ BOILERPLATE = (
 )
 #: A line is navigation if it holds this many menu separators.
 MENU = 3
+#: Closing marks and those inside sentences, of Latin, Greek and Cyrillic text, Chinese and Japanese, Arabic, the Indic scripts, Armenian, Ethiopic, Burmese, Khmer, Tibetan, Mongolian.
+MARKS = ".,;:!?…¿¡" + "。、，．；：！？" + "؟،؛۔" + "।॥" + "։՝՞՜" + "።፣፤፥፦፧" + "၊။" + "។" + "།" + "᠂᠃"
+#: Letters of scripts whose sentences need no marks: Thai and Lao.
+UNMARKED = "\u0E00-\u0EFF"
 #: Per cent of a document's words in failing lines beyond which it is rejected.
 LOSS = 50
 
@@ -36,23 +40,22 @@ def _symbols(text: Column) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))
 
 
-def line_fails(line: Column, words: Column) -> Column:
-    """Whether a line, given with its words, is no prose.
+def line_fails(line: Column, n: Column, n_distinct: Column, boilerplate: tuple[str, ...] = BOILERPLATE, menu: int = MENU) -> Column:
+    """Whether a line of n words, n_distinct of them distinct, is no prose.
 
-    Punctuation: it is shouted (every other word ends in two marks), or has neither a closing mark nor any inside.
-    Navigation: it has ``MENU`` or more menu separators between its words. Boilerplate: it holds a phrase of the list,
+    Punctuation: it is shouted (every other word ends in two marks), or has eight words and neither a closing mark nor any inside, in a script that
+    uses them. Navigation: it has ``menu`` or more menu separators between its words. Boilerplate: it holds a phrase of the list,
     or as many symbols as half its words, or has under a quarter of its words distinct. A line without words never fails.
     """
-    n = F.size(words)
     # a plain search goes first where it spares most lines the count
     shouted = F.contains(line, F.lit("!!")) & (F.regexp_count(line, F.lit(r"!!(?=[\x20\x09-\x0D]|$)")) * 2 >= n)
-    bare = (n >= 8) & ~line.rlike(r"[.,;:!?…。¿¡]")
-    menu = line.rlike("[|»›·•]") & (F.regexp_count(line, F.lit(r"(^|[\x20\x09-\x0D])[|»›·•](?=[\x20\x09-\x0D]|$)")) >= MENU)
+    bare = (n >= 8) & ~line.rlike(f"[{MARKS}{UNMARKED}]")
+    menus = line.rlike("[|»›·•]") & (F.regexp_count(line, F.lit(r"(^|[\x20\x09-\x0D])[|»›·•](?=[\x20\x09-\x0D]|$)")) >= menu)
     low = F.lower(line)
-    phrase = reduce(Column.__or__, (F.contains(low, F.lit(p)) for p in BOILERPLATE))
+    phrase = reduce(Column.__or__, (F.contains(low, F.lit(p)) for p in boilerplate), F.lit(False))
     symbols = line.rlike(f"[{SYMBOLS}]") & (_symbols(line) * 2 >= n)
-    repeated = (n >= 16) & (F.size(F.array_distinct(words)) * 4 < n)
-    return (n > 0) & (shouted | bare | menu | symbols | repeated | phrase)
+    repeated = (n >= 16) & (n_distinct * 4 < n)
+    return (n > 0) & (shouted | bare | menus | symbols | repeated | phrase)
 
 
 def _repeat_words(words: Column) -> Column:
@@ -79,14 +82,15 @@ def _covered(at: Column) -> Column:
     return F.aggregate(at, zero, lambda acc, p: F.struct((p + 5).alias("end"), (acc["total"] + p + 5 - F.greatest(acc["end"], p)).alias("total")), lambda acc: acc["total"])
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss: int = LOSS, carry: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss: int = LOSS, carry: tuple[str, ...] = (), boilerplate: tuple[str, ...] = BOILERPLATE, menu: int = MENU) -> DataFrame:
     """Measures and verdict for each document, with the text that is left of it.
 
     Returns ``id_col``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words, clean_text,
     base_failed (under 10 words, or over 20 % of them in repeated windows of five), kept (not base_failed, and at
     most ``loss`` per cent of the words in failing lines). clean_text has the lines that did not fail.
 
-    Columns named in ``carry`` come along behind these.
+    Columns named in ``carry`` come along behind these. ``boilerplate`` are phrases in lower case, of whatever languages the corpus has; the default is
+    a short English list.
 
     Null text has no words and is rejected, like an empty one. Rows that repeat an id are judged one by one; a
     null id stays null. Extra columns are ignored; an empty table gives an empty result.
@@ -96,11 +100,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss:
     parts = base.withColumn("lines", F.split("text", "\n")).withColumn("by_line", _words_by_line(F.col("text")))
     parts = parts.withColumn("words", F.flatten("by_line")).withColumn("hashes", _repeat_words(F.col("words")))
     parts = parts.withColumn("placed", _placed(F.col("hashes"))).withColumn("twice", _twice(F.col("placed")))
-    at = lambda i: F.get("by_line", i)
-    parts = parts.withColumn("failing", F.filter(F.transform("lines", lambda line, i: F.when(line_fails(line, at(i)), i).otherwise(-1)), lambda i: i >= 0))
-    good = F.filter("lines", lambda line, i: ~F.array_contains("failing", i))
-    full = F.filter("lines", lambda line, i: F.size(at(i)) > 0)
-    lost = F.aggregate("failing", F.lit(0), lambda acc, i: acc + F.size(at(i)))
+    counts = lambda line, words: F.struct(line.alias("line"), F.size(words).alias("n"), F.when(F.size(words) >= 16, F.size(F.array_distinct(words))).otherwise(F.size(words)).alias("d"))
+    parts = parts.withColumn("counted", F.zip_with("lines", "by_line", counts))
+    parts = parts.withColumn("judged", F.transform("counted", lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), line_fails(x["line"], x["n"], x["d"], boilerplate, menu).alias("fails"))))
+    good = F.transform(F.filter("judged", lambda x: ~x["fails"]), lambda x: x["line"])
+    full = F.transform(F.filter("judged", lambda x: x["n"] > 0), lambda x: x["line"])
+    lost = F.aggregate("judged", F.lit(0), lambda acc, x: acc + F.when(x["fails"], x["n"]).otherwise(0))
     measured = parts.select(
         "k", *(f"__{i}" for i in range(len(carry))),
         F.size("words").cast("bigint").alias("n_words"),
@@ -108,7 +113,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss:
         _symbols(F.col("text")).cast("bigint").alias("n_symbols"),
         (F.size(full) - F.size(F.array_distinct(full))).cast("bigint").alias("n_dup_lines"),
         _covered(F.col("twice")).cast("bigint").alias("n_repeat_words"),
-        F.when(F.size("failing") == 0, F.col("text")).otherwise(F.array_join(good, "\n")).alias("clean_text"),
+        F.when(F.exists("judged", lambda x: x["fails"]), F.array_join(good, "\n")).otherwise(F.col("text")).alias("clean_text"),
         lost.cast("bigint").alias("n_removed_words"),
         # a column that is not deterministic keeps filters on the verdict from being copied below the measures
         F.monotonically_increasing_id().alias("row"),

@@ -7,21 +7,21 @@ many owners or many repositories hold is a copied example; one of few that looks
 stay, with their status; further candidates become spans where they are live.
 
 The scan runs once over the documents and writes its narrow result. Counting combines within each task first and shuffles hashes
-only; a hash that a third of the corpus holds is one row for each owner and task.
+only; a hash that a third of the corpus holds is one row for each owner and task, and its rows meet the counts in many tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.frames import NULL_ID, shown
+from loomlake.llm.frames import NULL_ID, shown, spread
 from loomlake.scratch import Scratch
 
 BASE = ("assign", "access", "hex")
@@ -33,10 +33,11 @@ _HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 #: Further kinds: prefixes of tokens, web tokens, credentials in addresses, long runs of mixed characters.
 _TOKEN = re.compile(r"\b(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza|npm_|hf_)[A-Za-z0-9_-]{16,}")
 _JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
-_URL = re.compile(r"://([^\s:/@]{1,64}):([^\s/@]{6,64})@")
+_URL = re.compile(r"://([^\s:/@]+):([^\s/@]+)@")
 _LONG = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
-#: A value in more rows than this is joined in so many parts.
-HOT, PARTS = 1000, 16
+#: Parts of a value that show a placeholder; those of passwords in addresses, which are short, go by more names.
+_PLACEHOLDERS = ("example", "changeme", "placeholder", "your_", "xxxx", "1234567")
+_PASSWORDS = ("password", "passwd", "secret", "username", "hunter2", "${", "{{", "<", "***")
 _OUT = "k long, owner string, repo string, n_assign long, n_access long, n_hex long, base string, found array<struct<kind: string, start: long, stop: long, hash: long, live: boolean>>"
 
 
@@ -60,7 +61,9 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 def further_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
     """Candidates beyond the base rules that overlap none of their spans, nor each other."""
-    out, taken = [], [(a, b) for _, a, b, _ in base]
+    out, taken = [], bytearray(len(text))
+    for _, a, b, _ in base:
+        taken[a:b] = b"\1" * (b - a)
     for kind, rule, group in (("jwt", _JWT, 0), ("token", _TOKEN, 0), ("url", _URL, 2), ("random", _LONG, 0)):
         if kind == "url" and "://" not in text:
             continue
@@ -69,16 +72,25 @@ def further_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tupl
             value = m[group]
             if kind == "random" and not (re.search("[a-z]", value) and re.search("[A-Z]", value) and len(re.findall("[0-9]", value)) >= 2 and entropy(value) >= 4):
                 continue
-            if all(b <= x or y <= a for x, y in taken):
+            if taken.find(1, a, b) < 0:
                 out.append((kind, a, b, value))
-                taken.append((a, b))
+                taken[a:b] = b"\1" * (b - a)
     return out
 
 
-def looks_live(value: str) -> bool:
-    """Random enough for a generated value: many distinct characters and no placeholder."""
-    low = value.lower()
-    return entropy(value) >= 3.0 and not any(x in low for x in ("example", "changeme", "placeholder", "your_", "xxxx", "1234567"))
+def looks_live(kind: str, value: str) -> bool:
+    """Random enough for a generated value: many distinct characters and no placeholder.
+
+    A password in an address may be short, so it needs four fifths of the entropy that its length allows, if that is less.
+    """
+    low, least = value.lower(), 3.0
+    if kind == "url":
+        least = min(least, 0.8 * math.log2(max(2, len(value))))
+    return entropy(value) >= least and not any(x in low for x in (*_PLACEHOLDERS, *(_PASSWORDS if kind == "url" else ())))
+
+
+def _hash(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def _scan(batches):
@@ -92,7 +104,7 @@ def _scan(batches):
             base = base_spans(text)
             spans = base + further_spans(text, base)
             counts = Counter(k for k, *_ in base)
-            found = [{"kind": k, "start": a, "stop": b, "hash": xxhash.xxh64_intdigest(v) - 2**63, "live": looks_live(v)} for k, a, b, v in spans]
+            found = [{"kind": k, "start": a, "stop": b, "hash": _hash(v), "live": looks_live(k, v)} for k, a, b, v in spans]
             rows.append((counts["assign"], counts["access"], counts["hex"], listed([s[:3] for s in base], KINDS), found))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 5
         yield pa.record_batch([batch.column(c) for c in ("k", "owner", "repo")] + [pa.array(columns[i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), kind))], names=["k", "owner", "repo", "n_assign", "n_access", "n_hex", "base", "found"])
@@ -114,12 +126,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(NULL_ID)).alias("k"), text(owner_col).alias("owner"), F.concat_ws("\1", *map(text, repo_cols)).alias("repo"), docs[text_col].cast("string").alias("text"))
     scanned = scratch.write(base.mapInArrow(_scan, _OUT).withColumn("row", F.monotonically_increasing_id()), "scan")
     found = scanned.select("row", "owner", "repo", F.explode("found").alias("f")).select("row", "owner", "repo", "f.*")
-    held = found.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count("*").alias("repos"), F.sum("n").alias("n"))
-    # a value in very many rows meets its count in several tasks, any other in one
-    placed = found.withColumn("part", F.pmod("row", F.lit(PARTS)).cast("int"))
-    hot = held.where(F.col("n") > HOT).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    columns = ["row", "kind", "start", "stop", "live", "owners", "repos"]
-    joined = placed.join(hot, ["hash", "part"]).select(columns).unionByName(placed.join(held.where(F.col("n") <= HOT), "hash").select(columns))
+    held = found.select("hash", "owner", "repo").distinct().groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count("*").alias("repos"))
+    joined = spread(found, held, "hash", "row").select("row", "kind", "start", "stop", "live", "owners", "repos")
     status = F.when((F.col("owners") > max_owners) | (F.col("repos") > max_repos), "copied").when(F.col("live"), "live").otherwise("plain")
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     judged = joined.withColumn("status", status).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", place.alias("place"), "stop", "kind", "status", "owners", "repos"))).alias("all"))

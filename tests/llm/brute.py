@@ -117,7 +117,7 @@ def line_fails(line):
         return False
     return (
         2 * sum(x.endswith("!!") for x in w) >= len(w)
-        or (not re.search("[.,;:!?…。¿¡]", line) and len(w) >= 8)
+        or (not re.search("[.,;:!?…¿¡。、，．；：！？؟،؛۔।॥։՝՞՜።፣፤፥፦፧၊။។།᠂᠃\u0e00-\u0eff]", line) and len(w) >= 8)
         or sum(x in "|»›·•" for x in w) >= 3
         or any(p in line.lower() for p in BOILERPLATE)
         or 2 * len(re.findall("[#*$%&|<>]", line)) >= len(w)

@@ -158,6 +158,15 @@ def test_quality(spark, rows):
     same(quality.judge(frame(spark, rows + junk)), brute.judged(rows + junk), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "base_failed", "kept")
 
 
+def test_quality_of_other_scripts_and_many_lines(spark):
+    hindi, thai, plain = "यह एक साधारण वाक्य है जो यहाँ लिखा गया।", "ก ข ค ง จ ฉ ช ซ ฌ ญ ฎ ฏ", "one two three four five six seven eight nine"
+    rows = [(1, f"{hindi}\nवह कल शहर से नई किताब लेकर घर आया था।"), (2, thai + " " + "\n" + hindi), (3, plain), (4, "\n".join(f"line number {i} says something of its own." for i in range(20000)))]
+    got = {r.doc_id: r for r in quality.judge(frame(spark, rows)).collect()}
+    assert [got[i].n_removed_words for i in (1, 2, 3, 4)] == [0, 0, 9, 0] and got[1].kept and got[4].n_words == 160000
+    own = quality.judge(frame(spark, rows), boilerplate=("says something",), menu=1).collect()
+    assert {r.doc_id: r.n_removed_words for r in own}[4] == 160000
+
+
 def test_mixing(spark):
     rng = random.Random(8)
     rows = [(d, rng.choice(["a", "a", "a", "b", "c", "é", None, "z"]), "w " * rng.randint(0, 40)) for d in range(300)] + [(None, "a", "x y"), (7, "b", None), (8, "empty", "")]
@@ -265,6 +274,26 @@ def test_secrets(spark):
     assert [s[:3] for s in secret_scan.base_spans(text) if s[0] == "assign"] == expected
 
 
+def test_secret_base_rules():
+    rng = random.Random(4)
+    bits = ["token", "PassWord", "api_key", "apikey", "\"", "'", " ", "=", ":", "abcd1234", "AKIA", "B7C8D9E0", "0123456789abcdef", "F", "é", ".", "\n", "secret", "passwd", "-/"]
+    for _ in range(6000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        expected = [("assign", *m.span()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 8]
+        expected += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        expected += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        assert sorted(s[:3] for s in secret_scan.base_spans(t)) == sorted(expected)
+
+
+def test_secrets_in_addresses():
+    found = lambda t: [(k, v, secret_scan.looks_live(k, v)) for k, _, _, v in secret_scan.further_spans(t, secret_scan.base_spans(t))]
+    long = "Zq7" * 40
+    assert found(f"x://me:{long}@h y://me:k3P9a2@h z://me:aaaaaa@h w://me:password@h") == [("url", long, False), ("url", "k3P9a2", True), ("url", "aaaaaa", False), ("url", "password", False)]
+    # many candidates in one text, in time linear in it
+    many = " ".join(f"ghp_{i:020d}aB" for i in range(30000))
+    assert len(secret_scan.further_spans(many, [])) == 30000
+
+
 def test_secrets_in_many_repositories_of_one_owner(spark):
     spread, own = "ghp_Q7w2E9r4T1y6U3i8O5p0", "ghp_Z1x8C3v6B5n4M7a2S9d0"
     rows = [("x", i, f"key {spread} here", f"l{i}", "s", 1, "t", 2, "w", "h") for i in range(6)]
