@@ -4,11 +4,11 @@ Every line with a word is a symbol. Prefix doubling ranks the suffixes of all do
 lines: the pair of a suffix's rank and that of the suffix half as far on is sorted by range over the cluster,
 and its place in that order is the new rank. A suffix whose prefix is unique can start no longer repeat and leaves.
 
-Suffixes that share their first m lines are an interval of the suffix array with that longest common prefix. A
-maximal repeated run of at least ``min_words`` words is the union of its shortest windows of that many words, those
-that begin at each of its lines and those that end there, so the intervals of those windows give exactly the
-lines of the maximal runs; none is longer than ``min_words`` lines, which bounds the doubling. In each interval the first window in
-(document, line) order stays and the lines of the later ones go.
+Suffixes that share their first m lines are an interval of the suffix array with a longest common prefix of m lines or more; the pair of
+the ranks of its first and of its last 1, 2, 4, ... of these lines names it. A maximal repeated run of at least ``min_words`` words is the union of its
+shortest windows of that many words, those that begin at each of its lines and those that end there, so the intervals of those
+windows give exactly the lines of the maximal runs (a test extends every pair of places as far as it goes and compares); none is longer than ``min_words`` lines,
+which bounds the doubling. In each interval the first window in (document, line) order stays and the lines of the later ones go.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def _ranked(distinct: DataFrame, *by: str) -> DataFrame:
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10) -> DataFrame:
     """(k, th, removed): line numbers, ascending, that are a later copy of a repeated run; documents without any are absent.
 
-    ``k`` is the id (null: the largest), ``th`` a hash of the text.
+    ``k`` is the id (null: the largest), ``th`` a hash of the text. Rows that repeat both count once here, so the answer is that of the first of them.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     base = keyed(docs, id_col, text_col).where("text is not null")
@@ -74,8 +74,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         tail = level.select("k", "th", F.col("at").alias("end"), F.col("rank").alias("tail"))
         named = mine.join(level, ["k", "th", "at"]).withColumn("end", F.col("at") + F.col("m") - step).join(tail, ["k", "th", "end"])
         interval = ["m", "rank", "tail"]
-        first = named.groupBy(*interval).agg(F.min(F.struct("k", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        later = named.join(first, interval).where(F.struct("k", "at") > F.col("first"))
+        first = named.groupBy(*interval).agg(F.min(F.struct("k", "th", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        later = named.join(first, interval).where(F.struct("k", "th", "at") > F.col("first"))
         found.append(later.select("k", "th", F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("at")))
         if 2 * step <= longest:
             level = _double(level, step, scratch)
@@ -97,22 +97,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with later copies of repeated runs of lines deleted, and n_lines and n_removed added.
 
     A run is one or more whole lines, as they follow each other in a document (lines without a word are passed over, and
-    stay), with ``min_words`` words or more. Of all places where a run occurs, the one with the smallest (id, line) stays.
+    stay), with ``min_words`` words or more. Of all places where a run occurs, the first in the order of id, text hash and line stays.
     n_lines counts lines with a word; n_removed those deleted.
 
-    Null text stays null with no lines. A null id counts as the largest. Rows that repeat an id and a text are one
-    document and lose the same lines; of two texts under one id, runs at the same line are not later than each other. Other columns
-    stay as they are, whatever their names but n_lines, n_removed; an empty table gives an empty result.
+    Null text stays null with no lines. A null id counts as the largest. Of rows that repeat an id and a text, one is the first and the others are copies of it:
+    they lose all lines with a word, if these have ``min_words`` words together. Other columns stay as they are, whatever their names; where the
+    caller has n_lines or n_removed, the new columns take their place. An empty table gives an empty result.
     """
-    removed = repeated_lines(docs, id_col, text_col, min_words).select(F.col("k").alias("__k"), F.col("th").alias("__th"), F.col("removed").alias("__removed"))
-    k = F.coalesce(docs[id_col].cast("bigint"), F.lit(NULL_ID))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    whole = docs.select(*kept, k.alias("__k"), F.xxhash64(docs[text_col].cast("string")).alias("__th"))
-    joined = whole.join(removed, ["__k", "__th"], "left").withColumn("__lines", F.split(F.col(text_col).cast("string"), "\n"))
-    text = F.when(F.col("__removed").isNull(), F.col(text_col).cast("string")).otherwise(_rest(F.col("__lines"), F.col("__removed")))
-    n_lines = F.coalesce(F.size(F.filter("__lines", lambda x: x.rlike(WORD))), F.lit(0)).cast("bigint")
-    n_removed = F.coalesce(F.size("__removed"), F.lit(0)).cast("bigint")
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in kept], F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).alias("n_lines"), F.when(F.col("__removed").isNull(), 0).otherwise(n_removed).alias("n_removed"))
-
-
-
+    names = [f"c{i}" for i in range(len(kept))]
+    own = docs.select(*kept).toDF(*names)
+    text = F.col(names[kept.index(text_col)]).cast("string")
+    # a null text is a row by itself, so that many of them are no hot key
+    th = F.when(text.isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(text))
+    whole = own.select(*names, F.coalesce(F.col(names[kept.index(id_col)]).cast("bigint"), F.lit(NULL_ID)).alias("k"), th.alias("th"))
+    joined = whole.join(repeated_lines(docs, id_col, text_col, min_words), ["k", "th"], "left")
+    joined = joined.withColumn("turn", F.row_number().over(Window.partitionBy("k", "th").orderBy("k"))).withColumn("lines", F.split(text, "\n"))
+    has = lambda x: x.rlike(WORD)
+    copy = (F.col("turn") > 1) & (F.regexp_count(text, F.lit(WORD)) >= min_words)
+    n_lines = F.coalesce(F.size(F.filter("lines", has)), F.lit(0)).cast("bigint")
+    n_removed = F.when(copy, n_lines).otherwise(F.coalesce(F.size("removed"), F.lit(0)).cast("bigint"))
+    rest = F.when(copy, F.array_join(F.filter("lines", lambda x: ~has(x)), "\n")).when(F.col("removed").isNull(), text).otherwise(_rest(F.col("lines"), F.col("removed")))
+    none = F.lit(0).cast("bigint")
+    out = [rest.alias(c) if c == text_col else F.col(n).alias(c) for n, c in zip(names, kept, strict=True)]
+    return joined.select(*out, F.when(text.isNull(), none).otherwise(n_lines).alias("n_lines"), F.when(text.isNull(), none).otherwise(n_removed).alias("n_removed"))

@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter
 
+import xxhash
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -143,27 +145,32 @@ def judged(rows):
 
 
 def lines(rows, least=10):
-    docs = []
+    """Every place of a line against every earlier one, extended as far as they agree; rows that repeat whole are copies of the first."""
+    docs, seen = [], set()
     for d, t in rows:
         raw = (t or "").split("\n")
-        docs.append((key(d), t, raw, [(p, x, len(WORD.findall(x))) for p, x in enumerate(raw) if WORD.search(x)]))
-    first = {}
-    runs = []
-    for n, (k, _, _, own) in enumerate(docs):
-        for a in range(len(own)):
-            for m in range(1, least + 1):
-                part = own[a : a + m]
-                if len(part) == m and sum(x[2] for x in part) >= least:
-                    g = tuple(x[1] for x in part)
-                    runs.append((n, k, a, m, g))
-                    first[g] = min(first.get(g, (k, a)), (k, a))
-    gone = {}
-    for n, k, a, m, g in runs:
-        if first[g] < (k, a):
-            gone.setdefault(n, set()).update(range(a, a + m))
+        own = [(p, x, len(WORD.findall(x))) for p, x in enumerate(raw) if WORD.search(x)]
+        docs.append(((key(d), xxhash.xxh64((t or "").encode(), seed=42).intdigest() - (2**64 if xxhash.xxh64((t or "").encode(), seed=42).intdigest() >= 2**63 else 0)), t, raw, own, (d, t) in seen))
+        seen.add((d, t))
+    places = {}
+    for n, (k, _, _, own, copy) in enumerate(docs):
+        if not copy:
+            for a, x in enumerate(own):
+                places.setdefault(x[1], []).append((k, a, n))
     out = []
     for n, (d, t) in enumerate(rows):
-        own = docs[n][3]
-        drop = {own[i][0] for i in gone.get(n, ())}
-        out.append((d, None if t is None else "\n".join(x for p, x in enumerate(docs[n][2]) if p not in drop), len(own), len(drop)))
+        k, _, raw, own, copy = docs[n]
+        gone = set()
+        if copy and sum(x[2] for x in own) >= least:
+            gone = set(range(len(own)))
+        for a in range(len(own)):
+            for kk, aa, m in places[own[a][1]]:
+                if (kk, aa) < (k, a) and not copy:
+                    size, other = 0, docs[m][3]
+                    while a + size < len(own) and aa + size < len(other) and own[a + size][1] == other[aa + size][1]:
+                        size += 1
+                    if sum(x[2] for x in own[a : a + size]) >= least:
+                        gone.update(range(a, a + size))
+        drop = {own[i][0] for i in gone}
+        out.append((d, None if t is None else "\n".join(x for p, x in enumerate(raw) if p not in drop), len(own), len(drop)))
     return order(out)

@@ -153,6 +153,20 @@ def test_line_dedup(spark, rows):
     same(line_dedup.dedup_lines(frame(spark, rows)), brute.lines(rows), "doc_id", "text", "n_lines", "n_removed")
 
 
+def test_line_dedup_of_maximal_runs(spark):
+    rng = random.Random(12)
+    rows = []
+    for d in range(120):
+        pool = ["a", "b", "c d", "e f g", "", "h i j k l m n o p q r s", f"x{d}"]
+        rows.append((d, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 40)))))
+    # equal texts without an id are copies; columns may be named as those inside
+    rows += [(None, rows[3][1] + "\nnull one " + "w " * 12)] * 3
+    clashing = spark.createDataFrame([(*r, 1, 2, "x", 3, "y") for r in rows], "doc_id long, text string, __k int, n_lines int, removed string, turn int, c0 string").repartition(4)
+    got = line_dedup.dedup_lines(clashing)
+    assert got.columns == ["doc_id", "text", "__k", "removed", "turn", "c0", "n_lines", "n_removed"]
+    same(got, brute.lines(rows), "doc_id", "text", "n_lines", "n_removed")
+
+
 def test_quality(spark, rows):
     junk = [(500, "A| b\nx | y | z | w\n" * 4), (501, "BIG!! LOUD!! WORDS!! HERE!! NOW!! AND!! THEN!! SOME!! MORE!! OF!! IT!!"), (502, "Clean words here, all of them fine. " + " ".join(f"v{i}" for i in range(30)) + ".\nPlease accept cookies.\n")]
     same(quality.judge(frame(spark, rows + junk)), brute.judged(rows + junk), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "base_failed", "kept")
