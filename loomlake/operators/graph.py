@@ -32,3 +32,13 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(done, *([] if last is None else [step]))
         last = step
     return left.selectExpr("a as node", "b as root") if roots is None else roots
+
+
+def merged(members: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, cluster): given clusters, joined where a pair links two of them; a merged cluster has the smallest of their ids. members: (id, cluster)."""
+    a, b = (members.select(F.col("id").alias(c), F.col("cluster").alias(f"c{c}")) for c in "ab")
+    links = pairs.select("a", "b").join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    roots = connected(links, scratch)
+    least = roots.groupBy("root").agg(F.min("node").alias("least"))
+    named = roots.join(least, "root").select(F.col("node").alias("cluster"), "least")
+    return members.join(named, "cluster", "left").select("id", F.coalesce("least", "cluster").alias("cluster"))

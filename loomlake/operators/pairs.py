@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlake.scratch import Scratch
+
 
 def shingles(df: DataFrame, id_col: str, text: str, k: int = 5) -> DataFrame:
     """(id, s): distinct k-word shingles."""
@@ -14,30 +16,39 @@ def shingles(df: DataFrame, id_col: str, text: str, k: int = 5) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), words.alias("w")).select("id", F.explode(F.array_distinct(grams)).alias("s"))
 
 
-def similar_pairs(items: DataFrame, floor: float = 0.15, max_df: int | None = None) -> DataFrame:
-    """(a, b, jaccard) with a < b over (id, s) rows, at ``floor`` or more.
+def classes(items: DataFrame) -> DataFrame:
+    """(id, representative): items of equal sets of shingles have the smallest of their ids."""
+    prints = items.groupBy("id").agg(F.md5(F.array_join(F.sort_array(F.collect_list("s")), "\n")).alias("print"))
+    return prints.join(prints.groupBy("print").agg(F.min("id").alias("representative")), "print").select("id", "representative")
+
+
+def similar_pairs(items: DataFrame, floor: float = 0.15, expand: bool = True) -> DataFrame:
+    """(a, b, jaccard) with a < b over (id, s) rows, at ``floor`` or more; every such pair is found.
 
-    Candidates share a shingle. The inverted index pairs within each shingle, so ``max_df`` may keep shingles of more than so many
-    items out of the candidate search (never out of the similarity); without it the search is exhaustive, and suits curated sets.
-    For corpora the near-duplicate operators scale.
+    Equal sets take part once. Two sets of similarity t share one of the n - ceil(t n) + 1 rarest shingles of each, so candidates meet on those alone, and
+    what most items have brings no pairs together; candidates are then compared by their whole sets. Without ``expand`` pairs are those of
+    representatives (see ``classes``), whose number a family of copies does not raise.
     """
-    sizes = items.groupBy("id").agg(F.count("*").alias("n"))
-    index = items
-    if max_df is not None:
-        index = items.join(items.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") <= max_df).select("s"), "s")
-    a, b = (index.select(F.col("id").alias(c), "s") for c in "ab")
-    common = a.join(b, "s").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
+    scratch = Scratch(items.sparkSession, "pairs")
+    named = scratch.write(classes(items), "classes")
+    sets = scratch.write(items.join(named.where("id = representative").select("id"), "id", "left_semi"), "sets")
+    sizes = sets.groupBy("id").agg(F.count("*").alias("n"))
+    often = sets.groupBy("s").agg(F.count("*").alias("df"))
+    ranked = sets.join(often, "s").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "s")))
+    rare = ranked.where("df > 1").join(sizes, "id").where(F.col("place") <= F.col("n") - F.ceil(F.lit(floor) * F.col("n") - 1e-9) + 1).select("id", "s")
+    a, b = (rare.select(F.col("id").alias(c), "s") for c in "ab")
+    likely = scratch.write(a.join(b, "s").where("a < b").select("a", "b").distinct(), "likely")
+    x, y = (sets.select(F.col("id").alias(c), "s") for c in "ab")
+    common = likely.join(x, "a").join(y, ["b", "s"]).groupBy("a", "b").agg(F.count("*").alias("common"))
     na, nb = (sizes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-    if max_df is not None:
-        x, y = (items.select(F.col("id").alias(c), "s") for c in "ab")
-        common = common.select("a", "b").join(x, "a").join(y, ["b", "s"]).groupBy("a", "b").agg(F.count("*").alias("common"))
     out = common.join(na, "a").join(nb, "b").withColumn("jaccard", F.col("common").cast("double") / (F.col("na") + F.col("nb") - F.col("common")))
-    return out.where(F.col("jaccard") >= floor).select("a", "b", "jaccard")
-
-
-def canonical(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
-    """Unordered pairs once, with their best score."""
-    return pairs.where(F.col(a) != F.col(b)).groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.max(score).alias(score))
+    out = out.where(F.col("jaccard") >= floor).select("a", "b", "jaccard", "common", "na", "nb")
+    if not expand:
+        return out
+    p, q = (named.select(F.col("representative").alias(c), F.col("id").alias(f"i{c}")) for c in "ab")
+    between = out.join(p, "a").join(q, "b").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "jaccard")
+    within = p.join(q.withColumnRenamed("b", "a"), "a").where("ia < ib").select(F.col("ia").alias("a"), F.col("ib").alias("b"), F.lit(1.0).alias("jaccard"))
+    return between.unionByName(within)
 
 
 def max_to_class(pairs: DataFrame, labels: DataFrame, score: str, held: str, against: str) -> DataFrame:
@@ -59,6 +70,19 @@ def cross_splits(pairs: DataFrame, splits: DataFrame, score: str, bound: float)
 
 def best_hits(queries: DataFrame, targets: DataFrame) -> DataFrame:
     """(id, hits, target, common): for each query the target sharing most shingles, smallest id on ties; both (id, s)."""
-    t = targets.select(F.col("id").alias("target"), "s")
-    counts = queries.join(t, "s").groupBy("id", "target").agg(F.count("*").alias("common"))
+    counts = _common(queries, targets)
     return counts.groupBy("id").agg(F.count("*").alias("hits"), F.max_by("target", F.struct("common", -F.col("target"))).alias("target"), F.max("common").alias("common"))
+
+
+def least_evalue(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, target, evalue): for each query the one target of the smallest expected number of chance hits, smallest id on ties; both (id, s).
+
+    evalue is m n / 2 ** common for a query of m and a target of n shingles.
+    """
+    m, n = queries.groupBy("id").agg(F.count("*").alias("m")), targets.groupBy(F.col("id").alias("target")).agg(F.count("*").alias("n"))
+    scored = _common(queries, targets).join(m, "id").join(n, "target").withColumn("evalue", F.col("m") * F.col("n") / F.pow(F.lit(2.0), "common"))
+    return scored.groupBy("id").agg(F.min(F.struct("evalue", "target")).alias("best")).select("id", "best.target", "best.evalue")
+
+
+def _common(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    return queries.join(targets.select(F.col("id").alias("target"), "s"), "s").groupBy("id", "target").agg(F.count("*").alias("common"))

@@ -11,10 +11,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.operators.metrics import ranking
+from loomlake.operators.ordering import placed
 
 
 def hash_number(*parts: Column | str) -> Column:
@@ -25,12 +26,17 @@ def hash_number(*parts: Column | str) -> Column:
 def group_draws(groups: DataFrame, group: str, draws: int, seed: str, strata: str | None = None) -> DataFrame:
     """(draw, group, times): as many groups as there are, drawn with replacement, in each draw; within ``strata`` if given.
 
-    The table of groups is numbered in one task; draws then spread over the cluster.
+    Groups are numbered by ranges over the cluster, and so are the draws of each place.
     """
     part = [strata] if strata else []
-    window = Window.partitionBy(*part).orderBy(group)
-    numbered = groups.select(group, *part).distinct().withColumn("__i", F.row_number().over(window) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*part)))
-    places = numbered.select(*part, F.col("__i").alias("__place"), "__n").crossJoin(groups.sparkSession.range(draws).withColumnRenamed("id", "draw"))
+    numbered = placed(groups.select(group, *part).distinct(), [*part, group], "__i")
+    sizes = numbered.groupBy(*part).agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))
+    if part:
+        numbered = numbered.join(sizes, part)
+    else:
+        numbered = numbered.crossJoin(F.broadcast(sizes))  # one row
+    numbered = numbered.withColumn("__i", F.col("__i") - F.col("__first")).drop("__first")
+    places = numbered.select(*part, F.col("__i").alias("__place"), "__n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     salt = [F.col(strata)] if strata else []
     drawn = places.withColumn("__i", hash_number(F.lit(seed), *salt, F.col("draw"), F.col("__place")) % F.col("__n"))
     return drawn.groupBy("draw", *part, "__i").agg(F.count("*").alias("times")).join(numbered.select(group, *part, "__i"), [*part, "__i"]).select("draw", group, "times")

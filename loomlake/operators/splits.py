@@ -3,22 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomlake.operators.ordering import placed
+from loomlake.scratch import Scratch
 
 SPLITS = (("train", 0.70), ("val", 0.15), ("test", 0.15))
+#: Components of two or more members that the driver folds, at most.
+MOST = 2_000_000
 
 
-def assign(members: DataFrame, component: str = "component", label: str = "label") -> DataFrame:
+def assign(members: DataFrame, component: str = "component", label: str = "label", most: int = MOST) -> DataFrame:
     """(component, split): components by falling size, then id, each to the split that lacks most of its classes.
 
-    The score of a split is the sum over classes of n * (target - current) / max(target, 1); ties go to the first split. The fold is sequential
-    over components, so their (class, count) table comes to the driver; it is far smaller than the members.
+    The score of a split is the sum over classes of n * (target - current) / max(target, 1); ties go to the first split. The fold is
+    sequential over components of two or more members, whose (class, count) table comes to the driver; beyond ``most`` of them it raises an error.
+    Single members are dealt over the cluster: those of one class fill the splits in the order of the scores that each place would have, so
+    the places of all splits are sorted and the members take them by id.
     """
-    counts = members.groupBy(component, label).count().collect()
-    totals: dict[str, int] = {}
+    scratch = Scratch(members.sparkSession, "splits")
+    counts = scratch.write(members.groupBy(component, label).agg(F.count("*").alias("n")), "counts")
+    sizes = counts.groupBy(component).agg(F.sum("n").alias("size"))
+    large = sizes.where("size > 1")
+    if large.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} components of two or more members")
+    totals = {r[label]: r["n"] for r in counts.groupBy(label).agg(F.sum("n").alias("n")).collect()}
     parts: dict[int, dict[str, int]] = {}
-    for c, cls, n in counts:
+    for c, cls, n in counts.join(large.select(component), component, "left_semi").select(component, label, "n").toLocalIterator():
         parts.setdefault(c, {})[cls] = n
-        totals[cls] = totals.get(cls, 0) + n
     current = {s: dict.fromkeys(totals, 0) for s, _ in SPLITS}
     out = []
     for c, own in sorted(parts.items(), key=lambda x: (-sum(x[1].values()), x[0])):
@@ -27,4 +39,34 @@ def assign(members: DataFrame, component: str = "component", label: str = "label
         for cls, n in own.items():
             current[split][cls] += n
         out.append((c, split))
-    return members.sparkSession.createDataFrame(out, f"{component} long, split string")
+    spark = members.sparkSession
+    done = spark.createDataFrame(out, f"{component} {members.schema[component].dataType.simpleString()}, split string")
+    alone = counts.join(sizes.where("size = 1").select(component), component, "left_semi").select(component, label)
+    by_class = alone.groupBy(label).agg(F.count("*").alias("m"))
+    state = [(cls, i, s, share * n, current[s][cls]) for cls, n in totals.items() for i, (s, share) in enumerate(SPLITS)]
+    kind = members.schema[label].dataType.simpleString()
+    room = spark.createDataFrame(state, f"{label} {kind}, i int, split string, target double, held long").join(F.broadcast(by_class), label)  # a few rows a class
+    places = room.select(label, "i", "split", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("j"), "target", "held", "m")
+    places = places.withColumn("score", (F.col("target") - (F.col("held") + F.col("j"))) / F.greatest("target", F.lit(1.0)))
+    taken = _within(places, label, [F.desc("score"), "i", "j"]).where("place < m").select(label, "place", "split")
+    dealt = _within(alone, label, [component]).join(taken, [label, "place"]).select(component, "split")
+    return done.unionByName(dealt)
+
+
+def _within(df: DataFrame, key: str, order: list) -> DataFrame:
+    """0-based places within each key, from places in the whole table."""
+    every = placed(df, [key, *order], "whole")
+    first = every.groupBy(key).agg(F.min("whole").alias("first"))
+    return every.join(F.broadcast(first), key).withColumn("place", F.col("whole") - F.col("first"))  # one row a class
+
+
+def with_held_out(assigned: DataFrame, held: str, label: str = "label") -> DataFrame:
+    """Rows with a split and a label; those of class ``held`` are in split 'heldout', whatever their component got."""
+    return assigned.withColumn("split", F.when(F.col(label) == held, "heldout").otherwise(F.col("split")))
+
+
+def require_separate(crossing: DataFrame) -> None:
+    """Raises an error if pairs over the bound lie in different splits; takes the result of ``pairs.cross_splits``."""
+    over = [f"{r['splits']}: {r['over']}" for r in crossing.where("over > 0").select("splits", "over").orderBy("splits").collect()]
+    if over:
+        raise ValueError("similar pairs across splits: " + ", ".join(over))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomlake.functions import sequences as sq
 from loomlake.functions import vectors as vec
 from loomlake.functions.alignment import identity
-from loomlake.operators import dedup, metrics, pairs, resampling, sampling, splits
+from loomlake.operators import dedup, metrics, ordering, pairs, resampling, sampling, splits
 from loomlake.operators.graph import connected
 from loomlake.scratch import Scratch
 from loomlake.session import table
@@ -182,7 +182,7 @@ def containment_dups(spark, d):
     return dedup.greedy_containment(dedup.first_seen(table(spark, d, "documents"), ["text"], ["doc_id"]), "doc_id", "text")
 
 
-@query("SELECT 'BPS' || lpad(row_number() OVER (ORDER BY p_brand, length(p_name) DESC, p_partkey)::VARCHAR, greatest(4, length(row_number() OVER (ORDER BY p_brand, length(p_name) DESC, p_partkey)::VARCHAR))::INT, '0') AS seq_id, p_partkey FROM part")
+@query("SELECT 'ID' || lpad(row_number() OVER (ORDER BY p_brand, length(p_name) DESC, p_partkey)::VARCHAR, greatest(4, length(row_number() OVER (ORDER BY p_brand, length(p_name) DESC, p_partkey)::VARCHAR))::INT, '0') AS seq_id, p_partkey FROM part")
 def mixed_sort_ids(spark, d):
     return dedup.numbered(table(spark, d, "part"), ["p_brand", F.length("p_name").desc(), "p_partkey"]).select("seq_id", "p_partkey")
 
@@ -304,7 +304,10 @@ def _pairs(spark, d):
 
 def _components(spark, d, bound=0.4):
     docs = table(spark, d, "documents")
-    roots = connected(_pairs(spark, d).where(F.col("jaccard") >= bound).select("a", "b"), Scratch(spark, "components"))
+    items, scratch = pairs.shingles(docs, "doc_id", "text"), Scratch(spark, "components")
+    # copies are links to their representative, not pairs of each other
+    links = pairs.similar_pairs(items, bound, expand=False).select("a", "b").union(pairs.classes(items).where("id <> representative"))
+    roots = connected(links, scratch)
     least = roots.groupBy("root").agg(F.min("node").alias("component"))
     named = roots.join(least, "root").select(F.col("node").alias("doc_id"), "component")
     return docs.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -510,7 +513,7 @@ def group_collapsed_effect(spark, d):
 
 @query(f"WITH {HUB} SELECT ntile, count(*) AS n, avg(y) AS accuracy FROM (SELECT y, ntile(4) OVER (ORDER BY score, doc_id) AS ntile FROM hub) GROUP BY ntile")
 def score_quartiles(spark, d):
-    h = hub(spark, d).withColumn("ntile", F.ntile(4).over(Window.orderBy("score", "doc_id")))
+    h = ordering.tiles(hub(spark, d), ["score", "doc_id"], 4)
     return h.groupBy("ntile").agg(F.count("*").alias("n"), F.avg("y").alias("accuracy"))
 
 

@@ -13,13 +13,14 @@ from loomlake.scratch import shared_dir
 
 def append_new(scored: Callable[[DataFrame], DataFrame], rows: DataFrame, target: str, id_col: str) -> int:
     """Scores the rows whose ids the target lacks and appends them; returns how many. A rerun after a failure adds the rest."""
-    spark = rows.sparkSession
+    spark, had = rows.sparkSession, 0
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        had = spark.read.parquet(target).count()
         rows = rows.join(spark.read.parquet(target).select(id_col), id_col, "left_anti")
-    out = scored(rows)
-    out.write.mode("append").parquet(target)
-    return out.count()
+    scored(rows).write.mode("append").parquet(target)
+    # counts come from the footers of the files, so nothing is scored twice
+    return spark.read.parquet(target).count() - had
 
 
 def totals_by_stream(spark: SparkSession, source: str) -> DataFrame:
