@@ -80,6 +80,11 @@ def centred(seq: Column, at: Column, reach: int) -> Column:
     return F.substr(seq, start + 1, at + reach + 1 - start)
 
 
+def padded(seq: Column, at: Column, reach: int, fill: str = "-") -> Column:
+    """As ``centred``, with what the sequence's start cuts off filled up on the left, so that the centre keeps its place."""
+    return F.concat(F.repeat(F.lit(fill), F.greatest(reach - at, F.lit(0)).cast("int")), centred(seq, at, reach))
+
+
 def letter_at(seq: Column, at: Column) -> Column:
     """The letter at a 0-based position, null outside the sequence."""
     return F.when((at >= 0) & (at < F.length(seq)), F.substr(seq, at + 1, F.lit(1)))

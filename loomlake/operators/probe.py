@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from functools import reduce
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.operators.ordering import placed
+
 
 def _fit(train: DataFrame, C: float, balanced: bool):
     counts = train.groupBy("y").agg(F.count("*").alias("n"))
     total = train.count()
     weight = F.lit(float(total)) / (2 * F.col("n")) if balanced else F.lit(1.0)
     weighted = train.join(F.broadcast(counts), "y").withColumn("w", weight)
+    # features are scaled by the sample deviation; the strength makes up for its ratio to the population's, which gives the same model
+    strength = (total - 1) / total / (C * total)
     scale = StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True)
-    model = LogisticRegression(featuresCol="z", labelCol="y", weightCol="w", regParam=1 / (C * total), elasticNetParam=0.0, standardization=False, maxIter=100)
+    model = LogisticRegression(featuresCol="z", labelCol="y", weightCol="w", regParam=strength, elasticNetParam=0.0, standardization=False, maxIter=100)
     return Pipeline(stages=[scale, model]).fit(weighted)
 
 
@@ -34,11 +40,27 @@ def fit_scores(df: DataFrame, id_col: str, features: str, y: str, C: float = 0.0
     return _scored(_fit(rows.where(F.pmod(F.xxhash64("id"), F.lit(10)) < 7), C, balanced), rows, id_col)
 
 
+def fitted(df: DataFrame, id_col: str, features: str, y: str, C: float = 0.01, balanced: bool = True) -> PipelineModel:
+    """The scaler and the probe fitted on all rows; ``write().overwrite().save(path)`` keeps them, ``PipelineModel.load(path)`` brings them back."""
+    return _fit(_vectors(df, id_col, features, y), C, balanced)
+
+
+def scored(model: PipelineModel, df: DataFrame, id_col: str, features: str, y: str) -> DataFrame:
+    """(id, y, score) by a fitted or loaded probe."""
+    return _scored(model, _vectors(df, id_col, features, y), id_col)
+
+
 def out_of_fold(df: DataFrame, id_col: str, features: str, y: str, folds: int = 5, C: float = 0.01) -> DataFrame:
-    """Each row scored by the probe of the folds it is not in."""
-    rows = _vectors(df, id_col, features, y).withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds)))
+    """Each row scored by the probe of the folds it is not in; the rows of a class are dealt to the folds in turn, in hash order."""
+    rows = placed(_vectors(df, id_col, features, y), ["y", F.xxhash64("id"), "id"]).withColumn("fold", F.col("place") % folds)
     parts = [_scored(_fit(rows.where(F.col("fold") != k), C, True), rows.where(F.col("fold") == k), id_col) for k in range(folds)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+def within(df: DataFrame, subset: str, values: list, id_col: str, features: str, y: str, C: float = 0.01, least: int = 10, least_pos: int = 3) -> DataFrame:
+    """(subset, id, y, score): a probe refitted on each subset alone; subsets of under ``least`` rows or ``least_pos`` positives, or of one class, are left out."""
+    sizes = {r[subset]: (r["n"], r["p"]) for r in df.where(F.col(subset).isin(values)).groupBy(subset).agg(F.count("*").alias("n"), F.count_if(F.col(y) == 1).alias("p")).collect()}
+    fit = [v for v in values if v in sizes and sizes[v][0] >= least and least_pos <= sizes[v][1] < sizes[v][0]]
+    parts = [fit_scores(df.where(F.col(subset) == v), id_col, features, y, C).withColumn(subset, F.lit(v)) for v in fit]
+    empty = df.select(F.col(id_col), F.col(y).alias("y"), F.lit(0.0).alias("score"), F.col(subset)).where("false")
+    return reduce(DataFrame.unionByName, parts, empty)

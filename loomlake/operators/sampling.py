@@ -16,6 +16,14 @@ def per_stratum(df: DataFrame, stratum: str, id_col: str, quota: int | Column, s
     return df.withColumn("__rn", rank).where(F.col("__rn") <= quota).drop("__rn")
 
 
+def quota_report(df: DataFrame, wants: DataFrame, stratum: str, id_col: str, want: str, seed: str = "0") -> DataFrame:
+    """``wants`` (a row a stratum) with got, the rows that sampling by its quota gives, and short, whether that is under the quota."""
+    taken = per_stratum(df.join(F.broadcast(wants), stratum), stratum, id_col, F.col(want), seed)
+    counts = taken.groupBy(stratum).agg(F.count("*").alias("got"))
+    out = wants.join(counts, stratum, "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    return out.withColumn("short", F.col("got") < F.col(want))
+
+
 def simple(df: DataFrame, id_col: str, n: int, seed: str = "0") -> DataFrame:
     return df.orderBy(*_order(seed, id_col)).limit(n)
 

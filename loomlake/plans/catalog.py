@@ -607,7 +607,7 @@ def probe_logistic(spark, d):
 def cv_oof_scores(spark, d):
     from loomlake.operators.probe import out_of_fold
 
-    return out_of_fold(table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") < 3).cast("int").alias("y")), "vec_id", "embedding", "y", 3)
+    return out_of_fold(table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") < 3).cast("int").alias("y")), "vec_id", "embedding", "y")
 
 
 @query("SELECT event_type, user_id, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +40,10 @@ def read_structure(spark: SparkSession, path: str, residues: dict[str, str]) ->
     return rows.where("letter is not null").withColumn("rn", F.row_number().over(first)).where("rn = 1").select("file", "chain", "resseq", "letter")
 
 
-def read_table(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> DataFrame:
-    """A table with a header, all text, blanks kept as empty strings."""
-    return spark.read.csv(path, header=True, sep=sep, schema=schema, quote='"', escape='"', emptyValue="", nullValue=None).na.fill("")
+def read_table(spark: SparkSession, path: str, schema: str, sep: str = "\t", many_lines: bool = False) -> DataFrame:
+    """A table with a header, all text, blanks kept as empty strings. ``many_lines`` is for values with line breaks; a file is then one task's."""
+    options = {"quote": '"', "escape": '"', "emptyValue": "", "multiLine": many_lines, "maxCharsPerColumn": -1}
+    return spark.read.options(**options).csv(path, header=True, sep=sep, schema=schema).na.fill("")
 
 
 def write_table(df: DataFrame, path: str, columns: list[str], sep: str = "\t") -> None:
@@ -50,6 +55,20 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
 
 
+def read_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of NumPy archives of parallel arrays: a column for each name of the schema, a row for each place. An archive is one task's."""
+    names = spark.createDataFrame([], schema).columns
+
+    def run(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                with np.load(io.BytesIO(content), allow_pickle=False) as held:
+                    arrays = {n: held[n] for n in names}
+                yield pd.DataFrame({n: list(a) if a.ndim > 1 else a for n, a in arrays.items()})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

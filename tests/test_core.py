@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from loomlake.functions import alignment
 from loomlake.functions import sequences as sq
 from loomlake.functions.alignment import align, best_shift
-from loomlake.operators import dedup, metrics, resampling, splits, structures
+from loomlake.operators import dedup, metrics, ordering, pairs, resampling, splits, structures
 from loomlake.operators.graph import connected
-from loomlake.plans import catalog, controls  # noqa: F401  (controls registers its queries with the catalog)
+from loomlake.plans import catalog, controls, families  # noqa: F401  (these two register their queries with the catalog)
 from loomlake.scratch import Scratch
+from loomlake.sources import reports
 from loomlake.sources import sequence_files as files
 from loomlake.streaming.incremental import append_new
 
@@ -240,3 +241,58 @@ def test_stable_needs_a_strong_effect(spark, tmp_path):
     got = {r.latent: r for r in catalog.QUERIES["stability_selection_whole"](spark, str(tmp_path)).collect()}
     assert len(got) == 5 and all(r.n_top == 200 for r in got.values())
     assert [k for k in sorted(got) if got[k].stable] == [0] and got[0].delta == 1
+
+
+def test_saved_and_refitted_probes(spark):
+    rows = catalog.QUERIES["probe_saved"](spark, SF).collect()
+    assert len(rows) == 500 and all(math.isclose(r.score, r.loaded) for r in rows)
+    refit = catalog.QUERIES["subset_refit"](spark, SF).groupBy("part").count().collect()
+    assert sum(r["count"] for r in refit) == 500 and len(refit) == 3
+    folds = catalog.QUERIES["cv_oof_scores"](spark, SF)
+    assert folds.count() == folds.select("vec_id").distinct().count() == 500
+
+
+def test_places_and_tiles(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(50), rng.random()) for i in range(401)]
+    df = spark.createDataFrame(rows, "i long, v int, x double").repartition(7)
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    got = {r.i: (r.place, r.total) for r in ordering.running(df, ["v", "i"], {"place": F.lit(1), "total": "v"}).collect()}
+    assert got == {r[0]: (n, sum(o[1] for o in ordered[:n])) for n, r in enumerate(ordered)}
+    assert sorted(r["count"] for r in ordering.tiles(df, ["v", "i"], 4).groupBy("ntile").count().collect()) == [100, 100, 100, 101]
+    assert ordering.placed(df.where("false"), ["v"]).count() == 0
+
+
+def test_reports(spark, tmp_path):
+    df = spark.createDataFrame([("b", 2), ("a|", 1)], "k string, n int")
+    assert reports.markdown(df) == "| k | n |\n| --- | --- |\n| a\\| | 1 |\n| b | 2 |\n"
+    reports.write_markdown(df, str(tmp_path / "r.md"), "Title")
+    assert (tmp_path / "r.md").read_text().startswith("# Title\n\n| k | n |")
+    path = str(tmp_path / "t")
+    assert reports.cached(spark, path, lambda: df).count() == 2
+    assert reports.cached(spark, path, lambda: df.limit(1)).count() == 2
+    assert reports.cached(spark, path, lambda: df.limit(1), refresh=True).count() == 1
+
+
+def test_splits_must_be_separate(spark):
+    pairs_, split = spark.createDataFrame([(1, 2, 0.5)], "a long, b long, s double"), spark.createDataFrame([(1, "train"), (2, "test")], "id long, split string")
+    splits.require_separate(pairs.cross_splits(pairs_, split, "s", 0.6))
+    with pytest.raises(ValueError, match="test.train: 1"):
+        splits.require_separate(pairs.cross_splits(pairs_, split, "s", 0.4))
+    with pytest.raises(ValueError, match="components"):
+        splits.assign(spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (2, "y")], "component long, label string"), most=1)
+
+
+def test_similar_pairs_finds_all(spark):
+    rng = random.Random(9)
+    sets = {i: {rng.randrange(40) if rng.random() < 0.8 else 1000 * i + k for k in range(rng.randint(1, 12))} for i in range(60)}
+    sets |= {100 + i: set(sets[i]) for i in range(10)}
+    df = spark.createDataFrame([(i, str(s)) for i, own in sets.items() for s in own], "id long, s string")
+    for floor in (0.15, 0.5, 1.0):
+        expected = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= floor}
+        assert {(r.a, r.b) for r in pairs.similar_pairs(df, floor).collect()} == expected
+
+
+def test_unknown_key_raises(spark):
+    with pytest.raises(Exception, match="unknown key: x"):
+        spark.range(1).select(sq.recode(F.lit("x"), {"a": "b"})).collect()
