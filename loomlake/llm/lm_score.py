@@ -32,18 +32,6 @@ _START = U(0x2545F4914F6CDD1D) & _EVEN
 _LOW, _SHARDS = U(2**48 - 1), 2**16
 
 
-def _shut(values: np.ndarray, width: int) -> bytes:
-    """Values by their ``width`` low bytes: all first bytes, all second bytes, and so on, compressed."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1)[:, :width].T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _open(blob: bytes, n: int, width: int, kind: type) -> np.ndarray:
-    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
-    out[:, :width] = np.frombuffer(pa.decompress(blob, n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
-    return out.view(kind).ravel()
-
-
 def _block(batches):
     """(ks, sizes, texts): ids, byte lengths and compressed texts of a block of documents."""
     kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
@@ -107,7 +95,7 @@ def _ask(shards: int):
                 for s in np.flatnonzero(np.diff(items.bounds)):
                     part = slice(items.bounds[s], items.bounds[s + 1])
                     steps = np.diff(items.names[part] & _LOW, prepend=U(0))
-                    rows.append((int(s), block, len(steps), _shut(steps, 6), _shut(counts[0][part], 4), _shut(counts[1][part], 4)))
+                    rows.append((int(s), block, len(steps), tk.shut(steps, 6), tk.shut(counts[0][part], 4), tk.shut(counts[1][part], 4)))
                 yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 3))], names=["shard", "block", "n", "names", "n0", "n1"])
 
     return run
@@ -121,12 +109,12 @@ def _answer(batches):
             held.setdefault(shard, []).append(rest)
     for shard in list(held):
         asked = held.pop(shard)
-        names, at = np.unique(np.concatenate([np.cumsum(_open(r[2], r[1], 6, U), dtype=U) for r in asked]), return_inverse=True)
-        total = [np.bincount(at, np.concatenate([_open(r[i], r[1], 4, np.uint32) for r in asked]), len(names)) for i in (3, 4)]
+        names, at = np.unique(np.concatenate([np.cumsum(tk.opened(r[2], r[1], 6, U), dtype=U) for r in asked]), return_inverse=True)
+        total = [np.bincount(at, np.concatenate([tk.opened(r[i], r[1], 4, np.uint32) for r in asked]), len(names)) for i in (3, 4)]
         single = (names & _ODD) == 0
         rows = [(-1, shard, int(single.sum()), *(int(t[single].sum()) for t in total), None, None)]
         for (block, own, *_), x in zip(asked, np.split(at, np.cumsum([r[1] for r in asked])[:-1]), strict=True):
-            rows.append((block, shard, None, None, None, *(_shut(t[x].astype(np.float32), 4) for t in total)))
+            rows.append((block, shard, None, None, None, *(tk.shut(t[x].astype(np.float32), 4) for t in total)))
         kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 2)
         for i in range(0, len(rows), 1000):
             yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows[i : i + 1000], strict=True), kinds, strict=True)], names=["block", "shard", "words", "t0", "t1", "n0", "n1"])
@@ -144,7 +132,7 @@ def _score(shards: int, vocabulary: int, tokens: tuple[int, int], prior: float):
                     count = np.zeros(len(items.names))
                     for a in answers:
                         begin, end = items.bounds[a["shard"]], items.bounds[a["shard"] + 1]
-                        count[begin:end] = _open(a[name], end - begin, 4, np.float32)
+                        count[begin:end] = tk.opened(a[name], end - begin, 4, np.float32)
                     if len(some):
                         single = (count[items.word] + 1.0) / (tokens[m] + vocabulary)
                         each = -np.log((count[items.pair] + prior * single) / (count[context] + prior))

@@ -132,7 +132,7 @@ def grams(names: np.ndarray, k: int) -> np.ndarray:
         size *= 2
 
 
-def _told_apart(names: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def told_apart(names: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(ids, firsts): dense ids of items, equal where ``same`` says so of items of one name, and a first item of each id.
 
     Items are compared with the first of their name; those that differ from it are compared among themselves, until none is left.
@@ -167,7 +167,7 @@ def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, x: np.nda
 
 def interned(words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, firsts): dense ids that two words of ``data`` (as it was named) share if, and only if, their bytes are equal."""
-    return _told_apart(words.names, lambda x, y: same_bytes(data, words.starts, words.ends, x, y))
+    return told_apart(words.names, lambda x, y: same_bytes(data, words.starts, words.ends, x, y))
 
 
 def interned_grams(ids: np.ndarray, k: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +181,7 @@ def interned_grams(ids: np.ndarray, k: int, at: np.ndarray | None = None) -> tup
             out &= ids[at[x] + j] == ids[at[y] + j]
         return out
 
-    return _told_apart(names[at], same)
+    return told_apart(names[at], same)
 
 
 @functools.cache
@@ -233,11 +233,23 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         row = end
 
 
-def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings each bucket's entries together, and the bucket bounds in that order."""
-    bucket = ((keys >> U(32)) % U(buckets)).astype(np.uint16 if buckets < 2**16 else np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+def shut(values: np.ndarray, width: int) -> bytes:
+    """Values by their ``width`` low bytes: all first bytes, all second bytes, and so on, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1)[:, :width].T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def opened(blob: bytes, n: int, width: int, kind: type) -> np.ndarray:
+    """What ``shut`` made of n values."""
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(blob, n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view(kind).ravel()
+
+
+def expand(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Every integer of the ranges [lo, hi), one range after the other."""
+    size = hi - lo
+    return np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
 
 
 def spans_union(starts: np.ndarray, length: int, n: int) -> np.ndarray:

@@ -55,19 +55,78 @@ def test_substring_dedup(spark, rows):
     same(substring_dedup.remove_repeats(frame(spark, rows)), brute.repeats(rows), "doc_id", "n_words", "n_removed", "kept_text")
 
 
-def test_borders_agree_in_every_window():
-    rng = np.random.default_rng(3)
+def _parse(texts, window):
+    """Anchors of texts of numbers from 1, with the names of the whole corpus dealt here."""
+    words, first = np.concatenate(texts).astype(np.uint64), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    doc = np.repeat(np.arange(len(texts)), np.diff(first))
+    serial, names = 1000, {}
+
+    def name(keys):
+        nonlocal serial
+        count = {}
+        for k in keys:
+            count[k] = count.get(k, 0) + 1
+        for k in sorted(count):
+            serial += 1
+            names[k] = serial if count[k] > 1 else 0
+        return np.array([names[k] for k in keys], np.uint64)
+
+    words = np.where(name([(int(w),) for w in words]) > 0, words, np.uint64(0))
+    heads = substring_dedup._run_heads(words, doc)
+    size = np.diff(np.append(heads, len(words)))
+    runs = name([("run", int(words[h]), int(n)) for h, n in zip(heads, size) if n > 1])
+    s, heads = substring_dedup.first_symbols(words, doc, runs)
+    for turn in range(substring_dedup.rounds(window)):
+        at = substring_dedup.pairs_of(s)
+        s = substring_dedup.paired(s, at, name([(turn, int(s.names[i]), int(s.names[i + 1])) for i in at]))
+    starts, which = substring_dedup.anchors(words, first, s, heads, window, 2 ** substring_dedup.rounds(window))
+    return first, {int(i): (int(heads[s.first[a]] - i), int(s.names[a])) if a >= 0 else None for i, a in zip(starts, which)}
+
+
+@pytest.mark.parametrize("window", [5, 20, 33])
+def test_equal_windows_have_equal_anchors(window):
+    rng = np.random.default_rng(window)
+    anchored = alone = 0
     for _ in range(60):
-        inner = rng.integers(0, rng.integers(1, 5) + 1, 20)
-        texts = [np.concatenate([rng.integers(0, 4, rng.integers(0, 12)), inner, rng.integers(0, 4, rng.integers(0, 12))]) for _ in range(2)]
-        data = [" ".join(map(str, t)).encode() for t in texts]
-        found = []
-        for raw, t in zip(data, texts):
-            words = tk.words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            at = next(i for i in range(len(t) - 19) if (t[i : i + 20] == inner).all())
-            found.append({b - at for b in substring_dedup.borders(words)} & set(range(substring_dedup.EDGE + 1)))
-        # texts may hold the window elsewhere too; a border at the same place in both is what counts
-        assert found[0] & found[1]
+        inner = rng.integers(1, rng.choice([3, 4, 9, 300]), rng.integers(window, 3 * window))
+        texts = [np.concatenate([rng.integers(1, 5, rng.integers(0, 12)), inner[rng.integers(0, 5) :], rng.integers(1, 5, rng.integers(0, 12))]) for _ in range(3)]
+        first, found = _parse(texts, window)
+        places = {}
+        for t, own in enumerate(texts):
+            for i in range(len(own) - window + 1):
+                places.setdefault(tuple(own[i : i + window]), []).append(int(first[t] + i))
+        for where in places.values():
+            if len(where) > 1:
+                # found in every place, and at the same symbol in all of them
+                assert len({found[i] for i in where}) == 1
+                anchored, alone = anchored + (found[where[0]] is not None), alone + (found[where[0]] is None)
+    assert anchored and (alone or window > 20)
+
+
+def test_substring_dedup_decides_by_words(spark, rows, monkeypatch):
+    """With hashes of three bits, equal windows, words and pairs are still told from different ones."""
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(tk)
+    cloudpickle.register_pickle_by_value(substring_dedup)
+    try:
+        real = tk.told_apart
+        monkeypatch.setattr(tk, "told_apart", lambda names, same: real(names & np.uint64(7), same))
+        some = [r for r in rows if r[1] is None or len(r[1]) < 2000]
+        same(substring_dedup.remove_repeats(frame(spark, some)), brute.repeats(some), "doc_id", "n_words", "n_removed", "kept_text")
+        # the change does reach the workers: without the comparison they fail
+        monkeypatch.setattr(tk, "told_apart", lambda names, same: real(names & np.uint64(7), lambda x, y: np.ones(len(x), bool)))
+        with pytest.raises(Exception):  # noqa: B017
+            same(substring_dedup.remove_repeats(frame(spark, some)), brute.repeats(some), "doc_id", "n_words", "n_removed", "kept_text")
+    finally:
+        cloudpickle.unregister_pickle_by_value(tk)
+        cloudpickle.unregister_pickle_by_value(substring_dedup)
+
+
+@pytest.mark.parametrize("window", [1, 2, 7, 40])
+def test_substring_dedup_of_other_windows(spark, rows, window):
+    some = [r for r in rows if r[1] is None or len(r[1]) < 2000]
+    same(substring_dedup.remove_repeats(frame(spark, some), window=window), brute.repeats(some, window), "doc_id", "n_words", "n_removed", "kept_text")
 
 
 def test_near_duplicates(spark):
