@@ -2,7 +2,9 @@
 
 Both models are bigram models over one vocabulary, with one order and one smoothing, so that only their counts differ: the target's
 from documents named as good, the background's from all documents. The vocabulary is every word of the corpus and the counts are of
-every word and word pair under hashed names (48 bits within a shard), so what is gathered grows with the corpus; nothing of it is broadcast.
+every word and word pair, as whole numbers, under hashed names (48 bits within a shard, so that with n distinct pairs in a shard about
+n * n / 2 ** 49 of them share a count); what is gathered grows with the corpus, and nothing of it is broadcast. A target document is scored by a
+model that counted it too: its target loss is that of a training text.
 
 Documents are packed in blocks of about ``BLOCK`` bytes, written once. Each block sends its distinct words and pairs with both
 counts to shards of the names, one packed row a shard (sorted names as differences, in byte planes, compressed), so that the
@@ -114,7 +116,7 @@ def _answer(batches):
         single = (names & _ODD) == 0
         rows = [(-1, shard, int(single.sum()), *(int(t[single].sum()) for t in total), None, None)]
         for (block, own, *_), x in zip(asked, np.split(at, np.cumsum([r[1] for r in asked])[:-1]), strict=True):
-            rows.append((block, shard, None, None, None, *(tk.shut(t[x].astype(np.float32), 4) for t in total)))
+            rows.append((block, shard, None, None, None, *(tk.shut(t[x].astype(U), 6) for t in total)))
         kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 2)
         for i in range(0, len(rows), 1000):
             yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows[i : i + 1000], strict=True), kinds, strict=True)], names=["block", "shard", "words", "t0", "t1", "n0", "n1"])
@@ -132,7 +134,7 @@ def _score(shards: int, vocabulary: int, tokens: tuple[int, int], prior: float):
                     count = np.zeros(len(items.names))
                     for a in answers:
                         begin, end = items.bounds[a["shard"]], items.bounds[a["shard"] + 1]
-                        count[begin:end] = tk.opened(a[name], end - begin, 4, np.float32)
+                        count[begin:end] = tk.opened(a[name], end - begin, 6, U)
                     if len(some):
                         single = (count[items.word] + 1.0) / (tokens[m] + vocabulary)
                         each = -np.log((count[items.pair] + prior * single) / (count[context] + prior))
@@ -154,17 +156,17 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     gives an empty result, and without targets the target model is uniform.
     """
     n, scratch = min(partitions(docs), _SHARDS), Scratch(docs.sparkSession, "lm")
-    packed = keyed(docs, id_col, text_col).mapInArrow(_block, "ks array<long>, sizes array<long>, texts binary")
+    packed = keyed(docs, id_col, text_col).mapInArrow(tk.releasing(_block), "ks array<long>, sizes array<long>, texts binary")
     blocks = scratch.write(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
     good = targets.select(targets[id_col].cast("bigint").alias("k")).where("k is not null").distinct()
     # always by shuffle: one plan for every size of the label table
     held = blocks.select("block", F.posexplode("ks").alias("pos", "k")).join(good.hint("merge"), "k", "left_semi")
     marks = held.groupBy("block").agg(F.collect_list("pos").alias("good"))
     marked = blocks.select("block", "sizes", "texts").join(marks.hint("shuffle_hash"), "block", "left")
-    asked = marked.mapInArrow(_ask(n), "shard int, block long, n int, names binary, n0 binary, n1 binary").repartition(n, "shard")
-    answered = scratch.write(asked.mapInArrow(_answer, "block long, shard int, words long, t0 long, t1 long, n0 binary, n1 binary"), "answers")
+    asked = marked.mapInArrow(tk.releasing(_ask(n)), "shard int, block long, n int, names binary, n0 binary, n1 binary").repartition(n, "shard")
+    answered = scratch.write(asked.mapInArrow(tk.releasing(_answer), "block long, shard int, words long, t0 long, t1 long, n0 binary, n1 binary"), "answers")
     total = answered.where("block = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "t0", "t1"))).first()
     answers = answered.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "n0", "n1")).alias("answers"))
     joined = blocks.join(answers.hint("merge"), "block").select("ks", "sizes", "texts", "answers")
-    out = joined.mapInArrow(_score(n, total[0], (total[1], total[2]), prior), "k long, n_tokens long, target_loss double, background_loss double, score double")
+    out = joined.mapInArrow(tk.releasing(_score(n, total[0], (total[1], total[2]), prior)), "k long, n_tokens long, target_loss double, background_loss double, score double")
     return out.select(shown().alias(id_col), "n_tokens", "target_loss", "background_loss", "score")

@@ -1,7 +1,7 @@
 """Personal data by exact rules and a character-level BiLSTM with CRF transitions.
 
-The rules give the base spans. The tagger is trained on the driver from labelled spans: a bounded sample of the documents'
-own passages (``SAMPLE_CHARS`` of up to ``sample_rows`` documents chosen by hash, labelled by the rules) and seeded passages in which generated addresses
+The rules give the base spans. The tagger is trained on the driver from labelled spans, or one trained before is given: a bounded sample of the documents'
+own passages (``sample_chars`` of up to ``sample_rows`` documents chosen by hash, labelled by the rules) and seeded passages in which generated addresses
 and numbers of many spellings, and numbers that are none of these, stand between words of those documents. It then reads every
 window of every document that can hold a span: every kind has a digit or an at sign, so windows without either
 are passed over, and nothing else is. Overlapping windows are averaged and decoded as one. A decoded span is added
@@ -17,14 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.llm import textkit as tk
 from loomlake.llm.frames import keyed, shown
 from loomlake.llm.spans import listed
 from loomlake.llm.tagger import Tagger, classes, stitched
 
 KINDS = ("email", "ip", "card", "phone")
 SIZE, STRIDE = 64, 32
-#: Characters of a sampled document that the training sees, around its first digit or at sign.
-SAMPLE_CHARS = 2000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -97,10 +96,10 @@ def _made(rng: np.random.Generator, kind: str) -> str:
     return pick(f"{rng.integers(1900, 2100)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}", f"{d(1)}.{d(1)}", f"{d(1)}.{d(2)}.{d(1)}", f"{d(2)},{d(3)}.{d(2)}", d(4), d(8), f"{d(2)}:{d(2)}", f"{d(1)}.0", f"#{d(5)}", "".join("0123456789abcdef"[x] for x in rng.integers(0, 16, 40)), d(2), f"{d(3)}-{d(3)}", f"{rng.integers(1900, 2100)}-{rng.integers(1900, 2100)}")
 
 
-def training_windows(samples: list[str], n: int = 3000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def training_windows(samples: list[str], n: int = 3000, seed: int = 5, sample_words: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Characters and tags of labelled windows: generated values between the samples' words, and passages of the samples."""
     rng = np.random.default_rng(seed)
-    words = [w for t in samples for w in re.findall(r"[^\s0-9@]+", t)[:200]] or ["the", "of", "and"]
+    words = [w for t in samples for w in re.findall(r"[^\s0-9@]+", t)[:sample_words]] or ["the", "of", "and"]
     chars, gold = np.zeros((n, SIZE), np.int64), np.zeros((n, SIZE), np.int64)
     real = [(t, s) for t in samples for s in [base_spans(t)] if s]
     for row in range(n):
@@ -134,9 +133,10 @@ def training_windows(samples: list[str], n: int = 3000, seed: int = 5) -> tuple[
     return chars, gold
 
 
-def trained(samples: list[str], steps: int = 240) -> Tagger:
+def trained(samples: list[str], steps: int = 240, sample_words: int = 200) -> Tagger:
+    """A tagger for the four kinds, fitted on passages of the samples and on made ones between ``sample_words`` words of each."""
     tagger = Tagger(2 * len(KINDS) + 1)
-    tagger.train(*training_windows(samples), steps=steps)
+    tagger.train(*training_windows(samples, sample_words=sample_words), steps=steps)
     return tagger
 
 
@@ -161,7 +161,9 @@ def tagged_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[str, in
         coded.append(classes(text) if anchors else np.empty(0, np.int64))
     out: list[list[tuple[str, int, int]]] = []
     for text, own, stretches in zip(texts, base, stitched(tagger, coded, places, SIZE), strict=True):
-        found = []
+        found, taken = [], bytearray(len(text))
+        for _, x, y in own:
+            taken[x:y] = b"\1" * (y - x)
         for begin, tags in stretches:
             heads = np.flatnonzero(tags % 2 == 1)
             for h in heads:
@@ -172,7 +174,7 @@ def tagged_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[str, in
                 value = text[a:b].rstrip(" .-,(")
                 b = a + len(value)
                 around = text[max(0, a - 1) : a] + text[b : b + 1]
-                if plausible(kind, value) and not re.search("[0-9A-Za-z]", around) and all(b <= x or y <= a for _, x, y in own):
+                if plausible(kind, value) and not re.search("[0-9A-Za-z]", around) and taken.find(1, a, b) < 0:
                     found.append((kind, a, b))
         out.append(found)
     return out
@@ -194,25 +196,30 @@ def _scan(model):
             spans = [[listed(own, KINDS) for own in base], [listed(own + add, KINDS) for own, add in zip(base, more, strict=True)]]
             yield pa.record_batch([batch.column("k"), *counts, *(pa.array(s, pa.string()) for s in spans)], names=["k", *(f"n_{k}" for k in KINDS), "base", "spans"])
 
-    return run
+    return tk.releasing(run)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 512, steps: int = 240) -> DataFrame:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 512, sample_chars: int = 2000, sample_words: int = 200, steps: int = 240) -> Tagger:
+    """A tagger fitted on ``sample_chars`` characters, around the first digit or at sign, of at most ``sample_rows`` documents that have one: the smallest hash
+    of id and text for each residue. ``Tagger.saved()`` keeps it as bytes, ``Tagger.loaded`` brings it back.
+    """
+    # one document for each residue of the hash: the sample is chosen in the shuffle, and the driver gets it alone
+    hashed = keyed(docs, id_col, text_col).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("k", "text"))
+    around = F.substring("text", F.greatest(F.regexp_instr("text", F.lit("[0-9@]")) - sample_chars // 2, F.lit(1)), F.lit(sample_chars))
+    sample = hashed.select(F.pmod("h", F.lit(sample_rows)).alias("slot"), "h", around.alias("part")).groupBy("slot").agg(F.min_by("part", F.struct("h", "part")).alias("part"))
+    return trained([r["part"] for r in sample.orderBy("slot").collect()], steps, sample_words)
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tagger: Tagger | None = None, **fitting: int) -> DataFrame:
     """Personal data in every whole text.
 
     Returns ``id_col``, n_email, n_ip, n_card, n_phone (base spans), base and spans (base spans and all spans, as
     kind:start:end by start, then kind; code points, end exclusive).
 
-    The tagger is fitted on at most ``sample_rows`` documents that have a digit or an at sign, the smallest hash of id and text for each
-    residue; all documents are scanned. Null text is empty. A null id stays null. Rows that repeat an id are scanned one by one. Extra columns
-    are ignored; an empty table gives an empty result, from a tagger that saw generated passages only.
+    Without a ``tagger``, one is fitted on the documents first; ``fitting`` are the bounds of ``fit``. All documents are scanned. Null text is
+    empty. A null id stays null. Rows that repeat an id are scanned one by one. Extra columns are ignored; an empty table gives an empty
+    result, from a tagger that saw generated passages only.
     """
-    spark, base = docs.sparkSession, keyed(docs, id_col, text_col)
-    # one document for each residue of the hash: the sample is chosen in the shuffle, and the driver gets it alone
-    hashed = base.where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("k", "text"))
-    around = F.substring("text", F.greatest(F.regexp_instr("text", F.lit("[0-9@]")) - SAMPLE_CHARS // 2, F.lit(1)), F.lit(SAMPLE_CHARS))
-    sample = hashed.select(F.pmod("h", F.lit(sample_rows)).alias("slot"), "h", around.alias("part")).groupBy("slot").agg(F.min_by("part", F.struct("h", "part")).alias("part"))
-    samples = [r["part"] for r in sample.orderBy("slot").collect()]
-    model = spark.sparkContext.broadcast(trained(samples, steps))
-    out = base.mapInArrow(_scan(model), "k long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+    model = docs.sparkSession.sparkContext.broadcast(tagger or fit(docs, id_col, text_col, **fitting))
+    out = keyed(docs, id_col, text_col).mapInArrow(_scan(model), "k long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
     return out.select(shown().alias(id_col), *(f"n_{k}" for k in KINDS), "base", "spans")

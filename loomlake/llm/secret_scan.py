@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.llm import textkit as tk
 from loomlake.llm.frames import NULL_ID, shown, spread
 from loomlake.scratch import Scratch
 
@@ -124,7 +125,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession, "secrets")
     text = lambda c: F.coalesce(docs[c].cast("string"), F.lit("\0"))
     base = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(NULL_ID)).alias("k"), text(owner_col).alias("owner"), F.concat_ws("\1", *map(text, repo_cols)).alias("repo"), docs[text_col].cast("string").alias("text"))
-    scanned = scratch.write(base.mapInArrow(_scan, _OUT).withColumn("row", F.monotonically_increasing_id()), "scan")
+    scanned = scratch.write(base.mapInArrow(tk.releasing(_scan), _OUT).withColumn("row", F.monotonically_increasing_id()), "scan")
     found = scanned.select("row", "owner", "repo", F.explode("found").alias("f")).select("row", "owner", "repo", "f.*")
     held = found.select("hash", "owner", "repo").distinct().groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count("*").alias("repos"))
     joined = spread(found, held, "hash", "row").select("row", "kind", "start", "stop", "live", "owners", "repos")

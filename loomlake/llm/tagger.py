@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 
 F4 = np.float32
@@ -45,6 +47,20 @@ class Tagger:
             self.blocked[:, t] = True
             self.blocked[[t - 1, t], t] = False
 
+    def saved(self) -> bytes:
+        """The parameters as an archive of named arrays."""
+        out = io.BytesIO()
+        np.savez_compressed(out, **self.p)
+        return out.getvalue()
+
+    @classmethod
+    def loaded(cls, content: bytes) -> Tagger:
+        with np.load(io.BytesIO(content), allow_pickle=False) as held:
+            p = {k: held[k] for k in held.files}
+        out = cls(p["o"].shape[0], p["E"].shape[1], p["U1"].shape[0])
+        out.p = p
+        return out
+
     def _run(self, x: np.ndarray, which: str) -> tuple[np.ndarray, list]:
         """Hidden states of one direction and what its gradient needs."""
         n, length, _ = x.shape

@@ -235,13 +235,15 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
 
 def shut(values: np.ndarray, width: int) -> bytes:
     """Values by their ``width`` low bytes: all first bytes, all second bytes, and so on, compressed."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1)[:, :width].T)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize)[:, :width].T)
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def opened(blob: bytes, n: int, width: int, kind: type) -> np.ndarray:
     """What ``shut`` made of n values."""
     out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    if not n:
+        return out.view(kind).ravel()
     out[:, :width] = np.frombuffer(pa.decompress(blob, n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
     return out.view(kind).ravel()
 

@@ -316,6 +316,22 @@ def test_pii_tagger_on_held_out_passages():
     assert np.mean([(tagger.decode(e) == g).mean() for e, g in zip(emit, gold)]) > 0.95
 
 
+def test_pii_tagger_adds_spans(spark):
+    """Numbers and addresses that the rules miss, in texts the tagger has not seen; saved and loaded it finds the same."""
+    phones = ["(706) 555-7379", "0049 171 555 0137", "212-555-0188", "01 42 68 53 00", "(415) 555-2671"]
+    words = "please call our office at {} before noon or write to the desk about the order we placed".split(" ")
+    rows = [(i, " ".join(words).format(p) + f" number {i} of the list.") for i, p in enumerate(phones)] + [(90, "It was in 2019 that 45 of 1200 people came, on 12.5 acres, version 3.2.1.")]
+    tagger = pii.trained([t for _, t in rows[-1:]], steps=240)
+    got = {r.doc_id: r for r in pii.find_pii(frame(spark, rows), tagger=pii.Tagger.loaded(tagger.saved())).collect()}
+    found = [i for i, p in enumerate(phones) if any(s.startswith("phone:") and rows[i][1][int(s.split(":")[1]) : int(s.split(":")[2])] in p for s in got[i].spans.split(",") if s)]
+    assert all(r.base == "" for r in got.values()) and len(found) >= 3 and got[90].spans == ""
+    again = {r.doc_id: r.spans for r in pii.find_pii(frame(spark, rows), tagger=tagger).collect()}
+    assert again == {i: r.spans for i, r in got.items()}
+    # overlaps are found in time linear in the text
+    text = "+49 171 5550134 " * 20000
+    assert pii.tagged_spans(tagger, [text], [pii.base_spans(text)]) == [[]]
+
+
 def test_pii(spark):
     rows = [(1, "write to jo.doe@mail.example.com or +1 (706) 555-7379 now"), (2, "call (706) 555-7379 today, please. Thanks"), (3, None), (4, ""), (None, "at 10.2.3.4 " * 2), (4, "x" * 5000 + "@b.c"), (9, "no data in 2024 or 3.5")]
     got = {(r.doc_id, r.n_email, r.n_ip): r for r in pii.find_pii(frame(spark, rows), steps=160).collect()}
@@ -376,6 +392,45 @@ def test_secrets_in_many_repositories_of_one_owner(spark):
     assert {got[10 + i] for i in range(6)} == {("token:4:28", "token:4:live", "token:4:1:2")}
 
 
+def test_texts_beyond_a_block(spark):
+    """Documents longer than the chunks and blocks that are handled at once, among others of any length."""
+    rng = random.Random(6)
+    words = [f"{'abcdefghijklmnopqrstu'[: rng.randrange(18, 21)]}{rng.randrange(400)}" for _ in range(400000)]
+    long = " ".join(words)
+    assert len(long) > max(tk.CHUNK, lm_score.BLOCK, substring_dedup.BLOCK)
+    rows = [(0, long), (1, " ".join(words[1000:1400])), (2, long + " end"), (3, None), (4, "tail " + " ".join(words[-30:]))]
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
+    expected = {r[0]: r for r in brute.repeats(rows)}
+    assert all((got[d].n_words, got[d].n_removed, got[d].kept_text) == expected[d][1:] for d in expected)
+    near = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert near == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
+    items = spark.createDataFrame([(9, " ".join(words[200000:200012]))], "item_id long, text string")
+    hits = {r.doc_id: r.n_hit for r in decontaminate.find_contamination(frame(spark, rows), items).collect()}
+    assert hits == {0: 12, 1: 0, 2: 12, 3: 0, 4: 0}
+    scored = {r.doc_id: r.n_tokens for r in lm_score.score(frame(spark, rows), spark.createDataFrame([(1,)], "doc_id long")).collect()}
+    assert scored == {0: 400000, 1: 400, 2: 400001, 3: 0, 4: 31}
+
+
+def test_words_of_one_polynomial_are_told_apart(spark):
+    """Thue-Morse words of 1,024 letters, which every polynomial of odd base modulo a power of two names alike."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rest = " ".join(f"r{i}" for i in range(19))
+    rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} x y z u"), (4, f"{b} x y z u")]
+    same(substring_dedup.remove_repeats(frame(spark, rows)), brute.repeats(rows), "doc_id", "n_words", "n_removed", "kept_text")
+    same(minhash_dedup.near_duplicates(frame(spark, rows), k=5), brute.near(rows), "doc_id", "n_shingles", "component_id", "kept")
+    items = [(1, a), (2, f"{b} r0 r1")]
+    found = decontaminate.find_contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    same(found, brute.leaks(rows, items), "doc_id", "n_words", "n_hit", "items")
+    scored = {r.doc_id: r for r in lm_score.score(frame(spark, [(1, f"{a} q"), (2, f"{a} q"), (3, f"{b} q")]), spark.createDataFrame([(1,)], "doc_id long")).collect()}
+    assert scored[3].background_loss > scored[1].background_loss + 0.1
+    # several words under one name are still told apart
+    data = f"{a} {b} {a}".encode()
+    words = tk.words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert tk.interned(words._replace(names=np.zeros(3, np.uint64)), np.frombuffer(data, np.uint8))[0].tolist() == [0, 1, 0]
+
+
 def test_lm_score(spark):
     rows = [(d, ("good words run on here " if d % 2 else "bad noise all around us ") * (d % 5)) for d in range(40)] + [(None, None), (50, ""), (51, "one")]
     targets = spark.createDataFrame([(d,) for d in range(1, 40, 2)] * 2, "doc_id long")
