@@ -112,7 +112,54 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= 50 * n_words AS kept FROM m
 """.replace("{phrases}", "|".join(BOILERPLATE)).replace("{marks}", MARKS + UNMARKED)
 
+_CHAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS i FROM c
+), w AS (
+  SELECT *, len(regexp_extract_all(text, '[^ \t-\r]+')) + 4 AS cost, i = 1 AND role = 'system' AS sys,
+    length('### ' || replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '###', '\#\#\#'), ':', '\:') || ': ' || replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '###', '\#\#\#') || '</turn>' || chr(10)) AS chars FROM r
+), l AS (SELECT conv_id, max(cost) FILTER (sys) AS lead, max(chars) FILTER (sys) AS lead_chars FROM w GROUP BY conv_id
+), p AS (SELECT w.*, CASE WHEN sys THEN 0 ELSE cost END AS t, 512 - coalesce(lead, 0) AS room, lead IS NOT NULL AS led, lead_chars FROM w JOIN l USING (conv_id)
+), q AS (SELECT *, greatest(room - 128, floor(room / 2.0)::BIGINT, 1) AS cell, coalesce(sum(t) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM p
+), s AS (SELECT *, b // cell AS here, (b + t) // cell AS there, b + t > (b // cell + 1) * cell AS x FROM q
+), cells AS (SELECT conv_id, here, coalesce(sum(t) FILTER (NOT x), 0) AS own, max(t) FILTER (x) AS out, any_value(cell) AS cell FROM s GROUP BY 1, 2
+), f AS (SELECT *, coalesce(own > 0 AND own + out <= cell, false) AS takes FROM cells
+), g AS (SELECT *, own + CASE WHEN takes THEN out ELSE 0 END AS total FROM f
+), a AS (
+  SELECT s.*, CASE WHEN NOT x OR m.takes THEN 2 * s.here + 1 WHEN n.own > 0 AND n.total + t <= s.cell THEN 2 * s.there + 1 ELSE 2 * s.here + 2 END AS w
+  FROM s LEFT JOIN g m ON m.conv_id = s.conv_id AND m.here = s.here LEFT JOIN g n ON n.conv_id = s.conv_id AND n.here = s.there
+), e AS (
+  SELECT conv_id, w, min(b) AS begin, greatest(0, least(128, any_value(room) - sum(t))) AS past, any_value(coalesce(lead_chars, 0)) AS lead_chars, bool_or(w = 1 OR (w = 2 AND b = 0 AND NOT led)) AS head FROM a GROUP BY 1, 2
+), again AS (
+  SELECT e.conv_id, sum(a.chars) AS chars FROM e JOIN a ON a.conv_id = e.conv_id AND NOT a.sys AND a.b >= e.begin - e.past AND a.b < e.begin WHERE NOT head GROUP BY 1
+), led AS (SELECT conv_id, sum(lead_chars) AS chars FROM e WHERE NOT head GROUP BY 1
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars) AS chars FROM w GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, (whole.chars + coalesce(again.chars, 0) + coalesce(led.chars, 0))::BIGINT AS formatted_chars
+FROM whole LEFT JOIN again USING (conv_id) LEFT JOIN led USING (conv_id)
+"""
+
+_MODELS = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS ws, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good FROM documents
+), t AS (SELECT doc_id, good, CASE WHEN i = 1 THEN '' ELSE ws[i - 1] END AS a, ws[i] AS b FROM d, unnest(range(1, len(ws) + 1)) AS u(i)
+), pair AS (SELECT a, b, count(*) AS n0, count(*) FILTER (good) AS n1 FROM t GROUP BY a, b
+), word AS (SELECT w, count(*) AS n0, count(*) FILTER (good) AS n1 FROM (SELECT b AS w, good FROM t UNION ALL SELECT '', good FROM d WHERE len(ws) > 0) GROUP BY w
+), size AS (SELECT sum(n0) AS t0, sum(n1) AS t1, count(*) AS v FROM word
+), loss AS (
+  SELECT doc_id, count(*) AS n, avg(-ln((pair.n0 + 50.0::DOUBLE * (y.n0 + 1) / (t0 + v)) / (x.n0 + 50))) AS l0, avg(-ln((pair.n1 + 50.0::DOUBLE * (y.n1 + 1) / (t1 + v)) / (x.n1 + 50))) AS l1
+  FROM t JOIN pair USING (a, b) JOIN word x ON x.w = a JOIN word y ON y.w = b, size GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(l1, 6) AS target_loss, round(l0, 6) AS background_loss, round(l1 - l0, 6) AS score FROM d LEFT JOIN loss USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op4_chat_format": _CHAT,
+    "op6_lm_score": _MODELS,
     "op2_mixing": _MIX,
     "op3_substring_dedup": _SUBSTRING,
     "op5_decontamination": _LEAKS,

@@ -42,7 +42,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+    scored = lm_score.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+    return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

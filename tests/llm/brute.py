@@ -174,3 +174,49 @@ def lines(rows, least=10):
         drop = {own[i][0] for i in gone}
         out.append((d, None if t is None else "\n".join(x for p, x in enumerate(raw) if p not in drop), len(own), len(drop)))
     return order(out)
+
+
+def secrets(rows, max_owners=2, max_repos=3):
+    """rows: (id, owner, language, text) to (id, counts by kind, base, spans, statuses, holders), all plain."""
+    import math
+
+    base_rules = [
+        ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32),
+    ]
+    more = [
+        ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0), ("token", r"\b(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza|npm_|hf_)[A-Za-z0-9_-]{16,}", 0),
+        ("url", r"://([^\s:/@]+):([^\s/@]+)@", 2), ("random", r"[A-Za-z0-9+/_=-]{24,}", 0),
+    ]
+    kinds = ["assign", "access", "hex", "token", "jwt", "url", "random"]
+    bits = lambda v: -sum(c / len(v) * math.log2(c / len(v)) for c in Counter(v).values())
+    found, owners, repos = [], {}, {}
+    for _, owner, lang, text in rows:
+        own = [(k, *m.span(), m[g]) for k, rule, g, least in base_rules for m in rule.finditer(text or "") if len(m[g]) >= least]
+        every = list(own)
+        for k, rule, g in more:
+            for m in re.finditer(rule, text or ""):
+                v = m[g]
+                if k == "random" and not (re.search("[a-z]", v) and re.search("[A-Z]", v) and len(re.findall("[0-9]", v)) >= 2 and bits(v) >= 4):
+                    continue
+                if all(m.end(g) <= a or b <= m.start(g) for _, a, b, _ in every):
+                    every.append((k, *m.span(g), v))
+        for *_, v in every:
+            owners.setdefault(v, set()).add(owner)
+            repos.setdefault(v, set()).add((owner, lang))
+        found.append((own, every))
+    out = []
+    for (d, *_), (own, every) in zip(rows, found):
+        def status(k, v):
+            if len(owners[v]) > max_owners or len(repos[v]) > max_repos:
+                return "copied"
+            bad = ["example", "changeme", "placeholder", "your_", "xxxx", "1234567"] + (["password", "passwd", "secret", "username", "hunter2", "${", "{{", "<", "***"] if k == "url" else [])
+            least = min(3.0, 0.8 * math.log2(max(2, len(v)))) if k == "url" else 3.0
+            return "live" if bits(v) >= least and not any(b in v.lower() for b in bad) else "plain"
+
+        listed = lambda spans: sorted(spans, key=lambda s: (s[1], kinds.index(s[0]), s[2]))
+        text = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b, _ in listed(spans))
+        spans = [s for s in every if s[0] in kinds[:3] or status(s[0], s[3]) == "live"]
+        states = ",".join(f"{k}:{a}:{status(k, v)}" for k, a, _, v in listed(every))
+        held = ",".join(f"{k}:{a}:{len(owners[v])}:{len(repos[v])}" for k, a, _, v in listed(every))
+        out.append((d, *(sum(s[0] == k for s in own) for k in kinds[:3]), text(own), text(spans), states, held))
+    return order(out)

@@ -383,6 +383,21 @@ def test_secrets_in_addresses():
     assert len(secret_scan.further_spans(many, [])) == 30000
 
 
+def test_secrets_against_plain_rules(spark):
+    rng = random.Random(14)
+    pick = lambda n, letters="abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789": "".join(rng.choice(letters) for _ in range(n))
+    values = [pick(rng.choice([8, 20, 26, 40])) for _ in range(12)] + [pick(40, "0123456789abcdef") for _ in range(6)] + [f"AKIA{pick(16, 'ABCDEF234567')}" for _ in range(4)]
+    values += [f"ghp_{pick(20)}" for _ in range(5)] + [f"x://u:{pick(rng.choice([3, 6, 9]))}@h" for _ in range(5)] + ["eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2Q", "example_example_example_A1b2", "é" * 3]
+    wraps = ["{}", "token = {}", 'PASSWORD:"{}"', "api_key='{}' ", "({})", "secret={}{}", "é {} é"]
+    rows = []
+    for d in range(150):
+        parts = [rng.choice(wraps).replace("{}", rng.choice(values)) for _ in range(rng.randint(0, 4))]
+        rows.append((d if d else None, rng.choice(["a", "b", "c", "d", None]), rng.choice(["en", "fr"]), rng.choice([" ", "\n", ","]).join(parts)))
+    rows += [(200, "a", "en", None), (201, "a", "en", ""), rows[5]]
+    df = spark.createDataFrame([("x", d, t, lang, s, 1, "t", 2, "w", "h") for d, s, lang, t in rows], SCHEMA).repartition(3)
+    same(secret_scan.find_secrets(df), brute.secrets(rows), "doc_id", "n_assign", "n_access", "n_hex", "base", "spans", "statuses", "holders")
+
+
 def test_secrets_in_many_repositories_of_one_owner(spark):
     spread, own = "ghp_Q7w2E9r4T1y6U3i8O5p0", "ghp_Z1x8C3v6B5n4M7a2S9d0"
     rows = [("x", i, f"key {spread} here", f"l{i}", "s", 1, "t", 2, "w", "h") for i in range(6)]
