@@ -84,9 +84,12 @@ def class_report(df: DataFrame, y: str = "y", predicted: str = "predicted") -> D
 
 
 def by_tier(df: DataFrame, tier: str, least: int = 4, y: str = "y", score: str = "score") -> DataFrame:
-    """Ranking of all positives against one tier of negatives at a time; tiers with too few rows are left out."""
-    tiers = df.where(F.col(y) == 0).select(F.col(tier).alias("tier")).distinct()
-    positives = df.where(F.col(y) == 1).select(y, score).join(tiers)
-    negatives = df.where(F.col(y) == 0).select(y, score, F.col(tier).alias("tier"))
-    both = positives.unionByName(negatives)
-    return ranking(both, ["tier"], y, score).where((F.col("n_pos") + F.col("n_neg") >= least) & F.col("auc").isNotNull())
+    """(tier, auc, n_pos, n_neg): all positives against one tier of negatives at a time; tiers with too few rows are left out.
+
+    What a negative loses to the positives depends on its score alone, so the positives are summed up once and never repeated for each tier.
+    """
+    over = curve(df, (), y, score).select(F.col(score).alias("__s"), (2 * F.col("tp") - F.col("p")).alias("__lost"), "all_p")
+    held = df.where(F.col(y) == 0).groupBy(F.col(tier).alias("tier"), F.col(score).alias("__s")).agg(F.count("*").alias("n"))
+    one = held.join(over, "__s").groupBy("tier").agg(F.sum(F.col("n") * F.col("__lost")).alias("lost"), F.max("all_p").alias("n_pos"), F.sum("n").alias("n_neg"))
+    out = one.select("tier", F.try_divide(F.col("lost").cast("double"), 2 * F.col("n_pos") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
+    return out.where((F.col("n_pos") + F.col("n_neg") >= least) & F.col("auc").isNotNull())
