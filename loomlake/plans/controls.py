@@ -297,3 +297,35 @@ def probe_key_sweep(spark, d):
     grid = reduce(lambda a, b: a.union(b), (held(k, C) for k in keys for C in (1e-3, 1e-1)))
     least = lambda *by: F.min("log_loss").over(Window.partitionBy(*by))
     return grid.select("*", (F.col("log_loss") == least("feature")).alias("best_of_feature"), (F.col("log_loss") == least()).alias("best"))
+
+
+# --- SQL of the queries that take all draws -----------------------------------------------------------------------------------
+
+
+def _drawn(n: int, seed: str, key: str = "grp", strata: str = "") -> str:
+    """Weighted draws of whole groups, w (draw, y, score, other, w), and the area of each draw for a score."""
+    by, salt = (f"PARTITION BY {strata} ", f"{strata} || '|' || ") if strata else ("", "")
+    own = f"{strata}, " if strata else ""
+    using = f"({strata}, i)" if strata else "(i)"
+    return f"groups AS (SELECT {own}key, row_number() OVER ({by}ORDER BY key) - 1 AS i, count(*) OVER ({by.strip()}) AS g FROM (SELECT DISTINCT {own}{key} AS key FROM hub)), drawn AS (SELECT {own}draw, {_HEX.format(f"'{seed}|' || {salt}draw || '|' || i")} % g AS i FROM groups, range(0, {n}) AS r(draw)), times AS (SELECT draw, key, count(*) AS w FROM drawn JOIN groups USING {using} GROUP BY 1, 2), w AS (SELECT draw, y, score, pymod AS other, w FROM (SELECT *, doc_id * 7 % 100 AS pymod, {key} AS key FROM hub) JOIN times USING (key))"
+
+
+def _areas(score: str, name: str) -> str:
+    return f"{name}_s AS (SELECT draw, {score} AS s, coalesce(sum(w) FILTER (y = 1), 0) AS p, coalesce(sum(w) FILTER (y = 0), 0) AS n FROM w GROUP BY 1, 2), {name}_c AS (SELECT *, sum(n) OVER (PARTITION BY draw ORDER BY s) - n AS below FROM {name}_s), {name} AS (SELECT draw, sum(p * (2 * below + n))::DOUBLE / (2 * sum(p) * sum(n)) AS auc FROM {name}_c GROUP BY draw HAVING sum(p) > 0 AND sum(n) > 0)"
+
+
+_BOOT = f"{_drawn(2000, 'boot')}, {_areas('score', 'boot')}"
+_QUANTILES = "quantile_cont(auc, 0.025) AS low, quantile_cont(auc, 0.5) AS middle, quantile_cont(auc, 0.975) AS high"
+c.ORACLES |= {
+    "group_bootstrap_whole": f"WITH {c.HUB}, {_BOOT} SELECT draw, auc FROM boot",
+    "group_bootstrap_ci_whole": f"WITH {c.HUB}, {_BOOT} SELECT count(*) AS n, {_QUANTILES} FROM boot",
+    "mean_and_error_whole": f"WITH {c.HUB}, {_BOOT} SELECT count(*) AS n, round(avg(auc), 9) AS mean, round(stddev_samp(auc) / sqrt(count(*)), 9) AS se FROM boot",
+    "stratified_bootstrap": f"WITH h AS (WITH {c.HUB} SELECT * FROM hub), hub AS (SELECT *, y || '-' || grp AS name FROM h), {_drawn(2000, 'two', 'name', 'y')}, {_areas('score', 'boot')} SELECT count(*) AS n, {_QUANTILES} FROM boot",
+    "paired_bootstrap": f"WITH {c.HUB}, {_drawn(4000, 'pair')}, {_areas('score', 'one')}, {_areas('other', 'two')}, d AS (SELECT one.auc AS x, two.auc AS y, one.auc - two.auc AS delta FROM one JOIN two USING (draw)) SELECT count(*) AS n, round(avg(delta), 9) AS mean, round(quantile_cont(delta, 0.025), 9) AS low, round(quantile_cont(delta, 0.975), 9) AS high, avg((delta > 0)::INT) AS p_better, round(corr(x, y), 9) AS corr FROM d",
+    "size_matched_control_whole": c.ORACLES["size_matched_control"].replace("range(0, 20)", "range(0, 500)"),
+    "shuffled_pairing_whole": c.ORACLES["shuffled_pairing"].replace("range(0, 5)", "range(0, 200)"),
+    "stability_selection_whole": c.ORACLES["stability_selection"].replace("range(0, 10)", "range(0, 200)").replace(
+        "SELECT latent, count(*) FILTER (place <= 10) AS n_top, min(delta) AS least, count(*) FILTER (place <= 10) >= 0.75 * 10 AS stable FROM top GROUP BY latent",
+        ", every AS (SELECT latent, sum(p * (2 * below + n))::DOUBLE / (sum(p) * sum(n)) - 1 AS delta FROM (SELECT *, sum(n) OVER (PARTITION BY latent ORDER BY v) - n AS below FROM (SELECT latent, v, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS n FROM l GROUP BY 1, 2)) GROUP BY latent) SELECT latent, count(*) FILTER (place <= 10) AS n_top, min(top.delta) AS least, every.delta, count(*) FILTER (place <= 10) >= 0.75 * 200 AND every.delta >= 0.9 AS stable FROM top JOIN every USING (latent) GROUP BY latent, every.delta",
+    ),
+}
