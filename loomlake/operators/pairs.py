@@ -51,6 +51,12 @@ def similar_pairs(items: DataFrame, floor: float = 0.15, expand: bool = True) ->
     return between.unionByName(within)
 
 
+def canonical(pairs: DataFrame, score: str, floor: float = 0.15) -> DataFrame:
+    """(a, b, score) of rows given either way round: each pair once, the smaller first, with its best score if that is ``floor`` or more; an item with itself is none."""
+    best = pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(score).alias(score))
+    return best.where(F.col(score) >= floor)
+
+
 def max_to_class(pairs: DataFrame, labels: DataFrame, score: str, held: str, against: str) -> DataFrame:
     """For each id labelled ``held`` its best score to an id labelled ``against``; 0 without one. labels: (id, label)."""
     both = pairs.select("a", "b", score).union(pairs.select("b", "a", score))

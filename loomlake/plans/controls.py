@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomlake.functions import sequences as sq
 from loomlake.functions import vectors
 from loomlake.functions.alignment import shift
-from loomlake.operators import metrics, resampling, sampling, structures
+from loomlake.operators import dedup, metrics, resampling, sampling, structures
 from loomlake.plans import catalog as c
 from loomlake.plans.catalog import query
 from loomlake.scratch import Scratch
@@ -166,11 +166,7 @@ def reconstruction_gate(spark, d):
 def integrity(spark, d):
     """What a written table holds when read again, against its input: rows, and rows that differ."""
     docs = table(spark, d, "documents")
-    read = Scratch(spark, "integrity").write(docs, "documents")
-    count = lambda df, name: df.groupBy("source").agg(F.count("*").alias(name))
-    lost = count(docs.exceptAll(read), "n_lost")
-    out = count(docs, "n").join(count(read, "n_read"), "source", "left").join(lost, "source", "left")
-    return out.na.fill(0, ["n_read", "n_lost"])
+    return dedup.lost_rows(docs, Scratch(spark, "integrity").write(docs, "documents"), "source")
 
 
 @query(f"WITH RECURSIVE {c._PAIRS}, {c._EDGES}, {c._ROOTS}, s AS (SELECT doc_id, {c._SPLIT} AS split FROM documents), known AS (SELECT DISTINCT component FROM comp JOIN s USING (doc_id) JOIN labels USING (doc_id) WHERE split = 'train' AND quality = 1) SELECT doc_id, component IN (SELECT component FROM known) AS related FROM comp JOIN s USING (doc_id) WHERE split = 'test'")

@@ -112,6 +112,20 @@ def identity_bands(spark, d):
     return both.groupBy(F.least("qa", "qb").alias("x"), F.greatest("qa", "qb").alias("y")).agg(F.count_if((j >= 0.35) & (j < 0.4)).alias("n_band"), F.count_if(j >= 0.4).alias("n_over"), F.count("*").alias("n"))
 
 
+@query("WITH p AS (SELECT l_partkey % 60 AS a, l_suppkey % 60 AS b, l_quantity AS score FROM lineitem) SELECT least(a, b) AS a, greatest(a, b) AS b, max(score) AS score FROM p WHERE a <> b GROUP BY 1, 2 HAVING max(score) >= 40")
+def canonical_pairs(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_partkey") % 60).alias("a"), (F.col("l_suppkey") % 60).alias("b"), F.col("l_quantity").alias("score"))
+    return pairs.canonical(rows, "score", 40)
+
+
+@query("SELECT min(l_linenumber) AS l_linenumber, l_orderkey, array_to_string(list_sort(list_distinct(list(l_returnflag))), '|') AS flags, bool_or(l_quantity > 40) AS any_large, bool_and(coalesce(l_returnflag, '') <> 'R') AS never_back, count(*) AS n_merged FROM lineitem GROUP BY l_orderkey")
+def collapsed_facts(spark, d):
+    """Fact rows as one row of their subject: values met, what holds for any of them, what one of them clears."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_returnflag").alias("flags"), (F.col("l_quantity") > 40).alias("any_large"), (F.coalesce("l_returnflag", F.lit("")) != "R").alias("never_back"))
+    out = dedup.merge_evidence(rows, "l_orderkey", "l_linenumber", ["flags"], ["any_large"], ["never_back"])
+    return out.withColumn("flags", F.array_join("flags", "|"))
+
+
 # --- splits ----------------------------------------------------------------------------------------------------------------
 
 _FOLD = f"{c._PAIRS}, {c._EDGES}, {c._ROOTS}, m AS (SELECT comp.doc_id, component, quality FROM comp JOIN labels USING (doc_id)), tot AS (SELECT count(*) FILTER (quality = 0) AS t0, count(*) FILTER (quality = 1) AS t1 FROM m), k AS (SELECT component, count(*) FILTER (quality = 0) AS c0, count(*) FILTER (quality = 1) AS c1, row_number() OVER (ORDER BY count(*) DESC, component) AS i FROM m GROUP BY component), fold AS (SELECT 0::BIGINT AS i, 0::BIGINT AS component, '' AS split, 0::BIGINT AS a0, 0::BIGINT AS a1, 0::BIGINT AS v0, 0::BIGINT AS v1, 0::BIGINT AS e0, 0::BIGINT AS e1 UNION ALL SELECT i, component, s, a0 + (s = 'train')::INT * c0, a1 + (s = 'train')::INT * c1, v0 + (s = 'val')::INT * c0, v1 + (s = 'val')::INT * c1, e0 + (s = 'test')::INT * c0, e1 + (s = 'test')::INT * c1 FROM (SELECT *, CASE WHEN st >= sv AND st >= se THEN 'train' WHEN sv >= se THEN 'val' ELSE 'test' END AS s FROM (SELECT k.i, k.component, c0, c1, f.a0, f.a1, f.v0, f.v1, f.e0, f.e1, " + ", ".join(

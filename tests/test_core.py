@@ -16,7 +16,7 @@ from loomlake.functions.alignment import align, best_shift
 from loomlake.operators import dedup, metrics, ordering, pairs, resampling, splits, structures
 from loomlake.operators.graph import connected
 from loomlake.plans import catalog, controls, families  # noqa: F401  (these two register their queries with the catalog)
-from loomlake.scratch import Scratch
+from loomlake.scratch import Scratch, swept
 from loomlake.sources import reports
 from loomlake.sources import sequence_files as files
 from loomlake.streaming.incremental import append_new
@@ -296,3 +296,21 @@ def test_similar_pairs_finds_all(spark):
 def test_unknown_key_raises(spark):
     with pytest.raises(Exception, match="unknown key: x"):
         spark.range(1).select(sq.recode(F.lit("x"), {"a": "b"})).collect()
+
+
+def test_tables_are_swept(spark, tmp_path):
+    with swept(spark):
+        inner = Scratch(spark, "inner")
+        inner.write(spark.range(3)).write.parquet(str(tmp_path / "out"))
+        assert os.path.isdir(inner.root.removeprefix("file:"))
+    assert not os.path.isdir(inner.root.removeprefix("file:")) and spark.read.parquet(str(tmp_path / "out")).count() == 3
+    outer = Scratch(spark, "outer")
+    one, two = outer.write(spark.range(3)), outer.write(spark.range(4))
+    outer.drop(one)
+    assert two.count() == 4 and not os.path.isdir(one._loomlake_path.removeprefix("file:"))
+
+
+def test_lost_rows(spark):
+    before = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 3), ("c", 4)], "source string, v int")
+    after = spark.createDataFrame([("a", 1), ("a", 2), ("b", 7)], "source string, v int")
+    assert {tuple(r) for r in dedup.lost_rows(before, after, "source").collect()} == {("a", 3, 2, 1), ("b", 1, 1, 1), ("c", 1, 0, 1)}
