@@ -179,10 +179,20 @@ def held_out_relatives(spark, d):
 
 @query(f"WITH {c._LONG}, picks AS (SELECT draw, latent FROM range(0, 20) AS d(draw), range(0, 64) AS f(latent) QUALIFY row_number() OVER (PARTITION BY draw ORDER BY {_HEX.format("'features|' || draw || '|' || latent")}, latent) <= 9), r AS (SELECT draw AS g, pos::INT AS y, sum(floor(v * 1000)) AS score FROM l JOIN picks USING (latent) GROUP BY draw, vec_id, pos), {_RANKED} SELECT g AS draw, auc FROM auc")
 def random_feature_control(spark, d):
-    grid = spark.range(20).withColumnRenamed("id", "draw").withColumn("latent", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    return _random_features(spark, d, 20)
+
+
+@query()
+def random_feature_control_whole(spark, d):
+    """As random_feature_control, whose SQL is bound to 20 draws, in 200."""
+    return _random_features(spark, d, 200)
+
+
+def _random_features(spark, d, n_draws):
+    grid = spark.range(n_draws).withColumnRenamed("id", "draw").withColumn("latent", F.explode(F.sequence(F.lit(0), F.lit(63))))
     order = resampling.hash_number(F.lit("features"), F.col("draw"), F.col("latent"))
     picks = sampling.top_per_group(grid, "draw", [order, "latent"], 9).drop("place")
-    # 180 rows
+    # nine rows a draw
     rows = c._long(spark, d).join(F.broadcast(picks), "latent").groupBy("draw", "vec_id", F.col("pos").cast("int").alias("y")).agg(F.sum(F.floor(F.col("v") * 1000)).alias("score"))
     return metrics.ranking(rows, ["draw"]).where("auc is not null").select("draw", "auc")
 
@@ -319,6 +329,7 @@ c.ORACLES |= {
     "stratified_bootstrap": f"WITH h AS (WITH {c.HUB} SELECT * FROM hub), hub AS (SELECT *, y || '-' || grp AS name FROM h), {_drawn(2000, 'two', 'name', 'y')}, {_areas('score', 'boot')} SELECT count(*) AS n, {_QUANTILES} FROM boot",
     "paired_bootstrap": f"WITH {c.HUB}, {_drawn(4000, 'pair')}, {_areas('score', 'one')}, {_areas('other', 'two')}, d AS (SELECT one.auc AS x, two.auc AS y, one.auc - two.auc AS delta FROM one JOIN two USING (draw)) SELECT count(*) AS n, round(avg(delta), 9) AS mean, round(quantile_cont(delta, 0.025), 9) AS low, round(quantile_cont(delta, 0.975), 9) AS high, avg((delta > 0)::INT) AS p_better, round(corr(x, y), 9) AS corr FROM d",
     "size_matched_control_whole": c.ORACLES["size_matched_control"].replace("range(0, 20)", "range(0, 500)"),
+    "random_feature_control_whole": c.ORACLES["random_feature_control"].replace("range(0, 20)", "range(0, 200)"),
     "shuffled_pairing_whole": c.ORACLES["shuffled_pairing"].replace("range(0, 5)", "range(0, 200)"),
     "stability_selection_whole": c.ORACLES["stability_selection"].replace("range(0, 10)", "range(0, 200)").replace(
         "SELECT latent, count(*) FILTER (place <= 10) AS n_top, min(delta) AS least, count(*) FILTER (place <= 10) >= 0.75 * 10 AS stable FROM top GROUP BY latent",

@@ -69,6 +69,13 @@ def read_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
+def read_substitutions(spark: SparkSession, path: str) -> dict[tuple[str, str], float]:
+    """A substitution matrix in the usual text form (comments, a line of letters, a line of scores for each letter), for ``alignment.identity``."""
+    lines = [r["value"].split() for r in spark.read.text(path, wholetext=False).collect() if r["value"].strip() and not r["value"].startswith("#")]  # some 25 lines
+    head = next(cells for cells in lines if not any(c.lstrip("-").isdigit() for c in cells))
+    return {(cells[0], letter): float(score) for cells in lines if cells is not head for letter, score in zip(head, cells[1:], strict=True)}
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

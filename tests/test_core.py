@@ -314,3 +314,12 @@ def test_lost_rows(spark):
     before = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 3), ("c", 4)], "source string, v int")
     after = spark.createDataFrame([("a", 1), ("a", 2), ("b", 7)], "source string, v int")
     assert {tuple(r) for r in dedup.lost_rows(before, after, "source").collect()} == {("a", 3, 2, 1), ("b", 1, 1, 1), ("c", 1, 0, 1)}
+
+
+def test_substitution_matrix(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("# a comment\n   A  C  D\nA  4 -1 -2\nC -1  9 -3\nD -2 -3  6\n")
+    matrix = files.read_substitutions(spark, str(tmp_path / "m.txt"))
+    assert matrix["A", "A"] == 4 and matrix["C", "D"] == -3 and len(matrix) == 9
+    rows = spark.createDataFrame([("ACDA", "ACDA"), ("ACD", "AAD"), ("", "A")], "x string, y string")
+    got = rows.select(alignment.identity(F.col("x"), F.col("y"), matrix).alias("i")).select("i.ident_min", "i.ident_aln").collect()
+    assert [tuple(r) for r in got] == [(1.0, 1.0), (2 / 3, 2 / 3), (0.0, 0.0)]
