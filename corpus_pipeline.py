@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomlake.llm import decontaminate, line_dedup, minhash_dedup, mixing, quality
+from loomlake.llm import decontaminate, line_dedup, minhash_dedup, mixing, oracles, quality
 from loomlake.llm.frames import NULL_ID, WORD
-from loomlake.scratch import Scratch
+from loomlake.scratch import Scratch, swept
 from loomlake.session import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -79,13 +79,20 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("line dedup", lines), ("minhash near-dedup", near_duplicates), ("benchmark decontamination", decontamination), ("mixing", mixture)]
 
-#: Near-duplicates by sketches and repeated passes over whole tables are beyond plain SQL; tests compare with brute force.
-ORACLE_SQL = None
+#: The same rows in SQL, for tables whose ids are distinct.
+ORACLE_SQL = oracles.PIPELINE
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a directory; each but the last is written and read again."""
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    """All stages over the documents of a directory; each but the last is written and read again.
+
+    What a stage needed goes when its result is written; the tables that the last one reads stay.
+    """
+    docs, before, scratch = table(spark, sf_dir, "documents"), None, Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with swept(spark):
+            after = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            scratch.drop(before)
+        docs = before = after
     return STAGES[-1][1](spark, docs, sf_dir)
