@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlake.llm.frames import NULL_ID, WORD, keyed
+from loomlake.llm.frames import NULL_ID, WORD, keyed, partitions
 from loomlake.scratch import Scratch
 
 
@@ -46,6 +46,22 @@ def _ranked(distinct: DataFrame, *by: str) -> DataFrame:
     return distinct.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("new", F.monotonically_increasing_id())
 
 
+def _later(windows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k, th, at) of the lines of all windows but the first of each interval (m, rank, tail).
+
+    An interval is dealt over parts by document. Whatever is not the first of its part is not the first of its interval; the firsts of the parts, no more than
+    there are parts, then meet. So an interval that most documents are in is no one task's.
+    """
+    own, interval = F.struct("k", "th", "at"), ["m", "rank", "tail"]
+    parted = windows.withColumn("part", F.pmod(F.xxhash64("k", "th"), F.lit(partitions(windows))).cast("int"))
+    behind = own > F.min(own).over(Window.partitionBy(*interval, "part"))
+    marked = scratch.write(parted.withColumn("behind", behind).drop("part"), "places")
+    heads = marked.where("not behind")
+    rest = heads.withColumn("behind", own > F.min(own).over(Window.partitionBy(*interval)))
+    later = marked.where("behind").unionByName(rest.where("behind"))
+    return later.select("k", "th", F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("at"))
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10) -> DataFrame:
     """(k, th, removed): line numbers, ascending, that are a later copy of a repeated run; documents without any are absent.
 
@@ -73,10 +89,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         mine = windows.where((F.col("m") >= step) & (F.col("m") < 2 * step))
         tail = level.select("k", "th", F.col("at").alias("end"), F.col("rank").alias("tail"))
         named = mine.join(level, ["k", "th", "at"]).withColumn("end", F.col("at") + F.col("m") - step).join(tail, ["k", "th", "end"])
-        interval = ["m", "rank", "tail"]
-        first = named.groupBy(*interval).agg(F.min(F.struct("k", "th", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        later = named.join(first, interval).where(F.struct("k", "th", "at") > F.col("first"))
-        found.append(later.select("k", "th", F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("at")))
+        found.append(_later(named.select("m", "rank", "tail", "k", "th", "at"), scratch))
         if 2 * step <= longest:
             level = _double(level, step, scratch)
         step *= 2
