@@ -26,7 +26,7 @@ from loomlake.scratch import Scratch
 
 U = np.uint64
 #: Text of a block, in bytes; a longer document is a block of its own.
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 #: Names of words are even, those of pairs odd. The start symbol is the context of a first word and counts as a word.
 _EVEN, _ODD = U(2**64 - 2), U(1)
 _START = U(0x2545F4914F6CDD1D) & _EVEN
