@@ -88,18 +88,20 @@ WITH RECURSIVE w AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN n USING (doc_id)
 """
 
-_QUALITY = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS ws FROM documents
-), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d
-), lw AS (SELECT doc_id, line, regexp_extract_all(line, '[^ \t-\r]+') AS ws FROM l
-), judged AS (
-  SELECT doc_id, line, len(ws) AS n, len(ws) > 0 AND (
+_FAILS = r"""len(ws) > 0 AND (
     len(list_filter(ws, lambda x: x LIKE '%!!')) * 2 >= len(ws)
     OR (NOT regexp_matches(line, '[{marks}]') AND len(ws) >= 8)
     OR len(list_filter(ws, lambda x: x IN ('|', '»', '›', '·', '•'))) >= 3
     OR regexp_matches(lower(line), '{phrases}')
     OR (length(line) - length(translate(line, '#*$%&|<>', ''))) * 2 >= len(ws)
-    OR (len(ws) >= 16 AND len(list_distinct(ws)) * 4 < len(ws))) AS fails FROM lw
+    OR (len(ws) >= 16 AND len(list_distinct(ws)) * 4 < len(ws)))""".replace("{phrases}", "|".join(BOILERPLATE)).replace("{marks}", MARKS + UNMARKED)
+
+_QUALITY = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS ws FROM documents
+), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d
+), lw AS (SELECT doc_id, line, regexp_extract_all(line, '[^ \t-\r]+') AS ws FROM l
+), judged AS (
+  SELECT doc_id, line, len(ws) AS n, {fails} AS fails FROM lw
 ), lines AS (
   SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT CASE WHEN n > 0 THEN line END) AS dups, coalesce(sum(n) FILTER (fails), 0) AS lost FROM judged GROUP BY doc_id
 ), win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i + 4]) AS c FROM d, unnest(range(1, len(ws) - 3)) AS u(i) WHERE len(ws) >= 5
@@ -110,7 +112,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesc
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= 50 * n_words AS kept FROM m
-""".replace("{phrases}", "|".join(BOILERPLATE)).replace("{marks}", MARKS + UNMARKED)
+""".replace("{fails}", _FAILS)
 
 _CHAT = r"""
 WITH c AS (
@@ -157,6 +159,59 @@ WITH d AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(l1, 6) AS target_loss, round(l0, 6) AS background_loss, round(l1 - l0, 6) AS score FROM d LEFT JOIN loss USING (doc_id)
 """
 
+_WINDOWS = r"""
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), win AS (
+  SELECT DISTINCT least(10, len(ws)) AS n, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS t
+  FROM b, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS u(i) WHERE len(ws) > 0
+)"""
+#: One cut of all that a benchmark window hits; the texts' words and what lies between them alternate.
+_CUT = r"""
+WITH k AS (
+  SELECT doc_id, part, pos, regexp_matches(part, '^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]') AS word FROM (
+    SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM (
+      SELECT doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS parts FROM {t}))
+), w AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lw FROM k WHERE word
+), d AS (SELECT doc_id, list(lw ORDER BY i) AS ws FROM w GROUP BY doc_id
+), occ AS (
+  SELECT doc_id, i, n FROM (
+    SELECT doc_id, i, s.n, array_to_string(ws[i:i + s.n - 1], ' ') AS t FROM d, (SELECT DISTINCT n FROM win) s, unnest(range(1, len(ws) - s.n + 2)) AS u(i) WHERE len(ws) >= s.n
+  ) x JOIN win USING (n, t)
+), hit AS (SELECT DISTINCT doc_id, i + j AS i, true AS hit FROM occ, unnest(range(0, n)) AS r(j)
+), m AS (SELECT k.doc_id, k.pos, k.part, k.word, coalesce(hit.hit, false) AS hit FROM k LEFT JOIN w USING (doc_id, pos) LEFT JOIN hit ON hit.doc_id = w.doc_id AND hit.i = w.i
+), g AS (SELECT *, CASE WHEN word THEN hit ELSE coalesce(lag(hit) OVER o, false) AND coalesce(lead(hit) OVER o, false) END AS gone FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), p AS (SELECT *, sum(gone::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS piece FROM g
+), q AS (SELECT doc_id, piece, trim(string_agg(part, '' ORDER BY pos), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM p WHERE NOT gone GROUP BY doc_id, piece
+), r AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY piece) AS text FROM q WHERE t <> '' GROUP BY doc_id)
+SELECT t.doc_id, CASE WHEN t.doc_id IN (SELECT doc_id FROM occ) THEN coalesce(r.text, '') ELSE t.text END AS text, lang, source FROM {t} t LEFT JOIN r USING (doc_id)
+"""
+#: Cuts that follow each other; on any text of the tables the second already finds nothing, and one more than that is made.
+_CUTS = 3
+
+
+def _pipeline() -> str:
+    """The five stages on tables whose ids are distinct."""
+    lines = _LINES.replace("documents", "s1").replace("sha256(coalesce(k.text, '')) AS kept_sha256", "k.text, d.lang, d.source")
+    clean = r"""
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT fails), '') AS text FROM (
+    SELECT doc_id, pos, line, {fails} AS fails FROM (
+      SELECT doc_id, line, pos, regexp_extract_all(line, '[^ \t-\r]+') AS ws FROM (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL))) GROUP BY doc_id""".replace("{fails}", _FAILS)
+    cuts = ", ".join(f"c{i + 1} AS MATERIALIZED ({_CUT.replace('{t}', f'c{i}')})" for i in range(_CUTS))
+    return rf"""
+WITH s1 AS MATERIALIZED (
+  SELECT d.doc_id, clean.text, lang, source FROM documents d JOIN ({_QUALITY}) q USING (doc_id) JOIN ({clean}) clean USING (doc_id) WHERE q.kept
+), s2 AS MATERIALIZED (SELECT doc_id, text, lang, source FROM ({lines}) WHERE n_removed = 0 OR n_removed < n_lines
+), c0 AS MATERIALIZED (SELECT s2.* FROM s2 JOIN ({_NEAR.replace("documents", "s2")}) n USING (doc_id) WHERE n.kept
+), {_WINDOWS.strip()}, {cuts}, s4 AS MATERIALIZED (
+  SELECT c{_CUTS}.* FROM c{_CUTS} JOIN c0 USING (doc_id) WHERE NOT coalesce(regexp_matches(c0.text, '[^ 	-]'), false) OR regexp_matches(c{_CUTS}.text, '[^ 	-]')
+)
+SELECT doc_id, text, lang, source, length(text)::BIGINT AS n_chars, size, taken FROM s4 JOIN ({_MIX.replace("documents", "s4")}) m USING (doc_id) WHERE taken > 0
+"""
+
+
+PIPELINE = _pipeline()
+
 ORACLES: dict[str, str] = {
     "op4_chat_format": _CHAT,
     "op6_lm_score": _MODELS,

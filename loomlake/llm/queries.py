@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.llm import chat, decontaminate, line_dedup, lm_score, minhash_dedup, mixing, pii, quality, secret_scan, substring_dedup
@@ -12,9 +12,13 @@ from loomlake.llm.oracles import ORACLES
 from loomlake.session import table
 
 
+def _n_spans() -> Column:
+    return F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("bigint").alias("n_spans")
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", _n_spans())
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +52,7 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "statuses", "holders")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "statuses", "holders", _n_spans())
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
