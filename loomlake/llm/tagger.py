@@ -39,9 +39,8 @@ class Tagger:
         rng = np.random.default_rng(seed)
         init = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(F4)
         self.h, self.tags = hidden, tags
-        self.p = {"E": init(N_CLASSES, embed), "W1": init(embed, 4 * hidden), "U1": init(hidden, 4 * hidden), "b1": np.zeros(4 * hidden, F4), "W2": init(embed, 4 * hidden), "U2": init(hidden, 4 * hidden), "b2": np.zeros(4 * hidden, F4), "O": init(2 * hidden, tags), "o": np.zeros(tags, F4), "A": np.zeros((tags, tags), F4), "s": np.zeros(tags, F4)}
-        for b in ("b1", "b2"):
-            self.p[b][hidden : 2 * hidden] = 1
+        self.p = {"E": init(N_CLASSES, embed), "W": np.stack([init(embed, 4 * hidden) for _ in "12"]), "U": np.stack([init(hidden, 4 * hidden) for _ in "12"]), "b": np.zeros((2, 1, 4 * hidden), F4), "O": init(2 * hidden, tags), "o": np.zeros(tags, F4), "A": np.zeros((tags, tags), F4), "s": np.zeros(tags, F4)}
+        self.p["b"][..., hidden : 2 * hidden] = 1
         self.blocked = np.zeros((tags, tags), bool)
         for t in range(2, tags, 2):
             self.blocked[:, t] = True
@@ -57,48 +56,57 @@ class Tagger:
     def loaded(cls, content: bytes) -> Tagger:
         with np.load(io.BytesIO(content), allow_pickle=False) as held:
             p = {k: held[k] for k in held.files}
-        out = cls(p["o"].shape[0], p["E"].shape[1], p["U1"].shape[0])
+        out = cls(p["o"].shape[0], p["E"].shape[1], p["U"].shape[1])
         out.p = p
         return out
 
-    def _run(self, x: np.ndarray, which: str) -> tuple[np.ndarray, list]:
-        """Hidden states of one direction and what its gradient needs."""
-        n, length, _ = x.shape
-        pre = x @ self.p["W" + which] + self.p["b" + which]
-        h, c = np.zeros((n, self.h), F4), np.zeros((n, self.h), F4)
-        out, kept, H = np.empty((n, length, self.h), F4), [], self.h
+    def _run(self, chars: np.ndarray) -> tuple[np.ndarray, list]:
+        """Hidden states of both directions, which go side by side, and what their gradients need.
+
+        Inside, time comes first, then direction (the second reads backwards), then window.
+        """
+        n, length = chars.shape
+        x = np.ascontiguousarray(self.p["E"][np.stack([chars, chars[:, ::-1]])].transpose(2, 0, 1, 3))
+        pre, H = x @ self.p["W"] + self.p["b"], self.h
+        h, c = np.zeros((2, n, H), F4), np.zeros((2, n, H), F4)
+        out, kept = np.empty((length, 2, n, H), F4), []
         for t in range(length):
-            z = pre[:, t] + h @ self.p["U" + which]
-            i, f, o, g = _sigmoid(z[:, :H]), _sigmoid(z[:, H : 2 * H]), _sigmoid(z[:, 2 * H : 3 * H]), np.tanh(z[:, 3 * H :])
+            z = pre[t] + h @ self.p["U"]
+            gates, g = _sigmoid(z[..., : 3 * H]), np.tanh(z[..., 3 * H :])
+            i, f, o = gates[..., :H], gates[..., H : 2 * H], gates[..., 2 * H :]
             new = f * c + i * g
             tc = np.tanh(new)
             kept.append((h, c, i, f, o, g, tc))
             h, c = o * tc, new
-            out[:, t] = h
-        return out, kept
-
-    def _back(self, x: np.ndarray, which: str, kept: list, grad: np.ndarray, into: dict) -> np.ndarray:
-        n, length, _ = x.shape
-        dz_all, dh, dc = np.empty((n, length, 4 * self.h), F4), np.zeros((n, self.h), F4), np.zeros((n, self.h), F4)
-        du = np.zeros_like(self.p["U" + which])
+            out[t] = h
+        both = np.concatenate([out[:, 0], out[::-1, 1]], axis=2)
+        return both.transpose(1, 0, 2), [x, kept]
+
+    def _back(self, state: list, grad: np.ndarray, into: dict) -> np.ndarray:
+        """Gradients of the recurrent parameters, and of the characters' embeddings (window, place)."""
+        x, kept = state
+        length, H = len(kept), self.h
+        grad = grad.transpose(1, 0, 2)
+        grad = np.stack([grad[..., :H], grad[::-1, :, H:]], axis=1)
+        dz_all = np.empty((*grad.shape[:3], 4 * H), F4)
+        dh, dc, back = np.zeros(grad.shape[1:], F4), np.zeros(grad.shape[1:], F4), self.p["U"].transpose(0, 2, 1)
         for t in range(length - 1, -1, -1):
-            h, c, i, f, o, g, tc = kept[t]
-            dh = dh + grad[:, t]
+            _, c, i, f, o, g, tc = kept[t]
+            dh = dh + grad[t]
             dc = dc + dh * o * (1 - tc * tc)
-            dz = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-            du += h.T @ dz
-            dh, dc = dz @ self.p["U" + which].T, dc * f
-            dz_all[:, t] = dz
-        flat = dz_all.reshape(-1, 4 * self.h)
-        into["U" + which], into["W" + which], into["b" + which] = du, x.reshape(-1, x.shape[2]).T @ flat, flat.sum(0)
-        return dz_all @ self.p["W" + which].T
+            dz = dz_all[t]
+            dz[..., :H], dz[..., H : 2 * H] = dc * g * i * (1 - i), dc * c * f * (1 - f)
+            dz[..., 2 * H : 3 * H], dz[..., 3 * H :] = dh * tc * o * (1 - o), dc * i * (1 - g * g)
+            dh, dc = dz @ back, dc * f
+        flat = lambda a: a.transpose(1, 0, 2, 3).reshape(2, -1, a.shape[-1])
+        dz, before = flat(dz_all), flat(np.stack([k[0] for k in kept]))
+        into["U"], into["W"], into["b"] = before.transpose(0, 2, 1) @ dz, flat(x).transpose(0, 2, 1) @ dz, dz.sum(1, keepdims=True)
+        dx = dz_all @ self.p["W"].transpose(0, 2, 1)
+        return (dx[:, 0] + dx[::-1, 1]).transpose(1, 0, 2)
 
     def emissions(self, chars: np.ndarray) -> np.ndarray:
         """Tag scores of each character of windows of equal length."""
-        x = self.p["E"][chars]
-        forward, _ = self._run(x, "1")
-        backward, _ = self._run(x[:, ::-1], "2")
-        return np.concatenate([forward, backward[:, ::-1]], axis=2) @ self.p["O"] + self.p["o"]
+        return self._run(chars)[0] @ self.p["O"] + self.p["o"]
 
     def _transitions(self) -> np.ndarray:
         return np.where(self.blocked, F4(-1e4), self.p["A"])
@@ -112,22 +120,22 @@ class Tagger:
         """CRF negative log likelihood, gradients of its scores, gradient of the emissions."""
         n, length, tags = emit.shape
         a, s = self._transitions(), self._start()
-        alpha, beta = np.empty_like(emit), np.zeros_like(emit)
-        alpha[:, 0] = s + emit[:, 0]
+        # both recursions go side by side, sums of exponentials as products: states before a place, and from it to the end
+        step, both = np.exp(np.stack([a, a.T])), np.stack([emit, emit[:, ::-1]]).transpose(2, 0, 1, 3).copy()
+        both[0, 0] += s
         for t in range(1, length):
-            alpha[:, t] = _logsumexp(alpha[:, t - 1][:, :, None] + a, 1) + emit[:, t]
-        for t in range(length - 2, -1, -1):
-            beta[:, t] = _logsumexp(a + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
+            top = both[t - 1].max(2, keepdims=True)
+            both[t] += np.log(np.exp(both[t - 1] - top) @ step + F4(1e-37)) + top
+        alpha, onward = both[:, 0].transpose(1, 0, 2), both[::-1, 1].transpose(1, 0, 2)
         z = _logsumexp(alpha[:, -1], 1)
-        marginal = np.exp(alpha + beta - z[:, None, None])
+        marginal = np.exp(alpha + onward - emit - z[:, None, None])
         rows = np.arange(n)[:, None]
         places = np.arange(length)[None, :]
         score = emit[rows, places, gold].sum(1) + s[gold[:, 0]] + a[gold[:, :-1], gold[:, 1:]].sum(1)
         d_emit = marginal.copy()
         d_emit[rows, places, gold] -= 1
-        d_a = np.zeros((tags, tags), np.float64)
-        for t in range(1, length):
-            d_a += np.exp(alpha[:, t - 1][:, :, None] + a + (emit[:, t] + beta[:, t])[:, None, :] - z[:, None, None]).sum(0)
+        ahead = alpha[:, :-1, :, None] + a + onward[:, 1:, None, :] - z[:, None, None, None]
+        d_a = np.exp(ahead).sum((0, 1), dtype=np.float64)
         np.add.at(d_a, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), -1)
         d_a[self.blocked] = 0
         d_s = marginal[:, 0].sum(0)
@@ -142,16 +150,12 @@ class Tagger:
         for step in range(1, steps + 1):
             take = rng.integers(0, len(chars), batch)
             c, y = chars[take], gold[take]
-            x = self.p["E"][c]
-            forward, k1 = self._run(x, "1")
-            backward, k2 = self._run(x[:, ::-1], "2")
-            hidden = np.concatenate([forward, backward[:, ::-1]], axis=2)
+            hidden, state = self._run(c)
             loss, grad, d_emit = self._loss(hidden @ self.p["O"] + self.p["o"], y)
             losses.append(loss)
             grad["O"], grad["o"] = hidden.reshape(-1, hidden.shape[2]).T @ d_emit.reshape(-1, self.tags), d_emit.sum((0, 1))
             d_hidden = d_emit @ self.p["O"].T
-            dx = self._back(x, "1", k1, d_hidden[:, :, : self.h], grad)
-            dx = dx + self._back(x[:, ::-1], "2", k2, d_hidden[:, ::-1, self.h :], grad)[:, ::-1]
+            dx = self._back(state, d_hidden, grad)
             grad["E"] = np.zeros_like(self.p["E"])
             np.add.at(grad["E"], c.ravel(), dx.reshape(-1, dx.shape[2]))
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))

@@ -309,6 +309,31 @@ def test_pii_base_rules():
         assert sorted(pii.base_spans(t)) == base_by_regex(t)
 
 
+def test_tagger_gradients(monkeypatch):
+    """Those of the loss against small differences, for parameters of every kind."""
+    from loomlake.llm import tagger
+
+    monkeypatch.setattr(tagger, "F4", np.float64)
+    t = tagger.Tagger(9, embed=3, hidden=4)
+    rng = np.random.default_rng(1)
+    chars, gold = rng.integers(0, tagger.N_CLASSES, (3, 11)), np.zeros((3, 11), np.int64)
+    gold[:, 3], gold[:, 4], gold[1, 7] = 1, 2, 5
+
+    def loss():
+        return t._loss(t.emissions(chars), gold)[0]
+
+    hidden, state = t._run(chars)
+    _, grad, d_emit = t._loss(hidden @ t.p["O"] + t.p["o"], gold)
+    t._back(state, d_emit @ t.p["O"].T, grad)
+    for name, at in (("A", (0, 1)), ("A", (1, 2)), ("s", (1,)), ("U", (0, 1, 2)), ("U", (1, 2, 7)), ("W", (0, 0, 3)), ("W", (1, 2, 5)), ("b", (1, 0, 9))):
+        own, sides = t.p[name][at], []
+        for step in (1e-5, -1e-5):
+            t.p[name][at] = own + step
+            sides.append(loss())
+        t.p[name][at] = own
+        assert np.isclose((sides[0] - sides[1]) / 2e-5, grad[name][at], rtol=1e-3, atol=1e-8)
+
+
 def test_pii_tagger_on_held_out_passages():
     tagger = pii.trained([], steps=160)
     chars, gold = pii.training_windows([], 200, seed=99)
