@@ -37,8 +37,8 @@ U = np.uint64
 REGISTERS, BAND, FILL = 128, 4, 1024
 #: Groups up to this size are compared pairwise, 3.5 pairs a member at most.
 SMALL = 8
-#: Shingles of the outside sets of a grid block; of its other side four times as many.
-BLOCK = 100_000
+#: Shingles of the outside sets of a grid block, of its other side four times as many; and rows of both sides, at most.
+BLOCK, OUTSIDE, INSIDE = 100_000, 128, 512
 #: Of the published approximation of the expected number of register collisions between unrelated sets.
 COLLISION = 0.169919487159739093975315012348630288992889
 _SALTS = tk.mix(np.arange(1, FILL + 1, dtype=U) * U(0x9E3779B97F4A7C15))
@@ -266,8 +266,8 @@ def _components(base: DataFrame, pct: int, k: int) -> tuple[DataFrame, DataFrame
         more = scratch.write(texts_of(torn.select("nid").distinct().join(texts.select("nid"), "nid", "left_anti")), "texts")
         placed = torn.join(nodes.select("nid", F.col("n").cast("double").alias("load")), "nid").withColumn("outside", F.col("root") != F.col("main"))
         plan = placed.groupBy("main").agg(
-            F.greatest(F.ceil(F.sum(F.when(F.col("outside"), F.col("load"))) / BLOCK), F.ceil(F.count_if("outside") / 128)).alias("bx"),
-            F.greatest(F.ceil(F.sum("load") / (4 * BLOCK)), F.ceil(F.count("*") / 2048)).alias("by"),
+            F.greatest(F.ceil(F.sum(F.when(F.col("outside"), F.col("load"))) / BLOCK), F.ceil(F.count_if("outside") / OUTSIDE)).alias("bx"),
+            F.greatest(F.ceil(F.sum("load") / (4 * BLOCK)), F.ceil(F.count("*") / INSIDE)).alias("by"),
         )
         placed = spread(placed, plan, "main", "nid")
         outside = placed.where("outside").select("main", F.pmod(F.xxhash64("nid"), "bx").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("by") - 1)).alias("yb"), F.lit(True).alias("isx"), "nid", "root")
