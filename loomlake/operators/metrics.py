@@ -20,9 +20,8 @@ def curve(df: DataFrame, by: Sequence[str] = (), y: str = "y", score: str = "sco
     w = F.col(weight) if weight else F.lit(1)
     steps = df.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0)).alias("p"), F.sum(F.when(F.col(y) == 0, w).otherwise(0)).alias("n"))
     if not by:
-        before = running(steps, [F.col(score).desc()], {"tp": "p", "fp": "n"})
-        totals = steps.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))  # one row
-        return before.withColumns({"tp": F.col("tp") + F.col("p"), "fp": F.col("fp") + F.col("n")}).crossJoin(F.broadcast(totals))
+        before = running(steps, [F.col(score).desc()], {"tp": "p", "fp": "n"}, {"all_p": "tp", "all_n": "fp"})
+        return before.withColumns({"tp": F.col("tp") + F.col("p"), "fp": F.col("fp") + F.col("n")})
     down = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     return steps.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "all_p": F.sum("p").over(whole), "all_n": F.sum("n").over(whole)})

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from loomlake.scratch import Scratch
 
 
-def running(df: DataFrame, order: Sequence[str | Column], sums: dict[str, str | Column]) -> DataFrame:
-    """``df`` with the sum of each value over the rows before this one, named by the keys of ``sums``.
+def running(df: DataFrame, order: Sequence[str | Column], sums: dict[str, str | Column], whole: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with the sum of each value over the rows before this one, named by the keys of ``sums``, and over all rows, named by those of ``whole``.
 
     Rows are dealt out by ranges of the order and written once; a sum within each range and one over the ranges' totals, one row a
     range, give every row's. Rows equal in the order share a range, and which of them is first is not told apart.
@@ -21,10 +21,12 @@ def running(df: DataFrame, order: Sequence[str | Column], sums: dict[str, str |
     ranged = scratch.write(df.withColumns(values).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("__range").agg(*(F.sum(v).alias(v) for v in values))
-    before = totals.select("__range", *(F.coalesce(F.sum(v).over(earlier(Window.orderBy("__range"))), F.lit(0)).alias(f"{v}b") for v in values))
+    offsets = [F.coalesce(F.sum(v).over(earlier(Window.orderBy("__range"))), F.lit(0)).alias(f"{v}b") for v in values]
+    named = dict(zip(sums, values, strict=True))
+    before = totals.select("__range", *offsets, *(F.sum(named[of]).over(Window.partitionBy()).alias(f"__t{i}") for i, of in enumerate((whole or {}).values())))
     inside = earlier(Window.partitionBy("__range").orderBy(*order))
     out = ranged.withColumns({f"{v}i": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}).join(before, "__range")
-    return out.select(*df.columns, *((F.col(f"{v}i") + F.col(f"{v}b")).alias(name) for name, v in zip(sums, values, strict=True)))
+    return out.select(*df.columns, *((F.col(f"{v}i") + F.col(f"{v}b")).alias(name) for name, v in named.items()), *(F.col(f"__t{i}").alias(name) for i, name in enumerate(whole or {})))
 
 
 def placed(df: DataFrame, order: Sequence[str | Column], name: str = "place") -> DataFrame:
@@ -34,8 +36,7 @@ def placed(df: DataFrame, order: Sequence[str | Column], name: str = "place") ->
 
 def tiles(df: DataFrame, order: Sequence[str | Column], k: int, name: str = "ntile") -> DataFrame:
     """``df`` with the number, from 1, of the one of ``k`` parts of nearly equal size that a row's place falls in; larger parts come first."""
-    total = df.agg(F.count("*").alias("__n"))
-    rows = placed(df, order, "__place").crossJoin(F.broadcast(total))  # one row
+    rows = running(df, order, {"__place": F.lit(1).cast("bigint")}, {"__n": "__place"})
     base, more = F.expr(f"__n div {k}"), F.col("__n") % k
     long = more * (base + 1)
     tile = F.when(F.col("__place") < long, F.floor(F.col("__place") / (base + 1))).otherwise(more + F.floor((F.col("__place") - long) / F.greatest(base, F.lit(1))))
