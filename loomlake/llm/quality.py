@@ -40,8 +40,8 @@ def _symbols(text: Column) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))
 
 
-def line_fails(line: Column, n: Column, n_distinct: Column, boilerplate: tuple[str, ...] = BOILERPLATE, menu: int = MENU) -> Column:
-    """Whether a line of n words, n_distinct of them distinct, is no prose.
+def line_fails(line: Column, low: Column, n: Column, n_distinct: Column, boilerplate: tuple[str, ...] = BOILERPLATE, menu: int = MENU) -> Column:
+    """Whether a line of n words, n_distinct of them distinct, is no prose; ``low`` is the line in lower case.
 
     Punctuation: it is shouted (every other word ends in two marks), or has eight words and neither a closing mark nor any inside, in a script that
     uses them. Navigation: it has ``menu`` or more menu separators between its words. Boilerplate: it holds a phrase of the list,
@@ -50,12 +50,11 @@ def line_fails(line: Column, n: Column, n_distinct: Column, boilerplate: tuple[s
     # a plain search goes first where it spares most lines the count
     shouted = F.contains(line, F.lit("!!")) & (F.regexp_count(line, F.lit(r"!!(?=[\x20\x09-\x0D]|$)")) * 2 >= n)
     bare = (n >= 8) & ~line.rlike(f"[{MARKS}{UNMARKED}]")
-    menus = line.rlike("[|»›·•]") & (F.regexp_count(line, F.lit(r"(^|[\x20\x09-\x0D])[|»›·•](?=[\x20\x09-\x0D]|$)")) >= menu)
-    low = F.lower(line)
+    menus = F.regexp_count(line, F.lit(r"(^|[\x20\x09-\x0D])[|»›·•](?=[\x20\x09-\x0D]|$)")) >= menu
+    marked = line.rlike(f"[{SYMBOLS}»›·•]") & (menus | (line.rlike(f"[{SYMBOLS}]") & (_symbols(line) * 2 >= n)))
     phrase = reduce(Column.__or__, (F.contains(low, F.lit(p)) for p in boilerplate), F.lit(False))
-    symbols = line.rlike(f"[{SYMBOLS}]") & (_symbols(line) * 2 >= n)
     repeated = (n >= 16) & (n_distinct * 4 < n)
-    return (n > 0) & (shouted | bare | menus | symbols | repeated | phrase)
+    return (n > 0) & (shouted | bare | marked | repeated | phrase)
 
 
 def _repeat_words(words: Column) -> Column:
@@ -100,9 +99,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss:
     parts = base.withColumn("lines", F.split("text", "\n")).withColumn("by_line", _words_by_line(F.col("text")))
     parts = parts.withColumn("words", F.flatten("by_line")).withColumn("hashes", _repeat_words(F.col("words")))
     parts = parts.withColumn("placed", _placed(F.col("hashes"))).withColumn("twice", _twice(F.col("placed")))
-    counts = lambda line, words: F.struct(line.alias("line"), F.size(words).alias("n"), F.when(F.size(words) >= 16, F.size(F.array_distinct(words))).otherwise(F.size(words)).alias("d"))
+    counts = lambda line, words: F.struct(line.alias("line"), F.lower(line).alias("low"), F.size(words).alias("n"), F.when(F.size(words) >= 16, F.size(F.array_distinct(words))).otherwise(F.size(words)).alias("d"))
     parts = parts.withColumn("counted", F.zip_with("lines", "by_line", counts))
-    parts = parts.withColumn("judged", F.transform("counted", lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), line_fails(x["line"], x["n"], x["d"], boilerplate, menu).alias("fails"))))
+    parts = parts.withColumn("judged", F.transform("counted", lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), line_fails(x["line"], x["low"], x["n"], x["d"], boilerplate, menu).alias("fails"))))
     good = F.transform(F.filter("judged", lambda x: ~x["fails"]), lambda x: x["line"])
     full = F.transform(F.filter("judged", lambda x: x["n"] > 0), lambda x: x["line"])
     lost = F.aggregate("judged", F.lit(0), lambda acc, x: acc + F.when(x["fails"], x["n"]).otherwise(0))
