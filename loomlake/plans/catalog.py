@@ -101,7 +101,7 @@ def priority_group(spark, d):
     words = F.split("text", " ")
     return table(spark, d, "documents").select(
         "lang", "source", sq.first_present(words, ["the", "der", "le"]).alias("primary_group"), F.arrays_overlap(words, F.array(F.lit("la"), F.lit("un"))).alias("overlap"),
-        (~F.exists(words, lambda w: F.lower(w).isin("and", "und"))).alias("none_banned"), sq.any_substring(F.col("text"), ["erth", "chst"]).alias("genus"), "doc_id",
+        sq.none_of(words, ["and", "und"]).alias("none_banned"), sq.any_substring(F.col("text"), ["erth", "chst"]).alias("genus"), "doc_id",
     )
 
 
