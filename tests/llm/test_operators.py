@@ -508,3 +508,17 @@ def test_empty_tables(spark):
     ):
         assert out.count() == 0
     assert decontaminate.find_contamination(frame(spark, [(1, "a b")]), items).first().n_hit == 0
+
+
+def test_tables_without_a_word(spark):
+    rows = [(1, None), (2, ""), (None, None), (3, " \n ")]
+    df, items = frame(spark, rows), spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
+    same(substring_dedup.remove_repeats(df), brute.repeats(rows), "doc_id", "n_words", "n_removed", "kept_text")
+    same(minhash_dedup.near_duplicates(df), brute.near(rows), "doc_id", "n_shingles", "component_id", "kept")
+    same(line_dedup.dedup_lines(df), brute.lines(rows), "doc_id", "text", "n_lines", "n_removed")
+    assert minhash_dedup.one_of_each(df).count() == 4
+    for block in (1, 1000):
+        same(decontaminate.find_contamination(df, items, block_bytes=block), brute.leaks(rows, items.collect()), "doc_id", "n_words", "n_hit", "items")
+        assert brute.order([(r.doc_id, r.text) for r in decontaminate.remove_contamination(df, items, block_bytes=block).collect()]) == brute.order(rows)
+    assert [r.taken for r in mixing.mix(df).collect()] == [0] * 4 and not any(r.kept for r in quality.judge(df).collect())
+    assert {r.spans for r in secret_scan.find_secrets(df).collect()} == {""} and {r.n_tokens for r in lm_score.score(df, df).collect()} == {0}
