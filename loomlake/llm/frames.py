@@ -10,6 +10,8 @@ NULL_ID = 2**63 - 1
 #: ASCII white space, the separators of words, and a run of anything else.
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key is hot if it has this fraction of the rows, or more.
+HOT = 1000
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -34,6 +36,20 @@ def spread(rows: DataFrame, found: DataFrame, key: str, by: str) -> DataFrame:
     return parted.join(pairs, [key, "__part"]).drop("__part")
 
 
+def dealt(rows: DataFrame, found: DataFrame, key: str, by: str, count: str) -> DataFrame:
+    """Like ``spread`` where ``found`` knows in ``count`` how many rows have a key: ``rows`` is read once.
+
+    Keys of at least one row in ``HOT`` of all that have a key here, of which there can be no more than that, are broadcast and their rows
+    dealt by the hash of ``by``; all others meet by the key.
+    """
+    parts, total = partitions(rows), found.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT >= total
+    parted = rows.join(F.broadcast(found.where(hot).select(key, F.lit(True).alias("__hot"))), key, "left")
+    parted = parted.withColumn("__part", F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(parts))).otherwise(0).cast("int")).drop("__hot")
+    pairs = found.withColumn("__part", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop(count)
+    return parted.join(pairs, [key, "__part"]).drop("__part")
+
+
 def partitions(df: DataFrame) -> int:
     """Partitions that shuffles get in this session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -204,7 +204,9 @@ WITH s1 AS MATERIALIZED (
 ), s2 AS MATERIALIZED (SELECT doc_id, text, lang, source FROM ({lines}) WHERE n_removed = 0 OR n_removed < n_lines
 ), c0 AS MATERIALIZED (SELECT s2.* FROM s2 JOIN ({_NEAR.replace("documents", "s2")}) n USING (doc_id) WHERE n.kept
 ), {_WINDOWS.strip()}, {cuts}, s4 AS MATERIALIZED (
-  SELECT c{_CUTS}.* FROM c{_CUTS} JOIN c0 USING (doc_id) WHERE NOT coalesce(regexp_matches(c0.text, '[^ 	-]'), false) OR regexp_matches(c{_CUTS}.text, '[^ 	-]')
+  SELECT c{_CUTS}.* FROM c{_CUTS} JOIN c0 USING (doc_id) WHERE NOT coalesce(regexp_matches(c0.text, '[^ 	-
+]'), false) OR regexp_matches(c{_CUTS}.text, '[^ 	-
+]')
 )
 SELECT doc_id, text, lang, source, length(text)::BIGINT AS n_chars, size, taken FROM s4 JOIN ({_MIX.replace("documents", "s4")}) m USING (doc_id) WHERE taken > 0
 """
@@ -212,6 +214,55 @@ SELECT doc_id, text, lang, source, length(text)::BIGINT AS n_chars, size, taken
 
 PIPELINE = _pipeline()
 
+
+def _lloyd(k: int = 40, rounds: int = 5) -> str:
+    """Rounds written out one after the other."""
+    apart = "list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    nearest = f"SELECT r, vec_id, v, min(struct_pack(d := {apart}, c := c)) AS best FROM kept, {{now}} GROUP BY r, vec_id, v"
+    steps = []
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({nearest.format(now=f'c{i}')})")
+        steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c, coalesce(moved, m) AS m FROM c{i} LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY place) AS moved FROM (
+      SELECT best.c AS c, place, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT best, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{i}) GROUP BY 1, 2) GROUP BY c) USING (c))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY key, v) - 1 AS c, v AS m FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS key, v FROM kept ORDER BY key, v LIMIT {k})
+), {", ".join(steps)}, last AS MATERIALIZED ({nearest.format(now=f"c{rounds}")})
+SELECT vec_id, best.c::INT AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM last JOIN c{rounds} ON c = best.c
+"""
+
+
+_AUDIT = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {words} AS ws FROM documents
+), fails AS (
+  SELECT doc_id, part, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f FROM w
+), marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), cells AS (
+  SELECT part, f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM fails LEFT JOIN marks USING (doc_id) GROUP BY ALL
+), letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS i
+), orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), steps AS (
+  SELECT array_to_string(list_transform(o, lambda x: 'ABCDE'[x]), '') AS filter_order, s.i AS step, o[s.i] AS own, o[1:s.i - 1] AS before FROM orders, letters s
+), sums AS (
+  SELECT part, filter_order, step, own, n, good, toxic, f[own] AS bad, len(list_filter(before, lambda x: f[x])) > 0 AS gone, len(list_filter(f, lambda x: x)) = 1 AS alone FROM cells, steps
+), per AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT bad AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (bad AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (bad AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (bad AND alone), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (bad AND NOT gone AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (bad AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost
+  FROM sums GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM per
+""".replace("{words}", _WORDS)
+
 ORACLES: dict[str, str] = {
     "op4_chat_format": _CHAT,
     "op6_lm_score": _MODELS,
@@ -221,4 +272,6 @@ ORACLES: dict[str, str] = {
     "op8_line_dedup": _LINES,
     "op9_minhash_dedup": _NEAR,
     "op10_quality": _QUALITY,
+    "op11_centroid_clustering": _lloyd(),
+    "op12_filter_audit": _AUDIT,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import chat, decontaminate, line_dedup, lm_score, minhash_dedup, mixing, pii, quality, secret_scan, substring_dedup
+from loomlake.llm import centroids, chat, decontaminate, filter_audit, line_dedup, lm_score, main_text, minhash_dedup, mixing, pii, quality, secret_scan, substring_dedup
 from loomlake.llm.oracles import ORACLES
 from loomlake.session import table
 
@@ -69,8 +69,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_mixing, op3_substring_dedup, op4_chat_format, op5_decontamination, op6_lm_score, op7_secret_scan, op8_line_dedup, op9_minhash_dedup, op10_quality)
+    f.__name__: f
+    for f in (
+        op1_pii, op2_mixing, op3_substring_dedup, op4_chat_format, op5_decontamination, op6_lm_score, op7_secret_scan, op8_line_dedup, op9_minhash_dedup, op10_quality,
+        op11_centroid_clustering, op12_filter_audit, op13_html_extraction,
+    )
 }
 
 __all__ = ["ORACLES", "QUERIES"]
