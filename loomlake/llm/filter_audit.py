@@ -15,13 +15,15 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.frames import NULL_ID, dealt, spread
+from loomlake.llm.frames import NULL_ID, dealt, sifted, spread
 from loomlake.scratch import Scratch
 
 #: The filters, in the order of their bits.
 FILTERS = "ABCDE"
 #: Code points of the first block; the blocks end at this times the powers of ``GROWTH``, so that a text of any length is few blocks.
 BLOCK, GROWTH = 256, 8
+#: Bits of the bitmap, broadcast, that keeps texts which are alone in their class from being shuffled; beyond some ten million classes more bits keep more.
+SIEVE = 2**25
 
 
 def words_of(text: Column) -> Column:
@@ -59,14 +61,15 @@ def later_copies(rows: DataFrame, scratch: Scratch, named: Callable[..., Column]
     sizes = scratch.write(first.groupBy("c").agg(F.count("*").alias("m"), *(F.min(c).alias(c) for c in others)), "classes")
     alone = sizes.where("m = 1").select(*others, F.lit(False).alias("copy"))
     named_rows = first.withColumn("blocks", _blocks(F.col("text"), named, block)).withColumn("name", named("c", "blocks"))
-    together = dealt(named_rows, sizes.where("m > 1").select("c", "m"), "c", "k", "m")
+    shared = sizes.where("m > 1").select("c", "m")
+    together = dealt(sifted(named_rows, shared, "c", SIEVE), shared, "c", "k", "m")
     kept = scratch.write(together.withColumn("row", F.monotonically_increasing_id()), "together")
 
     live, step = kept.select("row", "k", "name", "c", "blocks"), 0
     while not live.where(F.size("blocks") > step).isEmpty():
         live = live.withColumn("c", F.when(F.size("blocks") > step, named("c", F.get("blocks", F.lit(step)))).otherwise(F.col("c")))
-        shared = live.groupBy("c").agg(F.count("*").alias("m")).where("m > 1").select("c")
-        live, step = scratch.write(spread(live, shared, "c", "row").select("row", "k", "name", "c", "blocks"), "split"), step + 1
+        still = live.groupBy("c").agg(F.count("*").alias("m")).where("m > 1").select("c")
+        live, step = scratch.write(spread(live, still, "c", "row").select("row", "k", "name", "c", "blocks"), "split"), step + 1
 
     left, copies = live.select("row", "k", "name"), []
     while not left.isEmpty():

@@ -36,6 +36,19 @@ def spread(rows: DataFrame, found: DataFrame, key: str, by: str) -> DataFrame:
     return parted.join(pairs, [key, "__part"]).drop("__part")
 
 
+def sifted(rows: DataFrame, found: DataFrame, key: str, bits: int) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``found``, and with all of those whose key is.
+
+    The keys' hashes are a bitmap of ``bits`` bits, whatever the tables' size, in rows of 32,768 that are broadcast; so what is dropped is never shuffled.
+    """
+    spot = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    maps = found.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("__bits"))
+    at = F.bitmap_bit_position(spot).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(at, 3) + 1, 1)), 16, 10).cast("int")
+    met = rows.withColumn("__bucket", F.bitmap_bucket_number(spot)).join(F.broadcast(maps), "__bucket")
+    return met.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).drop("__bucket", "__bits")
+
+
 def dealt(rows: DataFrame, found: DataFrame, key: str, by: str, count: str) -> DataFrame:
     """Like ``spread`` where ``found`` knows in ``count`` how many rows have a key: ``rows`` is read once.
 
@@ -47,7 +60,7 @@ def dealt(rows: DataFrame, found: DataFrame, key: str, by: str, count: str) -> D
     parted = rows.join(F.broadcast(found.where(hot).select(key, F.lit(True).alias("__hot"))), key, "left")
     parted = parted.withColumn("__part", F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(parts))).otherwise(0).cast("int")).drop("__hot")
     pairs = found.withColumn("__part", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop(count)
-    return parted.join(pairs, [key, "__part"]).drop("__part")
+    return parted.join(pairs.hint("merge"), [key, "__part"]).drop("__part")
 
 
 def partitions(df: DataFrame) -> int:
