@@ -127,7 +127,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(NULL_ID)).alias("k"), text(owner_col).alias("owner"), F.concat_ws("\1", *map(text, repo_cols)).alias("repo"), docs[text_col].cast("string").alias("text"))
     scanned = scratch.write(base.mapInArrow(tk.releasing(_scan), _OUT).withColumn("row", F.monotonically_increasing_id()), "scan")
     found = scanned.select("row", "owner", "repo", F.explode("found").alias("f")).select("row", "owner", "repo", "f.*")
-    held = found.select("hash", "owner", "repo").distinct().groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count("*").alias("repos"))
+    held = found.select("hash", "owner", "repo").distinct().groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
     joined = spread(found, held, "hash", "row").select("row", "kind", "start", "stop", "live", "owners", "repos")
     status = F.when((F.col("owners") > max_owners) | (F.col("repos") > max_repos), "copied").when(F.col("live"), "live").otherwise("plain")
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))

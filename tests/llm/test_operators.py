@@ -423,6 +423,14 @@ def test_secrets_against_plain_rules(spark):
     same(secret_scan.find_secrets(df), brute.secrets(rows), "doc_id", "n_assign", "n_access", "n_hex", "base", "spans", "statuses", "holders")
 
 
+def test_one_repository_of_many_owners(spark):
+    """Repositories are counted as the caller names them, apart from owners."""
+    rows = [(i, f"o{i % 5}", "one", "password = Xk29fLw0Qz71mNbV") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, repo string, text string")
+    got = secret_scan.find_secrets(df, repo_cols=("repo",), max_owners=9).collect()
+    assert {r.holders.split(":", 2)[2] for r in got} == {"5:1"} and {r.statuses.rsplit(":", 1)[1] for r in got} == {"live"}
+
+
 def test_secrets_in_many_repositories_of_one_owner(spark):
     spread, own = "ghp_Q7w2E9r4T1y6U3i8O5p0", "ghp_Z1x8C3v6B5n4M7a2S9d0"
     rows = [("x", i, f"key {spread} here", f"l{i}", "s", 1, "t", 2, "w", "h") for i in range(6)]
