@@ -34,6 +34,13 @@ def placed(df: DataFrame, order: Sequence[str | Column], name: str = "place") ->
     return running(df, order, {name: F.lit(1).cast("bigint")})
 
 
+def placed_within(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str = "place") -> DataFrame:
+    """``df`` with each row's place, from 1, within its group: places in the whole table less the group's first, so a large group is no one task's."""
+    every = Scratch(df.sparkSession, "within").write(placed(df, [*by, *order], "__whole"), "places")
+    first = every.groupBy(*by).agg(F.min("__whole").alias("__first"))
+    return every.join(first, [*by]).withColumn(name, F.col("__whole") - F.col("__first") + 1).drop("__whole", "__first")
+
+
 def tiles(df: DataFrame, order: Sequence[str | Column], k: int, name: str = "ntile") -> DataFrame:
     """``df`` with the number, from 1, of the one of ``k`` parts of nearly equal size that a row's place falls in; larger parts come first."""
     rows = running(df, order, {"__place": F.lit(1).cast("bigint")}, {"__n": "__place"})

@@ -43,9 +43,14 @@ def group_draws(groups: DataFrame, group: str, draws: int, seed: str, strata: st
 
 
 def bootstrap(df: DataFrame, group: str, draws: int, seed: str = "boot", y: str = "y", score: str = "score", strata: str | None = None) -> DataFrame:
-    """auc and ap of each draw of whole groups; draws with one class only are left out."""
+    """auc and ap of each draw of whole groups; draws with one class only are left out.
+
+    Rows of a group that agree in class and score are one row, with their number, before they are drawn.
+    """
     times = group_draws(df, group, draws, seed, strata)
-    return ranking(df.join(times, group), ["draw"], y, score, "times").where("auc is not null")
+    summed = df.groupBy(group, y, score).agg(F.count("*").alias("__rows"))
+    drawn = summed.join(times, group).select("draw", y, score, (F.col("times") * F.col("__rows")).alias("__w"))
+    return ranking(drawn, ["draw"], y, score, "__w").where("auc is not null")
 
 
 def interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,38 +11,38 @@ from loomlake.operators.ordering import placed
 from loomlake.scratch import Scratch
 
 SPLITS = (("train", 0.70), ("val", 0.15), ("test", 0.15))
-#: Components of two or more members that the driver folds, at most.
-MOST = 2_000_000
+#: Assignments that the driver holds before it writes them.
+PART = 100_000
 
 
-def assign(members: DataFrame, component: str = "component", label: str = "label", most: int = MOST) -> DataFrame:
+def assign(members: DataFrame, component: str = "component", label: str = "label", part: int = PART) -> DataFrame:
     """(component, split): components by falling size, then id, each to the split that lacks most of its classes.
 
     The score of a split is the sum over classes of n * (target - current) / max(target, 1); ties go to the first split. The fold is
-    sequential over components of two or more members, whose (class, count) table comes to the driver; beyond ``most`` of them it raises an error.
+    sequential over components of two or more members: they stream through the driver in their order, which keeps the classes' counts and writes
+    ``part`` assignments at a time.
     Single members are dealt over the cluster: those of one class fill the splits in the order of the scores that each place would have, so
     the places of all splits are sorted and the members take them by id.
     """
     scratch = Scratch(members.sparkSession, "splits")
     counts = scratch.write(members.groupBy(component, label).agg(F.count("*").alias("n")), "counts")
     sizes = counts.groupBy(component).agg(F.sum("n").alias("size"))
-    large = sizes.where("size > 1")
-    if large.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} components of two or more members")
     totals = {r[label]: r["n"] for r in counts.groupBy(label).agg(F.sum("n").alias("n")).collect()}
-    parts: dict[int, dict[str, int]] = {}
-    for c, cls, n in counts.join(large.select(component), component, "left_semi").select(component, label, "n").toLocalIterator():
-        parts.setdefault(c, {})[cls] = n
+    own = counts.groupBy(component).agg(F.sum("n").alias("size"), F.collect_list(F.struct(F.col(label).alias("cls"), "n")).alias("own")).where("size > 1")
     current = {s: dict.fromkeys(totals, 0) for s, _ in SPLITS}
-    out = []
-    for c, own in sorted(parts.items(), key=lambda x: (-sum(x[1].values()), x[0])):
-        scores = [sum(n * (share * totals[cls] - current[s][cls]) / max(share * totals[cls], 1) for cls, n in own.items()) for s, share in SPLITS]
+    spark, kind = members.sparkSession, f"{component} {members.schema[component].dataType.simpleString()}, split string"
+    out, written = [], []
+    for r in own.orderBy(F.desc("size"), component).toLocalIterator():
+        score = lambda s, share: sum(n * (share * totals[cls] - current[s][cls]) / max(share * totals[cls], 1) for cls, n in sorted(r["own"], key=lambda x: str(x[0])))  # noqa: B023, E731
+        scores = [score(s, share) for s, share in SPLITS]
         split = SPLITS[scores.index(max(scores))][0]
-        for cls, n in own.items():
+        for cls, n in r["own"]:
             current[split][cls] += n
-        out.append((c, split))
-    spark = members.sparkSession
-    done = spark.createDataFrame(out, f"{component} {members.schema[component].dataType.simpleString()}, split string")
+        out.append((r[component], split))
+        if len(out) == part:
+            written.append(scratch.write(spark.createDataFrame(out, kind), "assigned"))
+            out = []
+    done = reduce(DataFrame.unionByName, written, spark.createDataFrame(out, kind))
     alone = counts.join(sizes.where("size = 1").select(component), component, "left_semi").select(component, label)
     by_class = alone.groupBy(label).agg(F.count("*").alias("m"))
     state = [(cls, i, s, share * n, current[s][cls]) for cls, n in totals.items() for i, (s, share) in enumerate(SPLITS)]

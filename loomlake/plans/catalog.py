@@ -48,7 +48,8 @@ def docs_(spark: SparkSession, d: str) -> DataFrame:
 def hub(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     score = F.floor(F.lit(200.0) * (F.length("text") - F.length(F.replace("text", F.lit("e")))) / F.col("n_chars")) / 200
-    return docs.select("doc_id", F.col("lang").alias("tier"), F.col("quality").alias("y"), "toxic", score.alias("score"), F.min("doc_id").over(Window.partitionBy("text")).alias("grp"))
+    rows = docs.select("doc_id", F.col("lang").alias("tier"), F.col("quality").alias("y"), "toxic", score.alias("score"), F.sha2("text", 256).alias("print"))
+    return rows.join(rows.groupBy("print").agg(F.min("doc_id").alias("grp")), "print").drop("print")
 
 
 # --- funnel, scalar functions -------------------------------------------------------------------------------------------
@@ -58,9 +59,8 @@ def hub(spark: SparkSession, d: str) -> DataFrame:
 SELECT count(*) AS n_all, count(*) FILTER (ok) AS n_length, count(*) FILTER (ok AND rn = 1) AS n_distinct, count(*) FILTER (ok AND rn = 1 AND regexp_matches(seq, '{MOTIF}')) AS n_motif FROM b""")
 def funnel_counts(spark, d):
     ok = F.length("seq").between(50, 1000)
-    flags = docs_(spark, d).select("doc_id", "seq", ok.alias("ok")).groupBy("seq", "ok").agg(F.count("*").alias("n"))
-    good = F.col("ok")
-    return flags.agg(F.sum("n").alias("n_all"), F.coalesce(F.sum(F.when(good, F.col("n"))), F.lit(0)).alias("n_length"), F.count_if(good).alias("n_distinct"), F.count_if(good & F.col("seq").rlike(MOTIF)).alias("n_motif"))
+    flags = docs_(spark, d).select(F.sha2("seq", 256).alias("print"), ok.alias("ok"), (ok & F.col("seq").rlike(MOTIF)).alias("motif")).groupBy("print", "ok", "motif").agg(F.count("*").alias("n"))
+    return flags.agg(F.sum("n").alias("n_all"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("n"))), F.lit(0)).alias("n_length"), F.count_if("ok").alias("n_distinct"), F.count_if("motif").alias("n_motif"))
 
 
 @query(f"""WITH a AS (SELECT doc_id, lang, {SEQ} AS seq FROM documents), b AS (SELECT * FROM a WHERE length(seq) BETWEEN 50 AND 1000 AND regexp_matches(seq, '{MOTIF}') QUALIFY row_number() OVER (PARTITION BY seq ORDER BY doc_id) = 1)
@@ -123,15 +123,8 @@ def motif_first(spark, d):
     return docs_(spark, d).select("doc_id", seq.rlike("E[STN]H").alias("has_motif"), F.regexp_extract(seq, "(E[STN]H)", 1).alias("first_motif"), (F.regexp_instr(seq, F.lit("E[STN]H")) - 1).alias("at"))
 
 
-@query(f"""SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(range(1, length(s) - 3), lambda i: regexp_full_match(substr(s, i, 5), 'E.[ST].E')), lambda i: i + 1), ','), '') AS positions FROM (SELECT doc_id, {SEQ} AS s FROM documents) WHERE length(s) BETWEEN 5 AND 1000""")
+@query(f"""SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(range(1, length(s) - 3), lambda i: regexp_full_match(substr(s, i, 5), 'E.[ST].E')), lambda i: i + 1), ','), '') AS positions FROM (SELECT doc_id, {SEQ} AS s FROM documents)""")
 def motif_positions(spark, d):
-    at = sq.motif_positions(F.col("seq"), MOTIF, 5, 2)
-    return docs_(spark, d).where(F.length("seq").between(5, 1000)).select("doc_id", F.array_join(at.cast("array<string>"), ",").alias("positions"))
-
-
-@query()
-def motif_positions_whole(spark, d):
-    """As motif_positions, whose SQL is bound to 5 to 1,000 letters, for sequences of every length; a short one has an empty list."""
     at = sq.motif_positions(F.col("seq"), MOTIF, 5, 2)
     return docs_(spark, d).select("doc_id", F.array_join(at.cast("array<string>"), ",").alias("positions"))
 
@@ -160,8 +153,8 @@ def json_paths(spark, d):
 
 @query("SELECT min(doc_id) AS doc_id, array_to_string(list_sort(list_distinct(list(source))), '|') AS sources, array_to_string(list_sort(list_distinct(list(lang))), '|') AS langs, bool_or(n_chars > 500) AS verified, bool_and(n_chars > 100) AS only_long, count(*) AS n_merged FROM documents GROUP BY text")
 def exact_dedup_first(spark, d):
-    rows = table(spark, d, "documents").select("text", "doc_id", F.array("source").alias("sources"), F.array("lang").alias("langs"), (F.col("n_chars") > 500).alias("verified"), (F.col("n_chars") > 100).alias("only_long"))
-    out = dedup.merge_evidence(rows, "text", "doc_id", ["sources", "langs"], ["verified"], ["only_long"])
+    rows = table(spark, d, "documents").select(F.sha2("text", 256).alias("print"), "doc_id", F.array("source").alias("sources"), F.array("lang").alias("langs"), (F.col("n_chars") > 500).alias("verified"), (F.col("n_chars") > 100).alias("only_long"))
+    out = dedup.merge_evidence(rows, "print", "doc_id", ["sources", "langs"], ["verified"], ["only_long"])
     return out.select("doc_id", F.array_join("sources", "|").alias("sources"), F.array_join("langs", "|").alias("langs"), "verified", "only_long", "n_merged")
 
 
@@ -342,17 +335,6 @@ def mixed_components(spark, d):
     return both.groupBy("component").agg(F.array_sort(F.collect_set(F.col("quality").cast("string"))).alias("l")).where(F.size("l") > 1).select("component", F.array_join("l", "|").alias("labels"))
 
 
-@query(f"WITH RECURSIVE {_PAIRS}, t AS (SELECT unnest([0.3, 0.5, 0.7, 0.9])::DOUBLE AS bound), edges AS (SELECT bound, a, b FROM pairs, t WHERE jaccard >= bound UNION ALL SELECT bound, b, a FROM pairs, t WHERE jaccard >= bound), reach AS (SELECT bound, doc_id AS a, doc_id AS b FROM documents, t UNION SELECT r.bound, r.a, e.b FROM reach r JOIN edges e ON e.a = r.b AND e.bound = r.bound), comp AS (SELECT bound, a, min(b) AS c FROM reach GROUP BY 1, 2), size AS (SELECT bound, c, count(*) AS n FROM comp GROUP BY 1, 2) SELECT bound, count(*) AS n_components, max(n) AS largest FROM size GROUP BY bound")
-def threshold_sweep(spark, d):
-    edges = Scratch(spark, "sweep").write(_pairs(spark, d), "pairs")
-    total, out = table(spark, d, "documents").count(), []
-    for bound in (0.3, 0.5, 0.7, 0.9):
-        sizes = connected(edges.where(F.col("jaccard") >= bound).select("a", "b"), Scratch(spark, "sweep")).groupBy("root").agg(F.count("*").alias("n"))
-        merged = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), F.count("*").alias("parts"), F.coalesce(F.max("n"), F.lit(1)).alias("largest"))
-        out.append(merged.select(F.lit(bound).alias("bound"), (F.lit(total) - F.col("nodes") + F.col("parts")).alias("n_components"), "largest"))
-    return out[0].union(out[1]).union(out[2]).union(out[3])
-
-
 @query(f"WITH {_PAIRS}, bi AS (SELECT a, b, jaccard FROM pairs UNION ALL SELECT b, a, jaccard FROM pairs) SELECT l.doc_id AS id, coalesce(max(jaccard) FILTER (m.quality = 1), 0.0) AS best FROM labels l LEFT JOIN bi ON bi.a = l.doc_id LEFT JOIN labels m ON m.doc_id = bi.b WHERE l.quality = 0 GROUP BY l.doc_id")
 def max_identity_to_class(spark, d):
     return pairs.max_to_class(_pairs(spark, d), table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), "jaccard", 0, 1)
@@ -438,29 +420,13 @@ def cutoff_sweep(spark, d):
     return hub(spark, d).select("*", cuts).groupBy("cut").agg(F.count_if(hit & (F.col("y") == 1)).alias("tp"), F.count_if(hit & (F.col("y") == 0)).alias("fp"))
 
 
-_DRAWS = "groups AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS g FROM (SELECT DISTINCT grp FROM hub)), drawn AS (SELECT draw, ('0x' || substr(md5('boot|' || draw || '|' || i), 1, 13))::BIGINT % g AS i FROM groups, range(0, 20) AS r(draw)), times AS (SELECT draw, grp, count(*) AS w FROM drawn JOIN groups USING (i) GROUP BY 1, 2), w AS (SELECT draw, y, score, w FROM hub JOIN times USING (grp)), boot AS (SELECT p.draw, " + AUC + " AS auc FROM w p JOIN w n ON n.draw = p.draw WHERE p.y = 1 AND n.y = 0 GROUP BY p.draw)"
-
-
-@query(f"WITH {HUB}, {_DRAWS} SELECT draw, auc FROM boot")
-def group_bootstrap(spark, d):
-    return resampling.bootstrap(hub(spark, d), "grp", 20).select("draw", "auc")
-
-
-@query(f"WITH {HUB}, {_DRAWS} SELECT count(*) AS n, quantile_cont(auc, 0.025) AS low, quantile_cont(auc, 0.5) AS middle, quantile_cont(auc, 0.975) AS high FROM boot")
-def group_bootstrap_ci(spark, d):
-    ci = resampling.interval(resampling.bootstrap(hub(spark, d), "grp", 20), "auc")
-    return ci.select("n", "low", "middle", "high")
-
-
 @query()
-def group_bootstrap_whole(spark, d):
-    """As group_bootstrap, whose SQL is bound to 20 draws, in 2,000."""
+def group_bootstrap(spark, d):
     return resampling.bootstrap(hub(spark, d), "grp", 2000).select("draw", "auc")
 
 
 @query()
-def group_bootstrap_ci_whole(spark, d):
-    """As group_bootstrap_ci, whose SQL is bound to 20 draws, in 2,000."""
+def group_bootstrap_ci(spark, d):
     ci = resampling.interval(resampling.bootstrap(hub(spark, d), "grp", 2000), "auc")
     return ci.select("n", "low", "middle", "high")
 

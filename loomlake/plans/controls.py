@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomlake.functions import sequences as sq
 from loomlake.functions import vectors
 from loomlake.functions.alignment import shift
-from loomlake.operators import dedup, metrics, resampling, sampling, structures
+from loomlake.operators import dedup, metrics, ordering, resampling, sampling, structures
 from loomlake.plans import catalog as c
 from loomlake.plans.catalog import query
 from loomlake.scratch import Scratch
@@ -24,14 +24,12 @@ _HEX = "('0x' || substr(md5({}), 1, 13))::BIGINT"
 _RANKED = "m AS (SELECT g, y, 2 * rank() OVER (PARTITION BY g ORDER BY score) + count(*) OVER (PARTITION BY g, score) - 1 AS r2 FROM r), a AS (SELECT g, sum(r2) FILTER (y = 1) - p * (p + 1) AS u2, p, n FROM (SELECT *, count(*) FILTER (y = 1) OVER (PARTITION BY g) AS p, count(*) FILTER (y = 0) OVER (PARTITION BY g) AS n FROM m) GROUP BY g, p, n), auc AS (SELECT g, u2::DOUBLE / (2 * p * n) AS auc, p, n FROM a WHERE p > 0 AND n > 0)"
 
 
-@query(f"WITH {c._LONG}, r AS (SELECT {{'draw': draw, 'latent': latent}} AS g, pos::INT AS y, v AS score FROM l, range(0, 10) AS d(draw) WHERE {_HEX.format("'half|' || draw || '|' || vec_id")} % 2 = 0), {_RANKED}, top AS (SELECT g.latent AS latent, 2 * auc - 1 AS delta, row_number() OVER (PARTITION BY g.draw ORDER BY auc DESC, g.latent) AS place FROM auc) SELECT latent, count(*) FILTER (place <= 10) AS n_top, min(delta) AS least, count(*) FILTER (place <= 10) >= 0.75 * 10 AS stable FROM top GROUP BY latent")
-def stability_selection(spark, d):
-    return _stable(spark, d, 10)
+_STABLE = f"WITH {c._LONG}, r AS (SELECT {{'draw': draw, 'latent': latent}} AS g, pos::INT AS y, v AS score FROM l, range(0, 10) AS d(draw) WHERE {_HEX.format("'half|' || draw || '|' || vec_id")} % 2 = 0), {_RANKED}, top AS (SELECT g.latent AS latent, 2 * auc - 1 AS delta, row_number() OVER (PARTITION BY g.draw ORDER BY auc DESC, g.latent) AS place FROM auc) SELECT latent, count(*) FILTER (place <= 10) AS n_top, min(delta) AS least, count(*) FILTER (place <= 10) >= 0.75 * 10 AS stable FROM top GROUP BY latent"
 
 
 @query()
-def stability_selection_whole(spark, d):
-    """As stability_selection, whose SQL is bound to 10 halves, in 200, and stable only where the effect over all rows is 0.9 or more."""
+def stability_selection(spark, d):
+    """How often each latent is among the ten best of 200 halves; stable where that is three in four and the effect over all rows 0.9 or more."""
     whole = table(spark, d, "embeddings").select((F.col("label") == 0).cast("int").alias("y"), F.posexplode("embedding").alias("latent", "score"))
     delta = metrics.ranking(whole, ["latent"]).select("latent", (2 * F.col("auc") - 1).alias("delta"))
     strong = F.coalesce(F.col("delta") >= 0.9, F.lit(False))
@@ -50,14 +48,8 @@ def _stable(spark, d, n_draws):
     return placed.groupBy("latent").agg(n_top.alias("n_top"), F.min(2 * F.col("auc") - 1).alias("least"), (n_top >= 0.75 * n_draws).alias("stable"))
 
 
-@query(f"WITH {c.HUB}, chosen AS (SELECT draw, doc_id FROM hub, range(0, 20) AS d(draw) WHERE y = 1 QUALIFY row_number() OVER (PARTITION BY draw ORDER BY {_HEX.format("'size|' || draw || '|' || doc_id")}, doc_id) <= 20), r AS (SELECT draw AS g, 1 AS y, score FROM chosen JOIN hub USING (doc_id) UNION ALL SELECT draw, 0, score FROM hub, range(0, 20) AS d(draw) WHERE y = 0), {_RANKED} SELECT count(*) AS n, quantile_cont(auc, 0.05) AS low, quantile_cont(auc, 0.5) AS middle, quantile_cont(auc, 0.95) AS high FROM auc")
+@query(f"WITH {c.HUB}, chosen AS (SELECT draw, doc_id FROM hub, range(0, 500) AS d(draw) WHERE y = 1 QUALIFY row_number() OVER (PARTITION BY draw ORDER BY {_HEX.format("'size|' || draw || '|' || doc_id")}, doc_id) <= 20), r AS (SELECT draw AS g, 1 AS y, score FROM chosen JOIN hub USING (doc_id) UNION ALL SELECT draw, 0, score FROM hub, range(0, 500) AS d(draw) WHERE y = 0), {_RANKED} SELECT count(*) AS n, quantile_cont(auc, 0.05) AS low, quantile_cont(auc, 0.5) AS middle, quantile_cont(auc, 0.95) AS high FROM auc")
 def size_matched_control(spark, d):
-    return _size_matched(spark, d, 20)
-
-
-@query()
-def size_matched_control_whole(spark, d):
-    """As size_matched_control, whose SQL is bound to 20 draws, in 500."""
     return _size_matched(spark, d, 500)
 
 
@@ -69,14 +61,8 @@ def _size_matched(spark, d, n_draws):
     return resampling.interval(auc.where("auc is not null"), "auc", 0.9)
 
 
-@query(f"WITH {c.HUB}, {c._DRAWS} SELECT count(*) AS n, round(avg(auc), 9) AS mean, round(stddev_samp(auc) / sqrt(count(*)), 9) AS se FROM boot")
-def mean_and_error(spark, d):
-    return _mean_and_error(spark, d, 20)
-
-
 @query()
-def mean_and_error_whole(spark, d):
-    """As mean_and_error, whose SQL is bound to 20 draws, in 2,000."""
+def mean_and_error(spark, d):
     return _mean_and_error(spark, d, 2000)
 
 
@@ -177,14 +163,8 @@ def held_out_relatives(spark, d):
     return comp.where("split = 'test'").join(known, "component", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("related"))
 
 
-@query(f"WITH {c._LONG}, picks AS (SELECT draw, latent FROM range(0, 20) AS d(draw), range(0, 64) AS f(latent) QUALIFY row_number() OVER (PARTITION BY draw ORDER BY {_HEX.format("'features|' || draw || '|' || latent")}, latent) <= 9), r AS (SELECT draw AS g, pos::INT AS y, sum(floor(v * 1000)) AS score FROM l JOIN picks USING (latent) GROUP BY draw, vec_id, pos), {_RANKED} SELECT g AS draw, auc FROM auc")
+@query(f"WITH {c._LONG}, picks AS (SELECT draw, latent FROM range(0, 200) AS d(draw), range(0, 64) AS f(latent) QUALIFY row_number() OVER (PARTITION BY draw ORDER BY {_HEX.format("'features|' || draw || '|' || latent")}, latent) <= 9), r AS (SELECT draw AS g, pos::INT AS y, sum(floor(v * 1000)) AS score FROM l JOIN picks USING (latent) GROUP BY draw, vec_id, pos), {_RANKED} SELECT g AS draw, auc FROM auc")
 def random_feature_control(spark, d):
-    return _random_features(spark, d, 20)
-
-
-@query()
-def random_feature_control_whole(spark, d):
-    """As random_feature_control, whose SQL is bound to 20 draws, in 200."""
     return _random_features(spark, d, 200)
 
 
@@ -217,49 +197,31 @@ def subset_control(spark, d):
     return metrics.ranking(c.hub(spark, d), ["tier"]).where("auc is not null and n_pos >= 3 and n_pos + n_neg >= 10").select("tier", "auc", "n_pos", "n_neg")
 
 
-_SHIFT = "length(list_filter(range(1, 31), lambda i: substr(a, i, 1) = substr(b, i + k, 1) AND i + k >= 1 AND i + k <= length(b) AND i <= length(a)))"
-
-
-@query(f"WITH s AS (SELECT doc_id, substr({c.SEQ}, 1, 30) AS a FROM documents), o AS (SELECT substr({c.SEQ}, 1, 60) AS b FROM documents ORDER BY doc_id LIMIT 1), m AS (SELECT doc_id, k, {_SHIFT} AS n FROM s, o, range(-29, 60) AS r(k)) SELECT doc_id, k AS shift, n AS matches FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k) = 1")
-def shift_alignment(spark, d):
-    docs = c.docs_(spark, d).select("doc_id", F.substring("seq", 1, 30).alias("a"), F.substring("seq", 1, 60).alias("b"))
-    first = docs.orderBy("doc_id").limit(1).select("b")
-    letter = lambda s, i: sq.letter_at(s, i)
-    matches = lambda k: F.size(F.filter(F.sequence(F.lit(0), F.lit(29)), lambda i: F.coalesce(letter(F.col("a"), i) == letter(F.col("b"), i + k), F.lit(False))))
-    best = F.array_max(F.transform(F.sequence(F.lit(-29), F.lit(59)), lambda k: F.struct(matches(k).cast("bigint").alias("n"), (-k).cast("bigint").alias("k"))))
-    return docs.select("doc_id", "a").crossJoin(F.broadcast(first)).select("doc_id", best.alias("m")).select("doc_id", (-F.col("m.k")).alias("shift"), F.col("m.n").alias("matches"))
-
-
 @query()
-def shift_alignment_whole(spark, d):
-    """As shift_alignment, whose SQL is bound to the first 30 and 60 letters, for whole sequences and all their shifts."""
+def shift_alignment(spark, d):
+    """The best of all shifts of whole sequences along the first one."""
     docs = c.docs_(spark, d).select("doc_id", F.col("seq").alias("a"))
     first = docs.orderBy("doc_id").limit(1).select(F.col("a").alias("b"))
     both = docs.repartition(spark.sparkContext.defaultParallelism * 4).crossJoin(F.broadcast(first))
     return both.select("doc_id", shift(F.col("a"), F.col("b")).alias("m")).select("doc_id", "m.shift", "m.matches")
 
 
-@query(f"WITH {_MOTIF}, n AS (SELECT draw, lang, s, peak, row_number() OVER (PARTITION BY draw, lang ORDER BY doc_id) AS i, row_number() OVER (PARTITION BY draw, lang ORDER BY {_HEX.format("'pairing|' || draw || '|' || doc_id")}, doc_id) AS j FROM p, range(0, 5) AS d(draw)), x AS (SELECT a.draw, a.lang, a.s, b.peak FROM n a JOIN n b ON a.draw = b.draw AND a.lang = b.lang AND a.i = b.j) SELECT draw, lang, count(*) AS n, count(*) FILTER ({_LETTER.format(*SITES[1])}) AS hits FROM x GROUP BY draw, lang")
+@query(f"WITH {_MOTIF}, n AS (SELECT draw, lang, s, peak, row_number() OVER (PARTITION BY draw, lang ORDER BY doc_id) AS i, row_number() OVER (PARTITION BY draw, lang ORDER BY {_HEX.format("'pairing|' || draw || '|' || doc_id")}, doc_id) AS j FROM p, range(0, 200) AS d(draw)), x AS (SELECT a.draw, a.lang, a.s, b.peak FROM n a JOIN n b ON a.draw = b.draw AND a.lang = b.lang AND a.i = b.j) SELECT draw, lang, count(*) AS n, count(*) FILTER ({_LETTER.format(*SITES[1])}) AS hits FROM x GROUP BY draw, lang")
 def shuffled_pairing(spark, d):
-    return _shuffled_pairing(spark, d, 5)
-
-
-@query()
-def shuffled_pairing_whole(spark, d):
-    """As shuffled_pairing, whose SQL is bound to 5 permutations, in 200."""
-    return _shuffled_pairing(spark, d, 200)
-
-
-def _shuffled_pairing(spark, d, n_draws):
-    """Hits at a site when each sequence gets the peak of another one of its stratum, by random permutations."""
-    off, letters = SITES[1]
-    rows = _peaks(spark, d).select("doc_id", "lang", "seq", "peak", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"))
-    part = Window.partitionBy("draw", "lang")
+    """Hits at a site when each sequence gets the peak of another one of its stratum, by 200 random permutations.
+
+    Places, peaks and draws travel; a sequence meets all the peaks that it gets in one row.
+    """
+    (off, letters), n_draws, scratch = SITES[1], 200, Scratch(spark, "pairing")
+    rows = scratch.write(_peaks(spark, d).select("doc_id", "lang", "seq", "peak"), "peaks")
+    own = ordering.placed_within(rows.select("doc_id", "lang"), ["lang"], ["doc_id"], "i")
+    drawn = rows.select("lang", "peak", "doc_id", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"))
     order = resampling.hash_number(F.lit("pairing"), F.col("draw"), F.col("doc_id"))
-    own = rows.select("draw", "lang", "seq", F.row_number().over(part.orderBy("doc_id")).alias("i"))
-    other = rows.select("draw", "lang", "peak", F.row_number().over(part.orderBy(order, "doc_id")).alias("i"))
-    hit = F.coalesce(sq.letter_at(F.col("seq"), F.col("peak") + off).isin(*letters), F.lit(False))
-    return own.join(other, ["draw", "lang", "i"]).groupBy("draw", "lang").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
+    other = ordering.placed_within(drawn.withColumn("h", order), ["draw", "lang"], ["h", "doc_id"], "i").select("draw", "lang", "i", "peak")
+    given = own.join(other, ["lang", "i"]).groupBy("doc_id").agg(F.collect_list(F.struct("draw", "peak")).alias("given"))
+    hit = lambda g: F.coalesce(sq.letter_at(F.col("seq"), g["peak"] + off).isin(*letters), F.lit(False))
+    met = rows.join(given, "doc_id").select("lang", F.explode(F.transform("given", lambda g: F.struct(g["draw"].alias("draw"), hit(g).alias("hit")))).alias("g"))
+    return met.groupBy("g.draw", "lang").agg(F.count("*").alias("n"), F.count_if("g.hit").alias("hits"))
 
 
 @query("WITH u AS (SELECT l_orderkey, l_returnflag, l_linenumber, min(l_partkey) FILTER (l_linestatus = 'F') AS num FROM lineitem GROUP BY 1, 2, 3), c AS (SELECT l_orderkey, l_returnflag, count(num) AS n_matched, count(*) AS length, min(l_linenumber) AS first, coalesce(string_agg(l_linenumber || ':' || num, ',' ORDER BY l_linenumber) FILTER (num IS NOT NULL), '') AS numbers FROM u GROUP BY 1, 2) SELECT l_orderkey, l_returnflag, n_matched, n_matched::DOUBLE / length AS coverage, numbers FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY n_matched DESC, first, l_returnflag) = 1")
@@ -323,15 +285,12 @@ def _areas(score: str, name: str) -> str:
 _BOOT = f"{_drawn(2000, 'boot')}, {_areas('score', 'boot')}"
 _QUANTILES = "quantile_cont(auc, 0.025) AS low, quantile_cont(auc, 0.5) AS middle, quantile_cont(auc, 0.975) AS high"
 c.ORACLES |= {
-    "group_bootstrap_whole": f"WITH {c.HUB}, {_BOOT} SELECT draw, auc FROM boot",
-    "group_bootstrap_ci_whole": f"WITH {c.HUB}, {_BOOT} SELECT count(*) AS n, {_QUANTILES} FROM boot",
-    "mean_and_error_whole": f"WITH {c.HUB}, {_BOOT} SELECT count(*) AS n, round(avg(auc), 9) AS mean, round(stddev_samp(auc) / sqrt(count(*)), 9) AS se FROM boot",
+    "group_bootstrap": f"WITH {c.HUB}, {_BOOT} SELECT draw, auc FROM boot",
+    "group_bootstrap_ci": f"WITH {c.HUB}, {_BOOT} SELECT count(*) AS n, {_QUANTILES} FROM boot",
+    "mean_and_error": f"WITH {c.HUB}, {_BOOT} SELECT count(*) AS n, round(avg(auc), 9) AS mean, round(stddev_samp(auc) / sqrt(count(*)), 9) AS se FROM boot",
     "stratified_bootstrap": f"WITH h AS (WITH {c.HUB} SELECT * FROM hub), hub AS (SELECT *, y || '-' || grp AS name FROM h), {_drawn(2000, 'two', 'name', 'y')}, {_areas('score', 'boot')} SELECT count(*) AS n, {_QUANTILES} FROM boot",
     "paired_bootstrap": f"WITH {c.HUB}, {_drawn(4000, 'pair')}, {_areas('score', 'one')}, {_areas('other', 'two')}, d AS (SELECT one.auc AS x, two.auc AS y, one.auc - two.auc AS delta FROM one JOIN two USING (draw)) SELECT count(*) AS n, round(avg(delta), 9) AS mean, round(quantile_cont(delta, 0.025), 9) AS low, round(quantile_cont(delta, 0.975), 9) AS high, avg((delta > 0)::INT) AS p_better, round(corr(x, y), 9) AS corr FROM d",
-    "size_matched_control_whole": c.ORACLES["size_matched_control"].replace("range(0, 20)", "range(0, 500)"),
-    "random_feature_control_whole": c.ORACLES["random_feature_control"].replace("range(0, 20)", "range(0, 200)"),
-    "shuffled_pairing_whole": c.ORACLES["shuffled_pairing"].replace("range(0, 5)", "range(0, 200)"),
-    "stability_selection_whole": c.ORACLES["stability_selection"].replace("range(0, 10)", "range(0, 200)").replace(
+    "stability_selection": _STABLE.replace("range(0, 10)", "range(0, 200)").replace(
         "SELECT latent, count(*) FILTER (place <= 10) AS n_top, min(delta) AS least, count(*) FILTER (place <= 10) >= 0.75 * 10 AS stable FROM top GROUP BY latent",
         ", every AS (SELECT latent, sum(p * (2 * below + n))::DOUBLE / (sum(p) * sum(n)) - 1 AS delta FROM (SELECT *, sum(n) OVER (PARTITION BY latent ORDER BY v) - n AS below FROM (SELECT latent, v, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS n FROM l GROUP BY 1, 2)) GROUP BY latent) SELECT latent, count(*) FILTER (place <= 10) AS n_top, min(top.delta) AS least, every.delta, count(*) FILTER (place <= 10) >= 0.75 * 200 AND every.delta >= 0.9 AS stable FROM top JOIN every USING (latent) GROUP BY latent, every.delta",
     ),

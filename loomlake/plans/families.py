@@ -78,24 +78,7 @@ _NINE = [0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.7, 0.9]
 _BOUNDS = ", ".join(map(str, _NINE))
 
 
-@query(f"WITH RECURSIVE {c._GRAMS}, n AS (SELECT id, count(*) AS n FROM g GROUP BY id), c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2), p AS (SELECT a, b, c::DOUBLE / (p.n + q.n - c) AS jaccard, c::DOUBLE / least(p.n, q.n) AS overlap FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE c::DOUBLE / (p.n + q.n - c) >= 0.15), t AS (SELECT i, bound, measure FROM (SELECT unnest(range(0, 9)) AS i, unnest([{_BOUNDS}])::DOUBLE AS bound), (SELECT unnest(['jaccard', 'overlap']) AS measure)), l AS (SELECT measure, bound, a, b FROM p, t WHERE CASE WHEN measure = 'jaccard' THEN jaccard ELSE overlap END >= bound), edges AS (SELECT * FROM l UNION ALL SELECT measure, bound, b, a FROM l), reach AS (SELECT measure, bound, doc_id AS a, doc_id AS b FROM documents, t UNION SELECT r.measure, r.bound, r.a, e.b FROM reach r JOIN edges e ON e.a = r.b AND e.bound = r.bound AND e.measure = r.measure), comp AS (SELECT measure, bound, a, min(b) AS c FROM reach GROUP BY 1, 2, 3), sizes AS (SELECT measure, bound, c, count(*) AS n, count(*) FILTER (a IN (SELECT doc_id FROM labels WHERE quality = 1)) AS pos FROM comp GROUP BY 1, 2, 3) SELECT measure, bound, count(*) AS n_components, max(n) AS largest, count(*) FILTER (pos > 0) AS with_positives, max(pos) AS most_positives FROM sizes GROUP BY 1, 2")
-def threshold_sweep_full(spark, d):
-    """Nine bounds on two measures of a pair, all in one run of components over (measure, bound, document)."""
-    docs = table(spark, d, "documents").select("doc_id")
-    items, scratch = pairs.shingles(table(spark, d, "documents"), "doc_id", "text"), Scratch(spark, "sweep")
-    found = pairs.similar_pairs(items, 0.15, expand=False)
-    measured = found.select("a", "b", F.array(F.col("jaccard"), F.col("common").cast("double") / F.least("na", "nb")).alias("m"))
-    copies = pairs.classes(items).where("id <> representative").select(F.col("representative").alias("a"), F.col("id").alias("b"), F.array(F.lit(1.0), F.lit(1.0)).alias("m"))
-    bounds = F.explode(F.array(*(F.struct(F.lit(i).alias("which"), F.lit(j).alias("j"), F.lit(t).alias("bound")) for i in (0, 1) for j, t in enumerate(_NINE)))).alias("t")
-    links = measured.union(copies).select("a", "b", "m", bounds).where(F.get("m", F.col("t.which")) >= F.col("t.bound"))
-    # a node is a document at one bound of one measure
-    node = lambda x: F.col(x) * 18 + F.col("t.which") * 9 + F.col("t.j")
-    roots = connected(links.select(node("a").alias("a"), node("b").alias("b")), scratch)
-    every = docs.select("doc_id", bounds).select("doc_id", "t", node("doc_id").alias("node"))
-    good = table(spark, d, "labels").where("quality = 1").select("doc_id", F.lit(1).alias("pos"))
-    sizes = every.join(roots, "node", "left").join(good, "doc_id", "left").groupBy("t", F.coalesce("root", "node").alias("root")).agg(F.count("*").alias("n"), F.count("pos").alias("pos"))
-    out = sizes.groupBy("t").agg(F.count("*").alias("n_components"), F.max("n").alias("largest"), F.count_if(F.col("pos") > 0).alias("with_positives"), F.max("pos").alias("most_positives"))
-    return out.select(F.when(F.col("t.which") == 0, "jaccard").otherwise("overlap").alias("measure"), "t.bound", "n_components", "largest", "with_positives", "most_positives")
+_SWEEP = f"WITH RECURSIVE {c._GRAMS}, n AS (SELECT id, count(*) AS n FROM g GROUP BY id), c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2), p AS (SELECT a, b, c::DOUBLE / (p.n + q.n - c) AS jaccard, c::DOUBLE / least(p.n, q.n) AS overlap FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE c::DOUBLE / (p.n + q.n - c) >= 0.15), t AS (SELECT i, bound, measure FROM (SELECT unnest(range(0, 9)) AS i, unnest([{_BOUNDS}])::DOUBLE AS bound), (SELECT unnest(['jaccard', 'overlap']) AS measure)), l AS (SELECT measure, bound, a, b FROM p, t WHERE CASE WHEN measure = 'jaccard' THEN jaccard ELSE overlap END >= bound), edges AS (SELECT * FROM l UNION ALL SELECT measure, bound, b, a FROM l), reach AS (SELECT measure, bound, doc_id AS a, doc_id AS b FROM documents, t UNION SELECT r.measure, r.bound, r.a, e.b FROM reach r JOIN edges e ON e.a = r.b AND e.bound = r.bound AND e.measure = r.measure), comp AS (SELECT measure, bound, a, min(b) AS c FROM reach GROUP BY 1, 2, 3), sizes AS (SELECT measure, bound, c, count(*) AS n, count(*) FILTER (a IN (SELECT doc_id FROM labels WHERE quality = 1)) AS pos FROM comp GROUP BY 1, 2, 3) SELECT measure, bound, count(*) AS n_components, max(n) AS largest, count(*) FILTER (pos > 0) AS with_positives, max(pos) AS most_positives FROM sizes GROUP BY 1, 2"
 
 
 @query(f"WITH {c._GRAMS}, {c._Q}, m AS (SELECT id, count(*) AS m FROM q GROUP BY id), n AS (SELECT target, count(*) AS n FROM t GROUP BY target), x AS (SELECT id, target, m * n / pow(2::DOUBLE, count(*)) AS evalue FROM q JOIN t USING (s) JOIN m USING (id) JOIN n USING (target) GROUP BY id, target, m, n) SELECT id, target, evalue FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY evalue, target) = 1")

@@ -15,7 +15,7 @@ from loomlake.functions import sequences as sq
 from loomlake.functions.alignment import align, best_shift
 from loomlake.operators import dedup, metrics, ordering, pairs, resampling, splits, structures
 from loomlake.operators.graph import connected
-from loomlake.plans import catalog, controls, families  # noqa: F401  (these two register their queries with the catalog)
+from loomlake.plans import catalog, controls, families, relatives  # noqa: F401  (these three register their queries with the catalog)
 from loomlake.scratch import Scratch, swept
 from loomlake.sources import reports
 from loomlake.sources import sequence_files as files
@@ -129,7 +129,7 @@ def _sequences(spark):
 def test_motif_positions_of_whole_sequences(spark):
     expected = {i: ",".join(str(m.start() + 2) for m in re.finditer("(?=E.[ST].E)", s)) for i, _, s in _sequences(spark)}
     assert any(len(s) > 1000 and expected[i] for i, _, s in _sequences(spark))
-    assert {r.doc_id: r.positions for r in catalog.QUERIES["motif_positions_whole"](spark, SF).collect()} == expected
+    assert {r.doc_id: r.positions for r in catalog.QUERIES["motif_positions"](spark, SF).collect()} == expected
 
 
 def test_shuffled_null_takes_every_sequence_whole(spark):
@@ -169,7 +169,7 @@ def test_best_shift():
 
 def test_shift_alignment_of_whole_sequences(spark):
     seqs = [(i, s) for i, _, s in sorted(_sequences(spark))]
-    got = {r.doc_id: (r.shift, r.matches) for r in catalog.QUERIES["shift_alignment_whole"](spark, SF).collect()}
+    got = {r.doc_id: (r.shift, r.matches) for r in catalog.QUERIES["shift_alignment"](spark, SF).collect()}
     assert len(got) == len(seqs)
     for i, s in [seqs[0], *[x for x in seqs if len(x[1]) < 700][:15]]:
         assert got[i] == ((0, len(s)) if i == seqs[0][0] else _first_best_shift(s, seqs[0][1]))
@@ -229,16 +229,16 @@ def test_permutation_floor_follows_the_data(spark):
 
 def test_whole_resampling_takes_the_draws_of_the_reference(spark):
     n = lambda name: catalog.QUERIES[name](spark, SF).first()["n"]
-    assert n("paired_bootstrap") > 3900 and n("size_matched_control_whole") == 500
-    assert {n(q) > 1900 for q in ("stratified_bootstrap", "group_bootstrap_ci_whole", "mean_and_error_whole")} == {True}
-    assert catalog.QUERIES["shuffled_pairing_whole"](spark, SF).select("draw").distinct().count() == 200
+    assert n("paired_bootstrap") > 3900 and n("size_matched_control") == 500
+    assert {n(q) > 1900 for q in ("stratified_bootstrap", "group_bootstrap_ci", "mean_and_error")} == {True}
+    assert catalog.QUERIES["shuffled_pairing"](spark, SF).select("draw").distinct().count() == 200
 
 
 def test_stable_needs_a_strong_effect(spark, tmp_path):
     rng = random.Random(4)
     rows = [(i, i % 2, [float(i % 2 == 0) + rng.random() / 9] + [rng.random() + 0.3 * (i % 2 == 0) for _ in range(4)]) for i in range(80)]
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = {r.latent: r for r in catalog.QUERIES["stability_selection_whole"](spark, str(tmp_path)).collect()}
+    got = {r.latent: r for r in catalog.QUERIES["stability_selection"](spark, str(tmp_path)).collect()}
     assert len(got) == 5 and all(r.n_top == 200 for r in got.values())
     assert [k for k in sorted(got) if got[k].stable] == [0] and got[0].delta == 1
 
@@ -279,8 +279,12 @@ def test_splits_must_be_separate(spark):
     splits.require_separate(pairs.cross_splits(pairs_, split, "s", 0.6))
     with pytest.raises(ValueError, match="test.train: 1"):
         splits.require_separate(pairs.cross_splits(pairs_, split, "s", 0.4))
-    with pytest.raises(ValueError, match="components"):
-        splits.assign(spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (2, "y")], "component long, label string"), most=1)
+
+
+def test_splits_do_not_depend_on_parts(spark):
+    members = spark.createDataFrame([(c, "xyz"[c * k % 3]) for c in range(25) for k in range(c % 4 + 1)], "component long, label string")
+    whole = sorted(map(tuple, splits.assign(members).collect()))
+    assert sorted(map(tuple, splits.assign(members, part=3).collect())) == whole and len(whole) == 25
 
 
 def test_similar_pairs_finds_all(spark):
