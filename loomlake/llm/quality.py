@@ -5,6 +5,7 @@ Everything is a projection of a document's own columns, so the plan is one scan
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -81,6 +82,44 @@ def _covered(at: Column) -> Column:
     return F.aggregate(at, zero, lambda acc, p: F.struct((p + 5).alias("end"), (acc["total"] + p + 5 - F.greatest(acc["end"], p)).alias("total")), lambda acc: acc["total"])
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once and is gone with the row; as a column it would be copied into every row of the projections above."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeated(by_line: Column) -> Column:
+    """n_words, word_chars and n_repeat_words of the words by line."""
+
+    def of(words: Column) -> Column:
+        repeated = _let(_repeat_words(words), lambda hashes: _let(_placed(hashes), lambda placed: _covered(_twice(placed))))
+        return F.struct(F.size(words).alias("n_words"), F.length(F.array_join(words, "")).alias("word_chars"), repeated.alias("n_repeat_words"))
+
+    return _let(F.flatten(by_line), of)
+
+
+def _lines(lines: Column, by_line: Column, fails: Callable[..., Column]) -> Column:
+    """Each line with its number of words and whether it fails."""
+    distinct = lambda words: F.when(F.size(words) >= 16, F.size(F.array_distinct(words))).otherwise(F.size(words))
+    counts = lambda line, words: F.struct(line.alias("line"), F.lower(line).alias("low"), F.size(words).alias("n"), distinct(words).alias("d"))
+    return F.transform(F.zip_with(lines, by_line, counts), lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), fails(x["line"], x["low"], x["n"], x["d"]).alias("fails")))
+
+
+def _measured(text: Column, fails: Callable[..., Column]) -> Column:
+    """What ``judge`` returns of a text, as one value; a text's words and lines live only while it is measured."""
+    full = lambda judged: F.transform(F.filter(judged, lambda x: x["n"] > 0), lambda x: x["line"])
+    good = lambda judged: F.array_join(F.transform(F.filter(judged, lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
+    lost = lambda judged: F.aggregate(judged, F.lit(0), lambda acc, x: acc + F.when(x["fails"], x["n"]).otherwise(0))
+
+    def of(judged: Column, words: Column) -> Column:
+        return F.struct(
+            words["n_words"].cast("bigint").alias("n_words"), words["word_chars"].cast("bigint").alias("word_chars"), _symbols(text).cast("bigint").alias("n_symbols"),
+            _let(full(judged), lambda f: F.size(f) - F.size(F.array_distinct(f))).cast("bigint").alias("n_dup_lines"), words["n_repeat_words"].cast("bigint").alias("n_repeat_words"),
+            F.when(F.exists(judged, lambda x: x["fails"]), good(judged)).otherwise(text).alias("clean_text"), lost(judged).cast("bigint").alias("n_removed_words"),
+        )
+
+    return _let(_words_by_line(text), lambda by_line: _let(_lines(F.split(text, "\n"), by_line, fails), lambda judged: _let(_repeated(by_line), lambda words: of(judged, words))))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss: int = LOSS, carry: tuple[str, ...] = (), boilerplate: tuple[str, ...] = BOILERPLATE, menu: int = MENU) -> DataFrame:
     """Measures and verdict for each document, with the text that is left of it.
 
@@ -96,27 +135,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss:
     """
     carried = [docs[c].alias(f"__{i}") for i, c in enumerate(carry)]
     base = docs.select(docs[id_col].cast("bigint").alias("k"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *carried)
-    parts = base.withColumn("lines", F.split("text", "\n")).withColumn("by_line", _words_by_line(F.col("text")))
-    parts = parts.withColumn("words", F.flatten("by_line")).withColumn("hashes", _repeat_words(F.col("words")))
-    parts = parts.withColumn("placed", _placed(F.col("hashes"))).withColumn("twice", _twice(F.col("placed")))
-    counts = lambda line, words: F.struct(line.alias("line"), F.lower(line).alias("low"), F.size(words).alias("n"), F.when(F.size(words) >= 16, F.size(F.array_distinct(words))).otherwise(F.size(words)).alias("d"))
-    parts = parts.withColumn("counted", F.zip_with("lines", "by_line", counts))
-    parts = parts.withColumn("judged", F.transform("counted", lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), line_fails(x["line"], x["low"], x["n"], x["d"], boilerplate, menu).alias("fails"))))
-    good = F.transform(F.filter("judged", lambda x: ~x["fails"]), lambda x: x["line"])
-    full = F.transform(F.filter("judged", lambda x: x["n"] > 0), lambda x: x["line"])
-    lost = F.aggregate("judged", F.lit(0), lambda acc, x: acc + F.when(x["fails"], x["n"]).otherwise(0))
-    measured = parts.select(
-        "k", *(f"__{i}" for i in range(len(carry))),
-        F.size("words").cast("bigint").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
-        _symbols(F.col("text")).cast("bigint").alias("n_symbols"),
-        (F.size(full) - F.size(F.array_distinct(full))).cast("bigint").alias("n_dup_lines"),
-        _covered(F.col("twice")).cast("bigint").alias("n_repeat_words"),
-        F.when(F.exists("judged", lambda x: x["fails"]), F.array_join(good, "\n")).otherwise(F.col("text")).alias("clean_text"),
-        lost.cast("bigint").alias("n_removed_words"),
+    fails = lambda line, low, n, d: line_fails(line, low, n, d, boilerplate, menu)
+    measured = base.select(
+        "k", *(f"__{i}" for i in range(len(carry))), _measured(F.col("text"), fails).alias("m"),
         # a column that is not deterministic keeps filters on the verdict from being copied below the measures
         F.monotonically_increasing_id().alias("row"),
-    )
+    ).select("*", "m.*")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = measured.withColumn("base_failed", failed)
     out = out.withColumn("kept", (F.col("row") >= 0) & ~F.col("base_failed") & (100 * F.col("n_removed_words") <= loss * F.col("n_words")))
