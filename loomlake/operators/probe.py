@@ -6,12 +6,16 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.operators import metrics
 from loomlake.operators.ordering import placed
+from loomlake.scratch import Scratch
 
 
 def _fit(train: DataFrame, C: float, balanced: bool):
@@ -64,3 +68,52 @@ def within(df: DataFrame, subset: str, values: list, id_col: str, features: str,
     parts = [fit_scores(df.where(F.col(subset) == v), id_col, features, y, C).withColumn(subset, F.lit(v)) for v in fit]
     empty = df.select(F.col(id_col), F.col(y).alias("y"), F.lit(0.0).alias("score"), F.col(subset)).where("false")
     return reduce(DataFrame.unionByName, parts, empty)
+
+
+def _defect(n: int, p: int) -> str | None:
+    """Why no ranking can be scored on a part of n rows, p of them positive."""
+    return "no rows" if not n else "no positives" if not p else "no negatives" if p == n else None
+
+
+def nested_groups(df: DataFrame, id_col: str, features: str, y: str, group: str, outer: int = 5, inner: int = 4, strengths: tuple[float, ...] = (0.01, 0.1), seed: str = "", max_iter: int = 50) -> DataFrame:
+    """Nested validation by whole groups: the strength is chosen by inner folds, the metric is read once on the outer fold.
+
+    A group's hash names its outer and its inner fold, so no group is ever on both sides of a fit. One row a cell: (outer_fold, inner_fold,
+    n, n_pos, n_groups, strength, auc, ap, reason); inner_fold is null in the row of an outer fold. Outer rows have the chosen strength
+    and both metrics, or a reason why there are none; inner rows have a reason where a cell cannot be scored. Such an inner cell is joined
+    to the next that can be, so its rows still train; with fewer than two that can, no strength can be chosen. Rows with a null
+    group, label or vector take no part.
+    """
+    fold = lambda name, k: F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}{name}|"), F.col("g"))), 1, 13), 16, 10).cast("bigint"), F.lit(k)).cast("int")
+    given = df.where(F.col(group).isNotNull() & F.col(y).isNotNull() & F.col(features).isNotNull())
+    rows = given.select(F.col(id_col).alias("id"), F.col(features).cast("array<double>").alias("v"), F.col(y).cast("int").alias("y"), F.col(group).cast("string").alias("g"))
+    rows = Scratch(df.sparkSession, "nested").write(rows.withColumns({"o": fold("outer", outer), "i": fold("inner", inner)}), "rows")
+    counts = {(r["o"], r["i"]): (r["n"], r["p"], r["g"]) for r in rows.groupBy("o", "i").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("p"), F.count_distinct("g").alias("g")).collect()}  # outer x inner cells
+    add = lambda cells: tuple(map(sum, zip((0, 0, 0), *cells, strict=True)))
+    ready = rows.withColumn("x", array_to_vector("v")).drop("v")
+    out: list[tuple] = []
+    for o in range(outer):
+        n, p, g = add([c for (a, _), c in counts.items() if a == o])
+        cells = {i: add([c for (a, b), c in counts.items() if a != o and b == i]) for i in range(inner)}
+        defects = {i: _defect(c[0], c[1]) for i, c in cells.items()}
+        whole = [i for i in range(inner) if defects[i] is None]
+        out += [(o, i, *cells[i], None, None, None, defects[i]) for i in range(inner)]
+        reason = _defect(n, p) or ("too few inner folds to choose by" if len(whole) < 2 else None)
+        if reason:
+            out.append((o, None, n, p, g, None, None, None, reason))
+            continue
+        joined = {i: next((k for k, w in enumerate(whole) if w >= i), 0) for i in range(inner)}
+        train = ready.where(F.col("o") != o).withColumn("fold", F.element_at(F.create_map(*[F.lit(v) for kv in joined.items() for v in kv]), F.col("i")))
+        total, positive = add(cells.values())[:2]
+        train = train.withColumn("w", F.when(F.col("y") == 1, total / (2 * positive)).otherwise(total / (2 * (total - positive))))
+        scale = StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True)
+        model = LogisticRegression(featuresCol="z", labelCol="y", weightCol="w", elasticNetParam=0.0, standardization=False, maxIter=max_iter)
+        grid = ParamGridBuilder().addGrid(model.regParam, [1 / (c * total) for c in strengths]).build()
+        judge = BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderPR")
+        search = CrossValidator(estimator=Pipeline(stages=[scale, model]), estimatorParamMaps=grid, evaluator=judge, numFolds=len(whole), foldCol="fold", parallelism=4)
+        fit = search.fit(train)
+        chosen = strengths[max(range(len(strengths)), key=lambda k: fit.avgMetrics[k])]
+        held = fit.bestModel.transform(ready.where(F.col("o") == o)).select("y", vector_to_array("probability")[1].alias("score"))
+        m = metrics.ranking(held).first()
+        out.append((o, None, n, p, g, chosen, m["auc"], m["ap"], None))
+    return df.sparkSession.createDataFrame(out, "outer_fold int, inner_fold int, n bigint, n_pos bigint, n_groups bigint, strength double, auc double, ap double, reason string")

@@ -329,16 +329,9 @@ def report_round_trip(spark, d):
 
 @query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings")
 def array_file_round_trip(spark, d):
-    """Parallel arrays of an archive of named arrays as rows."""
-    import io
-
-    import numpy as np
-
-    rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding").toPandas()  # a fixture of fixed size stands for a file made elsewhere
-    packed = io.BytesIO()
-    np.savez(packed, vec_id=rows["vec_id"].to_numpy(), label=rows["label"].to_numpy(), embedding=np.stack(rows["embedding"].to_numpy()).astype(np.float32))
+    """Vectors written as archives of named arrays and read again by ranges of rows."""
     path = _folder(spark)
-    reports.write_bytes(spark, f"{path}/vectors.npz", packed.getvalue())
+    files.write_arrays(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), path)
     read = files.read_arrays(spark, path, "vec_id bigint, label int, embedding array<float>")
     return read.select("vec_id", "label", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import io
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlake.sources.ranged_files import register
+
 
 def read_fasta(spark: SparkSession, path: str, until: str = " #") -> DataFrame:
     """(header, name, sequence) of each record. Gzip files are read too, one task a file; the result is dealt out again."""
@@ -26,18 +24,32 @@ def fasta_lines(header: Column, sequence: Column, width: int = 60) -> Column:
 
 
 def write_fasta(df: DataFrame, path: str, header: str, sequence: str, order: list) -> None:
-    """One file in a total order; for released sets, not corpora."""
-    df.orderBy(*order).coalesce(1).select(fasta_lines(F.col(header), F.col(sequence)).alias("value")).write.text(path)
+    """Files in a total order: rows are sorted by ranges, and the names of the files follow the order."""
+    df.orderBy(*order).select(fasta_lines(F.col(header), F.col(sequence)).alias("value")).write.text(path)
+
 
+def read_structure(spark: SparkSession, path: str, residues: dict[str, str], places: bool = False) -> DataFrame:
+    """(file, chain, resseq, letter), with ``places`` x, y and z too: C-alpha atoms of fixed-width files, the first of each residue; unknown residues are left out.
 
-def read_structure(spark: SparkSession, path: str, residues: dict[str, str]) -> DataFrame:
-    """(file, chain, resseq, letter): C-alpha atoms of fixed-width files, the first of each residue; unknown residues are left out."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("o"), "value")
+    Files are cut at lines and read by many tasks. The first atom of a residue is the one nearest the file's start; if that is of an unknown
+    kind, the residue is left out, whatever follows. Lines whose number of the residue is no integer are skipped; a coordinate that is
+    no number is null.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("o"), "value")
     atoms = lines.where(F.col("value").startswith("ATOM") & (F.trim(F.substring("value", 13, 4)) == "CA"))
     table = F.create_map(*[F.lit(v) for kv in residues.items() for v in kv])
-    rows = atoms.select("file", "o", F.substring("value", 22, 1).alias("chain"), F.trim(F.substring("value", 23, 4)).cast("int").alias("resseq"), F.try_element_at(table, F.trim(F.substring("value", 18, 3))).alias("letter"))
-    first = Window.partitionBy("file", "chain", "resseq").orderBy("o")
-    return rows.where("letter is not null").withColumn("rn", F.row_number().over(first)).where("rn = 1").select("file", "chain", "resseq", "letter")
+    cell = lambda at, n: F.trim(F.substring("value", at, n))
+    letter = F.try_element_at(table, F.upper(cell(18, 3))).alias("letter")
+    axes = [cell(at, 8).try_cast("double").alias(name) for name, at in (("x", 31), ("y", 39), ("z", 47))]
+    rows = atoms.select("file", F.substring("value", 22, 1).alias("chain"), cell(23, 4).try_cast("int").alias("resseq"), F.struct("o", letter, *axes).alias("atom"))
+    first = rows.where("resseq is not null").groupBy("file", "chain", "resseq").agg(F.min_by("atom", "atom.o").alias("atom"))
+    return first.where("atom.letter is not null").select("file", "chain", "resseq", "atom.letter", *(["atom.x", "atom.y", "atom.z"] if places else []))
+
+
+def structure_lines(chain: Column, resseq: Column, residue: Column, x: Column, y: Column, z: Column) -> Column:
+    """The line of a C-alpha atom in the fixed-width form, coordinates to three places."""
+    return F.format_string("ATOM  %5d  CA  %3s %1s%4d    %8.3f%8.3f%8.3f", resseq, residue, chain, resseq, x, y, z)
 
 
 def read_table(spark: SparkSession, path: str, schema: str, sep: str = "\t", many_lines: bool = False) -> DataFrame:
@@ -56,17 +68,14 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of NumPy archives of parallel arrays: a column for each name of the schema, a row for each place. An archive is one task's."""
-    names = spark.createDataFrame([], schema).columns
+    """Rows of NumPy archives of parallel arrays: a column for each name of the schema, a row for each place; see ``ranged_files.Arrays``."""
+    return register(spark).read.format("arrays").schema(schema).load(path)
 
-    def run(batches):
-        for batch in batches:
-            for content in batch["content"]:
-                with np.load(io.BytesIO(content), allow_pickle=False) as held:
-                    arrays = {n: held[n] for n in names}
-                yield pd.DataFrame({n: list(a) if a.ndim > 1 else a for n, a in arrays.items()})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+def write_arrays(df: DataFrame, path: str) -> None:
+    """The columns as parallel arrays, in archives of bounded size."""
+    register(df.sparkSession)
+    df.write.format("arrays").mode("append").save(path)
 
 
 def read_substitutions(spark: SparkSession, path: str) -> dict[tuple[str, str], float]:

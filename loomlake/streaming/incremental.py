@@ -23,6 +23,41 @@ def append_new(scored: Callable[[DataFrame], DataFrame], rows: DataFrame, target
     return spark.read.parquet(target).count() - had
 
 
+def _stream(spark: SparkSession, source: str, schema, files: int = 8) -> DataFrame:
+    """A stream over the Parquet files of a folder, or over one file."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
+        return reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
+    return reader.parquet(source)
+
+
+def resume_scores(spark: SparkSession, source: str, target: str, scored: Callable[[DataFrame], DataFrame], id_col: str, files: int = 8, written: Callable[[int], None] | None = None) -> DataFrame:
+    """Scores what ``source`` holds and ``target`` lacks, and returns the whole target; may be stopped anywhere and run again.
+
+    The source is Parquet files, to which more may be added between runs. A micro-batch leaves out ids of earlier batches, scores the
+    rest and replaces the folder of its own number; the stream's state lies in the target beside them. A batch that failed after its
+    write and before its commit is run again with the same files and number, so its rows replace themselves. Of rows with one id
+    the first batch's counts, within a batch the least row. ``id_col`` must come back from ``scored``; null ids are one id.
+    ``written`` is told each batch's number after its write.
+    """
+    out, schema = f"{target.rstrip('/')}/rows", spark.read.parquet(source).schema
+
+    def sink(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        once = batch.groupBy(id_col).agg(F.min(F.struct(*[c for c in batch.columns if c != id_col])).alias("r")).select(id_col, "r.*").select(*batch.columns)
+        if number:
+            known = session.read.parquet(out).where(F.col("batch") < number).select(F.col(id_col).alias("__known"))
+            once = once.join(known, F.col(id_col).eqNullSafe(F.col("__known")), "left_anti")
+        scored(once).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if written:
+            written(number)
+
+    run = _stream(spark, source, schema, files).writeStream.foreachBatch(sink).option("checkpointLocation", f"{target.rstrip('/')}/_state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 def totals_by_stream(spark: SparkSession, source: str) -> DataFrame:
     """Counts and sums by event type and user, computed by a checkpointed stream over the files of a folder or file.
 
@@ -34,12 +69,7 @@ def totals_by_stream(spark: SparkSession, source: str) -> DataFrame:
     def sink(batch: DataFrame, number: int) -> None:
         batch.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
-    path = spark._jvm.org.apache.hadoop.fs.Path(source)
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
-        stream = reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
-    else:
-        stream = reader.parquet(source)
+    stream = _stream(spark, source, schema)
     run = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     parts = spark.read.parquet(f"{root}/out")

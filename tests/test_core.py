@@ -15,7 +15,7 @@ from loomlake.functions import sequences as sq
 from loomlake.functions.alignment import align, best_shift
 from loomlake.operators import dedup, metrics, ordering, pairs, resampling, splits, structures
 from loomlake.operators.graph import connected
-from loomlake.plans import catalog, controls, families, relatives  # noqa: F401  (these three register their queries with the catalog)
+from loomlake.plans import catalog, controls, families, positions, relatives  # noqa: F401  (these register their queries with the catalog)
 from loomlake.scratch import Scratch, swept
 from loomlake.sources import reports
 from loomlake.sources import sequence_files as files
