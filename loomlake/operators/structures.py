@@ -34,26 +34,31 @@ def nearest_place(points: DataFrame, sites: DataFrame, by: str, id_col: str, siz
     around it by an equality join, so what lies within one cell's width is found; the rest go on with cells of twice the width, until
     every point has its site. Sites at one place are one, under their smallest id. A point with a null coordinate, or without a site
     in its structure, has null for both; points of one id at several places are told apart by their coordinates and equal rows stay.
-    Each round costs the points that are left times the sites around them: a cell of the first width should hold few sites.
+    Each round costs the places that are left times the sites around them: a cell of the first width should hold few sites.
     """
     scratch, axes = Scratch(points.sparkSession, "nearest"), ("x", "y", "z")
-    known = lambda df: df.where(reduce(lambda a, b: a & b, (F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(F.col(a)) < 1e12) for a in axes)))
+    known_at = reduce(lambda a, b: a & b, (F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(F.col(a)) < 1e12) for a in axes))
     cell = lambda width: [F.floor(F.col(a) / width) for a in axes]
     around = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("ijk", (i, j, k), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
-    once = scratch.write(known(sites.where(F.col(by).isNotNull())).groupBy(by, *axes).agg(F.min(id_col).alias("site")), "sites")
-    every = scratch.write(points.select(by, id_col, *axes).withColumn("__row", F.monotonically_increasing_id()), "points")
-    left = known(every).join(once.select(by).distinct(), by, "left_semi")
+    once = scratch.write(sites.where(F.col(by).isNotNull() & known_at).groupBy(by, *axes).agg(F.min(id_col).alias("site")), "sites")
+    whole = F.col(by).isNotNull() & known_at
+    every = scratch.write(points.select(by, id_col, *axes).withColumns({"__row": F.monotonically_increasing_id(), "__at": F.when(whole, F.struct(by, *axes))}), "points")
+    # points at one place have one answer, so each place asks once
+    places = scratch.write(every.where("__at is not null").select("__at").distinct().withColumn("__place", F.monotonically_increasing_id()), "places")
+    left = places.select("__place", "__at.*").join(once.select(by).distinct(), by, "left_semi")
     found, width = [], size
     while True:
         held = once.select(by, "site", *(F.col(a).alias(f"s{a}") for a in axes), F.struct(*cell(width)).alias("c"))
         keyed = held.select(F.struct(by, "c").alias("__key"), "site", "sx", "sy", "sz")
         asked = left.withColumn("o", around).withColumn("__key", F.struct(F.col(by), F.struct(*[v + F.col(f"o.{n}") for n, v in zip("ijk", cell(width), strict=True)]).alias("c")))
-        pairs = spread(asked.select("__key", "__row", *axes), keyed, "__key", "__row")
+        pairs = spread(asked.select("__key", "__place", *axes), keyed, "__key", "__place")
         square = reduce(lambda a, b: a + b, ((F.col(a) - F.col(f"s{a}")) * (F.col(a) - F.col(f"s{a}")) for a in axes))
-        best = pairs.withColumn("d3", F.sqrt(square)).where(F.col("d3") <= width).groupBy("__row").agg(F.min(F.struct("d3", "site")).alias("m"))
-        found.append(scratch.write(best.select("__row", "m.site", "m.d3"), "found"))
-        left = scratch.write(left.join(found[-1], "__row", "left_anti"), "left")
+        best = pairs.withColumn("d3", F.sqrt(square)).where(F.col("d3") <= width).groupBy("__place").agg(F.min(F.struct("d3", "site")).alias("m"))
+        found.append(scratch.write(best.select("__place", "m.site", "m.d3"), "found"))
+        left = scratch.write(left.join(found[-1], "__place", "left_anti"), "left")
         if left.isEmpty():
             break
         width *= 2
-    return every.join(reduce(DataFrame.unionByName, found), "__row", "left").select(by, id_col, "site", "d3")
+    answers = places.join(reduce(DataFrame.unionByName, found), "__place", "left").select("__at", "site", "d3")
+    told = spread(every.where("__at is not null"), answers, "__at", "__row").select(by, id_col, "site", "d3")
+    return told.unionByName(every.where("__at is null").select(by, id_col), allowMissingColumns=True)
