@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from loomlake.operators.skew import spread
 from loomlake.scratch import Scratch
 
+#: Sites that a grid cell of the first width may hold, and how often the width is quartered to get there.
+CROWD = 16
+NARROWINGS = 16
+
 
 def best_chain(rows: DataFrame, id_col: str, chain_col: str, index_col: str, number_col: str, match: Column) -> DataFrame:
     """For each id the chain with the most matches, of several the one that comes first by index.
@@ -34,7 +38,8 @@ def nearest_place(points: DataFrame, sites: DataFrame, by: str, id_col: str, siz
     around it by an equality join, so what lies within one cell's width is found; the rest go on with cells of twice the width, until
     every point has its site. Sites at one place are one, under their smallest id. A point with a null coordinate, or without a site
     in its structure, has null for both; points of one id at several places are told apart by their coordinates and equal rows stay.
-    Each round costs the places that are left times the sites around them: a cell of the first width should hold few sites.
+    The first width is ``size``, narrowed until no cell holds more than ``CROWD`` sites, so crowded places are settled among few; each round
+    costs the places that are left times the sites around them, and only lone places come to cells that hold many.
     """
     scratch, axes = Scratch(points.sparkSession, "nearest"), ("x", "y", "z")
     known_at = reduce(lambda a, b: a & b, (F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(F.col(a)) < 1e12) for a in axes))
@@ -47,6 +52,10 @@ def nearest_place(points: DataFrame, sites: DataFrame, by: str, id_col: str, siz
     places = scratch.write(every.where("__at is not null").select("__at").distinct().withColumn("__place", F.monotonically_increasing_id()), "places")
     left = places.select("__place", "__at.*").join(once.select(by).distinct(), by, "left_semi")
     found, width = [], size
+    for _ in range(NARROWINGS):
+        if (once.groupBy(by, *cell(width)).count().agg(F.max("count")).first()[0] or 0) <= CROWD:
+            break
+        width /= 4
     while True:
         held = once.select(by, "site", *(F.col(a).alias(f"s{a}") for a in axes), F.struct(*cell(width)).alias("c"))
         keyed = held.select(F.struct(by, "c").alias("__key"), "site", "sx", "sy", "sz")

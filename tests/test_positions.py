@@ -129,9 +129,10 @@ def test_codes_of_a_wide_dictionary(spark):
 
 def test_nearest_place(spark):
     rnd = random.Random(5)
-    place = lambda s: tuple(round(rnd.uniform(-s, s), 1) for _ in "xyz")
-    points = [(p, i, *place(30)) for p in "ab" for i in range(60)] + [("a", 900, 4000.0, 0.0, 0.0), ("c", 1, 0.0, 0.0, 0.0), ("a", 901, None, 0.0, 0.0), (None, 1, 0.0, 0.0, 0.0)]
-    sites = [("a", i, *place(30)) for i in range(25)] + [("b", 1, 2.0, 2.0, 2.0), ("b", 0, 2.0, 2.0, 2.0), ("b", 5, None, 1.0, 1.0)] + [("a", 50, *points[3][2:])] * 2
+    place = lambda s: tuple(round(rnd.uniform(-s, s) * 8) / 8 for _ in "xyz")  # noqa: E731  (eighths: equal distances are equal to the last bit)
+    crowd = [("d", i, *place(0.5)) for i in range(40)]  # more than a first cell may hold, and a point far from all of them
+    points = [(p, i, *place(30)) for p in "ab" for i in range(60)] + crowd + [("d", 90, 70.0, 0.0, 0.0)] + [("a", 900, 4000.0, 0.0, 0.0), ("c", 1, 0.0, 0.0, 0.0), ("a", 901, None, 0.0, 0.0), (None, 1, 0.0, 0.0, 0.0)]
+    sites = [("a", i, *place(30)) for i in range(25)] + [("b", 1, 2.0, 2.0, 2.0), ("b", 0, 2.0, 2.0, 2.0), ("b", 5, None, 1.0, 1.0)] + [("a", 50, *points[3][2:])] * 2 + [("d", i, *place(0.5)) for i in range(60)]
     schema = "part string, id int, x double, y double, z double"
     got = nearest_place(spark.createDataFrame(points, schema), spark.createDataFrame(sites, schema), "part", "id", size=2.0)
     expected = []
