@@ -49,7 +49,7 @@ def sifted(rows: DataFrame, found: DataFrame, key: str, bits: int) -> DataFrame:
     return met.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).drop("__bucket", "__bits")
 
 
-def dealt(rows: DataFrame, found: DataFrame, key: str, by: str, count: str) -> DataFrame:
+def dealt(rows: DataFrame, found: DataFrame, key: str, by: Column | str, count: str) -> DataFrame:
     """Like ``spread`` where ``found`` knows in ``count`` how many rows have a key: ``rows`` is read once.
 
     Keys of at least one row in ``HOT`` of all that have a key here, of which there can be no more than that, are broadcast and their rows

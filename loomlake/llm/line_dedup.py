@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlake.llm.frames import NULL_ID, WORD, keyed, partitions
+from loomlake.llm.frames import NULL_ID, WORD, dealt, keyed, partitions
 from loomlake.scratch import Scratch
 
 
@@ -36,9 +36,9 @@ def _double(level: DataFrame, step: int, scratch: Scratch) -> DataFrame:
     """Ranks by twice as many lines, of the suffixes whose prefix of that length others share."""
     ahead = level.select("k", "th", (F.col("at") - step).alias("at"), F.col("rank").alias("next"))
     pairs = level.join(ahead, ["k", "th", "at"])
-    shared = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1").select("rank", "next")
+    shared = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1")
     names = scratch.write(_ranked(shared, "rank", "next"), "ranks")
-    return scratch.write(pairs.join(names, ["rank", "next"]).select("k", "th", "at", F.col("new").alias("rank")), "suffixes")
+    return scratch.write(_named(pairs, names, "rank", "next").select("k", "th", "at", F.col("new").alias("rank")), "suffixes")
 
 
 def _ranked(distinct: DataFrame, *by: str) -> DataFrame:
@@ -46,6 +46,12 @@ def _ranked(distinct: DataFrame, *by: str) -> DataFrame:
     return distinct.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("new", F.monotonically_increasing_id())
 
 
+def _named(rows: DataFrame, names: DataFrame, *by: str) -> DataFrame:
+    """``rows`` whose pair ``by`` has a name, with that as new; rows of a pair that very many have are dealt over all partitions by document."""
+    pair = F.struct(*by).alias("pair")
+    return dealt(rows.withColumn("pair", pair), names.select(pair, "n", "new"), "pair", F.struct("k", "th"), "n").drop("pair")
+
+
 def _later(windows: DataFrame, scratch: Scratch) -> DataFrame:
     """(k, th, at) of the lines of all windows but the first of each interval (m, rank, tail).
 
@@ -74,11 +80,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # rows that repeat an id and a text are one document; lines are numbered without those that have no word
     lines = scratch.write(lines.dropDuplicates(["k", "th", "pos"]).withColumn("at", F.row_number().over(Window.partitionBy("k", "th").orderBy("pos"))), "lines")
     names = scratch.write(_ranked(lines.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1"), "h", "g"), "names")
-    suffixes = lines.join(names, ["h", "g"]).select("k", "th", "at", "pos", "words", F.col("new").alias("rank"))
+    suffixes = _named(lines, names, "h", "g").select("k", "th", "at", "pos", "words", F.col("new").alias("rank"))
     # stretches of repeated lines without a unique one between
     suffixes = suffixes.withColumn("block", F.col("at") - F.row_number().over(Window.partitionBy("k", "th").orderBy("at")))
     suffixes = suffixes.withColumn("ahead", _shortest(min_words, True)).withColumn("back", _shortest(min_words, False))
-    suffixes = scratch.write(suffixes.where("ahead is not null or back is not null or words > 0"), "starts")
+    # a stretch of too few words holds no window, so its lines need no ranks
+    held = F.sum("words").over(Window.partitionBy("k", "th", "block"))
+    suffixes = scratch.write(suffixes.withColumn("held", held).where(F.col("held") >= min_words).drop("held"), "starts")
 
     ahead = suffixes.where("ahead is not null").select("k", "th", "at", F.col("ahead").alias("m"))
     back = suffixes.where("back is not null").select("k", "th", (F.col("at") - F.col("back") + 1).alias("at"), F.col("back").alias("m"))
