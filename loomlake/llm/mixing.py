@@ -4,6 +4,9 @@ Each document gets a hash-random key. Within a source the keys are cut into rang
 about ``RANGE`` documents however large the source is; a prefix sum over the few range totals and one within each
 range give the words before every document in key order. A source's budget is cut exactly there, after
 as many whole epochs as it holds. Texts are read once, for their sizes, and never shuffled.
+
+Documents of a source that very many have are dealt over all partitions before they meet its plan, and the totals of the ranges are summed by parts
+of their order, so no source is one task's. Targets alone are found in one task: that sorts one row of six numbers a source.
 """
 
 from __future__ import annotations
@@ -11,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlake.llm.frames import NULL_ID, WORD
+from loomlake.llm.frames import NULL_ID, WORD, dealt
+from loomlake.operators.ordering import running
 from loomlake.scratch import Scratch
 
 #: Documents that one range of keys holds on average.
@@ -67,9 +71,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     budget = F.floor("target").cast("bigint")
     plan = sources.withColumn("budget", budget).withColumn("epochs", F.expr("if(source_size > 0, budget div source_size, 0)"))
     plan = plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")).withColumn("ranges", F.ceil(F.col("n") / RANGE).cast("double"))
-    placed = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("range", F.floor(F.col("key") * (F.col("ranges") / _KEYS)))
-    totals = placed.groupBy("sid", "range").agg(F.sum("size").alias("words"))
-    offsets = totals.select("sid", "range", F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    # words of all sources before this one, to be taken off the sums over all ranges
+    plan = plan.withColumn("base", F.coalesce(F.sum("source_size").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    named = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("name")
+    met = dealt(sized.withColumn("name", named), scratch.write(plan.withColumn("name", named).drop("source"), "plan"), "name", "key", "n")
+    placed = scratch.write(met.withColumn("range", F.floor(F.col("key") * (F.col("ranges") / _KEYS))), "placed")
+    totals = placed.groupBy("sid", "range").agg(F.sum("size").alias("words"), F.min("base").alias("base"))
+    offsets = running(totals, ["sid", "range"], {"sum": "words"}).select("sid", "range", (F.col("sum") - F.col("base")).alias("offset"))
     inside = Window.partitionBy("sid", "range").orderBy("key", "k", "size", "th").rowsBetween(Window.unboundedPreceding, -1)
     ordered = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["sid", "range"])
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("offset") - F.col("inside")))
