@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomlake.operators.metrics import ranking
 from loomlake.operators.ordering import placed
+from loomlake.scratch import Scratch
 
 
 def hash_number(*parts: Column | str) -> Column:
@@ -23,34 +25,83 @@ def hash_number(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts))), 1, 13), 16, 10).cast("bigint")
 
 
-def group_draws(groups: DataFrame, group: str, draws: int, seed: str, strata: str | None = None) -> DataFrame:
-    """(draw, group, times): as many groups as there are, drawn with replacement, in each draw; within ``strata`` if given.
+#: Groups of a block, and places whose draws are decided at once: both only bound the memory of a task.
+BLOCK, AT_ONCE = 2048, 256
 
-    Groups are numbered by ranges over the cluster, and so are the draws of each place.
-    """
+
+def _numbered(groups: DataFrame, group: str, strata: str | None) -> DataFrame:
+    """(group, stratum, place, first, n): groups numbered by ranges over the cluster, from 0 within ``strata``, with the stratum's first number and its size."""
     part = [strata] if strata else []
-    numbered = placed(groups.select(group, *part).distinct(), [*part, group], "__i")
-    sizes = numbered.groupBy(*part).agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))
-    if part:
-        numbered = numbered.join(sizes, part)
-    else:
-        numbered = numbered.crossJoin(F.broadcast(sizes))  # one row
-    numbered = numbered.withColumn("__i", F.col("__i") - F.col("__first")).drop("__first")
-    places = numbered.select(*part, F.col("__i").alias("__place"), "__n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    salt = [F.col(strata)] if strata else []
-    drawn = places.withColumn("__i", hash_number(F.lit(seed), *salt, F.col("draw"), F.col("__place")) % F.col("__n"))
-    return drawn.groupBy("draw", *part, "__i").agg(F.count("*").alias("times")).join(numbered.select(group, *part, "__i"), [*part, "__i"]).select("draw", group, "times")
+    rows = placed(groups.select(group, *part).distinct(), [*part, group], "__i")
+    sizes = rows.groupBy(*part).agg(F.count("*").alias("n"), F.min("__i").alias("first"))
+    rows = rows.join(sizes, part) if part else rows.crossJoin(F.broadcast(sizes))  # one row
+    stratum = F.col(strata).cast("string") if strata else F.lit(None).cast("string")
+    return rows.select(F.col(group).alias("group"), stratum.alias("stratum"), (F.col("__i") - F.col("first")).alias("place"), "first", "n")
 
 
-def bootstrap(df: DataFrame, group: str, draws: int, seed: str = "boot", y: str = "y", score: str = "score", strata: str | None = None) -> DataFrame:
-    """auc and ap of each draw of whole groups; draws with one class only are left out.
+def _drawn(numbered: DataFrame, draws: int, seed: str) -> DataFrame:
+    """(block, codes): what each place draws, draw * BLOCK + the group's number in its block, as many numbers of 4 bytes in a row as a few places bring to a block."""
 
-    Rows of a group that agree in class and score are one row, with their number, before they are drawn.
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), AT_ONCE):
+                some = batch.iloc[at : at + AT_ONCE]
+                for (stratum, first, n), rows in some.groupby(["stratum", "first", "n"], dropna=False):
+                    places = [b"|%d" % p for p in rows["place"]]
+                    head = seed if pd.isna(stratum) else f"{seed}|{stratum}"
+                    raw = b"".join(hashlib.md5(h + p).digest() for h in (f"{head}|{draw}".encode() for draw in range(draws)) for p in places)
+                    drawn = (np.frombuffer(raw, ">u8")[::2].astype(np.uint64) >> np.uint64(12)).astype(np.int64) % int(n) + int(first)
+                    block = drawn // BLOCK
+                    codes = (np.repeat(np.arange(draws), len(places)) * BLOCK + drawn % BLOCK).astype(np.int32)
+                    order = np.argsort(block, kind="stable")
+                    named, starts = np.unique(block[order], return_index=True)
+                    yield pd.DataFrame({"block": named, "codes": [c.tobytes() for c in np.split(codes[order], starts[1:])]})
+
+    # few bytes that are much work: dealt by rows, as sizes in bytes would bring them to one task
+    dealt = numbered.select("stratum", "place", "first", "n").repartition(numbered.sparkSession.sparkContext.defaultParallelism * 4)
+    return dealt.mapInPandas(run, "block long, codes binary")
+
+
+def bootstraps(df: DataFrame, group: str, draws: int, seed: str, y: str, scores: Sequence[str], strata: str | None = None) -> DataFrame:
+    """(draw, which, auc, ap, n_pos, n_neg): each draw of as many whole groups as there are, with replacement, within ``strata`` if given, for each of ``scores``; draws with one class only are left out.
+
+    All scores share the draws. A place's draws go to the blocks of the groups that they name, four bytes each, and meet their rows there; what leaves a block are
+    sums by draw, class and score. Rows of a group that agree in class and score are one, with their number; a block holds all rows of its groups.
     """
-    times = group_draws(df, group, draws, seed, strata)
-    summed = df.groupBy(group, y, score).agg(F.count("*").alias("__rows"))
-    drawn = summed.join(times, group).select("draw", y, score, (F.col("times") * F.col("__rows")).alias("__w"))
-    return ranking(drawn, ["draw"], y, score, "__w").where("auc is not null")
+    numbered = Scratch(df.sparkSession, "draws").write(_numbered(df, group, strata), "numbered")
+    here = numbered.select("group", F.expr(f"(first + place) div {BLOCK}").alias("block"), F.expr(f"(first + place) % {BLOCK}").cast("int").alias("own"))
+    kind = F.when(F.col(y) == 1, 1).when(F.col(y) == 0, 0)
+    rows = []
+    for which, score in enumerate(scores):
+        summed = df.groupBy(F.col(group).alias("group"), kind.alias("y"), F.col(score).alias("score")).agg(F.count("*").alias("w")).where("y is not null")
+        levels = placed(summed.select("score").distinct(), ["score"], "level").withColumnRenamed("score", "__score")
+        rows.append(summed.join(levels, F.col("score").eqNullSafe(F.col("__score"))).join(here, "group").select("block", "own", F.lit(which).alias("which"), "y", "level", "w"))
+
+    def weigh(drawn: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        by = ["which", "y", "level"]
+        rows = rows.sort_values(by)
+        starts = np.flatnonzero(~rows.duplicated(by).to_numpy())
+        out = []
+        if len(rows) and len(drawn):
+            times = np.zeros(draws * BLOCK, np.int32)
+            for codes in drawn["codes"]:
+                np.add.at(times, np.frombuffer(codes, np.int32), 1)
+            times = times.reshape(draws, BLOCK)
+            own, w, keys = rows["own"].to_numpy(), rows["w"].to_numpy(), rows[by].iloc[starts].reset_index(drop=True)
+            for at in range(0, draws, AT_ONCE):
+                sums = np.add.reduceat(times[at : at + AT_ONCE][:, own] * w, starts, axis=1)
+                draw, key = np.nonzero(sums)
+                out.append(keys.iloc[key].assign(draw=draw + at, w=sums[draw, key]))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("draw", *by, "w")})
+
+    met = _drawn(numbered, draws, seed).groupBy("block").cogroup(reduce(DataFrame.union, rows).groupBy("block"))
+    weighed = met.applyInPandas(weigh, "draw int, which int, y int, level long, w long")
+    return ranking(weighed, ["draw", "which"], "y", "level", "w").where("auc is not null")
+
+
+def bootstrap(df: DataFrame, group: str, draws: int, seed: str = "boot", y: str = "y", score: str = "score", strata: str | None = None) -> DataFrame:
+    """auc and ap of each draw of whole groups; draws with one class only are left out."""
+    return bootstraps(df, group, draws, seed, y, [score], strata).drop("which")
 
 
 def interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:
