@@ -81,3 +81,12 @@ def test_classes_give_what_their_members_pairs_give(spark):
     best = pairs.best_to_class(members, found, kinds.withColumnRenamed("kind", "label"), 0, 1)
     near = lambda i: max([j for (a, b), j in every.items() if i in (a, b) and (a + b - i) % 3 == 1] or [0.0])
     assert {r.id: r.best for r in best.collect()} == {i: near(i) for i in size if i % 3 == 0}
+
+
+def test_copies_are_aligned_once(spark):
+    """30 copies of each of two sequences: 1,770 pairs, of four kinds."""
+    items = spark.createDataFrame([(i, "AB" if i % 2 else "AC") for i in range(60)], "id long, s string")
+    near = items.select(F.col("id").alias("a")).join(items.select(F.col("id").alias("b"))).where("a < b")
+    every, once = pairs.by_value(near, items, "id", "s", Scratch(spark, "test"))
+    assert every.count() == 1770 and {tuple(r) for r in once.collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert all((r.va, r.vb) == (r.a % 2, r.b % 2) for r in every.collect())
