@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlake.operators.metrics import ranking
@@ -104,6 +104,79 @@ def bootstrap(df: DataFrame, group: str, draws: int, seed: str = "boot", y: str
     return bootstraps(df, group, draws, seed, y, [score], strata).drop("which")
 
 
+#: Values of a component that a task ranks at once, vectors that are packed at once, and draws that are counted at once.
+RANKED, PACKED, COUNTED = 1 << 16, 4096, 32
+#: The place of null, below all numbers.
+_NULL = np.iinfo(np.int64).min
+
+
+def _sortable(values: Sequence[float]) -> np.ndarray:
+    """Whole numbers above ``_NULL`` in the order that Spark gives values: numbers, NaN; 0 and -0 are equal."""
+    given = np.array(values, float) + 0.0
+    raw = given.view(np.int64)
+    out = np.where(raw < 0, _NULL - raw - 1, raw)
+    out[np.isnan(given)] = np.iinfo(np.int64).max
+    return out
+
+
+def half_areas(df: DataFrame, id_col: str, vector: str, y: str, draws: int, seed: str = "half", ranked: int = RANKED) -> DataFrame:
+    """(draw, latent, auc): the area of each component of the vectors over half of the rows, by the parity of ``hash_number(seed, draw, id)``, and as draw ``draws`` over all rows; areas without both classes are left out.
+
+    A value travels once, with a bit for each draw, to a range of its component's values, and is ranked there; what leaves a range are counts and wins by draw.
+    Bounds of the ranges come from some of the rows and decide the sizes of tasks only. Equal values share a range.
+    """
+    size = -(-(draws + 1) // 8)
+    kind = F.when(F.col(y) == 1, 1).when(F.col(y) == 0, 0)
+    rows = df.select(kind.alias("y"), F.col(id_col).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("y is not null and v is not null")
+    # a task reads null components as NaN, so it is told which they are
+    rows = rows.withColumn("gaps", F.when(F.exists("v", F.isnull), F.transform("v", F.isnull)))
+    ranges, bounds = -(-rows.count() // ranked), {}
+    if ranges > 1:
+        some = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, ranges * ranked // 50000))) == 0).select(F.posexplode("v").alias("latent", "x"))
+        cuts = some.groupBy("latent").agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], 10000).alias("cuts"))
+        bounds = {r["latent"]: _sortable(r["cuts"]) for r in cuts.where("cuts is not null").collect()}  # one short list a component
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, len(batch), PACKED):
+                some = batch.iloc[at : at + PACKED]
+                raw = b"".join(hashlib.md5(f"{seed}|{draw}{'' if i is None else f'|{i}'}".encode()).digest()[6:7] for i in some["id"] for draw in range(draws))
+                odd = np.frombuffer(raw, np.uint8).reshape(len(some), draws) >> 4 & 1
+                bits = np.packbits(np.hstack([odd == 0, np.ones((len(some), 1), bool)]), axis=1)
+                ys, vectors, gaps, out = some["y"].to_numpy(np.uint8), list(some["v"]), list(some["gaps"]), []
+                for latent in range(max(map(len, vectors), default=0)):
+                    have = np.array([i for i, v in enumerate(vectors) if len(v) > latent])
+                    keys = _sortable([vectors[i][latent] for i in have])
+                    keys[[gaps[i] is not None and gaps[i][latent] for i in have]] = _NULL
+                    part = np.searchsorted(bounds[latent], keys, side="right") if latent in bounds else np.zeros(len(keys), int)
+                    for p in np.unique(part):
+                        own = part == p
+                        out.append((latent, int(p), keys[own].tobytes(), ys[have[own]].tobytes(), bits[have[own]].tobytes()))
+                yield pd.DataFrame(out, columns=["latent", "part", "keys", "ys", "bits"])
+
+    def rank(group: pd.DataFrame) -> pd.DataFrame:
+        keys, ys = np.frombuffer(b"".join(group["keys"]), np.int64), np.frombuffer(b"".join(group["ys"]), np.uint8)
+        bits = np.frombuffer(b"".join(group["bits"]), np.uint8).reshape(len(keys), size)
+        order = np.argsort(keys, kind="stable")
+        keys, ys, bits, out = keys[order], ys[order], bits[order], []
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        for at in range(0, size * 8, COUNTED):
+            taken = np.unpackbits(bits[:, at // 8 : (at + COUNTED) // 8], axis=1).astype(np.int64)
+            p, n = (np.add.reduceat(taken * (ys == k)[:, None], starts, axis=0) for k in (1, 0))
+            wins = (p * (2 * (np.cumsum(n, axis=0) - n) + n)).sum(axis=0)
+            out.append(pd.DataFrame({"draw": at + np.arange(len(wins)), "p": p.sum(axis=0), "n": n.sum(axis=0), "w": wins}))
+        every = pd.concat(out)
+        every = every[every["draw"] <= draws]
+        return every.assign(latent=int(group["latent"].iloc[0]), part=int(group["part"].iloc[0]))[["draw", "latent", "part", "p", "n", "w"]]
+
+    packed = rows.mapInPandas(pack, "latent int, part int, keys binary, ys binary, bits binary")
+    counted = packed.groupBy("latent", "part").applyInPandas(rank, "draw int, latent int, part int, p long, n long, w long")
+    lower = Window.partitionBy("draw", "latent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    wins = F.sum(F.col("w") + 2 * F.col("p") * F.col("lower"))
+    one = counted.withColumn("lower", F.coalesce(F.sum("n").over(lower), F.lit(0))).groupBy("draw", "latent").agg(wins.alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return one.select("draw", "latent", F.try_divide(F.col("w").cast("double"), 2 * F.col("p") * F.col("n")).alias("auc")).where("auc is not null")
+
+
 def interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:
     tail = (1 - level) / 2
     return draws.agg(F.count("*").alias("n"), F.percentile(value, tail).alias("low"), F.percentile(value, 0.5).alias("middle"), F.percentile(value, 1 - tail).alias("high"))

@@ -30,22 +30,15 @@ _STABLE = f"WITH {c._LONG}, r AS (SELECT {{'draw': draw, 'latent': latent}} AS g
 @query()
 def stability_selection(spark, d):
     """How often each latent is among the ten best of 200 halves; stable where that is three in four and the effect over all rows 0.9 or more."""
-    whole = table(spark, d, "embeddings").select((F.col("label") == 0).cast("int").alias("y"), F.posexplode("embedding").alias("latent", "score"))
-    delta = metrics.ranking(whole, ["latent"]).select("latent", (2 * F.col("auc") - 1).alias("delta"))
+    n_draws = 200
+    rows = table(spark, d, "embeddings").select("vec_id", (F.col("label") == 0).cast("int").alias("y"), "embedding")
+    auc = Scratch(spark, "stable").write(resampling.half_areas(rows, "vec_id", "embedding", "y", n_draws), "areas")
+    delta = auc.where(F.col("draw") == n_draws).select("latent", (2 * F.col("auc") - 1).alias("delta"))
     strong = F.coalesce(F.col("delta") >= 0.9, F.lit(False))
-    return _stable(spark, d, 200).join(delta, "latent", "left").select("latent", "n_top", "least", "delta", (F.col("stable") & strong).alias("stable"))
-
-
-def _stable(spark, d, n_draws):
-    """How often each latent is among the ten best of a half."""
-    draws = F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw")
-    half = resampling.hash_number(F.lit("half"), F.col("draw"), F.col("vec_id")) % 2 == 0
-    chosen = table(spark, d, "embeddings").select("vec_id", "label", "embedding", draws).where(half)
-    rows = chosen.select("draw", (F.col("label") == 0).cast("int").alias("y"), F.posexplode("embedding").alias("latent", "score"))
-    auc = metrics.ranking(rows, ["draw", "latent"]).where("auc is not null")
-    placed = auc.withColumn("place", F.row_number().over(Window.partitionBy("draw").orderBy(F.desc("auc"), "latent")))
+    placed = auc.where(F.col("draw") < n_draws).withColumn("place", F.row_number().over(Window.partitionBy("draw").orderBy(F.desc("auc"), "latent")))
     n_top = F.count_if(F.col("place") <= 10)
-    return placed.groupBy("latent").agg(n_top.alias("n_top"), F.min(2 * F.col("auc") - 1).alias("least"), (n_top >= 0.75 * n_draws).alias("stable"))
+    often = placed.groupBy("latent").agg(n_top.alias("n_top"), F.min(2 * F.col("auc") - 1).alias("least"), (n_top >= 0.75 * n_draws).alias("often"))
+    return often.join(delta, "latent", "left").select("latent", "n_top", "least", "delta", (F.col("often") & strong).alias("stable"))
 
 
 @query(f"WITH {c.HUB}, chosen AS (SELECT draw, doc_id FROM hub, range(0, 500) AS d(draw) WHERE y = 1 QUALIFY row_number() OVER (PARTITION BY draw ORDER BY {_HEX.format("'size|' || draw || '|' || doc_id")}, doc_id) <= 20), r AS (SELECT draw AS g, 1 AS y, score FROM chosen JOIN hub USING (doc_id) UNION ALL SELECT draw, 0, score FROM hub, range(0, 500) AS d(draw) WHERE y = 0), {_RANKED} SELECT count(*) AS n, quantile_cont(auc, 0.05) AS low, quantile_cont(auc, 0.5) AS middle, quantile_cont(auc, 0.95) AS high FROM auc")

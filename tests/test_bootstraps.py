@@ -6,7 +6,9 @@ import hashlib
 import random
 
 import pytest
-from loomlake.operators import resampling
+from pyspark.sql import functions as F
+
+from loomlake.operators import metrics, resampling
 
 
 def auc(rows):
@@ -35,3 +37,18 @@ def test_bootstraps_equal_plain_draws(spark, strata):
             expected[d, which] = auc([(r[2], least(r[at]), times.get(r[0], 0)) for r in rows])
     got = {(r.draw, r.which): r.auc for r in resampling.bootstraps(df, "g", 12, "x", "y", ["one", "two"], strata).collect()}
     assert got == {k: pytest.approx(v) for k, v in expected.items() if v is not None}
+
+
+def test_half_areas_over_ranges(spark):
+    """Few values a range, with ties, nulls and NaN, give what ranking each draw's exploded rows gives."""
+    rnd = random.Random(6)
+    odd = [None, float("nan"), -0.0, 0.0, float("-inf")]
+    rows = [(i, [1, 0, 0, None][i % 4], [rnd.choice([*odd, rnd.randint(-3, 3) / 2]) for _ in range(3)] + [rnd.gauss(i % 4 == 0, 1)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, y int, v array<double>")
+    half = resampling.hash_number(F.lit("half"), F.col("draw"), F.col("id")) % 2 == 0
+    drawn = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(10)))).where(half | (F.col("draw") == 10))
+    expected = metrics.ranking(drawn.where("y is not null").select("draw", "y", F.posexplode("v").alias("latent", "score")), ["draw", "latent"]).where("auc is not null")
+    expected = {(r.draw, r.latent): r.auc for r in expected.collect()}
+    packed = resampling.half_areas(df, "id", "v", "y", 10, ranked=20)
+    assert len(expected) == 44 and {(r.draw, r.latent): r.auc for r in packed.collect()} == expected
+    assert {(r.draw, r.latent): r.auc for r in resampling.half_areas(df, "id", "v", "y", 10).collect()} == expected
