@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlake.operators.metrics import ranking
-from loomlake.operators.ordering import placed
+from loomlake.operators.ordering import placed, placed_within
 from loomlake.scratch import Scratch
 
 
@@ -205,6 +205,20 @@ def generator(*parts: object) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(key=int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest(), 16)))
 
 
+class Generators:
+    """Gives what ``generator`` gives, by setting one generator's state, which costs less than a new one; each is used before the next is asked for."""
+
+    def __init__(self) -> None:
+        self.bits = np.random.Philox(key=0)
+        self.state, self.one = self.bits.state, np.random.Generator(self.bits)
+
+    def __call__(self, *parts: object) -> np.random.Generator:
+        digest = hashlib.md5("|".join(map(str, parts)).encode()).digest()
+        self.state["state"]["key"] = np.frombuffer(digest, ">u8")[::-1].astype(np.uint64)
+        self.bits.state = self.state
+        return self.one
+
+
 def shuffled_hits(df: DataFrame, id_col: str, seq: str, motif: str, draws: int, carry: Sequence[str] = (), seed: str = "shuffle") -> DataFrame:
     """(carry, observed, hits, draws): whether each whole sequence has the motif, and in how many shuffles of its letters.
 
@@ -213,15 +227,89 @@ def shuffled_hits(df: DataFrame, id_col: str, seq: str, motif: str, draws: int,
     rule = re.compile(motif.encode())
 
     def run(batches):
+        drawn = Generators()
         for batch in batches:
             hits, observed = [], []
             for key, text in zip(batch[id_col], batch[seq], strict=True):
                 raw = text.encode()
-                letters = np.frombuffer(raw, np.uint8)
+                # numpy swaps words faster than bytes, and in the same order
+                letters = np.frombuffer(raw, np.uint8).astype(np.intp)
                 observed.append(rule.search(raw) is not None)
-                hits.append(sum(rule.search(generator(seed, key, draw).permutation(letters).tobytes()) is not None for draw in range(draws)))
+                hits.append(sum(rule.search(drawn(seed, key, draw).permutation(letters).astype(np.uint8).tobytes()) is not None for draw in range(draws)))
             yield batch[list(carry)].assign(observed=observed, hits=hits, draws=draws)
 
     rows = df.select(F.col(id_col), *carry, F.col(seq))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*carry).schema)
     return rows.mapInPandas(run, f"{kinds}, observed boolean, hits long, draws long")
+
+
+#: Numbers that a task sorts at once, on average, and sequences that meet what they are given at once.
+SORTED, MET = 1 << 16, 512
+
+
+def paired_hits(df: DataFrame, id_col: str, stratum: str, seq: str, at: str, off: int, letters: str, draws: int, seed: str, sorted_: int = SORTED, met: int = MET) -> DataFrame:
+    """(draw, stratum, n, hits): sequences that have one of ``letters`` at ``off`` from the place that another row of the stratum has in ``at``, by random permutations.
+
+    The row of place i by id gets what the row of place i by ``hash_number(seed, draw, id)`` has, ids on ties. Hashes are dealt by their first bits, so a task sorts a
+    part of a stratum in one draw; a row's hash, place and ``at`` take 20 bytes for each draw, and 4 on their way to a few sequences. Sequences are ASCII and travel once.
+    Rows without a stratum take no part.
+    """
+    scratch = Scratch(df.sparkSession, "pairing")
+    rows = scratch.write(df.select(F.col(id_col).alias("id"), F.col(stratum).alias("lang"), F.col(seq).alias("seq"), F.col(at).cast("int").alias("peak")).where("lang is not null"), "rows")
+    own = scratch.write(placed_within(rows.select("id", "lang", "peak"), ["lang"], ["id"], "i"), "own")
+    sized = own.join(own.groupBy("lang").agg(F.count("*").alias("n")), "lang").select("lang", F.col("id").cast("string").alias("name"), "peak", "i", "n")
+
+    def deal(batches):
+        for batch in batches:
+            for at in range(0, len(batch), PACKED):
+                for (lang, n), some in batch.iloc[at : at + PACKED].groupby(["lang", "n"]):
+                    names = [b"" if name is None else f"|{name}".encode() for name in some["name"]]
+                    i, peak, bits = some["i"].to_numpy(np.int64), some["peak"].to_numpy(np.int32), (-(-int(n) // sorted_) - 1).bit_length()
+                    out = []
+                    for draw in range(draws):
+                        head = f"{seed}|{draw}".encode()
+                        h = (np.frombuffer(b"".join(hashlib.md5(head + name).digest() for name in names), ">u8")[::2].astype(np.uint64) >> np.uint64(12)).astype(np.int64)
+                        part = h >> (52 - bits)
+                        for p in np.unique(part):
+                            own = part == p
+                            out.append((lang, draw, int(p), h[own].tobytes(), i[own].tobytes(), peak[own].tobytes()))
+                    yield pd.DataFrame(out, columns=["lang", "draw", "part", "h", "i", "peak"])
+
+    def order(group: pd.DataFrame) -> pd.DataFrame:
+        h, i, peak = (np.frombuffer(b"".join(group[c]), kind) for c, kind in (("h", np.int64), ("i", np.int64), ("peak", np.int32)))
+        return group[["lang", "draw", "part"]].head(1).assign(n=len(h), peaks=[peak[np.lexsort((i, h))].tobytes()])
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for lang, draw, first, peaks in zip(*(batch[c] for c in ("lang", "draw", "first", "peaks")), strict=True):
+                every, stop = np.frombuffer(peaks, np.int32), first
+                while stop < first + len(every):
+                    start, stop = stop, min(first + len(every), (stop // met + 1) * met)
+                    out.append((lang, start // met, draw, start % met, every[start - first : stop - first].tobytes()))
+            yield pd.DataFrame(out, columns=["lang", "block", "draw", "start", "peaks"])
+
+    wanted = np.isin(np.arange(256), list(letters.encode()))
+
+    def meet(given: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        raw = [s.encode() for s in rows["seq"]]
+        size, text = np.array([len(s) for s in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8)
+        begin, hits, n = np.cumsum(size) - size, np.zeros(draws, np.int64), np.zeros(draws, np.int64)
+        for draw, start, peaks in zip(given["draw"], given["start"], given["peaks"], strict=True):
+            place = np.frombuffer(peaks, np.int32).astype(np.int64) + off
+            here = slice(start, start + len(place))
+            fits = (place >= 0) & (place < size[here])
+            hits[draw] += wanted[text[(begin[here] + place)[fits]]].sum()
+            n[draw] += len(place)
+        return pd.DataFrame({"draw": np.arange(draws), "lang": rows["lang"].iloc[0], "n": n, "hits": hits})
+
+    kind = rows.schema["lang"].dataType.simpleString()
+    dealt = sized.repartition(df.sparkSession.sparkContext.defaultParallelism * 4).mapInPandas(deal, f"lang {kind}, draw int, part long, h binary, i binary, peak binary")
+    ordered = scratch.write(dealt.groupBy("lang", "draw", "part").applyInPandas(order, f"lang {kind}, draw int, part long, n long, peaks binary"), "ordered")
+    before = F.sum("n").over(Window.partitionBy("lang", "draw").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    first = ordered.select("lang", "draw", "part", F.coalesce(before, F.lit(0)).alias("first"))
+    blocks = ordered.join(first, ["lang", "draw", "part"]).select("lang", "draw", "first", "peaks").mapInPandas(cut, f"lang {kind}, block long, draw int, start long, peaks binary")
+    texts = rows.join(own.select("id", "i"), "id").select("lang", F.expr(f"(i - 1) div {met}").alias("block"), "i", "seq")
+    one = blocks.groupBy("lang", "block").cogroup(texts.groupBy("lang", "block")).applyInPandas(meet, f"draw int, lang {kind}, n long, hits long")
+    return one.groupBy("draw", "lang").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).withColumnRenamed("lang", stratum)

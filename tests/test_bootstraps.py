@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +53,26 @@ def test_half_areas_over_ranges(spark):
     packed = resampling.half_areas(df, "id", "v", "y", 10, ranked=20)
     assert len(expected) == 44 and {(r.draw, r.latent): r.auc for r in packed.collect()} == expected
     assert {(r.draw, r.latent): r.auc for r in resampling.half_areas(df, "id", "v", "y", 10).collect()} == expected
+
+
+def test_one_generator_gives_the_draws_of_many():
+    """A state that is set anew leaves nothing of the last one's, and words are shuffled as bytes are."""
+    drawn, letters = resampling.Generators(), np.frombuffer(b"ACDEFGHIKLMNPQRSTVWY" * 7, np.uint8)
+    for i in range(50):
+        some = letters[: 3 * i + 1]
+        assert drawn("shuffle", i, 3).permutation(some.astype(np.intp)).tolist() == resampling.generator("shuffle", i, 3).permutation(some).tolist()
+
+
+def test_paired_hits_over_parts(spark):
+    """Few hashes a part and few sequences a block give what sorting whole strata gives."""
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice(["a", "b", None]), "".join(rnd.choice("RSTA") for _ in range(rnd.randint(1, 30))), rnd.randint(-3, 30)) for i in range(150)] + [(999, "c", "R", -2)]
+    df, expected = spark.createDataFrame(rows, "id long, g string, s string, at int"), {}
+    for draw in range(7):
+        for g in "abc":
+            own = sorted(r for r in rows if r[1] == g)
+            other = sorted(own, key=lambda r: (int(hashlib.md5(f"pairing|{draw}|{r[0]}".encode()).hexdigest()[:13], 16), r[0]))
+            expected[draw, g] = (len(own), sum(0 <= q[3] + 2 < len(r[2]) and r[2][q[3] + 2] in "RS" for r, q in zip(own, other, strict=True)))
+    for parts in ({"sorted_": 8, "met": 5}, {}):
+        got = resampling.paired_hits(df, "id", "g", "s", "at", 2, "RS", 7, "pairing", **parts).collect()
+        assert {(r.draw, r.g): (r.n, r.hits) for r in got} == expected

@@ -132,6 +132,25 @@ def test_motif_positions_of_whole_sequences(spark):
     assert {r.doc_id: r.positions for r in catalog.QUERIES["motif_positions"](spark, SF).collect()} == expected
 
 
+def test_overlapping_motifs_of_their_size_only(spark):
+    """A motif that could also match fewer letters counts where it takes all of them, and marks in the text are letters."""
+    rows = [("EESEESEESE",), ("A\u0001BAB",), ("ABBB",), ("AB",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "s string")
+    got = df.select(sq.motif_positions(F.col("s"), "E.[ST].E", 5, 2).alias("p"), sq.motif_positions(F.col("s"), "AB?B|B..", 3).alias("q")).collect()
+    assert [r.p for r in got][:5] == [[2 + i for i in range(6) if re.match("E.[ST].E", rows[0][0][i:])], [], [], [], []]
+    assert [r.q for r in got][:5] == [[], [2], [0, 1], [], []]
+    assert "regexp_replace" in df.select(sq.motif_positions(F.col("s"), "E.[ST].E", 5))._jdf.queryExecution().toString()
+
+
+def test_transforms_of_the_second_sequence_are_kept():
+    rng, known = random.Random(9), {}
+    for b in ("ACDEA" * 9, "", "CA"):
+        for _ in range(40):
+            a = "".join(rng.choice("ABC") for _ in range(rng.choice([0, 1, 5, 40])))
+            assert best_shift(a, b, known) == _first_best_shift(a, b)
+    assert known["b"] == "CA" and len(known) > 2
+
+
 def test_shuffled_null_takes_every_sequence_whole(spark):
     rows = [(lang, bool(re.search("E[STN]H", s))) for _, lang, s in _sequences(spark) if s]
     assert sum(len(s) > 500 for _, _, s in _sequences(spark)) > len(rows) // 2
