@@ -90,3 +90,16 @@ def test_copies_are_aligned_once(spark):
     every, once = pairs.by_value(near, items, "id", "s", Scratch(spark, "test"))
     assert every.count() == 1770 and {tuple(r) for r in once.collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
     assert all((r.va, r.vb) == (r.a % 2, r.b % 2) for r in every.collect())
+
+
+def test_containment_of_all_sizes(spark):
+    """Beginnings in common, copies, and every size from none to several heads give what plain comparison gives, and few candidates."""
+    draw = random.Random(11)
+    base = "".join(draw.choice("AB") for _ in range(400))
+    texts = [base[draw.randrange(8) : draw.choice([0, 1, 5, 23, 24, 25, 59, 60, 61, 83, 84, 120, 180, 181, 300, 390])] for _ in range(120)]
+    texts += ["AB" * 30 + "".join(draw.choice("ABC") for _ in range(draw.randint(0, 70))) for _ in range(60)] + ["", "A", "\u00e9A\u00e9", "\u00e9", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, s string")
+    got = [tuple(r) for r in dedup.containment_candidates(df, "id", "s").collect()]
+    known = [(i, t) for i, t in enumerate(texts) if t is not None]
+    expected = {(i, k, len(t)) for i, s in known for k, t in known if 0 < len(t) - len(s) <= 60 and s in t}
+    assert len(got) == len(set(got)) and set(got) == expected
