@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -103,3 +104,10 @@ def test_containment_of_all_sizes(spark):
     known = [(i, t) for i, t in enumerate(texts) if t is not None]
     expected = {(i, k, len(t)) for i, s in known for k, t in known if 0 < len(t) - len(s) <= 60 and s in t}
     assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_only_classes_and_pairs_stay_written(spark):
+    scratch = Scratch(spark, "test")
+    members, found = pairs.similar_classes(pairs.shingle_sets(_texts(spark), "id", "text"), 0.3, scratch)
+    assert sorted(p.name[4:] for p in Path(scratch.root.removeprefix("file:")).iterdir()) == ["classes", "pairs"]
+    assert members.count() and found.count()
