@@ -111,3 +111,45 @@ def test_only_classes_and_pairs_stay_written(spark):
     members, found = pairs.similar_classes(pairs.shingle_sets(_texts(spark), "id", "text"), 0.3, scratch)
     assert sorted(p.name[4:] for p in Path(scratch.root.removeprefix("file:")).iterdir()) == ["classes", "pairs"]
     assert members.count() and found.count()
+
+
+def test_shingles_that_one_set_has_are_never_written(spark, monkeypatch):
+    """Texts without anything in common leave a few numbers each, not their sets."""
+    draw, sizes = random.Random(7), []
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(8))
+    df = spark.createDataFrame([(i, " ".join(word() for _ in range(400))) for i in range(100)], "id long, text string").repartition(2)
+    plain = Scratch.write
+
+    def write(self, frame, label="t"):
+        out = plain(self, frame, label)
+        sizes.append(sum(p.stat().st_size for p in Path(out._loomlake_path.removeprefix("file:")).rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(Scratch, "write", write)
+    members, found = pairs.similar_classes(pairs.shingle_sets(df, "id", "text"), 0.15, Scratch(spark, "test"))
+    assert members.count() == 100 and found.count() == 0
+    assert sum(sizes) < 100 * 396 * 8 / 3
+
+
+def test_sets_of_odd_texts(spark):
+    """Sizes of the sets, and which texts have equal ones, are those of the words between anything but letters."""
+    texts = ["a b c d e", "A-BéCééD1E", "", None, " a b c d", "a b c d e a b c d e a b c d e", "K a b c d e", "k a b c d e ", "..a b c d e\n", "abcde", "日 a b c d ef", "a b c d ef", "e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = {r.id: tuple(r.h) for r in pairs.shingle_sets(df, "id", "text").collect()}
+    grams = {r.id: r.s for r in pairs.shingles(df, "id", "text").groupBy("id").agg(F.sort_array(F.collect_list("s")).alias("s")).collect()}
+    assert {i: len(h) for i, h in got.items()} == {i: len(s) for i, s in grams.items()}
+    assert all((got[i] == got[j]) == (grams[i] == grams[j]) for i in got for j in got)
+
+
+def test_pairs_are_compared_in_rounds(spark, monkeypatch):
+    """60 variants of one text make far more pairs than texts; rounds find them all, and slices of any number the same."""
+    draw = random.Random(9)
+    base = [draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)]
+    texts = [" ".join(w if draw.random() > 0.04 else draw.choice("xyz") for w in base) for _ in range(60)]
+    df, rounds = spark.createDataFrame(list(enumerate(texts)), "id long, text string"), []
+    plain = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, frame, label="t": rounds.append(label) or plain(self, frame, label))
+    got = {(r.a, r.b): r.jaccard for r in pairs.expanded(*pairs.similar_classes(pairs.shingle_sets(df, "id", "text"), 0.3, Scratch(spark, "test"), 3)).collect()}
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(36)} for t in texts]
+    whole = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in range(60) for b in range(a + 1, 60)}
+    assert got == {p: j for p, j in whole.items() if j >= 0.3} and rounds.count("found") > 3
