@@ -6,8 +6,13 @@ numbers a place in space; a document with its label is a classified sequence, do
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from loomlake.functions import sequences as sq
 from loomlake.functions import vectors as vec
@@ -113,11 +118,24 @@ def latent_profile(spark, d):
 # --- validation and resuming -----------------------------------------------------------------------------------------------
 
 
+def _letter_shares(batches: Iterable[pa.RecordBatch], letters: bytes = b"ACDEFGHIKLMNPQRSTVWY") -> Iterator[pa.RecordBatch]:
+    """(doc_id, shares): what ``fraction`` gives for each of the letters on the ``normalise``d text, from one count of its bytes."""
+    upper, wanted = np.arange(ord("A"), ord("Z") + 1), np.frombuffer(letters, np.uint8) - ord("A")
+    for batch in batches:
+        texts = batch.column(1).cast(pa.large_binary())
+        counts = np.array([np.bincount(np.frombuffer(t.as_buffer(), np.uint8), minlength=256) for t in texts]).reshape(-1, 256)
+        both = counts[:, upper] + counts[:, upper + 32]
+        parts = both[:, wanted] / np.maximum(both.sum(axis=1), 1)[:, None]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1) * len(wanted), pa.int32()), pa.array(parts.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "shares"])
+
+
 @query()
 def nested_validation(spark, d):
     """Nested validation of a probe on letter shares, by groups of equal texts: a metric or a reason for each cell."""
-    shares = F.array(*[sq.fraction(F.col("seq"), letter) for letter in "ACDEFGHIKLMNPQRSTVWY"])
-    rows = c.docs_(spark, d).select("doc_id", shares.alias("shares")).join(c.hub(spark, d).select("doc_id", "y", "grp"), "doc_id")
+    texts = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    shares = texts.mapInArrow(_letter_shares, StructType([texts.schema["doc_id"], StructField("shares", ArrayType(DoubleType()))]))
+    rows = shares.join(c.hub(spark, d).select("doc_id", "y", "grp"), "doc_id")
     return nested_groups(rows, "doc_id", "shares", "y", "grp", seed="nested|")
 
 

@@ -4,14 +4,18 @@ import gzip
 import io
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import StandardScaler
 from pyspark.sql import functions as F
 
+from loomlake.functions import sequences as sq
 from loomlake.operators import sparse_coding as sc
 from loomlake.operators.probe import nested_groups
 from loomlake.operators.structures import nearest_place
+from loomlake.plans.positions import _letter_shares
 from loomlake.sources import ranged_files as ranged
 from loomlake.sources import sequence_files as files
 from loomlake.streaming.incremental import resume_scores
@@ -179,3 +183,34 @@ def test_resume_after_a_failure_between_write_and_commit(spark, tmp_path):
     out = resume_scores(spark, source, target, scored, "id")
     assert sorted(map(tuple, out.collect()), key=str) == sorted([*((i, 2 * i + 1) for i in range(10)), (10, 5), (None, 2)], key=str)
     assert resume_scores(spark, source, target, scored, "id", written=seen.append).count() == 12 and seen == [0]
+
+
+def test_letter_shares_are_the_fractions(spark):
+    texts = ["Abc, aYé1y", "", None, "...", "é日", "ACDEFGHIKLMNPQRSTVWYBJOUXZ" * 3 + "aa", "kKſs"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.shares for r in df.select("doc_id", F.coalesce("text", F.lit(""))).mapInArrow(_letter_shares, "doc_id long, shares array<double>").collect()}
+    plain = F.array(*[sq.fraction(F.col("seq"), x) for x in "ACDEFGHIKLMNPQRSTVWY"])
+    assert got == {r.doc_id: r.s for r in df.select("doc_id", sq.normalise(F.col("text")).alias("seq")).select("doc_id", plain.alias("s")).collect()}
+
+
+def test_fits_of_nested_groups_run_at_once(spark, monkeypatch):
+    """Three outer folds with three inner ones: nine cells with a scaler each and three last fits, no more, and some of them at the same time."""
+    rnd, now, most, fits = random.Random(4), [0], [0], []
+    plain, lock = StandardScaler.fit, threading.Lock()
+
+    def fit(self, *given):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+            fits.append(1)
+        try:
+            return plain(self, *given)
+        finally:
+            with lock:
+                now[0] -= 1
+
+    monkeypatch.setattr(StandardScaler, "fit", fit)
+    rows = [(i, [rnd.gauss(1.5 * (i % 2), 1), rnd.random()], i % 2, f"g{i // 3}") for i in range(180)]
+    got = nested_groups(spark.createDataFrame(rows, "id int, v array<double>, y int, g string"), "id", "v", "y", "g", outer=3, inner=3).collect()
+    assert len(got) == 12 and all(r.auc > 0.7 for r in got if r.inner_fold is None)
+    assert len(fits) == 12 and most[0] > 1
