@@ -127,6 +127,23 @@ def test_copies_do_not_rest_on_names(spark, texts, named, block):
     assert found == [(n, any(u == t and j < i for _, j, u in some)) for n, i, t in some]
 
 
+def test_lone_texts_are_judged_once(spark):
+    """Of 400 texts two are copies: the other 398 are looked at once, not again as the copies are gathered."""
+    from loomlake.scratch import Scratch
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def judge(text):
+        seen.add(1)
+        return len(text)
+
+    rows = spark.createDataFrame([(i, f"text {min(i, 398)} " * 30) for i in range(400)], "k long, text string")
+    alone, grouped = filter_audit.later_copies(rows, Scratch(spark, "t"), judged={"size": judge("text")})
+    assert 400 <= seen.value < 440
+    assert sorted((r["k"], r["size"], r["copy"]) for r in alone.unionByName(grouped).collect()) == [(i, len(f"text {min(i, 398)} ") * 30, i == 399) for i in range(400)]
+
+
 def article(page):
     """The blocks of the one article element of a page of the tables."""
     inner = re.search(r"<article>(.*?)</article>", page, re.DOTALL)[1].replace("<br>", " ")
