@@ -153,3 +153,29 @@ def test_pairs_are_compared_in_rounds(spark, monkeypatch):
     grams = [{tuple(t.split()[i : i + 5]) for i in range(36)} for t in texts]
     whole = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in range(60) for b in range(a + 1, 60)}
     assert got == {p: j for p, j in whole.items() if j >= 0.3} and rounds.count("found") > 3
+
+
+def test_candidates_are_never_on_disk_at_once(spark, monkeypatch):
+    """60 variants of one text, with copies: turns and rounds of any size give the same pairs and counts, and one turn's candidates and one round's pairs are there at a time."""
+    draw = random.Random(10)
+    base = [draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)]
+    texts = [" ".join(w if draw.random() > 0.04 else draw.choice("xyz") for w in base) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:9])), "id long, text string")
+    sets, kinds = pairs.shingle_sets(df, "id", "text"), df.select("id", (F.col("id") % 3).alias("kind"))
+    rows = lambda frame: sorted(map(tuple, frame.collect()))
+    members, found = pairs.similar_classes(sets, 0.3, Scratch(spark, "test"), meetings=1e9, sent=1e9)
+    counts, seen, plain = rows(pairs.pair_kinds(members, found, kinds)), [], Scratch.write
+
+    def write(self, frame, label="t"):
+        out = plain(self, frame, label)
+        if label in ("likely", "found"):
+            seen.append((label, sum(p.name.endswith(label) for p in Path(self.root.removeprefix("file:")).iterdir()), out.count()))
+        return out
+
+    monkeypatch.setattr(Scratch, "write", write)
+    assert rows(pairs.similar_classes(sets, 0.3, Scratch(spark, "test"), meetings=2, sent=4)[1]) == rows(found)
+    few = [n for label, _, n in seen if label == "likely"]
+    assert len(few) > 3 and max(few) < sum(few) / 2 and {at for label, at, _ in seen if label == "likely"} == {1}
+    seen.clear()
+    assert rows(pairs.similar_kinds(sets, 0.3, Scratch(spark, "test"), kinds, meetings=2, sent=4)) == counts
+    assert len(seen) > 6 and {at for _, at, _ in seen} == {1}
