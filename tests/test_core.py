@@ -7,6 +7,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -346,3 +347,18 @@ def test_substitution_matrix(spark, tmp_path):
     rows = spark.createDataFrame([("ACDA", "ACDA"), ("ACD", "AAD"), ("", "A")], "x string, y string")
     got = rows.select(alignment.identity(F.col("x"), F.col("y"), matrix).alias("i")).select("i.ident_min", "i.ident_aln").collect()
     assert [tuple(r) for r in got] == [(1.0, 1.0), (2 / 3, 2 / 3), (0.0, 0.0)]
+
+
+def test_packed_alignment_equals_the_plain_one(monkeypatch):
+    draw = random.Random(9)
+    packed, cases = alignment._packed, []
+    for _ in range(60):
+        of = "ACDEFGHIKL"[: draw.choice([1, 2, 9])]
+        a, b = ("".join(draw.choice(of) for _ in range(draw.choice([1, 4, 40]))) for _ in range(2))
+        table = np.array([[float(draw.randint(-4, 5)) for _ in of] for _ in of]) if draw.random() < 0.4 else np.where(np.eye(len(of)), 4.0, -2.0)
+        cases.append((*(np.array([of.index(c) for c in s]) for s in (a, b)), table, *draw.choice([(-11.0, -1.0), (-2.0, -1.0), (-1.0, -1.0)]), draw.choice([0, 2, 50])))
+    fast = [packed(*c) for c in cases]
+    monkeypatch.setattr(alignment, "_packed", lambda *c: None)
+    assert fast == [alignment._banded(*c) for c in cases]
+    # shares of a score are left to the plain one
+    assert packed(*cases[0][:2], cases[0][2] + 0.5, *cases[0][3:]) is None
